@@ -184,3 +184,55 @@ def window_max(values: np.ndarray, width: int) -> np.ndarray:
         out = np.maximum(out[:-step], out[step:])
         have += step
     return out
+
+
+def buffer_of_array(texts: pa.Array | pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
+    """buffer_of() for an Arrow array of strings."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+        texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+    raw = texts.cast(pa.large_binary()).fill_null(b"")
+    if not len(raw):
+        return b"", np.zeros(1, np.int64)
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = raw.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]] if raw.buffers()[2] else b""
+    return data, offsets - offsets[0]
+
+
+def to_stream(table: pa.Table | pa.RecordBatch) -> bytes:
+    """An Arrow stream with zstd buffers."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write(table)
+    return sink.getvalue().to_pybytes()
+
+
+def from_streams(payloads: Iterable[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in payloads])
+
+
+def packed_blocks(docs: DataFrame, n_blocks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """block, payload: documents dealt over blocks by a hash of the row, packed before they are shuffled.
+
+    A payload is an Arrow stream (doc_id, text) with zstd buffers; a block has one from each task and chunk.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn(
+        "block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
+    )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text", 32 << 20):
+                block = part.column("block").to_numpy()
+                order = np.argsort(block, kind="stable")
+                kept = part.select(["doc_id", "text"]).take(pa.array(order))
+                edges = np.r_[0, np.flatnonzero(np.diff(block[order])) + 1, len(order)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(block[order][edges[:-1]], pa.int32()),
+                        pa.array([to_stream(kept.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
+                    ],
+                    ["block", "payload"],
+                )
+
+    return rows.mapInArrow(pack, "block int, payload binary")

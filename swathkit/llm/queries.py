@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from swathkit.llm import common, token_counts, token_shards
+from pyspark.sql import functions as F
+
+from swathkit.llm import common, token_counts, token_shards, word_table_bpe
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -26,9 +28,20 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = word_table_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_shards": op2_token_shards,
     "op5_token_counts": op5_token_counts,
+    "op8_bpe_round_trip": op8_bpe_round_trip,
 }
 
 ORACLE_SQL: dict[str, str] = {}
