@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from swathkit.llm import common, token_counts, token_shards, word_table_bpe
+from swathkit.llm import common, fingerprints, language_id, token_counts, token_shards, warc_store, word_table_bpe
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -18,12 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.pmod(common.crc32_of_id(), F.lit(4)) == 2, F.lit(False))
+    model = language_id.train(docs.where(~held_out))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_path(spark, "token-shards")
     token_shards.write_token_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_BPE))
     return token_shards.read_token_shards(spark, path)
 
 
+def op3_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.shared_path(spark, "warc")
+    warc_store.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc_store.read_records(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -38,10 +54,22 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    compared = fingerprints.compare_neighbours(docs)
+    return fingerprints.with_classes(compared, fingerprints.exact_classes(docs)).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint",
+        "edited_fingerprint", "near_edited", "near_next", "class_id", "n_docs",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_token_shards": op2_token_shards,
+    "op3_warc_store": op3_warc_store,
     "op5_token_counts": op5_token_counts,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
