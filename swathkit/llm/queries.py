@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from swathkit.llm import common, fingerprints, language_id, token_counts, token_shards, warc_store, word_table_bpe
+from swathkit.llm import common, decontaminate, fingerprints, language_id, token_counts, token_shards, warc_store, word_table_bpe
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -40,6 +40,10 @@ def op3_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_shards": op2_token_shards,
     "op3_warc_store": op3_warc_store,
+    "op4_decontaminate": op4_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_fingerprints": op9_fingerprints,
