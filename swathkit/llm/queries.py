@@ -9,7 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from swathkit.llm import common, decontaminate, fingerprints, language_id, token_counts, token_shards, warc_store, word_table_bpe
+from swathkit.llm import (
+    common,
+    decontaminate,
+    fingerprints,
+    language_id,
+    simhash_dedup,
+    token_counts,
+    token_shards,
+    warc_store,
+    word_table_bpe,
+)
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -48,6 +58,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = word_table_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
     return out.select(
@@ -73,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_store": op3_warc_store,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_counts": op5_token_counts,
+    "op7_simhash_dedup": op7_simhash_dedup,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_fingerprints": op9_fingerprints,
 }
