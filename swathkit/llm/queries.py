@@ -13,6 +13,7 @@ from swathkit.llm import (
     common,
     decontaminate,
     fingerprints,
+    html_extract,
     language_id,
     simhash_dedup,
     substring_dedup,
@@ -91,6 +92,10 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_shards": op2_token_shards,
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_fingerprints": op9_fingerprints,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}
