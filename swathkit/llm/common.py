@@ -211,21 +211,28 @@ def from_streams(payloads: Iterable[bytes]) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in payloads])
 
 
-def packed_blocks(docs: DataFrame, n_blocks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed_blocks(
+    docs: DataFrame, n_blocks: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
     """block, payload: documents dealt over blocks by a hash of the row, packed before they are shuffled.
 
-    A payload is an Arrow stream (doc_id, text) with zstd buffers; a block has one from each task and chunk.
+    A payload is an Arrow stream (doc_id, text, struct of the carried columns if any) with zstd buffers; a block has
+    one from each task and chunk.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn(
+    columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
+    if carry:
+        columns.append(F.struct(*carry).alias("carried"))
+    rows = docs.select(*columns).withColumn(
         "block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
     )
+    names = [c for c in rows.columns if c != "block"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", 32 << 20):
                 block = part.column("block").to_numpy()
                 order = np.argsort(block, kind="stable")
-                kept = part.select(["doc_id", "text"]).take(pa.array(order))
+                kept = part.select(names).take(pa.array(order))
                 edges = np.r_[0, np.flatnonzero(np.diff(block[order])) + 1, len(order)]
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 ERROR_RATE = 0.08  #: edits per character of an item
 MIN_CHARS = 20
@@ -127,41 +128,47 @@ def item_blocks(benchmark: DataFrame, min_chars: int, item_col: str, text_col: s
         yield block
 
 
-def find_leaks(
+def mark_leaks(
     docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS,
-    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, item_id, distance, match_start, match_end of every item found in a document.
+    """All columns of docs (but an earlier `leaks`) with leaks: an array of item_id, distance, match_start, match_end.
 
     Places are in the normalised text; match_start is that of the verified window, at most 2k before the match.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind, item_kind = rows.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, distance int, match_start int, match_end int"
-    out = []
+    docs = docs.drop("leaks")
+    plain, item = docs.schema, benchmark.schema[item_col].dataType
+    hit = T.StructType(
+        [T.StructField("item_id", item), *(T.StructField(x, T.IntegerType()) for x in ("distance", "match_start", "match_end"))]
+    )
+    out = docs.withColumn("leaks", F.array().cast(T.ArrayType(hit)))
+    schema = T.StructType([*plain.fields, T.StructField("leaks", T.ArrayType(hit))])
+    arrow = to_arrow_type(T.ArrayType(hit))
     for block in item_blocks(benchmark, min_chars, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, error_rate)
             for batch in batches:
-                ids, texts = batch.column("doc_id"), batch.column("text")
-                at: list[int] = []
-                hits: list[tuple[int, int, int, int]] = []
+                texts, before = batch.column(text_col), batch.column("leaks").to_pylist()
+                found = []
                 for k in range(batch.num_rows):
-                    found = matcher.find(normalize(texts[k].as_py()))
-                    at += [k] * len(found)
-                    hits += found
-                columns = list(zip(*hits, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(pa.array(at, pa.int64())),
-                        pa.array([matcher.items[k][0] for k in columns[0]], pa.int64() if item_kind == "bigint" else None),
-                        *(pa.array(c, pa.int32()) for c in columns[1:]),
-                    ],
-                    ["doc_id", "item_id", "distance", "match_start", "match_end"],
-                )
-
-        out.append(rows.mapInArrow(run, schema))
-    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], schema)
+                    hits = matcher.find(normalize(texts[k].as_py()))
+                    found.append(before[k] + [
+                        {"item_id": matcher.items[i][0], "distance": d, "match_start": a, "match_end": z} for i, d, a, z in hits
+                    ])
+                kept = [batch.column(c) for c in plain.names]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, arrow)], [*plain.names, "leaks"])
+
+        out = out.mapInArrow(run, schema)
+    return out
+
+
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS,
+    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """doc_id, item_id, distance, match_start, match_end of every item found in a document."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    marked = mark_leaks(rows, benchmark, error_rate, min_chars, "text", item_col, item_text_col)
+    return marked.select("doc_id", F.inline("leaks"))

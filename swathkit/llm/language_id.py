@@ -28,6 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from swathkit.llm import common
 
@@ -137,15 +138,19 @@ def loaded(payload: bytes) -> tuple[Model, dict[bytes, np.ndarray]]:
     return _models[key]
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score (0 to 1: softmax of the mean log frequency per word) of every row."""
+def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """All columns of docs (but an earlier lang_pred or score) with lang_pred and score.
+
+    The score is from 0 to 1: the softmax of the mean log frequency per word at the predicted language.
+    """
     payload: Broadcast = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    docs = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = loaded(payload.value)
         for batch in batches:
-            for part in common.chunks(batch, "text"):
-                mean, n = mean_scores(own, seen, part.column("text").to_pylist())
+            for part in common.chunks(batch, text_col):
+                mean, n = mean_scores(own, seen, part.column(text_col).to_pylist())
                 if own.langs:
                     odds = np.exp(mean - mean.max(axis=1, keepdims=True))
                     best = odds.argmax(axis=1)
@@ -154,14 +159,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 else:
                     score, lang = np.zeros(len(n)), [UNKNOWN] * len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                    ["doc_id", "lang_pred", "score"],
+                    [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                    [*part.schema.names, "lang_pred", "score"],
                 )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, lang_pred string, score double"
-    )
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred and score of every row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return annotate(rows, model).drop("text")
 
 
 def mean_scores(model: Model, seen: dict[bytes, np.ndarray], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

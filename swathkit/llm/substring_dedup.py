@@ -122,6 +122,7 @@ class Block:
         ids = docs.column("doc_id").combine_chunks().cast(pa.int64())
         keyed = docs.append_column("place", ids.fill_null(LAST)).sort_by([("place", "ascending"), ("text", "ascending")])
         self.ids = keyed.column("doc_id")
+        self.carried = keyed.column("carried") if "carried" in keyed.column_names else None
         self.place = keyed.column("place").to_numpy()
         self.data, self.offsets = common.buffer_of_array(keyed.column("text"))
         self.raw = np.frombuffer(self.data, np.uint8)
@@ -213,6 +214,15 @@ class Block:
         return start, end
 
 
+def to_whole_characters(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches without the parts of characters at their edges."""
+    inner = np.r_[(raw & 0xC0) == 0x80, False]
+    for _ in range(3):
+        start = start + inner[start]
+        end = end - inner[end]
+    return start[start < end], end[start < end]
+
+
 def pack(x: np.ndarray) -> bytes:
     return zlib.compress(x.tobytes(), 1)
 
@@ -307,10 +317,12 @@ def judge_runs(table: pa.Table, length: int) -> pa.Table:
     )
 
 
-def cut_documents(key: tuple, left: pa.Table, right: pa.Table, length: int, n_shards: int) -> pa.Table:
+def cut_documents(left: pa.Table, right: pa.Table, length: int, n_shards: int, whole_characters: bool) -> pa.Table:
     block = Block(left.column("payload").to_pylist(), length, n_shards)
     block.candidates(answers(right, 0, np.uint8))
     start, end = block.removed(answers(right, 1, np.bool_))
+    if whole_characters:
+        start, end = to_whole_characters(block.raw, start, end)
     owner = np.searchsorted(block.offsets, start, "right") - 1
     first = np.searchsorted(owner, np.arange(len(block.offsets)))
     kept, spans = [], []
@@ -324,26 +336,33 @@ def cut_documents(key: tuple, left: pa.Table, right: pa.Table, length: int, n_sh
             at = b
         kept.append(b"".join([*pieces, block.data[at:hi]]))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return pa.table(
-        {
-            "doc_id": block.ids.cast(pa.int64()),
-            "n_bytes": pa.array(np.diff(block.offsets)),
-            "spans": pa.array(spans, span),
-            "kept": pa.array(kept, pa.binary()),
-        }
-    )
+    out = {
+        "doc_id": block.ids.cast(pa.int64()),
+        "n_bytes": pa.array(np.diff(block.offsets)),
+        "spans": pa.array(spans, span),
+        "kept": pa.array(kept, pa.binary()),
+    }
+    return pa.table(out | ({"carried": block.carried} if block.carried is not None else {}))
 
 
 def remove_repeats(
     docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), whole_characters: bool = False,
 ) -> DataFrame:
-    """doc_id, n_bytes, spans (removed stretches of bytes: start, end), kept (the bytes that stay)."""
+    """doc_id, n_bytes, spans (removed stretches of bytes: start, end), kept (the bytes that stay), carried.
+
+    carry names columns that come back in a struct `carried`. With whole_characters only characters that are
+    covered whole are removed, so that what stays is valid UTF-8.
+    """
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    n = 1 + common.text_bytes(rows) // block_bytes
-    blocks = common.packed_blocks(rows, n)
+    same = {id_col: F.col(id_col).cast("bigint")}
+    rows = docs.withColumns(same)
+    n = 1 + common.text_bytes(rows, text_col) // block_bytes
+    blocks = common.packed_blocks(rows, n, id_col, text_col, carry)
+    kind = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
+    if carry:
+        kind += f", carried {rows.select(F.struct(*carry).alias('c')).schema['c'].dataType.simpleString()}"
     answer = "block int, kind int, shard int, answer binary"
     prints = blocks.groupBy("block").applyInArrow(
         lambda key, table: send_prints(key, table, length, n), "shard int, block int, prints binary"
@@ -354,6 +373,5 @@ def remove_repeats(
     )
     bits = units.groupBy("shard").applyInArrow(lambda table: judge_runs(table, length), answer)
     return blocks.groupBy("block").cogroup(codes.union(bits).groupBy("block")).applyInArrow(
-        lambda key, left, right: cut_documents(key, left, right, length, n),
-        "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary",
+        lambda left, right: cut_documents(left, right, length, n, whole_characters), kind
     )
