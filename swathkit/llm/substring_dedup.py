@@ -31,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from swathkit.llm import common
 from swathkit.llm.suffix_array import window_owners
@@ -360,9 +361,9 @@ def remove_repeats(
     rows = docs.withColumns(same)
     n = 1 + common.text_bytes(rows, text_col) // block_bytes
     blocks = common.packed_blocks(rows, n, id_col, text_col, carry)
-    kind = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
+    kind = T.StructType.fromDDL("doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
     if carry:
-        kind += f", carried {rows.select(F.struct(*carry).alias('c')).schema['c'].dataType.simpleString()}"
+        kind = kind.add("carried", rows.select(F.struct(*carry).alias("c")).schema["c"].dataType)
     answer = "block int, kind int, shard int, answer binary"
     prints = blocks.groupBy("block").applyInArrow(
         lambda key, table: send_prints(key, table, length, n), "shard int, block int, prints binary"
