@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import tomllib
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,14 +104,12 @@ def write_cells(df: DataFrame, path: str, by: list[str]) -> None:
     df.repartition(*by).write.partitionBy(*by).parquet(path)
 
 
-def resume_or_make(spark: SparkSession, path: str, make) -> DataFrame:  # noqa: ANN001
-    """The table at path if it was completed, otherwise made and written there."""
+def resume_or_make(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path if a write there was committed, otherwise made and written there."""
     try:
-        done = not spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").load(path).isEmpty()
-    except Exception as e:  # a path that is not there yet
-        if "PATH_NOT_FOUND" not in str(e):
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        done = False
-    if not done:
-        make().write.mode("overwrite").parquet(path)
+    make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
