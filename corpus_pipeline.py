@@ -16,16 +16,21 @@ from pyspark.sql import functions as F
 from swathkit.llm import common, decontaminate, language_id, simhash_dedup, substring_dedup, word_table_bpe
 
 TOKENIZER = "byte_bpe_50k.json"
-MIN_SCORE = 0.4  #: a text whose words speak less clearly for one language is rejected
+MARGIN = 1.05  #: a text is rejected if its language is less than this many times as likely as chance
 
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised stay; their lang, where it was null, becomes the recognised one."""
-    found = language_id.annotate(docs, language_id.train(docs))
-    sure = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    """Documents whose language is recognised stay; their lang, where it was null, becomes the recognised one.
+
+    Rejected are texts without a letter and those whose score is no better than chance among the learned languages.
+    """
+    model = language_id.train(docs)
+    chance = 1 / len(model.langs) if len(model.langs) > 1 else 0.0
+    found = language_id.annotate(docs, model)
+    sure = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MARGIN * chance))
     return sure.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
