@@ -109,4 +109,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_FIVE = " || ".join(
+    f"lpad(to_base(CAST('0x' || substr(h, {1 + 5 * k}, 5) AS BIGINT), 32), 4, '0')" for k in range(8)
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_store": f"""SELECT page_id, bytes AS payload_bytes, translate({_FIVE}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+ CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+ FROM (SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)""",
+}
