@@ -68,8 +68,16 @@ def range_of(value: Column, bounds: list[int]) -> Column:
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(own, lambda b: b <= value)))
 
 
-def beside_next(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """doc_id, text and, for each given column of the text, itself and next_<name> of the next document by id."""
+def marked(rows: DataFrame) -> DataFrame:
+    """Adds fingerprint and canonical_sha256; the canonical text is made once and dropped."""
+    made = rows.withColumn("canonical", canonical(F.col("text")))
+    return made.withColumns(
+        {"fingerprint": fingerprint(F.col("canonical")), "canonical_sha256": F.sha2("canonical", 256)}
+    ).drop("canonical")
+
+
+def beside_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text, the columns of marked(), and next_text and next_fingerprint of the next document by id."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     placed, loose = rows.where("doc_id is not null"), rows.where("doc_id is null")
     n = min(MAX_RANGES, 1 + common.text_bytes(rows) // RANGE_BYTES)
@@ -90,10 +98,9 @@ def beside_next(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
     )
     both = placed.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
     order = W.partitionBy("range").orderBy("guest", "doc_id", F.xxhash64("text"))
-    made = both.withColumns(columns)
-    names = ["text", *columns]
-    held = made.withColumns({f"next_{c}": F.lead(c).over(order) for c in names}).where(~F.col("guest"))
-    alone = loose.withColumns(columns).withColumns({f"next_{c}": F.col(c) for c in columns} | {"next_text": F.col("text")})
+    names = ("text", "fingerprint")
+    held = marked(both).withColumns({f"next_{c}": F.lead(c).over(order) for c in names}).where(~F.col("guest"))
+    alone = marked(loose).withColumns({f"next_{c}": F.col(c) for c in names})
     return held.select(alone.columns).unionByName(alone)
 
 
@@ -104,14 +111,14 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the next document, or all of it if it is shorter. edited is that text.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    own = canonical(F.col("text"))
-    pairs = beside_next(rows, {"fingerprint": fingerprint(own), "canonical_sha256": F.sha2(own, 256)})
+    pairs = beside_next(rows)
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
     return (
         pairs.withColumns({"n_chars": n.cast("bigint"), "edited": edited})
-        .withColumn("edited_fingerprint", fingerprint(canonical(F.col("edited"))))
+        .withColumn("edited_canonical", canonical(F.col("edited")))
+        .withColumn("edited_fingerprint", fingerprint(F.col("edited_canonical")))
         .select(
             "doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint",
             likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
