@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +52,8 @@ def chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iter
     """Cut a batch so that the column has about max_bytes in each piece; a longer text is a piece of its own."""
     if not batch.num_rows:
         return
-    sizes = np.nan_to_num(
-        batch.column(column).cast(pa.binary()).fill_null(b"").to_pandas().map(len).to_numpy(dtype=np.float64)
-    )
-    part = ((np.cumsum(sizes) - sizes) // max_bytes).astype(np.int64)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // max_bytes
     edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         yield batch.slice(a, b - a)
@@ -177,15 +176,6 @@ def window_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def window_max(values: np.ndarray, width: int) -> np.ndarray:
-    out, have = values, 1
-    while have < width:
-        step = min(have, width - have)
-        out = np.maximum(out[:-step], out[step:])
-        have += step
-    return out
-
-
 def buffer_of_array(texts: pa.Array | pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
     """buffer_of() for an Arrow array of strings."""
     if isinstance(texts, pa.ChunkedArray):
