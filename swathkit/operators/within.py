@@ -171,7 +171,3 @@ def fit_frame(df: DataFrame, block: str, group: str, predictors: list[str], outc
     products = centred_products(df, block, predictors, outcomes, weight, [group] if group != block else None)
     m = gather(products, group, predictors, outcomes)
     return fit(m), m
-
-
-def summary_rows(fitted: Fit) -> list[tuple]:
-    return [(name, outcome, float(fitted.coef[i, k])) for i, name in enumerate(fitted.names) for k, outcome in enumerate(range(fitted.coef.shape[1]))]
