@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -35,6 +36,7 @@ def beta_cdf(a: float, b: float, x: float) -> float:
     return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
+@functools.cache
 def t_quantile(p: float, df: float) -> float:
     """Student-t quantile by bisection of the distribution function."""
     if p < 0.5:
