@@ -41,7 +41,7 @@ GRAM = 24
 BLOCK_BYTES = 8 << 20  #: text bytes per block
 HOT_BLOCKS = 64
 MAX_RUN = 64  #: windows in a run
-SHARD_BYTES = 6 << 20  #: snippet bytes per suffix array
+SHARD_BYTES = 3 << 20  #: snippet bytes per suffix array
 PART_BYTES = 1 << 20  #: text bytes hashed at once
 LAST = np.iinfo(np.int64).max
 FACTOR = 0x9E3779B97F4A7C15

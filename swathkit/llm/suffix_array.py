@@ -13,7 +13,7 @@ import numpy as np
 
 def group_heads(changed: np.ndarray) -> np.ndarray:
     """For each place the place where its group starts; changed says where a group starts."""
-    places = np.where(changed, np.arange(len(changed)), 0)
+    places = np.where(changed, np.arange(len(changed), dtype=np.int32), np.int32(0))
     return np.maximum.accumulate(places)
 
 
@@ -23,17 +23,17 @@ def window_order(data: np.ndarray, begin: np.ndarray, size: np.ndarray, depth: i
     data holds the snippets end to end; begin and size are theirs.
     """
     n = len(data)
-    room = np.repeat(begin + size, size) - np.arange(n)  # bytes to the snippet's end
+    room = (np.repeat(begin + size, size) - np.arange(n)).astype(np.int32)  # bytes to the snippet's end
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key |= padded[k : k + n].astype(np.uint64) << np.uint64(56 - 8 * k)
-    order = np.flatnonzero(room >= 8)
+    order = np.flatnonzero(room >= 8).astype(np.int32)
     order = order[np.argsort(key[order])]
     changed = np.ones(len(order), bool)
     np.not_equal(key[order[1:]], key[order[:-1]], out=changed[1:])
     del key, padded
-    rank = np.zeros(n, np.int64)
+    rank = np.zeros(n, np.int32)
     rank[order] = group_heads(changed)
     have = 8
     while have < depth:
@@ -69,8 +69,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, begin: np.ndarray, size
     order); all snippets walk side by side.
     """
     n = len(data)
-    room = np.repeat(begin + size, size) - np.arange(n)
-    before = np.full(n, -1, np.int64)
+    room = (np.repeat(begin + size, size) - np.arange(n)).astype(np.int32)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     out = np.zeros(n, np.int32)
     windows = size - depth + 1
