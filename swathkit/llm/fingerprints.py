@@ -1,9 +1,10 @@
 """Canonical exact fingerprints, native to Spark SQL.
 
 canonical() composes a text to Unicode NFC, folds case and white space; fingerprint() is a wide
-(128-bit) xxhash of the canonical text. exact_classes() groups by fingerprint and canonical bytes
-together: the hash deals the rows, and Spark's grouping compares the bytes inside equal buckets, so a
-collision of hashes cannot join different texts. Partial aggregation folds copies before the shuffle.
+(128-bit) xxhash of the canonical text. exact_classes() groups the texts of repeated fingerprints by
+fingerprint and canonical bytes together: the hash deals the rows, and Spark's grouping compares the bytes inside
+equal buckets, so a collision of hashes cannot join different texts. Partial aggregation folds copies before the
+shuffle.
 
 compare_neighbours() sets each document beside the next one in id order and beside its own edited text.
 Documents are dealt to ranges of ids (bounds from approximate percentiles, at most MAX_RANGES); the first
@@ -25,6 +26,7 @@ from swathkit.llm import common
 
 RANGE_BYTES = 16 << 20  #: text bytes per range of ids
 MAX_RANGES = 65_536
+BROADCAST_FINGERPRINTS = 500_000  #: repeated fingerprints (32 bytes each) that are broadcast
 
 
 def canonical(text: Column) -> Column:
@@ -48,10 +50,19 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """fingerprint, canonical_sha256, class_id (smallest id), n_docs of each class of equal canonical texts."""
+    """fingerprint, canonical_sha256, class_id (smallest id), n_docs of each class in buckets of two or more texts.
+
+    Fingerprints are counted first; only texts of repeated fingerprints are shuffled to have their bytes compared. The
+    repeated fingerprints filter the scan by a broadcast if they are at most BROADCAST_FINGERPRINTS, else by a join.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("canonical"))
+    rows = rows.withColumn("fingerprint", fingerprint(F.col("canonical")))
+    counted = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
+    repeated = common.materialize(counted, "repeated-fingerprints")
+    few = repeated.count() <= BROADCAST_FINGERPRINTS
+    shared = rows.join(F.broadcast(repeated) if few else repeated, "fingerprint", "left_semi")
     return (
-        rows.groupBy(fingerprint(F.col("canonical")).alias("fingerprint"), "canonical")
+        shared.groupBy("fingerprint", "canonical")
         .agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_docs"))
         .select("fingerprint", F.sha2("canonical", 256).alias("canonical_sha256"), "class_id", "n_docs")
     )
@@ -129,5 +140,9 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def with_classes(compared: DataFrame, classes: DataFrame) -> DataFrame:
-    """Add class_id and n_docs of each document's class to rows of compare_neighbours()."""
-    return compared.join(classes, ["fingerprint", "canonical_sha256"], "left").drop("canonical_sha256")
+    """Add class_id and n_docs of each document's class to rows of compare_neighbours(); a text alone is its own class."""
+    return (
+        compared.join(classes, ["fingerprint", "canonical_sha256"], "left")
+        .withColumns({"class_id": F.when(F.col("n_docs").isNull(), F.col("doc_id")).otherwise(F.col("class_id")), "n_docs": F.coalesce("n_docs", F.lit(1))})
+        .drop("canonical_sha256")
+    )

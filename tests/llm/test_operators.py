@@ -366,9 +366,10 @@ def canon(t):
     return re.sub(r"[\s\x85]+", " ", unicodedata.normalize("NFC", text_of(t)).casefold()).strip(" ")
 
 
-@pytest.mark.parametrize("range_bytes", [16 << 20, 40])
-def test_fingerprints(spark, monkeypatch, range_bytes):
+@pytest.mark.parametrize("range_bytes,broadcast", [(16 << 20, 10), (40, 0)])
+def test_fingerprints(spark, monkeypatch, range_bytes, broadcast):
     monkeypatch.setattr(fingerprints, "RANGE_BYTES", range_bytes)
+    monkeypatch.setattr(fingerprints, "BROADCAST_FINGERPRINTS", broadcast)
     rows = [(i, t) for i, t in enumerate(["Alpha  beta", "alpha BETA ", "Été x", "été X", "", None, "straße", "STRASSE", "z" * 200, "日本 語"])]
     df = spark.createDataFrame([*rows, (None, "no id")], "doc_id long, text string").withColumn("range", F.lit("clash")).repartition(3)
     out = fingerprints.with_classes(fingerprints.compare_neighbours(df), fingerprints.exact_classes(df))
