@@ -6,22 +6,16 @@ the logarithm of the longest path because labels also jump to the label of their
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swathkit.sources.files import scratch_path
+
 
 def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="swathkit-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/labels-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "labels")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def component_labels(edges: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import tomllib
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -13,6 +15,15 @@ from pyspark.sql import functions as F
 from swathkit.operators.contracts import ContractError, require_columns, require_count, require_exact_columns, require_unique
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir; a temporary folder only where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="swathkit-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, allowed: set[str] | None = None) -> DataFrame:
     """CSV (plain or gzip) with a header and a declared schema; columns outside the allow-list are refused before any read."""
     if allowed is not None and (extra := set(columns or []) - allowed):

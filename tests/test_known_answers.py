@@ -218,3 +218,13 @@ def test_operators_take_empty_frames(spark):
     assert select.latest_revision(empty, ["block"], ["x"]).count() == 0
     assert within.centred_products(empty, "block", ["x"], ["y"]).count() == 0
     assert design.natural_gap(empty, "x").first()["low"] is None
+
+
+def test_utm_on_the_central_meridian(spark):
+    from swathkit.functions import project
+
+    for lat, north in ((0.0, 0.0), (45.0, 4982950.4)):
+        x, y = project.utm(F.lit(-111.0), F.lit(lat), F.lit(12))
+        assert one(spark, x) == pytest.approx(500000) and one(spark, y) == pytest.approx(north, abs=0.5)
+    x, _ = project.utm(F.lit(-110.0), F.lit(0.0), F.lit(12))
+    assert one(spark, x) == pytest.approx(611280.5, abs=60)
