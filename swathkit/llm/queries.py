@@ -85,11 +85,13 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    compared = fingerprints.compare_neighbours(docs)
-    return fingerprints.with_classes(compared, fingerprints.exact_classes(docs)).select(
+    compared = fingerprints.compare_neighbours(docs).select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint",
-        "edited_fingerprint", "near_edited", "near_next", "class_id", "n_docs",
+        "edited_fingerprint", "near_edited", "near_next", "canonical_sha256",
     )
+    return fingerprints.with_classes(compared, fingerprints.exact_classes(docs)).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id", "n_docs"
+    )
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
