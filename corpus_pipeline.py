@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathkit.llm import common, decontaminate, language_id, simhash_dedup, substring_dedup, word_table_bpe
+from swathkit.llm import common, decontaminate, language_id, near_copies, simhash_dedup, substring_dedup, word_table_bpe
 
 TOKENIZER = "byte_bpe_50k.json"
 MARGIN = 1.05  #: a text is rejected if its language is less than this many times as likely as chance
@@ -35,8 +35,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    kept = simhash_dedup.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """One document of each group of op7's fingerprints stays: the one with the smallest id. No stage by itself."""
+    return _smallest(docs, simhash_dedup.near_duplicates(docs))
+
+
+def similar_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest id.
+
+    Near copies are all texts whose five-word shingles have Jaccard similarity 0.8 or more.
+    """
+    return _smallest(docs, near_copies.near_copies(docs))
+
+
+def _smallest(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    kept = grouped.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
 
@@ -70,7 +82,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", language),
-    ("near_dedup", near_dedup),
+    ("near_dedup", similar_dedup),
     ("suffix_dedup", suffix_dedup),
     ("benchmark_clean", benchmark_clean),
     ("encode", encode),

@@ -36,12 +36,11 @@ SPLIT = 2_048  #: fingerprints in a tree
 SEED = 42
 
 
-def simhashes(texts: list[str | None], words: int = WORDS) -> np.ndarray:
-    """Unsigned 64-bit fingerprints."""
+def shingle_hashes(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles, text after text, and how many each text has."""
     import xxhash
 
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    out = np.zeros(len(parts), np.uint64)
     raw = np.frombuffer(b" ".join(parts) + b" ", np.uint8).copy()
     raw[(raw >= 65) & (raw <= 90)] += 32
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
@@ -49,7 +48,7 @@ def simhashes(texts: list[str | None], words: int = WORDS) -> np.ndarray:
     after_word = np.r_[False, ~blank[:-1]]
     starts = np.flatnonzero(~blank & ~after_word)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(len(parts), np.int64)
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     doc_start = np.r_[0, np.cumsum(size + 1)[:-1]]
     first = np.searchsorted(starts, np.r_[doc_start, len(raw)])  # word numbers
@@ -65,6 +64,16 @@ def simhashes(texts: list[str | None], words: int = WORDS) -> np.ndarray:
     right = np.minimum(left + words, np.repeat(first[1:], n)) - 1
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(text[a:b], SEED) for a, b in zip(begin[left].tolist(), end[right].tolist(), strict=True)], np.uint64)
+    return h, n
+
+
+def simhashes(texts: list[str | None], words: int = WORDS) -> np.ndarray:
+    """Unsigned 64-bit fingerprints."""
+    h, n = shingle_hashes(texts, words)
+    out = np.zeros(len(texts), np.uint64)
+    if not len(h):
+        return out
+    at = np.cumsum(n) - n
     has = n > 0
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = np.add.reduceat(bits, at[has], axis=0, dtype=np.int32)
