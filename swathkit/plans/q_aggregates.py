@@ -287,10 +287,21 @@ def a43(t: Tables) -> DataFrame:
  SELECT CASE WHEN count(*) = 1 THEN max(n) END AS low, CASE WHEN count(*) = 1 THEN max(nxt) END AS high FROM g WHERE gap = (SELECT max(gap) FROM g)""",
 )
 def a44(t: Tables) -> DataFrame:
-    n = t.orders.where("o_custkey % 7 = 1").groupBy("o_custkey").agg(F.count("*").alias("n")).select("n")
+    return order_count_gap(t, t.orders.where("o_custkey % 7 = 1"))
+
+
+def order_count_gap(t: Tables, orders: DataFrame) -> DataFrame:
+    n = orders.groupBy("o_custkey").agg(F.count("*").alias("n")).select("n")
     return design.natural_gap(n.union(t.spark.createDataFrame([(40,)], "n long")), "n")
 
 
+query(
+    "a44_natural_gap_all_customers",
+    """WITH v AS (SELECT DISTINCT n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT 0, 40)), g AS (SELECT n, lead(n) OVER (ORDER BY n) AS nxt, lead(n) OVER (ORDER BY n) - n AS gap FROM v)
+ SELECT CASE WHEN count(*) = 1 THEN max(n) END AS low, CASE WHEN count(*) = 1 THEN max(nxt) END AS high FROM g WHERE gap = (SELECT max(gap) FROM g)""",
+)(lambda t: order_count_gap(t, t.orders))
+
+
 @query("a_cube_archive_counts", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def cube(t: Tables) -> DataFrame:
     return t.orders.cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))

@@ -220,7 +220,7 @@ def r30(t: Tables) -> DataFrame:
 
 @query("r32_pass_window_edges")
 def r32(t: Tables) -> DataFrame:
-    n = t.cells.where("word % 4 = 0").groupBy("block", "pass").agg(F.count("*").alias("n")).where("n >= 5")
+    n = t.cells.groupBy("block", "pass").agg(F.count("*").alias("n")).where("n >= 5")
     edges = n.select(F.concat(F.lit("b"), F.col("block").cast("string")).alias("u"), F.concat(F.lit("p"), "pass").alias("v"))
     return graph.largest_component_share(edges)
 

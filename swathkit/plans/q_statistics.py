@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathkit.functions import basis, ident, physics
@@ -205,7 +206,7 @@ def x26(t: Tables) -> DataFrame:
 @query("x28_concurvity")
 def x28(t: Tables) -> DataFrame:
     per = t.cells.groupBy("grp", "block").agg(F.avg("x").alias("x"), F.avg("tax").alias("tax"), F.avg("y").alias("y"))
-    return inference.concurvity(per.where("grp < 12"), ["grp"], "y", ["x", "tax"])
+    return inference.concurvity(per, ["grp"], "y", ["x", "tax"])
 
 
 @query("x29_support_ruling", "SELECT grp, count(*) AS blocks, CASE WHEN count(*) >= 8 AND min(w) >= 0.1 THEN 'KEEP' ELSE 'DROP' END AS ruling FROM (SELECT grp, block, max(x) - min(x) AS w FROM {cells} GROUP BY 1, 2) GROUP BY 1")
@@ -217,11 +218,13 @@ def x29(t: Tables) -> DataFrame:
 
 @query("x31_moment_interval")
 def x31(t: Tables) -> DataFrame:
-    rows = t.events.where("event_type = 'purchase'").groupBy(F.to_date("ts").alias("d")).agg(F.avg("value").alias("y")).orderBy("d").limit(24).collect()
-    y = np.array([r["y"] for r in rows])
-    w = np.r_[np.full(len(y) // 2, 2 / len(y)), np.full(len(y) - len(y) // 2, -1 / (len(y) - len(y) // 2))]
-    nuisance = np.column_stack([np.ones(len(y)), np.arange(len(y))])
-    low, high, tau2 = inference.moment_interval(y, w, np.eye(len(y)) * 0.5, nuisance)
+    days = t.events.where("event_type = 'purchase'").groupBy(F.to_date("ts").alias("d")).agg(F.avg("value").alias("y"))
+    k = days.select("y", F.row_number().over(W.orderBy("d")).alias("k"))  # one row a day
+    k = k.crossJoin(F.broadcast(days.agg(F.count("*").alias("n"))))
+    first = F.col("k") <= F.floor(F.col("n") / 2)
+    m = k.agg(F.count("*").alias("n"), F.regr_syy("y", "k").alias("syy"), F.regr_sxy("y", "k").alias("sxy"), F.regr_sxx("y", "k").alias("sxx"),
+              F.avg(F.when(first, F.col("y"))).alias("a"), F.avg(F.when(~first, F.col("y"))).alias("b")).first()
+    low, high, tau2 = inference.trend_moment_interval(m["n"], m["syy"], m["sxy"], m["sxx"], m["a"], m["b"], 0.5)
     return t.spark.createDataFrame([(low, high, tau2)], "low double, high double, tau2 double")
 
 
