@@ -81,16 +81,15 @@ def pooled_within_variance(groups: DataFrame, n: str, variance: str) -> Column:
 def information_shares(df: DataFrame, block: str, x: str) -> DataFrame:
     """Share of within-block sum of squares per block (0 for single rows)."""
     sxx = df.groupBy(block).agg(F.regr_sxx(x, x).alias("sxx"))
-    return sxx.withColumn("share", F.col("sxx") / F.sum("sxx").over(W.partitionBy()))
+    total = sxx.agg(F.sum("sxx").alias("__total"))  # one row
+    return sxx.join(F.broadcast(total)).withColumn("share", F.col("sxx") / F.col("__total")).drop("__total")
 
 
 def concentration(shares: DataFrame) -> DataFrame:
     """Effective number of blocks, largest share and the sum of the five largest; one row."""
-    top = F.slice(F.sort_array(F.collect_list("share"), asc=False), 1, 5)
-    return shares.agg(
-        (1.0 / F.sum(F.col("share") * F.col("share"))).alias("effective"), F.max("share").alias("largest"),
-        F.aggregate(top, F.lit(0.0), lambda a, b: a + b).alias("top_five"),
-    )
+    top = shares.select("share").orderBy(F.desc("share")).limit(5).agg(F.sum("share").alias("top_five"))
+    whole = shares.agg((1.0 / F.sum(F.col("share") * F.col("share"))).alias("effective"), F.max("share").alias("largest"))
+    return whole.join(top)  # one row each
 
 
 def spearman(df: DataFrame, a: str, b: str, key: list[str]) -> DataFrame:
@@ -107,6 +106,24 @@ def spearman(df: DataFrame, a: str, b: str, key: list[str]) -> DataFrame:
     )
 
 
+def upper_median(df: DataFrame, key: list[str], value: str, width: int) -> DataFrame:
+    """The element at place floor(n / 2) (from 0) of each key's values in order.
+
+    Values are counted by stretches of `width`; only those of the median's stretch are sorted, so a key with many rows
+    fills no task. value is a whole number.
+    """
+    stretch = F.floor(F.col(value) / width)
+    rows = df.select(*key, F.col(value).alias("__v"), stretch.alias("__s"))
+    counts = rows.groupBy(*key, "__s").agg(F.count("*").alias("__n"))
+    w = W.partitionBy(*key)
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.floor(F.sum("__n").over(w) / 2)
+    placed = counts.select(*key, "__s", "__n", before.alias("__before"), place.alias("__place"))
+    middle = placed.where("__place >= __before and __place < __before + __n").select(*key, "__s", (F.col("__place") - F.col("__before")).alias("__at"))
+    ranked = rows.join(middle, [*key, "__s"]).withColumn("__k", F.row_number().over(W.partitionBy(*key, "__s").orderBy("__v")) - 1)
+    return ranked.where("__k = __at").select(*key, F.col("__v").alias(value))
+
+
 def supported_pair(df: DataFrame, group: str, block: str, value: str, candidates: DataFrame, width: float) -> DataFrame:
     """The low endpoint that maximises, over groups, the least number of blocks that span [low, low + width]; smallest on ties."""
     ranges = df.groupBy(group, block).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))

@@ -35,8 +35,10 @@ def require_unique(df: DataFrame, key: list[str]) -> DataFrame:
     return df
 
 
-def require_finite(df: DataFrame, columns: list[str]) -> DataFrame:
-    bad = [F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c) for c in columns]
+def require_finite(df: DataFrame, columns: list[str], nulls: bool = False) -> DataFrame:
+    """Neither NaN nor infinite nor, unless nulls are allowed, null."""
+    wrong = lambda v: F.isnan(v) | (F.abs(v) == float("inf"))
+    bad = [F.count_if((F.lit(False) if nulls else F.col(c).isNull()) | F.coalesce(wrong(F.col(c).cast("double")), F.lit(False))).alias(c) for c in columns]
     if broken := {c: n for c, n in df.agg(*bad).first().asDict().items() if n}:
         raise ContractError(f"missing values: {broken}")
     return df

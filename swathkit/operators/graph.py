@@ -9,26 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swathkit.sources.files import scratch_path
-
-
-def _written(df: DataFrame) -> DataFrame:
-    path = scratch_path(df.sparkSession, "labels")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from swathkit.sources.files import written
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
     """node, root (smallest node of its component); edges has columns u and v."""
-    both = _written(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = _written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("root")))
+    both = written(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("root")), "labels")
     while True:
         seen = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("root").alias("near"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
         moved = labels.join(jump, "root").join(seen, F.col("node") == F.col("u")).select(
             "node", F.least("root", "near", "far").alias("next"), "root"
         )
-        moved = _written(moved)
+        moved = written(moved, "labels")
         changed = moved.where("next <> root").isEmpty()
         labels = moved.select("node", F.col("next").alias("root"))
         if changed:

@@ -102,6 +102,18 @@ def nearest_distance(cells: DataFrame, targets: DataFrame, cell_id: str, x: str,
     return met.withColumn("distance", F.when(F.col("distance") <= reach, F.col("distance")))
 
 
+def box_meets_convex(x0: Column, y0: Column, x1: Column, y1: Column, ring: list[tuple[float, float]]) -> Column:
+    """Whether a box and a convex (literal) polygon overlap: they do unless an axis of the box or an edge's normal parts them."""
+    axes = {(1.0, 0.0), (0.0, 1.0)} | {(b[1] - a[1], a[0] - b[0]) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)}
+    meets = F.lit(True)
+    for ax, ay in sorted(axes):
+        reach = [ax * px + ay * py for px, py in ring]
+        low = ax * (x0 if ax >= 0 else x1) + ay * (y0 if ay >= 0 else y1)
+        high = ax * (x1 if ax >= 0 else x0) + ay * (y1 if ay >= 0 else y0)
+        meets = meets & (low < max(reach)) & (high > min(reach))
+    return meets
+
+
 def inside_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     """Even-odd rule over the edges of a (small, literal) ring, after its bounding box."""
     xs, ys = [p[0] for p in ring], [p[1] for p in ring]

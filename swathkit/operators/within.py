@@ -2,21 +2,23 @@
 
 One pass over the cells gives each group's centred cross products; everything else - the fit, its clustered
 standard error, bootstrap refits, information shares - needs only those moments, which are one row per group.
-Groups come to the driver only for small linear algebra and only up to MAX_GROUPS of them.
+Only sums over groups, a few numbers, come to the driver.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from swathkit.operators import resampling
 from swathkit.operators.contracts import ContractError, require_columns, require_finite
+from swathkit.sources.files import written
 
-MAX_GROUPS = 200_000
 TOLERANCE = 1e-10
 
 
@@ -40,34 +42,46 @@ def centred_products(df: DataFrame, block: str, predictors: list[str], outcomes:
 
 @dataclass
 class Moments:
-    """Moments of sorted groups as arrays: labels, n, xx (G, p, p), xy (G, p, k)."""
+    """Moments by group: a written table (g, n, blocks, xx_i_j, xy_i_k), a row per group, and their sums."""
 
-    labels: list[str]
-    n: np.ndarray
-    blocks: int
-    xx: np.ndarray
-    xy: np.ndarray
+    table: DataFrame
     predictors: list[str]
     outcomes: list[str]
 
+    @functools.cached_property
+    def names(self) -> list[str]:
+        return [c for c in self.table.columns if c.startswith(("xx_", "xy_"))]
+
+    @functools.cached_property
+    def sums(self) -> Row:
+        return self.table.agg(F.count("*").alias("groups"), *(F.sum(c).alias(c) for c in ("n", "blocks", *self.names))).first()
+
     @property
     def total(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.xx.sum(axis=0), self.xy.sum(axis=0)
+        p, k = len(self.predictors), len(self.outcomes)
+        value = lambda c: float(self.sums[c] or 0.0)
+        xx = np.array([[value(f"xx_{min(i, j)}_{max(i, j)}") for j in range(p)] for i in range(p)])
+        return xx, np.array([[value(f"xy_{i}_{o}") for o in range(k)] for i in range(p)])
+
+    @functools.cached_property
+    def arrays(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Labels, xx (G, p, p) and xy (G, p, k) of few groups, for inspection."""
+        rows = self.table.orderBy("g").toPandas()
+        p, k = len(self.predictors), len(self.outcomes)
+        xx = np.stack([np.stack([rows[f"xx_{min(i, j)}_{max(i, j)}"].to_numpy(float) for j in range(p)], 1) for i in range(p)], 1)
+        xy = np.stack([np.stack([rows[f"xy_{i}_{o}"].to_numpy(float) for o in range(k)], 1) for i in range(p)], 1)
+        return rows["g"].tolist(), xx, xy
+
+    labels = property(lambda self: self.arrays[0])
+    xx = property(lambda self: self.arrays[1])
+    xy = property(lambda self: self.arrays[2])
 
 
 def gather(products: DataFrame, group: str, predictors: list[str], outcomes: list[str]) -> Moments:
-    """Sum block moments by group (blocks may not cross groups) and bring them to the driver, in text order of labels."""
-    p, k = len(predictors), len(outcomes)
+    """Block moments summed by group (blocks may not cross groups), written for the passes that follow."""
     names = [c for c in products.columns if c.startswith(("xx_", "xy_"))]
     summed = products.groupBy(F.col(group).cast("string").alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("blocks"), *(F.sum(c).alias(c) for c in names))
-    rows = summed.limit(MAX_GROUPS + 1).toPandas().sort_values("g").reset_index(drop=True)
-    if len(rows) > MAX_GROUPS:
-        raise ContractError(f"more than {MAX_GROUPS} groups")
-    xx = np.zeros((len(rows), p, p))
-    for i, j in combinations_with_replacement(range(p), 2):
-        xx[:, i, j] = xx[:, j, i] = rows[f"xx_{i}_{j}"]
-    xy = np.stack([np.stack([rows[f"xy_{i}_{o}"].to_numpy() for o in range(k)], 1) for i in range(p)], 1)
-    return Moments(rows["g"].tolist(), rows["n"].to_numpy(), int(rows["blocks"].sum()), xx, xy, predictors, outcomes)
+    return Moments(written(summed, "moments"), predictors, outcomes)
 
 
 def keep_independent(xx: np.ndarray) -> list[int]:
@@ -103,65 +117,66 @@ class Fit:
 
 
 def fit(m: Moments) -> Fit:
-    """Weighted fixed-effect OLS with clustered standard errors of the first predictor."""
+    """Weighted fixed-effect OLS with clustered standard errors of the first predictor.
+
+    Two aggregates over the groups: their sums, then the squares of the first coefficient's influence.
+    """
     xx_all, xy_all = m.total
     keep = keep_independent(xx_all)
     norms = np.sqrt(np.diag(xx_all))[keep]
-    xx = m.xx[:, keep][:, :, keep] / norms[:, None] / norms[None, :]
-    xy = m.xy[:, keep] / norms[:, None]
-    total = xx.sum(axis=0)
-    beta = np.linalg.solve(total, xy.sum(axis=0))
-    inverse = np.linalg.inv(total)
-    scores = xy - np.einsum("gij,jk->gik", xx, beta)
-    groups, n, p = len(m.labels), int(m.n.sum()), len(keep)
-    dof = n - m.blocks - p
+    inverse = np.linalg.inv(xx_all[np.ix_(keep, keep)] / np.outer(norms, norms)) / np.outer(norms, norms)
+    beta = inverse @ xy_all[keep]
+    groups, n, p = int(m.sums["groups"]), int(m.sums["n"]), len(keep)
+    dof = n - int(m.sums["blocks"]) - p
     if groups < 2 or dof <= 0:
         raise ContractError("too few groups or residual degrees of freedom")
+
+    def influence(o: int) -> Column:
+        """inverse[0] . (xy_g - xx_g beta)"""
+        score = [
+            F.col(f"xy_{i}_{o}") - sum((F.col(f"xx_{min(i, j)}_{max(i, j)}") * float(beta[b, o]) for b, j in enumerate(keep)), F.lit(0.0)) for i in keep
+        ]
+        return sum((score[a] * float(inverse[0, a]) for a in range(p)), F.lit(0.0))
+
+    squares = m.table.agg(*(F.sum(F.pow(influence(o), F.lit(2.0))).alias(f"m{o}") for o in range(len(m.outcomes)))).first()
     factor = groups / (groups - 1) * (n - 1) / dof
-    meat = np.einsum("gik,gjk->kij", scores, scores)
-    se = np.sqrt(np.maximum(0, np.einsum("i,kij,j->k", inverse[0], meat, inverse[0]) * factor)) / norms[0]
+    se = np.sqrt(np.array([float(squares[f"m{o}"]) for o in range(len(m.outcomes))]) * factor)
     return Fit(
-        [m.predictors[i] for i in keep], beta / norms[:, None], se,
-        {"n": n, "blocks": m.blocks, "groups": groups, "rank": p, "dof": dof, "removed": [c for c in m.predictors if c not in {m.predictors[i] for i in keep}]},
+        [m.predictors[i] for i in keep], beta, se,
+        {"n": n, "blocks": int(m.sums["blocks"]), "groups": groups, "rank": p, "dof": dof, "removed": [c for c in m.predictors if c not in {m.predictors[i] for i in keep}]},
     )
 
 
-def bootstrap(m: Moments, replicates: int, seed: int, keep: list[int] | None = None) -> tuple[np.ndarray, int]:
-    """Coefficients of whole-group multinomial refits (R, p, k), NaN where the draw is rank-deficient, and how many are."""
+def bootstrap_table(m: Moments, replicates: int, seed: int, keep: list[int] | None = None) -> DataFrame:
+    """rep, outcome, coef of whole-group multinomial refits; coef is null where a draw is rank-deficient."""
     keep = keep or keep_independent(m.total[0])
-    norms = np.sqrt(np.diag(m.total[0]))[keep]
-    xx = m.xx[:, keep][:, :, keep] / norms[:, None] / norms[None, :]
-    xy = m.xy[:, keep] / norms[:, None]
-    rng, g = np.random.default_rng(seed), len(m.labels)
-    out = np.full((replicates, len(keep), xy.shape[2]), np.nan)
-    for r in range(replicates):
-        counts = rng.multinomial(g, np.full(g, 1 / g))
-        a, b = np.einsum("g,gij->ij", counts, xx), np.einsum("g,gik->ik", counts, xy)
-        if np.linalg.matrix_rank(a, tol=TOLERANCE) == len(keep):
-            out[r] = np.linalg.solve(a, b) / norms[:, None]
+    sums = resampling.resampled_sums(m.table, "g", m.names, replicates, seed)
+    return resampling.coefficients(sums, len(m.predictors), len(m.outcomes), keep)
+
+
+def bootstrap(m: Moments, replicates: int, seed: int, keep: list[int] | None = None) -> tuple[np.ndarray, int]:
+    """bootstrap_table() as an array (R, p, k), NaN where the draw is rank-deficient, and how many are."""
+    rows = bootstrap_table(m, replicates, seed, keep).collect()
+    width = max((len(r["coef"]) for r in rows if r["coef"]), default=1)
+    out = np.full((replicates, width, len(m.outcomes)), np.nan)
+    for r in rows:
+        if r["coef"]:
+            out[r["rep"], :, r["outcome"]] = r["coef"]
     return out, int(np.isnan(out[:, 0, 0]).sum())
 
 
-def joint_bootstrap(populations: list[Moments], replicates: int, seed: int) -> np.ndarray:
-    """First-predictor coefficients (R, populations, k) under one multiplicity vector over the union of groups."""
-    union = sorted({x for m in populations for x in m.labels})
-    place = {x: i for i, x in enumerate(union)}
-    rng, g = np.random.default_rng(seed), len(union)
-    spread = []
-    for m in populations:
-        xx, xy = np.zeros((g, *m.xx.shape[1:])), np.zeros((g, *m.xy.shape[1:]))
-        at = [place[x] for x in m.labels]
-        xx[at], xy[at] = m.xx, m.xy
-        spread.append((xx, xy))
-    out = np.full((replicates, len(populations), populations[0].xy.shape[2]), np.nan)
-    for r in range(replicates):
-        counts = rng.multinomial(g, np.full(g, 1 / g))
-        for j, (xx, xy) in enumerate(spread):
-            a = np.einsum("g,gij->ij", counts, xx)
-            scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
-            if np.linalg.matrix_rank(a / scale[:, None] / scale[None, :], tol=TOLERANCE) == len(a):
-                out[r, j] = np.linalg.solve(a, np.einsum("g,gik->ik", counts, xy))[0]
-    return out
+def joint_bootstrap(populations: list[Moments], replicates: int, seed: int) -> DataFrame:
+    """rep, population, outcome, coef under one multiplicity of each group for all populations (absent groups add nothing)."""
+    both, names = None, []
+    for j, m in enumerate(populations):
+        own = m.table.select("g", *(F.col(c).alias(f"p{j}_{c}") for c in m.names))
+        names += [f"p{j}_{c}" for c in m.names]
+        both = own if both is None else both.join(own, "g", "full")
+    sums = written(resampling.resampled_sums(both, "g", names, replicates, seed), "joint")
+    parts = [
+        resampling.coefficients(sums, len(m.predictors), len(m.outcomes), prefix=f"p{j}_").withColumn("population", F.lit(j)) for j, m in enumerate(populations)
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def fit_frame(df: DataFrame, block: str, group: str, predictors: list[str], outcomes: list[str], weight: str | None = None) -> tuple[Fit, Moments]:

@@ -249,8 +249,7 @@ def a37(t: Tables) -> DataFrame:
 
 @query("a40_upper_median", "SELECT user_id, list_sort(list(epoch_us(ts)))[CAST(floor(count(*) / 2.0) AS BIGINT) + 1] AS middle FROM events GROUP BY 1")
 def a40(t: Tables) -> DataFrame:
-    times = F.array_sort(F.collect_list(F.unix_micros("ts")))
-    return t.events.groupBy("user_id").agg(F.element_at(times, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("middle"))
+    return aggregates.upper_median(t.events.select("user_id", F.unix_micros("ts").alias("us")), ["user_id"], "us", 86_400_000_000).withColumnRenamed("us", "middle")
 
 
 @query(
@@ -283,23 +282,12 @@ def a43(t: Tables) -> DataFrame:
 
 @query(
     "a44_natural_gap",
-    """WITH v AS (SELECT DISTINCT n FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey % 7 = 1 GROUP BY 1 UNION ALL SELECT 0, 40)), g AS (SELECT n, lead(n) OVER (ORDER BY n) AS nxt, lead(n) OVER (ORDER BY n) - n AS gap FROM v)
- SELECT CASE WHEN count(*) = 1 THEN max(n) END AS low, CASE WHEN count(*) = 1 THEN max(nxt) END AS high FROM g WHERE gap = (SELECT max(gap) FROM g)""",
+    """WITH v AS (SELECT DISTINCT round(sum(o_totalprice), 2) AS v FROM orders GROUP BY o_custkey), g AS (SELECT v, lead(v) OVER (ORDER BY v) AS nxt, lead(v) OVER (ORDER BY v) - v AS gap FROM v)
+ SELECT CASE WHEN count(*) = 1 THEN max(v) END AS low, CASE WHEN count(*) = 1 THEN max(nxt) END AS high FROM g WHERE gap = (SELECT max(gap) FROM g)""",
 )
 def a44(t: Tables) -> DataFrame:
-    return order_count_gap(t, t.orders.where("o_custkey % 7 = 1"))
-
-
-def order_count_gap(t: Tables, orders: DataFrame) -> DataFrame:
-    n = orders.groupBy("o_custkey").agg(F.count("*").alias("n")).select("n")
-    return design.natural_gap(n.union(t.spark.createDataFrame([(40,)], "n long")), "n")
-
-
-query(
-    "a44_natural_gap_all_customers",
-    """WITH v AS (SELECT DISTINCT n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT 0, 40)), g AS (SELECT n, lead(n) OVER (ORDER BY n) AS nxt, lead(n) OVER (ORDER BY n) - n AS gap FROM v)
- SELECT CASE WHEN count(*) = 1 THEN max(n) END AS low, CASE WHEN count(*) = 1 THEN max(nxt) END AS high FROM g WHERE gap = (SELECT max(gap) FROM g)""",
-)(lambda t: order_count_gap(t, t.orders))
+    """The widest gap between customers' order totals."""
+    return design.natural_gap(t.orders.groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("v")), "v")
 
 
 @query("a_cube_archive_counts", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")

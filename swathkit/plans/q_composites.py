@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathkit.functions import clock, ident, physics
-from swathkit.operators import aggregates, design, graph, joins, select
-from swathkit.plans.q_joins import pairs
+from swathkit.operators import aggregates, design, graph, joins, select, within
+from swathkit.plans.q_joins import GRID_SQL, PAIRS_ONLY_SQL, lattice, pairs
 from swathkit.plans.q_windows import ARMS, arms
 from swathkit.plans.registry import Tables, query, rounded
 from swathkit.streaming import windows
@@ -34,12 +34,22 @@ def r1(t: Tables) -> DataFrame:
     return rounded(at.select("event_id", F.when(F.col("v").isNotNull(), physics.vpd_kpa(kelvin, kelvin - 5)).alias("vpd")))
 
 
-@query("r2_r42_analysis_loader", "SELECT o_orderkey, n_name, o_totalprice IS NOT NULL AND c_acctbal > 0 AS complete FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F'")
+@query(
+    "r2_r42_analysis_loader",
+    """WITH m AS (SELECT c_nationkey, avg(c_acctbal) >= 4400 AS admitted FROM customer GROUP BY 1)
+ SELECT o_orderkey, n_name, o_totalprice IS NOT NULL AND c_acctbal > 0 AS complete, round(sin(2 * pi() * dayofyear(o_orderdate) / 365.25), 6) AS doy_sin, round(cos(2 * pi() * dayofyear(o_orderdate) / 365.25), 6) AS doy_cos
+ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN m ON m.c_nationkey = n_nationkey WHERE o_orderstatus = 'F' AND admitted""",
+)
 def r2(t: Tables) -> DataFrame:
+    """Orders of admitted nations (a manifest by nation) with place, completeness and season."""
+    manifest = t.customer.groupBy("c_nationkey").agg((F.avg("c_acctbal") >= 4400).alias("admitted"))
     c = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_acctbal")
-    n = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    n = joins.keyed_join(t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), manifest, ["c_nationkey"], cardinality="one_to_one").where("admitted")
     out = joins.keyed_join(joins.keyed_join(t.orders.where("o_orderstatus = 'F'"), c, ["o_custkey"]), n, ["c_nationkey"])
-    return out.select("o_orderkey", "n_name", (F.col("o_totalprice").isNotNull() & (F.col("c_acctbal") > 0)).alias("complete"))
+    sin, cos = clock.cyclic(F.dayofyear("o_orderdate"), 365.25)
+    return out.select(
+        "o_orderkey", "n_name", (F.col("o_totalprice").isNotNull() & (F.col("c_acctbal") > 0)).alias("complete"), F.round(sin, 6).alias("doy_sin"), F.round(cos, 6).alias("doy_cos")
+    )
 
 
 @query("r3_r4_span", "SELECT block, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.9), 6) AS p90, round(quantile_cont(x, 0.9) - quantile_cont(x, 0.1), 6) AS span FROM {cells} GROUP BY 1")
@@ -102,17 +112,46 @@ def r11(t: Tables) -> DataFrame:
     return rounded(both.withColumn("used", F.coalesce("primary_total", "fallback_total")), 8)
 
 
+_LOOKUPS = ("place", "suppliers", "customers", "orders", "fits", "parts", "events")
+
+
 @query(
     "r13_results_packet",
-    "SELECT l_suppkey, k AS size_km, CAST(floor(l_suppkey / CAST(k AS DOUBLE)) AS BIGINT) AS grp, n, s_name, n_name FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) CROSS JOIN (VALUES (1), (2), (4), (8)) v(k) JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey",
+    """WITH f AS (SELECT CAST(floor(l_suppkey / CAST(k AS DOUBLE)) AS BIGINT) AS g, k, s_nationkey AS key, block_n, sxy, sxx FROM (SELECT l_suppkey, count(*) AS block_n, regr_sxy(l_extendedprice, l_discount) AS sxy, regr_sxx(l_extendedprice, l_discount) AS sxx FROM lineitem GROUP BY 1) JOIN supplier ON s_suppkey = l_suppkey CROSS JOIN (VALUES (1), (2), (4), (8)) v(k)),
+ e AS (SELECT key, k, count(DISTINCT g) AS n_groups, sum(block_n) AS n_cells, sum(sxy) / sum(sxx) AS slope FROM f GROUP BY 1, 2),
+ p AS (SELECT n_nationkey AS nation, z.k AS size_km, r_name AS region, s.n AS n_suppliers, c.n AS n_customers, o.n AS n_orders, n_groups, n_cells, round(slope, 4) AS slope, q.n AS n_parts, v.n AS n_events,
+ concat_ws('|', CASE WHEN r_name IS NULL THEN 'place' END, CASE WHEN s.n IS NULL THEN 'suppliers' END, CASE WHEN c.n IS NULL THEN 'customers' END, CASE WHEN o.n IS NULL THEN 'orders' END, CASE WHEN n_cells IS NULL THEN 'fits' END, CASE WHEN q.n IS NULL THEN 'parts' END, CASE WHEN v.n IS NULL THEN 'events' END) AS missing
+ FROM nation CROSS JOIN (VALUES (1), (2), (4), (8)) z(k) LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN (SELECT s_nationkey AS key, count(*) AS n FROM supplier GROUP BY 1) s ON s.key = n_nationkey
+ LEFT JOIN (SELECT c_nationkey AS key, count(*) AS n FROM customer GROUP BY 1) c ON c.key = n_nationkey LEFT JOIN (SELECT c_nationkey AS key, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 450000 GROUP BY 1) o ON o.key = n_nationkey
+ LEFT JOIN e ON e.key = n_nationkey AND e.k = z.k LEFT JOIN (SELECT s_nationkey AS key, count(DISTINCT l_partkey) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1) q ON q.key = n_nationkey LEFT JOIN (SELECT user_id AS key, count(*) AS n FROM events GROUP BY 1) v ON v.key = n_nationkey)
+ SELECT *, round(min(slope) OVER (PARTITION BY region), 4) AS region_low, round(max(slope) OVER (PARTITION BY region), 4) AS region_high, 'lineitem+supplier' AS fit_source FROM p""",
 )
 def r13(t: Tables) -> DataFrame:
+    """A row per nation and group size: seven keyed lookups, what is missing, where fits come from, ranges by region."""
     sizes = t.spark.createDataFrame([(1,), (2,), (4,), (8,)], "size_km int")
-    n = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "s_nationkey")
-    nation = t.nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    out = joins.keyed_join(joins.keyed_join(n.crossJoin(F.broadcast(sizes)), s, ["l_suppkey"]), nation, ["s_nationkey"])
-    return out.select("l_suppkey", "size_km", F.floor(F.col("l_suppkey") / F.col("size_km")).alias("grp"), "n", "s_name", "n_name")
+    spine = t.nation.select(F.col("n_nationkey").alias("nation"), "n_regionkey").crossJoin(F.broadcast(sizes))
+    count = lambda df, key, name: df.groupBy(F.col(key).alias("nation")).agg(F.count("*").alias(name))
+    home = t.supplier.select(F.col("s_suppkey").alias("block"), F.col("s_nationkey").alias("nation"))
+    blocks = joins.keyed_join(within.centred_products(t.cells, "block", ["x"], ["y"]), home, ["block"]).crossJoin(F.broadcast(sizes))
+    fits = blocks.groupBy("nation", "size_km").agg(
+        F.count_distinct(F.floor(F.col("block") / F.col("size_km"))).alias("n_groups"), F.sum("n").alias("n_cells"), F.round(F.sum("xy_0_0") / F.sum("xx_0_0"), 4).alias("slope")
+    )
+    parts = t.cells.select("block", "word").join(home, "block").groupBy("nation").agg(F.count_distinct("word").alias("n_parts"))
+    large = t.orders.where("o_orderpriority = '1-URGENT' and o_totalprice > 450000").join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    out = joins.keyed_join(spine, t.region.select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region")), ["n_regionkey"], "left").drop("n_regionkey")
+    for table, key in (
+        (count(t.supplier, "s_nationkey", "n_suppliers"), ["nation"]), (count(t.customer, "c_nationkey", "n_customers"), ["nation"]), (count(large, "c_nationkey", "n_orders"), ["nation"]),
+        (fits, ["nation", "size_km"]), (parts, ["nation"]), (count(t.events, "user_id", "n_events"), ["nation"]),
+    ):
+        out = joins.keyed_join(out, table, key, "left")
+    have = ("region", "n_suppliers", "n_customers", "n_orders", "n_cells", "n_parts", "n_events")
+    w = W.partitionBy("region")  # a region's nations at four sizes
+    return out.withColumns(
+        {
+            "missing": F.concat_ws("|", *(F.when(F.col(c).isNull(), name) for c, name in zip(have, _LOOKUPS, strict=True))),
+            "region_low": F.min("slope").over(w), "region_high": F.max("slope").over(w), "fit_source": F.lit("lineitem+supplier"),
+        }
+    )
 
 
 @query(
@@ -137,12 +176,22 @@ def r17(t: Tables) -> DataFrame:
 
 @query(
     "r18_scene_binding",
-    "SELECT o_orderkey, string_agg(CAST(k AS VARCHAR), '|' ORDER BY k) AS scenes FROM (SELECT DISTINCT o_orderkey, l_linenumber AS k FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P') GROUP BY 1",
+    """WITH a AS (SELECT o_orderkey, array_to_string(list_sort(list(DISTINCT l_linenumber)), '|') AS scenes FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY 1),
+ b AS (SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_linenumber)), '|') AS held FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1)
+ SELECT o_orderkey, scenes, coalesce(scenes = held, false) AS same_set, coalesce(sha256(scenes) = sha256(held), false) AS checksum_ok, coalesce(len(string_split(held, '|')), 0) AS n_held FROM a LEFT JOIN b ON l_orderkey = o_orderkey""",
 )
 def r18(t: Tables) -> DataFrame:
-    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
-    both = t.orders.where("o_orderstatus = 'P'").join(lines, "o_orderkey")
-    return both.groupBy("o_orderkey").agg(F.concat_ws("|", F.transform(F.array_sort(F.collect_set("l_linenumber")), lambda x: x.cast("string"))).alias("scenes"))
+    """Scenes of each pass against those of a ledger: equal sets, equal digests, how many the ledger holds."""
+    listed = lambda df, key, name: df.groupBy(F.col(key).alias("o_orderkey")).agg(
+        F.concat_ws("|", F.transform(F.array_sort(F.collect_set("l_linenumber")), lambda x: x.cast("string"))).alias(name), F.count_distinct("l_linenumber").cast("bigint").alias(f"n_{name}")
+    )
+    passes = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    scenes = listed(t.lineitem.join(passes, "l_orderkey", "left_semi"), "l_orderkey", "scenes").drop("n_scenes")
+    both = joins.keyed_join(scenes, listed(t.lineitem.where("l_returnflag <> 'R'"), "l_orderkey", "held"), ["o_orderkey"], "left", "one_to_one")
+    same = lambda a, b: F.coalesce(a == b, F.lit(False))
+    return both.select(
+        "o_orderkey", "scenes", same(F.col("scenes"), F.col("held")).alias("same_set"), same(F.sha2("scenes", 256), F.sha2("held", 256)).alias("checksum_ok"), F.coalesce("n_held", F.lit(0)).alias("n_held")
+    )
 
 
 @query("r19_query_definitions", "SELECT r_name || ':' || y AS definition, r_name, y AS year FROM region CROSS JOIN (SELECT unnest(range(2019, 2026)) AS y)")
@@ -152,15 +201,37 @@ def r19(t: Tables) -> DataFrame:
     return out.select(F.concat_ws(":", "r_name", F.col("year").cast("string")).alias("definition"), "r_name", "year")
 
 
+_MONTHS = "(SELECT DISTINCT strftime(ts, '%m') AS month FROM events)"
+_SLOTS = "(VALUES ('morning'), ('afternoon'), ('other'))"
+
+
 @query(
     "r20_archive_audit",
-    """WITH d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1), g AS (SELECT event_type AS e, extract('hour' FROM ts) >= 12 AS late, count(*) AS n FROM d GROUP BY 1, 2)
- SELECT s.event_type, s.late, coalesce(n, 0) AS n FROM (SELECT * FROM (SELECT DISTINCT event_type FROM events) CROSS JOIN (VALUES (true), (false)) v(late)) s LEFT JOIN g ON e = s.event_type AND g.late = s.late""",
+    f"""WITH d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1),
+ o AS (SELECT user_id, CAST(ts AS DATE) AS day, min(ts) - INTERVAL 7 HOUR AS local, count(DISTINCT event_type) AS tiles, avg(value) AS cloud FROM d GROUP BY 1, 2),
+ p AS (SELECT strftime(day, '%m') AS month, CASE WHEN extract('hour' FROM local) BETWEEN 6 AND 11 THEN 'morning' WHEN extract('hour' FROM local) BETWEEN 12 AND 18 THEN 'afternoon' ELSE 'other' END AS slot, tiles >= 2 AND cloud < 60 AND c_custkey IS NOT NULL AS usable FROM o LEFT JOIN customer ON c_custkey = user_id),
+ g AS (SELECT month, slot, count(*) AS n, count(*) FILTER (WHERE usable) AS n_usable FROM p GROUP BY 1, 2),
+ s AS (SELECT m.month, v.slot, coalesce(n, 0) AS n, coalesce(n_usable, 0) AS n_usable FROM {_MONTHS} m CROSS JOIN {_SLOTS} v(slot) LEFT JOIN g ON g.month = m.month AND g.slot = v.slot),
+ b AS (SELECT month FROM s WHERE slot <> 'other' AND n_usable > 0 GROUP BY 1 HAVING count(*) = 2)
+ SELECT month, slot, n, n_usable, month IN (SELECT month FROM b) AND slot <> 'other' AS candidate, CASE WHEN month IN (SELECT month FROM b) AND slot <> 'other' THEN round(1.0 / ((SELECT count(*) FROM b) * n_usable), 8) ELSE 0 END AS weight FROM s""",
 )
 def r20(t: Tables) -> DataFrame:
-    latest = select.latest_revision(t.events, ["user_id", "event_type"], ["ts", "event_id"]).withColumn("late", F.hour("ts") >= 12)
-    axes = [t.events.select("event_type").distinct(), t.spark.createDataFrame([(True,), (False,)], "late boolean")]
-    return joins.dense_counts(latest, axes)
+    """Latest revisions, orbits by day, local slot, place and cloud, dense counts by month and slot, balanced weights."""
+    day = t.events.withColumn("day", F.to_date("ts"))
+    latest = select.latest_revision(day, ["user_id", "event_type", "day"], ["ts", "event_id"])
+    orbits = latest.groupBy("user_id", "day").agg(F.min("ts").alias("first"), F.count_distinct("event_type").alias("tiles"), F.avg("value").alias("cloud"))
+    hour = F.hour(F.col("first") - F.expr("interval 7 hours"))
+    slot = F.when(hour.between(6, 11), "morning").when(hour.between(12, 18), "afternoon").otherwise("other")
+    placed = orbits.join(t.customer.select(F.col("c_custkey").alias("user_id"), F.lit(True).alias("placed")), "user_id", "left")
+    usable = (F.col("tiles") >= 2) & (F.col("cloud") < 60) & F.coalesce("placed", F.lit(False))
+    counts = placed.groupBy(F.date_format("day", "MM").alias("month"), slot.alias("slot")).agg(F.count("*").alias("n"), F.count_if(usable).alias("n_usable"))
+    spine = t.events.select(F.date_format("ts", "MM").alias("month")).distinct().crossJoin(t.spark.createDataFrame([("morning",), ("afternoon",), ("other",)], "slot string"))
+    dense = spine.join(counts, ["month", "slot"], "left").na.fill(0, ["n", "n_usable"])
+    both = dense.where("slot <> 'other' and n_usable > 0").groupBy("month").agg(F.count("*").alias("k")).where("k = 2").select("month", F.lit(True).alias("both"))
+    held = dense.join(both, "month", "left").withColumn("candidate", F.coalesce("both", F.lit(False)) & (F.col("slot") != "other"))
+    strata = both.agg(F.count("*").alias("strata"))  # one row
+    weight = F.when(F.col("candidate"), F.round(1.0 / (F.col("strata") * F.col("n_usable")), 8)).otherwise(F.lit(0.0))
+    return held.join(F.broadcast(strata)).select("month", "slot", "n", "n_usable", "candidate", weight.alias("weight"))
 
 
 @query(
@@ -172,10 +243,42 @@ def r21(t: Tables) -> DataFrame:
     return points.groupBy("pass").agg(F.round(F.avg(F.col("clear").cast("double")), 6).alias("clear_share"), F.count("*").alias("n"))
 
 
-@query("r12_r22_batch_priority", "SELECT max(n) FILTER (WHERE n <= 40) AS low_side, min(n) FILTER (WHERE n > 40) AS high_side FROM (SELECT block, pass, count(*) AS n FROM {cells} GROUP BY 1, 2 UNION ALL SELECT 0, 'x', 90)")
+@query(
+    "r12_step_assembly",
+    """WITH p AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%m') AS month, CASE WHEN extract('hour' FROM ts) < 12 THEN 'morning' ELSE 'afternoon' END AS arm, date_trunc('hour', ts) AS lo, date_trunc('hour', ts) + INTERVAL 1 HOUR AS hi, (epoch_us(ts) - epoch_us(date_trunc('hour', ts))) / 3600000000.0 AS w FROM {passes}),
+ c AS (SELECT p.*, CASE WHEN w = 0 THEN a.v ELSE (1 - w) * a.v + w * b.v END AS air, r.total AS rain FROM p LEFT JOIN {hourly} a ON a.hour = p.lo LEFT JOIN {hourly} b ON b.hour = p.hi
+ LEFT JOIN (SELECT event_id, CASE WHEN count(h.hour) = 24 THEN sum(v) END AS total FROM (SELECT event_id, ts, unnest(range(1, 25)) AS back FROM {passes}) q LEFT JOIN {hourly} h ON epoch_us(h.hour) = epoch_us(date_trunc('hour', q.ts)) - back * 3600000000 GROUP BY 1) r ON r.event_id = p.event_id),
+ d AS (SELECT month, arm, day, count(*) AS n FROM c GROUP BY 1, 2, 3), l AS (SELECT month, arm, min(total - n) AS fewest_left FROM (SELECT *, sum(n) OVER (PARTITION BY month, arm) AS total FROM d) GROUP BY 1, 2)
+ SELECT c.month AS month, c.arm AS arm, count(*) AS n, count(air) AS n_weather, count(rain) AS n_rain, round(avg(air), 6) AS air, round(avg(rain), 4) AS rain, CAST(max(fewest_left) AS BIGINT) AS fewest_left FROM c JOIN l ON l.month = c.month AND l.arm = c.arm GROUP BY 1, 2""",
+)
+def r12(t: Tables) -> DataFrame:
+    """Conditions of each pass (weather between hours, 24 hours of rain), counts by month and arm, fewest left when a day goes."""
+    p = t.passes.select("event_id", "ts")
+    air = joins.bracket(p, t.hourly, "ts", "hour", ["v"]).select("event_id", F.col("v").alias("air"))
+    rain = joins.trailing_totals(p, t.hourly, ["event_id"], "ts", "hour", "v", 24).select("event_id", F.col("total").alias("rain"))
+    c = p.join(air, "event_id", "left").join(rain, "event_id", "left").withColumns(
+        {"month": F.date_format("ts", "MM"), "day": F.to_date("ts"), "arm": F.when(F.hour("ts") < 12, "morning").otherwise("afternoon")}
+    )
+    by_day = c.groupBy("month", "arm", "day").agg(F.count("*").alias("k"), F.count("air").alias("ka"), F.sum("air").alias("sa"), F.count("rain").alias("kr"), F.sum("rain").alias("sr"))
+    out = by_day.groupBy("month", "arm").agg(
+        F.sum("k").alias("n"), F.sum("ka").alias("n_weather"), F.sum("kr").alias("n_rain"), F.round(F.sum("sa") / F.sum("ka"), 6).alias("air"),
+        F.round(F.sum("sr") / F.sum("kr"), 4).alias("rain"), (F.sum("k") - F.max("k")).alias("fewest_left"),
+    )
+    return out
+
+
+@query(
+    "r12_r22_batch_priority",
+    """WITH v AS (SELECT pass, round(sum(y), 2) AS total FROM {cells} GROUP BY 1), g AS (SELECT total, lead(total) OVER (ORDER BY total) AS nxt FROM v), c AS (SELECT max(nxt) AS cut FROM g WHERE nxt - total = (SELECT max(nxt - total) FROM g)),
+ p AS (SELECT pass, total, total >= cut AS first FROM v CROSS JOIN c) SELECT pass, first, round(1.0 / count(*) OVER (PARTITION BY first) / (SELECT count(DISTINCT first) FROM p), 8) AS weight FROM p""",
+)
 def r22(t: Tables) -> DataFrame:
-    n = t.cells.groupBy("block", "pass").agg(F.count("*").alias("n")).select("n").union(t.spark.createDataFrame([(90,)], "n long"))
-    return design.natural_gap(n, "n").select(F.col("low").alias("low_side"), F.col("high").alias("high_side"))
+    """Passes above the widest gap of totals come first; both batches weigh the same, and passes inside a batch too."""
+    totals = t.cells.groupBy("pass").agg(F.round(F.sum("y"), 2).alias("total"))
+    cut = design.natural_gap(totals, "total").select("high")  # one row
+    batches = totals.join(F.broadcast(cut)).select("pass", (F.col("total") >= F.col("high")).alias("first"))
+    sizes = batches.groupBy("first").agg(F.count("*").alias("n"))
+    return batches.join(sizes, "first").join(F.broadcast(sizes.agg(F.count("*").alias("k")))).select("pass", "first", F.round(1.0 / F.col("n") / F.col("k"), 8).alias("weight"))
 
 
 @query("r16_r23_r25_precision_union", "SELECT block, 'original' AS role, round(avg(y), 4) AS m, count(*) AS n FROM {cells} WHERE pass < '1998-01' GROUP BY 1 UNION ALL SELECT block, 'added', round(avg(y), 4), count(*) FROM {cells} WHERE pass >= '1998-01' GROUP BY 1")
@@ -184,38 +287,169 @@ def r23(t: Tables) -> DataFrame:
     return rounded(part("pass < '1998-01'", "original").unionByName(part("pass >= '1998-01'", "added")), 4)
 
 
+def _equivalent_sql(flux: str, kelvin: float) -> str:
+    anchor = f"(0.97 * 5.670374419e-8 * power({kelvin}, 4))"
+    return f"round({kelvin} * (power(({anchor} - {flux}) / {anchor}, 0.25) - 1), 6)"
+
+
 @query(
     "r24_retained_and_excluded",
-    "WITH c AS (SELECT x FROM {cells} GROUP BY 1 HAVING count(DISTINCT block) >= 99) SELECT x IN (SELECT x FROM c) AS retained, count(*) AS n, round(avg(y), 4) AS m FROM {cells} GROUP BY 1",
+    f"""WITH n AS (SELECT count(DISTINCT pass) AS passes FROM {{cells}}), k AS (SELECT block, count(DISTINCT pass) = (SELECT passes FROM n) AS kept FROM {{cells}} GROUP BY 1),
+ a AS (SELECT c.block, x, y, kept FROM {{cells}} c JOIN k ON k.block = c.block), r AS (SELECT 'original' AS role, * FROM a UNION ALL SELECT CASE WHEN kept THEN 'retained' ELSE 'excluded' END, * FROM a),
+ b AS (SELECT role, block, regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx FROM r GROUP BY 1, 2), f AS (SELECT role, sum(sxy) / sum(sxx) AS slope FROM b GROUP BY 1),
+ d AS (SELECT role, count(*) AS n, count(DISTINCT block) AS blocks, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.9), 6) AS p90, avg(y) AS m FROM r GROUP BY 1)
+ SELECT d.role AS role, n, blocks, p10, p50, p90, round(m, 4) AS mean, round(slope, 3) AS slope, round(slope - (SELECT slope FROM f WHERE role = 'original'), 3) + 0.0 AS slope_change, {_equivalent_sql("m / 1000", 290.0)} AS eq_290, {_equivalent_sql("m / 1000", 310.0)} AS eq_310 FROM d JOIN f ON f.role = d.role""",
 )
 def r24(t: Tables) -> DataFrame:
-    kept = t.cells.groupBy("x").agg((F.count_distinct("block") >= 99).alias("retained"))
-    return t.cells.join(kept, "x").groupBy("retained").agg(F.count("*").alias("n"), F.round(F.avg("y"), 4).alias("m"))
+    """Cells of blocks that all passes hold, the others, and both: distributions, slopes against the original's, two references."""
+    passes = t.cells.agg(F.count_distinct("pass").alias("passes"))  # one row
+    kept = t.cells.groupBy("block").agg(F.count_distinct("pass").alias("held")).join(F.broadcast(passes)).select("block", (F.col("held") == F.col("passes")).alias("kept"))
+    roles = F.explode(F.array(F.lit("original"), F.when(F.col("kept"), "retained").otherwise("excluded")))
+    cells = t.cells.join(kept, "block").select("block", "x", "y", roles.alias("role"))
+    slopes = cells.groupBy("role", "block").agg(F.regr_sxy("y", "x").alias("sxy"), F.regr_sxx("y", "x").alias("sxx")).groupBy("role").agg((F.sum("sxy") / F.sum("sxx")).alias("slope"))
+    base = slopes.where("role = 'original'").select(F.col("slope").alias("base"))  # one row
+    q = F.percentile("x", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    d = cells.groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("block").alias("blocks"), q.alias("q"), F.avg("y").alias("m"))
+    eq = lambda k: F.round(physics.temperature_equivalent(-F.col("m") / 1000, F.lit(k), F.lit(0.97)), 6)
+    return d.join(slopes, "role").join(F.broadcast(base)).select(
+        "role", "n", "blocks", *(F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("p10", "p50", "p90"))), F.round("m", 4).alias("mean"),
+        F.round("slope", 3).alias("slope"), (F.round(F.col("slope") - F.col("base"), 3) + 0.0).alias("slope_change"), eq(290.0).alias("eq_290"), eq(310.0).alias("eq_310"),
+    )
 
 
-@query("r26_predictor_audit", "SELECT block, round(max(x) - min(x), 6) AS span, count(DISTINCT tax) AS tax_levels, count(DISTINCT qty) AS qty_levels FROM {cells} GROUP BY 1")
+@query(
+    "r26_predictor_audit",
+    """WITH b AS (SELECT grp, block, max(x) - min(x) AS span, count(*) FILTER (WHERE x <= 0.02) AS low, count(*) FILTER (WHERE x >= 0.08) AS high, count(DISTINCT tax) > 1 AS tax_varies, count(DISTINCT qty) > 1 AS qty_varies FROM {cells} GROUP BY 1, 2),
+ s AS (SELECT stddev_pop(tax) AS st, stddev_pop(qty) AS sq FROM {cells}), p AS (SELECT grp, avg(tax) FILTER (WHERE x <= 0.02) AS tl, avg(tax) FILTER (WHERE x >= 0.08) AS th, avg(qty) FILTER (WHERE x <= 0.02) AS ql, avg(qty) FILTER (WHERE x >= 0.08) AS qh FROM {cells} GROUP BY 1)
+ SELECT b.grp AS grp, count(*) AS blocks, round(quantile_cont(span, 0.5), 6) AS mid_span, count(*) FILTER (WHERE low > 0 AND high > 0) AS spanning, count(*) FILTER (WHERE tax_varies) AS tax_blocks, count(*) FILTER (WHERE qty_varies) AS qty_blocks,
+ CAST(sum(low) AS BIGINT) AS low_pool, CAST(sum(high) AS BIGINT) AS high_pool, round(max(sqrt(power((tl - th) / st, 2) + power((ql - qh) / sq, 2))), 6) AS pool_distance FROM b JOIN p ON p.grp = b.grp CROSS JOIN s GROUP BY 1""",
+)
 def r26(t: Tables) -> DataFrame:
-    return t.cells.groupBy("block").agg(
-        F.round(F.max("x") - F.min("x"), 6).alias("span"), F.count_distinct("tax").alias("tax_levels"), F.count_distinct("qty").alias("qty_levels")
-    )
+    """Per group: spans, blocks that hold both endpoints, blocks in which controls vary, endpoint pools and how far apart they lie."""
+    low, high = F.col("x") <= 0.02, F.col("x") >= 0.08
+    b = t.cells.groupBy("grp", "block").agg(
+        (F.max("x") - F.min("x")).alias("span"), F.count_if(low).alias("low"), F.count_if(high).alias("high"),
+        (F.max("tax") > F.min("tax")).alias("tax_varies"), (F.max("qty") > F.min("qty")).alias("qty_varies"),
+    )
+    mean = lambda c, at, name: F.avg(F.when(at, F.col(c))).alias(name)
+    pools = t.cells.groupBy("grp").agg(mean("tax", low, "tl"), mean("tax", high, "th"), mean("qty", low, "ql"), mean("qty", high, "qh"))
+    scale = t.cells.agg(F.stddev_pop("tax").alias("st"), F.stddev_pop("qty").alias("sq"))  # one row
+    apart = pools.join(F.broadcast(scale)).select("grp", F.round(F.hypot((F.col("tl") - F.col("th")) / F.col("st"), (F.col("ql") - F.col("qh")) / F.col("sq")), 6).alias("pool_distance"))
+    out = b.groupBy("grp").agg(
+        F.count("*").alias("blocks"), F.round(F.percentile("span", 0.5), 6).alias("mid_span"), F.count_if((F.col("low") > 0) & (F.col("high") > 0)).alias("spanning"),
+        F.count_if("tax_varies").alias("tax_blocks"), F.count_if("qty_varies").alias("qty_blocks"), F.sum("low").alias("low_pool"), F.sum("high").alias("high_pool"),
+    )
+    return out.join(apart, "grp")
 
 
-@query("r27_bounded_sample_per_band", "SELECT x, count(*) AS n FROM (SELECT x, row_number() OVER (PARTITION BY x ORDER BY sha256(cell_id)) AS k FROM {cells}) WHERE k <= 2000 GROUP BY 1")
+@query(
+    "r27_bounded_sample_per_band",
+    """WITH s AS (SELECT * FROM (SELECT x, word, block, row_number() OVER (PARTITION BY x ORDER BY sha256(cell_id)) AS k FROM {cells}) WHERE k <= 2000), r AS (SELECT x, word, count(*) AS times, count(DISTINCT block) = 1 AS constant FROM s GROUP BY 1, 2 HAVING count(*) > 1),
+ n AS (SELECT x, count(*) AS n FROM s GROUP BY 1) SELECT n.x AS x, n, (SELECT min(n) FROM n) AS pool, coalesce(max(q.recurring), 0) AS recurring, coalesce(max(q.constant), 0) AS constant FROM n LEFT JOIN (SELECT x, count(*) AS recurring, count(*) FILTER (WHERE constant) AS constant FROM r GROUP BY 1) q ON q.x = n.x GROUP BY 1, 2""",
+)
 def r27(t: Tables) -> DataFrame:
-    return select.hash_sample(t.cells, ["x"], F.col("cell_id"), 2000).groupBy("x").agg(F.count("*").alias("n"))
+    """A seeded sample of 2,000 cells a band at most, words that recur in it and keep their block, and the size of equal pools."""
+    sample = select.hash_sample(t.cells, ["x"], F.col("cell_id"), 2000).select("x", "word", "block")
+    words = sample.groupBy("x", "word").agg(F.count("*").alias("times"), (F.count_distinct("block") == 1).alias("constant"))
+    bands = words.groupBy("x").agg(F.sum("times").alias("n"), F.count_if(F.col("times") > 1).alias("recurring"), F.count_if((F.col("times") > 1) & F.col("constant")).alias("constant"))
+    return bands.join(F.broadcast(bands.agg(F.min("n").alias("pool"))))  # one row
+
+
+_YEARS = "(SELECT *, CAST(left(pass, 4) AS INTEGER) AS year FROM {cells})"
 
 
 @query(
     "r29_r30_r31_r36_fit_at_scales",
-    " UNION ALL ".join(f"SELECT {k} AS size, count(DISTINCT g) AS groups, round(sum(sxy) / sum(sxx), 4) AS slope FROM (SELECT floor(block / {k}.0) AS g, block, regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx FROM {{cells}} GROUP BY 1, 2)" for k in (1, 2, 4, 8)),
+    f"""WITH b AS (SELECT year, block, count(*) AS n, regr_sxy(y, x) AS xy, regr_sxx(y, x) AS xx FROM {_YEARS} GROUP BY 1, 2),
+ g AS (SELECT year, k AS size, CAST(floor(block / CAST(k AS DOUBLE)) AS BIGINT) AS g, sum(n) AS n, count(*) AS blocks, sum(xy) AS xy, sum(xx) AS xx FROM b CROSS JOIN (VALUES (1), (2), (4), (8), (100000)) v(k) GROUP BY 1, 2, 3),
+ t AS (SELECT year, size, count(*) AS groups, sum(n) AS n, sum(blocks) AS blocks, sum(xy) / sum(xx) AS slope, sum(xx) AS xx FROM g GROUP BY 1, 2)
+ SELECT t.year AS year, t.size AS size, CAST(max(groups) AS BIGINT) AS groups, CASE WHEN max(groups) < 2 OR max(t.n - t.blocks - 1) <= 0 THEN 'NOT_ESTIMABLE' ELSE 'OK' END AS status, CASE WHEN max(groups) >= 2 AND max(t.n - t.blocks - 1) > 0 THEN round(max(slope), 3) END AS slope,
+ CASE WHEN max(groups) >= 2 AND max(t.n - t.blocks - 1) > 0 THEN round(sqrt(sum(power(g.xy - g.xx * slope, 2)) * max(groups / (groups - 1.0) * (t.n - 1) / (t.n - t.blocks - 1))) / max(t.xx), 3) END AS cluster_se FROM t JOIN g ON g.year = t.year AND g.size = t.size GROUP BY 1, 2""",
 )
 def r30(t: Tables) -> DataFrame:
-    from swathkit.operators import within
+    """A fit per year and group size with its clustered error; what cannot be fitted is a row that says so."""
+    cells = t.cells.withColumn("year", F.substring("pass", 1, 4).cast("int"))
+    sizes = t.spark.createDataFrame([(1,), (2,), (4,), (8,), (100_000,)], "size int")
+    b = cells.groupBy("year", "block").agg(F.count("*").alias("n"), F.regr_sxy("y", "x").alias("xy"), F.regr_sxx("y", "x").alias("xx"))
+    g = b.crossJoin(F.broadcast(sizes)).groupBy("year", "size", F.floor(F.col("block") / F.col("size")).alias("g")).agg(
+        F.sum("n").alias("n"), F.count("*").alias("blocks"), F.sum("xy").alias("xy"), F.sum("xx").alias("xx")
+    )
+    whole = g.groupBy("year", "size").agg(
+        F.count("*").alias("groups"), (F.sum("n") - F.sum("blocks") - 1).alias("dof"), F.sum("n").alias("cells"), (F.sum("xy") / F.sum("xx")).alias("slope"), F.sum("xx").alias("sxx")
+    )
+    score = F.col("xy") - F.col("xx") * F.col("slope")
+    out = g.join(F.broadcast(whole), ["year", "size"]).groupBy("year", "size", "groups", "dof", "cells", "slope", "sxx").agg(F.sum(score * score).alias("meat"))  # years x sizes
+    ok = (F.col("groups") >= 2) & (F.col("dof") > 0)
+    se = F.sqrt(F.col("meat") * F.col("groups") / (F.col("groups") - 1) * (F.col("cells") - 1) / F.col("dof")) / F.col("sxx")
+    return out.select(
+        "year", "size", "groups", F.when(ok, "OK").otherwise("NOT_ESTIMABLE").alias("status"), F.when(ok, F.round("slope", 3)).alias("slope"), F.when(ok, F.round(se, 3)).alias("cluster_se")
+    )
+
 
-    m = within.centred_products(t.cells, "block", ["x"], ["y"])
-    sizes = t.spark.createDataFrame([(1,), (2,), (4,), (8,)], "size int")
-    each = m.crossJoin(F.broadcast(sizes)).groupBy("size")
-    return each.agg(F.count_distinct(F.floor(F.col("block") / F.col("size"))).alias("groups"), F.round(F.sum("xy_0_0") / F.sum("xx_0_0"), 4).alias("slope"))
+@query(
+    "r29_quadratic_run",
+    f"""WITH b AS (SELECT year, block, covar_pop(x, x) * count(*) AS a, covar_pop(x, x * x) * count(*) AS b, covar_pop(x * x, x * x) * count(*) AS c, covar_pop(x, y) * count(*) AS d, covar_pop(x * x, y) * count(*) AS e FROM {_YEARS} GROUP BY 1, 2),
+ s AS (SELECT year, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d, sum(e) AS e FROM b GROUP BY 1), m AS (SELECT year, 'line' AS model, d / a AS b1, 0.0 AS b2 FROM s UNION ALL SELECT year, 'quadratic', (c * d - b * e) / (a * c - b * b), (a * e - b * d) / (a * c - b * b) FROM s)
+ SELECT year, model, low, width, round(b1 * width + b2 * (power(low + width, 2) - power(low, 2)), 2) AS change, round((b1 * width + b2 * (power(low + width, 2) - power(low, 2))) / width, 2) AS per_unit FROM m CROSS JOIN (VALUES (0.01), (0.02), (0.03), (0.04), (0.05)) l(low) CROSS JOIN (VALUES (0.02), (0.03), (0.04)) w(width)""",
+)
+def r29(t: Tables) -> DataFrame:
+    """Changes between fifteen pairs of endpoints, by year, from a line and a quadratic of the same blocks."""
+    cells = t.cells.withColumns({"year": F.substring("pass", 1, 4).cast("int"), "x2": F.col("x") * F.col("x")})
+    cross = lambda p, q, name: (F.covar_pop(p, q) * F.count("*")).alias(name)
+    b = cells.groupBy("year", "block").agg(cross("x", "x", "a"), cross("x", "x2", "b"), cross("x2", "x2", "c"), cross("x", "y", "d"), cross("x2", "y", "e"))
+    s = b.groupBy("year").agg(*(F.sum(c).alias(c) for c in "abcde"))
+    a, bb, c, d, e = (F.col(x) for x in "abcde")
+    det = a * c - bb * bb
+    models = F.array(
+        F.struct(F.lit("line").alias("model"), (d / a).alias("b1"), F.lit(0.0).alias("b2")), F.struct(F.lit("quadratic").alias("model"), ((c * d - bb * e) / det).alias("b1"), ((a * e - bb * d) / det).alias("b2"))
+    )
+    lows = t.spark.createDataFrame([(v,) for v in (0.01, 0.02, 0.03, 0.04, 0.05)], "low double")
+    pairs_ = lows.crossJoin(t.spark.createDataFrame([(0.02,), (0.03,), (0.04,)], "width double"))  # fifteen rows
+    low, width = F.col("low"), F.col("width")
+    change = F.col("b1") * width + F.col("b2") * (F.pow(low + width, F.lit(2.0)) - F.pow(low, F.lit(2.0)))
+    fits = s.select("year", F.explode(models).alias("m")).select("year", "m.*").crossJoin(F.broadcast(pairs_))
+    return fits.select("year", "model", "low", "width", F.round(change, 2).alias("change"), F.round(change / width, 2).alias("per_unit"))
+
+
+@query(
+    "r31_registration_refits",
+    """WITH c AS (SELECT block, pass, avg(x) AS x, avg(y) AS y FROM {cells} GROUP BY 1, 2), s AS (SELECT a.block, a.pass, a.y, a.x AS x0, b.x AS x1, d.x AS x2 FROM c a JOIN c b ON b.block = a.block + 1 AND b.pass = a.pass JOIN c d ON d.block = a.block + 2 AND d.pass = a.pass),
+ l AS (SELECT 0 AS shift, block, pass, y, x0 AS x FROM s UNION ALL SELECT 1, block, pass, y, x1 FROM s UNION ALL SELECT 2, block, pass, y, x2 FROM s), b AS (SELECT shift, block, regr_sxy(y, x) AS xy, regr_sxx(y, x) AS xx, count(*) AS n FROM l GROUP BY 1, 2), f AS (SELECT shift, sum(n) AS n, sum(xy) / sum(xx) AS slope FROM b GROUP BY 1)
+ SELECT shift, CAST(n AS BIGINT) AS n, round(slope, 3) AS slope, round(slope - (SELECT slope FROM f WHERE shift = 0), 3) AS from_baseline FROM f""",
+)
+def r31(t: Tables) -> DataFrame:
+    """Refits with the predictor of the block one or two places on, over the cells that every shift has; differences from no shift."""
+    c = t.cells.groupBy("block", "pass").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    moved = c.select("pass", F.explode(F.array(*(F.struct(F.lit(k).alias("shift"), (F.col("block") - k).alias("block")) for k in (0, 1, 2)))).alias("s"), "x").select("pass", "s.*", "x")
+    common = moved.groupBy("block", "pass").agg(F.count("*").alias("k")).where("k = 3").select("block", "pass")
+    cells = moved.join(common, ["block", "pass"]).join(c.select("block", "pass", "y"), ["block", "pass"])
+    b = cells.groupBy("shift", "block").agg(F.regr_sxy("y", "x").alias("xy"), F.regr_sxx("y", "x").alias("xx"), F.count("*").alias("n"))
+    f = b.groupBy("shift").agg(F.sum("n").alias("n"), (F.sum("xy") / F.sum("xx")).alias("slope"))
+    base = f.where("shift = 0").select(F.col("slope").alias("base"))  # one row
+    return f.join(F.broadcast(base)).select("shift", "n", F.round("slope", 3).alias("slope"), F.round(F.col("slope") - F.col("base"), 3).alias("from_baseline"))
+
+
+@query(
+    "r36_scale_diagnostics",
+    f"""WITH p AS (SELECT n_regionkey AS city, pass < '1995-07' AS early, k, CAST(floor(block / CAST(k AS DOUBLE)) AS BIGINT) AS g, x, y FROM {{cells}} JOIN supplier ON s_suppkey = block JOIN nation ON n_nationkey = s_nationkey CROSS JOIN (VALUES (1), (4)) v(k)),
+ b AS (SELECT city, early, k, g, regr_sxy(y, x) AS xy, regr_sxx(y, x) AS xx, avg(y) AS m FROM p GROUP BY 1, 2, 3, 4), f AS (SELECT city, early, k, sum(xy) / sum(xx) AS slope, avg(m) AS m FROM b GROUP BY 1, 2, 3),
+ c AS (SELECT k, early, avg(slope) AS slope, avg(m) AS m, count(*) AS cities FROM f GROUP BY 1, 2)
+ SELECT a.k AS size, CAST(a.cities AS BIGINT) AS cities, round(a.slope, 3) AS early_slope, round(b.slope, 3) AS late_slope, round(b.slope - a.slope, 3) AS contrast, {_equivalent_sql("a.m / 1000", 290.0)} AS early_290, {_equivalent_sql("b.m / 1000", 310.0)} AS late_310 FROM c a JOIN c b ON a.k = b.k AND a.early AND NOT b.early""",
+)
+def r36(t: Tables) -> DataFrame:
+    """By group size: slopes in two periods averaged over cities of equal weight, their contrast, means at two references."""
+    nation = t.nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("city"))
+    place = t.supplier.select(F.col("s_suppkey").alias("block"), "s_nationkey").join(nation, "s_nationkey").select("block", "city")
+    sizes = t.spark.createDataFrame([(1,), (4,)], "size int")
+    p = t.cells.select("block", "x", "y", (F.col("pass") < "1995-07").alias("early")).join(place, "block").crossJoin(F.broadcast(sizes))
+    b = p.groupBy("city", "early", "size", F.floor(F.col("block") / F.col("size")).alias("g")).agg(F.regr_sxy("y", "x").alias("xy"), F.regr_sxx("y", "x").alias("xx"), F.avg("y").alias("m"))
+    f = b.groupBy("city", "early", "size").agg((F.sum("xy") / F.sum("xx")).alias("slope"), F.avg("m").alias("m"))
+    at = lambda c, early: F.avg(F.when(F.col("early") == early, F.col(c)))
+    c = f.groupBy("size").agg(F.count_distinct("city").alias("cities"), at("slope", True).alias("a"), at("slope", False).alias("b"), at("m", True).alias("ma"), at("m", False).alias("mb"))
+    eq = lambda m, k: F.round(physics.temperature_equivalent(-F.col(m) / 1000, F.lit(k), F.lit(0.97)), 6)
+    return c.select(
+        "size", "cities", F.round("a", 3).alias("early_slope"), F.round("b", 3).alias("late_slope"), F.round(F.col("b") - F.col("a"), 3).alias("contrast"), eq("ma", 290.0).alias("early_290"), eq("mb", 310.0).alias("late_310")
+    )
 
 
 @query("r32_pass_window_edges")
@@ -227,12 +461,24 @@ def r32(t: Tables) -> DataFrame:
 
 @query(
     "r34_r35_static_context_screen",
-    "SELECT block, round(avg(CASE WHEN word % 10 IN (2, 3) THEN 1.0 ELSE 0 END), 6) AS built, quantile_cont(x, 0.9) - quantile_cont(x, 0.1) >= 0.08 AS wide FROM {cells} WHERE word & 3 <= 1 GROUP BY 1",
+    f"""WITH g AS (SELECT gx, gy, v, CAST(floor(round(v, 2)) AS BIGINT) % 7 = 0 AS water, CAST(floor(round(v, 2)) AS BIGINT) % 5 IN (2, 3) AS built FROM {GRID_SQL}),
+ d AS (SELECT a.gx, a.gy, min(sqrt(power(a.gx - w.gx, 2) + power(a.gy - w.gy, 2))) AS far FROM g a JOIN g w ON w.water AND abs(a.gx - w.gx) <= 4 AND abs(a.gy - w.gy) <= 4 GROUP BY 1, 2)
+ SELECT CAST(floor(g.gx / 4.0) AS BIGINT) AS bx, CAST(floor(g.gy / 4.0) AS BIGINT) AS by, count(*) AS n, round(avg(CASE WHEN built THEN 1.0 ELSE 0 END), 6) AS built, round(avg(CASE WHEN water THEN 1.0 ELSE 0 END), 6) AS water, round(avg(least(coalesce(far, 4), 4)), 6) AS to_water,
+ round(quantile_cont(v, 0.9) - quantile_cont(v, 0.1), 4) AS span, quantile_cont(v, 0.9) - quantile_cont(v, 0.1) >= 1 AS wide FROM g LEFT JOIN d ON d.gx = g.gx AND d.gy = g.gy GROUP BY 1, 2""",
 )
 def r35(t: Tables) -> DataFrame:
-    cells = t.cells.where(F.col("word").bitwiseAND(3) <= 1)
-    q = F.percentile("x", F.array(F.lit(0.1), F.lit(0.9)))
-    return cells.groupBy("block").agg(F.round(F.avg((F.col("word") % 10).isin(2, 3).cast("double")), 6).alias("built"), (q[1] - q[0] >= 0.08).alias("wide"))
+    """Context of blocks of a grid: class fractions, mean distance to water (up to the reach), span of values and its screen."""
+    code = F.floor(F.round("v", 2))
+    g = lattice(t).select("gx", "gy", "v", (code % 7 == 0).alias("water"), (code % 5).isin(2, 3).alias("built"))
+    around = F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in range(-4, 5) for b in range(-4, 5)))
+    spread = g.where("water").select("gx", "gy", F.explode(around).alias("s")).select((F.col("gx") + F.col("s.dx")).alias("gx"), (F.col("gy") + F.col("s.dy")).alias("gy"), F.hypot("s.dx", "s.dy").alias("d"))
+    far = spread.groupBy("gx", "gy").agg(F.min("d").alias("far"))
+    q = F.percentile("v", F.array(F.lit(0.1), F.lit(0.9)))
+    out = g.join(far, ["gx", "gy"], "left").groupBy(F.floor(F.col("gx") / 4).alias("bx"), F.floor(F.col("gy") / 4).alias("by"))
+    return out.agg(
+        F.count("*").alias("n"), F.round(F.avg(F.col("built").cast("double")), 6).alias("built"), F.round(F.avg(F.col("water").cast("double")), 6).alias("water"),
+        F.round(F.avg(F.least(F.coalesce("far", F.lit(4.0)), F.lit(4.0))), 6).alias("to_water"), F.round(q[1] - q[0], 4).alias("span"), (q[1] - q[0] >= 1).alias("wide"),
+    )
 
 
 @query("r37_r38_r39_candidate_counts", "SELECT o_orderpriority, year(o_orderdate) AS y, count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderpriority, o_orderdate FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) GROUP BY 1, 2")
@@ -307,6 +553,6 @@ def stream_hourly(t: Tables) -> DataFrame:
     return rounded(out.select(F.unix_micros("hour").alias("hour_us"), "event_type", "mean", "n"))
 
 
-@query("r43_pairs_only")
+@query("r43_pairs_only", PAIRS_ONLY_SQL)
 def r43(t: Tables) -> DataFrame:
     return pairs(t).select("pass_id", "sensor", ident.zero_padded(F.col("pre_acq_id").cast("string"), 6).alias("pre"), "post_acq_id")

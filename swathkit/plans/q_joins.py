@@ -119,6 +119,9 @@ PAIR_SQL = """WITH p AS (SELECT event_id AS pass_id, user_id, ts FROM events WHE
  """
 
 
+PAIRS_ONLY_SQL = PAIR_SQL.replace("{more}", "") + "SELECT pass_id, sensor, lpad(CAST(pre AS VARCHAR), CAST(greatest(6, length(CAST(pre AS VARCHAR))) AS INTEGER), '0') AS pre, post AS post_acq_id FROM k WHERE rk = 1"
+
+
 def pairs(t: Tables, **more) -> DataFrame:  # noqa: ANN003
     passes = t.passes.select(F.col("event_id").alias("pass_id"), "user_id", F.col("ts").alias("pass_time"))
     found = t.events.where(F.col("event_type").isin("view", "click")).select(

@@ -36,10 +36,50 @@ def s5(t: Tables) -> DataFrame:
 @query("s7_s8_s24_s25_s36_json_replay", "SELECT n_nationkey, n_name FROM nation")
 def s8(t: Tables) -> DataFrame:
     path = files.scratch_path(t.spark, "json")
-    t.nation.select("n_nationkey", "n_name").write.json(path)
+    files.write_json(t.nation.select("n_nationkey", "n_name"), path)
     return t.spark.read.schema("n_nationkey int, n_name string").json(path)
 
 
+@query("s7_geojson_in_box", "SELECT s_suppkey, s_nationkey + s_suppkey % 10 / 10.0 AS x, s_suppkey % 50 + 0.5 AS y FROM supplier WHERE s_nationkey + s_suppkey % 10 / 10.0 BETWEEN 3 AND 12 AND s_suppkey % 50 + 0.5 BETWEEN 4 AND 30")
+def s7(t: Tables) -> DataFrame:
+    """A feature collection of points, read back inside a box."""
+    x, y = F.col("s_nationkey") + F.col("s_suppkey") % 10 / 10.0, F.col("s_suppkey") % 50 + 0.5
+    feature = F.concat(F.lit('{"type":"Feature","properties":{"id":'), F.col("s_suppkey").cast("string"), F.lit('},"geometry":{"type":"Point","coordinates":['), x.cast("string"), F.lit(","), y.cast("string"), F.lit("]}}"))
+    path = files.scratch_path(t.spark, "geojson")
+    files.write_geojson(t.supplier.select(feature.alias("value"), F.pmod(F.col("s_suppkey"), F.lit(4)).alias("part")), path, "value", "part")
+    points = files.read_geojson_points(t.spark, path, (3.0, 4.0, 12.0, 30.0))
+    return points.select(F.get_json_object("properties", "$.id").cast("bigint").alias("s_suppkey"), "x", "y")
+
+
+@query(
+    "s24_page_replay",
+    "SELECT CAST(floor((c_custkey - 1) / 100.0) AS BIGINT) AS page, count(*) AS n, (SELECT count(*) FROM customer) AS hits, true AS complete FROM customer GROUP BY 1",
+)
+def s24(t: Tables) -> DataFrame:
+    """Recorded pages of a numbered listing: items of each page, and whether all pages together hold as many as were announced."""
+    hits = t.customer.agg(F.count("*").alias("hits"))  # one row
+    pages = t.customer.groupBy(F.floor((F.col("c_custkey") - 1) / 100).alias("page")).agg(F.collect_list("c_custkey").alias("items")).join(F.broadcast(hits))  # 100 items a page
+    path = files.scratch_path(t.spark, "pages")
+    files.write_json(pages, path)
+    return files.replayed_pages(t.spark, path, "page bigint, items array<bigint>, hits bigint").select("page", "n", "hits", "complete")
+
+
+@query(
+    "s25_search_after_replay",
+    """WITH p AS (SELECT CAST(floor((o_custkey - 1) / 50.0) AS BIGINT) AS page, max(o_orderkey) AS last, count(*) AS n FROM orders GROUP BY 1)
+ SELECT page, n, lag(last) OVER (ORDER BY page) AS after, true AS chained FROM p""",
+)
+def s25(t: Tables) -> DataFrame:
+    """Recorded pages of a listing continued by a token: each page names the last item of the one before."""
+    pages = t.orders.groupBy(F.floor((F.col("o_custkey") - 1) / 50).alias("page")).agg(F.max("o_orderkey").alias("last"), F.count("*").alias("n"))
+    tokens = pages.select((F.col("page") + 1).alias("page"), F.col("last").alias("after"))
+    path = files.scratch_path(t.spark, "tokens")
+    files.write_json(pages.join(tokens, "page", "left"), path)
+    got = t.spark.read.schema("page bigint, last bigint, n bigint, after bigint").json(path)
+    before = got.select((F.col("page") + 1).alias("page"), F.col("last").alias("expected"))
+    return got.join(before, "page", "left").select("page", "n", "after", F.col("after").eqNullSafe(F.col("expected")).alias("chained"))
+
+
 @query("s11_scaled_scan", "SELECT l_linenumber, count(*) AS n, round(sum(CASE WHEN l_partkey <> 7 THEN l_partkey * 0.5 + 1.5 END), 2) AS total FROM lineitem GROUP BY 1")
 def s11(t: Tables) -> DataFrame:
     v = bits.scaled(F.col("l_partkey"), 0.5, 1.5, 7)
@@ -55,11 +95,13 @@ def s12(t: Tables) -> DataFrame:
 
 @query(
     "s14_bundle_on_one_grid",
-    "SELECT a.l_suppkey, a.l_linenumber, a.n AS layer_a, b.n AS layer_b, 1 AS n_grids FROM (SELECT l_suppkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2) a JOIN (SELECT l_suppkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1, 2) b ON a.l_suppkey = b.l_suppkey AND a.l_linenumber = b.l_linenumber",
+    """WITH l AS (SELECT l_suppkey, l_linenumber, l_returnflag AS f, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1, 2, 3), g AS (SELECT f, min(l_suppkey) AS a, max(l_suppkey) AS b, min(l_linenumber) AS c, max(l_linenumber) AS d FROM l GROUP BY 1)
+ SELECT a.l_suppkey, a.l_linenumber, a.n AS layer_a, b.n AS layer_b, (SELECT count(*) FROM (SELECT DISTINCT a, b, c, d FROM g)) AS n_grids FROM (SELECT * FROM l WHERE f = 'A') a JOIN (SELECT * FROM l WHERE f = 'N') b ON a.l_suppkey = b.l_suppkey AND a.l_linenumber = b.l_linenumber""",
 )
 def s14(t: Tables) -> DataFrame:
     layers = t.lineitem.where("l_returnflag in ('A', 'N')").groupBy("l_suppkey", "l_linenumber", "l_returnflag").agg(F.count("*").alias("n"))
-    grids = layers.select(F.lit("epsg:32612").alias("crs")).agg(F.count_distinct("crs").cast("int").alias("n_grids"))
+    ends = layers.groupBy("l_returnflag").agg(F.struct(F.min("l_suppkey"), F.max("l_suppkey"), F.min("l_linenumber"), F.max("l_linenumber")).alias("grid"))
+    grids = ends.agg(F.count_distinct("grid").alias("n_grids"))  # 1 where both layers lie on one grid
     wide = layers.groupBy("l_suppkey", "l_linenumber").pivot("l_returnflag", ["A", "N"]).agg(F.first("n"))
     both = wide.select("l_suppkey", "l_linenumber", F.col("A").alias("layer_a"), F.col("N").alias("layer_b")).where("layer_a is not null and layer_b is not null")
     return both.join(F.broadcast(grids))  # one row
@@ -71,7 +113,7 @@ def s15(t: Tables) -> DataFrame:
     return rounded(at.join(lattice(t), ["gx", "gy"], "left").select("p_partkey", "v"), 2)
 
 
-@query("s16_listing_identities")
+@query("s16_listing_identities", "SELECT 0 AS part, true AS has_bytes")
 def s16(t: Tables) -> DataFrame:
     path = files.scratch_path(t.spark, "listing")
     t.nation.coalesce(1).write.parquet(path)
@@ -83,6 +125,17 @@ def s20(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.count_distinct(F.to_date("ts")).alias("days"), F.count("*").alias("n"))
 
 
+@query(
+    "s18_required_arrays",
+    "SELECT name, there IS NOT NULL AS there, coalesce(n, 0) AS n FROM (VALUES ('view'), ('click'), ('purchase'), ('geometry')) r(name) LEFT JOIN (SELECT event_type AS there, count(*) AS n FROM events GROUP BY 1) ON there = name",
+)
+def s18(t: Tables) -> DataFrame:
+    """Arrays that an archive must hold, and which of them it does."""
+    names = t.spark.createDataFrame([(v,) for v in ("view", "click", "purchase", "geometry")], "name string")
+    held = t.events.groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"))
+    return names.join(held, "name", "left").select("name", F.col("n").isNotNull().alias("there"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query("s23_xml_flag", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'good' ELSE 'suspect' END AS flag FROM events")
 def s23(t: Tables) -> DataFrame:
     flag = F.when(F.col("event_id") % 3 == 0, "good").otherwise("suspect")
@@ -116,12 +169,13 @@ def s42(t: Tables) -> DataFrame:
 
 @query(
     "j21_footprints_meet_domain",
-    "SELECT s_suppkey, NOT (s_nationkey + 2 < 5 OR s_nationkey > 9 OR s_acctbal + 500 < 0 OR s_acctbal > 4000) AS meets FROM supplier",
+    """SELECT s_suppkey, x < 9 AND x + 2 > 5 AND y < 9 AND y + 1 > 0 AND x + y < 14 AS meets FROM (SELECT s_suppkey, s_nationkey + 0.25 AS x, s_suppkey % 12 + 0.25 AS y FROM supplier)""",
 )
 def j21(t: Tables) -> DataFrame:
-    x, y = F.col("s_nationkey"), F.col("s_acctbal")
-    apart = (x + 2 < 5) | (x > 9) | (y + 500 < 0) | (y > 4000)
-    return t.supplier.select("s_suppkey", (~apart).alias("meets"))
+    """Boxes that meet a convex polygon: boxes apart first, then separating axes along the polygon's edges."""
+    domain = [(5.0, 0.0), (9.0, 0.0), (9.0, 5.0), (5.0, 9.0)]
+    x, y = F.col("s_nationkey") + 0.25, F.col("s_suppkey") % 12 + 0.25
+    return t.supplier.select("s_suppkey", grid.box_meets_convex(x, y, x + 2.0, y + 1.0, domain).alias("meets"))
 
 
 @query("g19_map_coordinates")

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathkit.functions import basis, ident, physics
-from swathkit.operators import aggregates, design, inference, within
+from swathkit.operators import aggregates, calibration, design, inference, resampling, within
 from swathkit.plans.registry import Tables, query, rounded
 
 
@@ -46,38 +46,87 @@ def x3(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([tuple(round(float(v), 3) for v in fitted.coef[:, 0])], "slope_x double, slope_tax double")
 
 
-@query("x4_clustered_error")
+def spline_sql(x: str, knot: float, ends: tuple[float, float, float] = (0.01, 0.06, 0.09)) -> str:
+    """One restricted cubic term of the knots 0.01, 0.03, 0.06, 0.09."""
+    k1, k3, k4 = ends
+    return (
+        f"((power(greatest({x} - {knot}, 0), 3) - power(greatest({x} - {k3}, 0), 3) * {(k4 - knot) / (k4 - k3)!r}"
+        f" + power(greatest({x} - {k4}, 0), 3) * {(k3 - knot) / (k4 - k3)!r}) / {(k4 - k1) ** 2!r})"
+    )
+
+
+_SOLVE3 = """b AS (SELECT *, s00 * (s11 * s22 - s12 * s12) - s01 * (s01 * s22 - s12 * s02) + s02 * (s01 * s12 - s11 * s02) AS det FROM t),
+ i AS (SELECT *, (s11 * s22 - s12 * s12) / det AS i00, (s02 * s12 - s01 * s22) / det AS i01, (s01 * s12 - s02 * s11) / det AS i02, (s00 * s22 - s02 * s02) / det AS i11, (s01 * s02 - s00 * s12) / det AS i12, (s00 * s11 - s01 * s01) / det AS i22 FROM b),
+ f AS (SELECT *, i00 * t0 + i01 * t1 + i02 * t2 AS b0, i01 * t0 + i11 * t1 + i12 * t2 AS b1, i02 * t0 + i12 * t1 + i22 * t2 AS b2 FROM i)"""
+
+
+def _moments3(x: str, y: str, z: str, by: str) -> str:
+    """CTEs m (moments by group) and t (their sums) of three predictors, from blocks' centred products."""
+    terms = {"s00": (x, x), "s01": (x, y), "s02": (x, z), "s11": (y, y), "s12": (y, z), "s22": (z, z), "t0": (x, "y"), "t1": (y, "y"), "t2": (z, "y")}
+    block = ", ".join(f"covar_pop({p}, {q}) * count(*) AS {k}" for k, (p, q) in terms.items())
+    sums = ", ".join(f"sum({k}) AS {k}" for k in terms)
+    return f"""p AS (SELECT block, {by} AS g, count(*) AS n, {block} FROM {{cells}} GROUP BY 1, 2), m AS (SELECT g, sum(n) AS n, count(*) AS blocks, {sums} FROM p GROUP BY 1),
+ t AS (SELECT count(*) AS groups, sum(n) AS n, sum(blocks) AS blocks, {sums} FROM m)"""
+
+
+@query(
+    "x4_clustered_error",
+    f"""WITH {_moments3("x", "tax", "qty", "grp")}, {_SOLVE3} SELECT 'x' AS term, round(max(b0), 3) AS coef,
+ round(sqrt(sum(power(i00 * (m.t0 - m.s00 * b0 - m.s01 * b1 - m.s02 * b2) + i01 * (m.t1 - m.s01 * b0 - m.s11 * b1 - m.s12 * b2) + i02 * (m.t2 - m.s02 * b0 - m.s12 * b1 - m.s22 * b2), 2)) * max(groups / (groups - 1.0) * (f.n - 1) / (f.n - f.blocks - 3))), 3) AS cluster_se,
+ max(groups) AS n_groups, CAST(max(f.n - f.blocks - 3) AS BIGINT) AS dof FROM m CROSS JOIN f""",
+)
 def x4(t: Tables) -> DataFrame:
     fitted, _ = within.fit_frame(t.cells, "block", "grp", ["x", "tax", "qty"], ["y"])
-    rows = [("x", float(fitted.coef[0, 0]), float(fitted.cluster_se[0]), fitted.diagnostics["groups"], fitted.diagnostics["dof"])]
-    return t.spark.createDataFrame(rows, "term string, coef double, cluster_se double, n_groups int, dof bigint")
+    rows = [("x", round(float(fitted.coef[0, 0]), 3), round(float(fitted.cluster_se[0]), 3), fitted.diagnostics["groups"], fitted.diagnostics["dof"])]
+    return t.spark.createDataFrame(rows, "term string, coef double, cluster_se double, n_groups bigint, dof bigint")
+
 
+def _draws_sql(groups: str, label: str, replicates: int, seed: int) -> str:
+    """CTEs i (groups with their place) and d (rep, place, times) of whole-group resampling."""
+    return f"""i AS (SELECT *, row_number() OVER (ORDER BY CAST({label} AS VARCHAR)) - 1 AS place FROM {groups}),
+ d AS (SELECT rep, CAST('0x' || substr(sha256(concat_ws(':', {seed}, rep, k)), 1, 12) AS BIGINT) % (SELECT count(*) FROM i) AS place, count(*) AS times
+ FROM (SELECT unnest(range({replicates})) AS rep) CROSS JOIN (SELECT unnest(range((SELECT count(*) FROM i))) AS k) GROUP BY 1, 2)"""
 
-@query("x5_x23_group_bootstrap")
+
+@query(
+    "x5_x23_group_bootstrap",
+    f"""WITH m AS (SELECT block, covar_pop(x, x) * count(*) AS a, covar_pop(x, tax) * count(*) AS b, covar_pop(tax, tax) * count(*) AS c, covar_pop(x, y) * count(*) AS d, covar_pop(tax, y) * count(*) AS e FROM {{cells}} GROUP BY 1), {_draws_sql("m", "block", 200, 20240101)},
+ r AS (SELECT rep, (c * d - b * e) / (a * c - b * b) AS v FROM (SELECT rep, sum(times * a) AS a, sum(times * b) AS b, sum(times * c) AS c, sum(times * i.d) AS d, sum(times * e) AS e FROM d JOIN i ON i.place = d.place GROUP BY 1))
+ SELECT 'x' AS term, round(quantile_cont(v, 0.025), 3) AS q025, round(quantile_cont(v, 0.975), 3) AS q975, round(stddev_samp(v), 3) AS se, count(v) AS estimable, count(*) AS requested FROM r""",
+)
 def x5(t: Tables) -> DataFrame:
     _, m = within.fit_frame(t.cells, "block", "block", ["x", "tax"], ["y"])
-    draws, _ = within.bootstrap(m, 200, 20240101)
-    table = t.spark.createDataFrame([(r, float(v)) for r, v in enumerate(draws[:, 0, 0])], "rep int, value double")
-    return inference.interval_summary(table.withColumn("term", F.lit("x")), ["term"], "value")
+    draws = within.bootstrap_table(m, 200, 20240101).select(F.lit("x").alias("term"), F.col("coef")[0].alias("value"))
+    return rounded(inference.interval_summary(draws, ["term"], "value"), 3)
 
 
-@query("x6_x7_x24_joint_bootstrap_and_paired_scale")
+@query(
+    "x6_x7_x24_joint_bootstrap_and_paired_scale",
+    f"""WITH p AS (SELECT block, grp, pass < '1998-01' AS early, covar_pop(x, x) * count(*) AS a, covar_pop(x, y) * count(*) AS b FROM {{cells}} GROUP BY 1, 2, 3),
+ m AS (SELECT grp, coalesce(sum(a) FILTER (WHERE early), 0) AS ea, coalesce(sum(b) FILTER (WHERE early), 0) AS eb, coalesce(sum(a) FILTER (WHERE NOT early), 0) AS la, coalesce(sum(b) FILTER (WHERE NOT early), 0) AS lb FROM p GROUP BY 1), {_draws_sql("m", "grp", 200, 7)},
+ r AS (SELECT rep, sum(times * lb) / sum(times * la) - sum(times * eb) / sum(times * ea) AS v FROM d JOIN i ON i.place = d.place GROUP BY 1)
+ SELECT 'late-early' AS contrast, round(quantile_cont(v, 0.025), 3) AS q025, round(quantile_cont(v, 0.975), 3) AS q975, round(stddev_samp(v), 3) AS se, count(v) AS estimable, count(*) AS requested FROM r""",
+)
 def x6(t: Tables) -> DataFrame:
     halves = [within.fit_frame(t.cells.where(c), "block", "grp", ["x"], ["y"])[1] for c in ("pass < '1998-01'", "pass >= '1998-01'")]
-    draws = within.joint_bootstrap(halves, 200, 7)[:, :, 0]
-    table = t.spark.createDataFrame([(r, float(a), float(b)) for r, (a, b) in enumerate(draws)], "rep int, early double, late double")
-    return inference.interval_summary(table.select(F.lit("late-early").alias("contrast"), (F.col("late") - F.col("early")).alias("value")), ["contrast"], "value")
+    draws = within.joint_bootstrap(halves, 200, 7).groupBy("rep").pivot("population", [0, 1]).agg(F.first(F.col("coef")[0]))
+    contrast = draws.select(F.lit("late-early").alias("contrast"), (F.col("1") - F.col("0")).alias("value"))
+    return rounded(inference.interval_summary(contrast, ["contrast"], "value"), 3)
 
 
-@query("x8_paired_linear_quadratic_bootstrap")
+@query(
+    "x8_paired_linear_quadratic_bootstrap",
+    f"""WITH m AS (SELECT block, covar_pop(x, x) * count(*) AS a, covar_pop(x, x * x) * count(*) AS b, covar_pop(x * x, x * x) * count(*) AS c, covar_pop(x, y) * count(*) AS d, covar_pop(x * x, y) * count(*) AS e FROM {{cells}} GROUP BY 1), {_draws_sql("m", "block", 100, 3)}
+ SELECT rep, round(0.06 * d / a, 2) AS linear, round(0.06 * (c * d - b * e) / (a * c - b * b) + (0.08 * 0.08 - 0.02 * 0.02) * (a * e - b * d) / (a * c - b * b), 2) AS quadratic
+ FROM (SELECT rep, sum(times * a) AS a, sum(times * b) AS b, sum(times * c) AS c, sum(times * i.d) AS d, sum(times * e) AS e FROM d JOIN i ON i.place = d.place GROUP BY 1)""",
+)
 def x8(t: Tables) -> DataFrame:
     cells = t.cells.withColumn("x2", F.col("x") * F.col("x"))
     _, m = within.fit_frame(cells, "block", "block", ["x", "x2"], ["y"])
-    quad, failed = within.bootstrap(m, 100, 3, keep=[0, 1])
-    line, _ = within.bootstrap(m, 100, 3, keep=[0])
     d1, d2 = basis.basis_change(0.02, 0.08)
-    rows = [(r, float(line[r, 0, 0] * d1), float(quad[r, 0, 0] * d1 + quad[r, 1, 0] * d2)) for r in range(100)]
-    return t.spark.createDataFrame(rows, "rep int, linear double, quadratic double")
+    line = within.bootstrap_table(m, 100, 3, keep=[0]).select("rep", (F.col("coef")[0] * d1).alias("linear"))
+    quad = within.bootstrap_table(m, 100, 3, keep=[0, 1]).select("rep", (F.col("coef")[0] * d1 + F.col("coef")[1] * d2).alias("quadratic"))
+    return rounded(line.join(quad, "rep"), 2)
 
 
 @query(
@@ -89,12 +138,16 @@ def x9(t: Tables) -> DataFrame:
     return c.select(F.round("effective", 4).alias("effective"), F.round("largest", 8).alias("largest"), F.round("top_five", 8).alias("top_five"))
 
 
-@query("x10_x11_context_rank_selection")
+@query(
+    "x10_x11_context_rank_selection",
+    "SELECT CAST(2 AS BIGINT) AS rank, CASE WHEN max(abs(r)) > 1 - 1e-9 AND max(v) < 1e-12 THEN 'flat|tax2' END AS removed FROM (SELECT corr(tax, tax * 2) AS r, var_pop(1.0) AS v FROM {cells})",
+)
 def x10(t: Tables) -> DataFrame:
     cells = t.cells.withColumns({"tax2": F.col("tax") * 2, "flat": F.lit(1.0)})
     fitted, _ = within.fit_frame(cells, "block", "block", ["x", "tax", "tax2", "flat"], ["y"])
-    rows = [(len(fitted.names), "|".join(fitted.diagnostics["removed"]))]
-    return t.spark.createDataFrame(rows, "rank int, removed string")
+    # of two terms that depend on each other either may go; they are named as one
+    gone = sorted("tax2" if c == "tax" else c for c in fitted.diagnostics["removed"])
+    return t.spark.createDataFrame([(len(fitted.names), "|".join(gone))], "rank bigint, removed string")
 
 
 @query(
@@ -121,7 +174,11 @@ def x14(t: Tables) -> DataFrame:
     return at.groupBy("endpoint").agg(F.round(F.avg(F.col("my") + F.col("slope") * (F.col("endpoint") - F.col("mx"))), 3).alias("mean"))
 
 
-@query("x15_r28_spline_curve")
+@query(
+    "x15_r28_spline_curve",
+    f"""WITH {_moments3("x", spline_sql("x", 0.01), spline_sql("x", 0.03), "block")}, {_SOLVE3}
+ SELECT v AS x, round(b0 * v + b1 * {spline_sql("v", 0.01)} + b2 * {spline_sql("v", 0.03)}, 2) AS curve FROM f CROSS JOIN (SELECT unnest(range(201)) / 2000.0 AS v)""",
+)
 def x15(t: Tables) -> DataFrame:
     knots = (0.01, 0.03, 0.06, 0.09)
     terms = basis.spline_terms(F.col("x"), knots)
@@ -130,7 +187,7 @@ def x15(t: Tables) -> DataFrame:
     coef = {n: float(fitted.coef[i, 0]) for i, n in enumerate(fitted.names)}
     points = t.spark.range(0, 201).select((F.col("id") / 2000).alias("x"))
     at = [c * coef.get(n, 0.0) for n, c in zip(("x", "s1", "s2"), basis.spline_terms(F.col("x"), knots), strict=True)]
-    return points.select("x", (at[0] + at[1] + at[2]).alias("curve"))
+    return points.select("x", F.round(at[0] + at[1] + at[2], 2).alias("curve"))
 
 
 @query("x16_r33_block_pass_jackknife")
@@ -158,12 +215,33 @@ def x18(t: Tables) -> DataFrame:
     return out.withColumn("covered", F.col("y").between(F.col("low"), F.col("high")))
 
 
+_BY_DAY = "(SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS DOUBLE) AS n, sum(extract('hour' FROM ts)) AS h, sum(value) AS v, sum(extract('hour' FROM ts) * extract('hour' FROM ts)) AS hh, sum(extract('hour' FROM ts) * value) AS hv FROM events GROUP BY 1, 2)"
+_SLOPE6 = "6 * (sum(times * hv) - sum(times * h) * sum(times * v) / sum(times * n)) / (sum(times * hh) - sum(times * h) * sum(times * h) / sum(times * n))"
+
+
+def _strata_sql(rows: str, stratum: str, label: str, replicates: int, seed: int) -> str:
+    """CTEs of resampling inside strata: i (rows with their place) and d (rep, s, place, times)."""
+    return f"""q AS (SELECT *, {stratum} AS s FROM {rows}), i AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY CAST({label} AS VARCHAR)) - 1 AS place FROM q),
+ d AS (SELECT rep, s, CAST('0x' || substr(sha256(concat_ws(':', {seed}, rep, s, k)), 1, 12) AS BIGINT) % size AS place, count(*) AS times
+ FROM (SELECT s, count(*) AS size, unnest(range(count(*))) AS k FROM q GROUP BY s) CROSS JOIN (SELECT unnest(range({replicates})) AS rep) GROUP BY 1, 2, 3)"""
+
+
 @query(
     "x20_time_contrast",
-    "SELECT event_type, round(regr_slope(value, h) * 6, 6) AS contrast FROM (SELECT event_type, value, CAST(extract('hour' FROM ts) AS DOUBLE) AS h FROM events) GROUP BY 1",
+    f"""WITH {_strata_sql(_BY_DAY, "event_type", "day", 100, 11)}, r AS (SELECT i.event_type, rep, {_SLOPE6} AS v FROM d JOIN i ON i.s = d.s AND i.place = d.place GROUP BY 1, 2),
+ p AS (SELECT event_type, {_SLOPE6} AS contrast FROM (SELECT *, 1 AS times FROM {_BY_DAY}) GROUP BY 1)
+ SELECT p.event_type AS event_type, round(max(contrast), 6) AS contrast, round(quantile_cont(v, 0.025), 6) AS q025, round(quantile_cont(v, 0.975), 6) AS q975, round(stddev_samp(v), 6) AS se, count(v) AS estimable, count(*) AS requested FROM p JOIN r ON r.event_type = p.event_type GROUP BY 1""",
 )
 def x20(t: Tables) -> DataFrame:
-    return rounded(t.events.groupBy("event_type").agg((F.regr_slope("value", F.hour("ts").cast("double")) * 6).alias("contrast")))
+    h = F.hour("ts").cast("double")
+    days = t.events.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+        F.count("*").cast("double").alias("n"), F.sum(h).alias("h"), F.sum("value").alias("v"), F.sum(h * h).alias("hh"), F.sum(h * F.col("value")).alias("hv")
+    )
+    sums = [F.sum(F.col("times") * F.col(c)).alias(c) for c in ("n", "h", "v", "hh", "hv")]
+    slope = 6 * (F.col("hv") - F.col("h") * F.col("v") / F.col("n")) / (F.col("hh") - F.col("h") * F.col("h") / F.col("n"))
+    draws = resampling.resampled_rows(days, ["event_type"], "day", 100, 11).groupBy("event_type", "rep").agg(*sums).withColumn("value", slope)
+    point = days.withColumn("times", F.lit(1)).groupBy("event_type").agg(*sums).select("event_type", slope.alias("contrast"))
+    return rounded(inference.interval_summary(draws, ["event_type"], "value").join(point, "event_type"))
 
 
 @query(
@@ -251,12 +329,12 @@ def x33(t: Tables) -> DataFrame:
 
 @query("x34_monte_carlo_calibration")
 def x34(t: Tables) -> DataFrame:
-    i = F.col("id")
-    grid = t.spark.range(216).select(
-        i.alias("scenario"), ((i % 6) * 0.2).alias("amplitude"), (F.floor(i / 6) % 6 * 0.3).alias("day_sd"),
-        F.lit(0.5).alias("noise_sd"), (F.floor(i / 36) * 4 + 10).cast("int").alias("n"),
+    i, profiles = F.col("id"), F.array(*(F.lit(p) for p in calibration.PROFILES))
+    grid = t.spark.range(216).repartition(t.spark.sparkContext.defaultParallelism).select(
+        i.alias("scenario"), F.element_at(profiles, (i % 6).cast("int") + 1).alias("profile"), (F.floor(i / 6) % 3 * 0.3).cast("double").alias("amplitude"),
+        (F.floor(i / 18) % 4 * 0.1).cast("double").alias("day_sd"), (F.floor(i / 72) * 0.5).cast("double").alias("correlation"),
     )
-    return inference.simulate(t.spark, grid, 2000, 20240101)
+    return calibration.calibrate(grid, calibration.Design.example(), 2000, 99, 20240101)
 
 
 @query(
@@ -282,15 +360,49 @@ def x36(t: Tables) -> DataFrame:
     return ks.crossJoin(es).withColumn("equivalent", F.round(eq, 6))
 
 
-@query("x30_x40_day_resampling")
+_DAYS = "(SELECT strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%m') AS month, extract('hour' FROM ts) >= 12 AS late, avg(value) AS v FROM events GROUP BY 1, 2, 3)"
+
+
+@query(
+    "x30_stratified_day_bank",
+    f"""WITH {_strata_sql(_DAYS, "month || '/' || late", "day", 100, 5)}, n AS (SELECT s, count(*) AS n FROM q GROUP BY 1)
+ SELECT rep, round(sum(CASE WHEN late THEN 1 ELSE -1 END * times * v / n) / count(DISTINCT i.month), 6) AS difference FROM d JOIN i ON i.s = d.s AND i.place = d.place JOIN n ON n.s = d.s GROUP BY 1""",
+)
 def x30(t: Tables) -> DataFrame:
-    days = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
-    picked = t.spark.range(200).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("k")).select(
-        "rep", F.pmod(F.xxhash64("rep", "k"), F.lit(30)).alias("slot")
-    )  # a hash of (replicate, draw) picks a day: the same on every run
-    slots = days.select((F.datediff("day", F.lit("2024-01-01").cast("date")) % 30).cast("bigint").alias("slot"), "v")
-    means = picked.join(slots, "slot").groupBy("rep").agg(F.avg("v").alias("value"))
-    return inference.interval_summary(means.withColumn("term", F.lit("mean")), ["term"], "value")
+    """Late minus early, months weighing the same, with days resampled inside month and window."""
+    days = t.events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "MM").alias("month"), (F.hour("ts") >= 12).alias("late")).agg(F.avg("value").alias("v"))
+    n = days.groupBy("month", "late").agg(F.count("*").alias("n"))
+    drawn = resampling.resampled_rows(days, ["month", "late"], "day", 100, 5).join(n, ["month", "late"])
+    sign = F.when(F.col("late"), 1).otherwise(-1)
+    return drawn.groupBy("rep").agg(F.round(F.sum(sign * F.col("times") * F.col("v") / F.col("n")) / F.count_distinct("month"), 6).alias("difference"))
+
+
+@query(
+    "x30_day_slope_bank",
+    f"""WITH {_draws_sql("(SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(min(epoch(date_trunc('day', ts))) / 86400 AS DOUBLE) AS x, avg(value) AS v FROM events GROUP BY 1)", "day", 100, 6)}
+ SELECT rep, round(10 * (sum(times * (x - 19000) * v) - sum(times * (x - 19000)) * sum(times * v) / sum(times)) / (sum(times * (x - 19000) * (x - 19000)) - sum(times * (x - 19000)) * sum(times * (x - 19000)) / sum(times)), 6) AS change FROM d JOIN i ON i.place = d.place GROUP BY 1""",
+)
+def x30_slope(t: Tables) -> DataFrame:
+    """Change in ten days of a trend over days, refitted on resampled days."""
+    x = (F.floor(F.unix_seconds(F.min("ts")) / 86400) - 19000).cast("double")
+    days = t.events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(x.alias("x"), F.avg("value").alias("v"))
+    made = days.select("day", F.lit(1.0).alias("n"), "x", "v", (F.col("x") * F.col("x")).alias("xx"), (F.col("x") * F.col("v")).alias("xv"))
+    r = resampling.resampled_sums(made, "day", ["n", "x", "v", "xx", "xv"], 100, 6)
+    slope = (F.col("xv") - F.col("x") * F.col("v") / F.col("n")) / (F.col("xx") - F.col("x") * F.col("x") / F.col("n"))
+    return r.select("rep", F.round(10 * slope, 6).alias("change"))
+
+
+@query(
+    "x40_variance_bootstrap",
+    f"""WITH {_strata_sql("(SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, avg(value) AS v FROM events GROUP BY 1, 2)", "event_type", "day", 200, 8)},
+ r AS (SELECT i.event_type, rep, (sum(times * v * v) - sum(times * v) * sum(times * v) / sum(times)) / (sum(times) - 1) AS var FROM d JOIN i ON i.s = d.s AND i.place = d.place GROUP BY 1, 2)
+ SELECT event_type, round(quantile_cont(var, 0.025), 6) AS q025, round(quantile_cont(var, 0.975), 6) AS q975, round(stddev_samp(var), 6) AS se, count(var) AS estimable, count(*) AS requested FROM r GROUP BY 1""",
+)
+def x40(t: Tables) -> DataFrame:
+    days = t.events.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.avg("value").alias("v"))
+    drawn, n, v = resampling.resampled_rows(days, ["event_type"], "day", 200, 8), F.col("times"), F.col("v")
+    var = (F.sum(n * v * v) - F.sum(n * v) * F.sum(n * v) / F.sum(n)) / (F.sum(n) - 1)
+    return rounded(inference.interval_summary(drawn.groupBy("event_type", "rep").agg(var.alias("value")), ["event_type"], "value"))
 
 
 @query(

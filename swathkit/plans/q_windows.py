@@ -55,14 +55,14 @@ def w8(t: Tables) -> DataFrame:
     return best.select("l_suppkey", "b.l_orderkey", "b.l_linenumber")
 
 
-ARMS = "(SELECT event_id, strftime(ts, '%Y-%m-') || CAST(CAST(floor((day(ts) - 1) / 5.0) AS BIGINT) AS VARCHAR) AS stratum, CASE WHEN extract('hour' FROM ts) BETWEEN 9 AND 10 THEN 'morning' WHEN extract('hour' FROM ts) BETWEEN 15 AND 17 THEN 'afternoon' ELSE 'outside' END AS arm FROM events WHERE user_id % 25 = 0)"
+ARMS = "(SELECT event_id, strftime(ts, '%Y-%m-') || CAST(CAST(floor((day(ts) - 1) / 5.0) AS BIGINT) AS VARCHAR) AS stratum, CASE WHEN extract('hour' FROM ts) BETWEEN 9 AND 10 THEN 'morning' WHEN extract('hour' FROM ts) BETWEEN 15 AND 17 THEN 'afternoon' ELSE 'outside' END AS arm FROM events)"
 
 
 def arms(t: Tables) -> DataFrame:
     h = F.hour("ts")
     arm = F.when(h.between(9, 10), "morning").when(h.between(15, 17), "afternoon").otherwise("outside")
     stratum = F.concat(F.date_format("ts", "yyyy-MM-"), F.floor((F.dayofmonth("ts") - 1) / 5).cast("string"))
-    return t.events.where("user_id % 25 = 0").select("event_id", stratum.alias("stratum"), arm.alias("arm"))
+    return t.events.select("event_id", stratum.alias("stratum"), arm.alias("arm"))
 
 
 @query(
@@ -81,10 +81,9 @@ def w9(t: Tables) -> DataFrame:
  SELECT dropped, count(*) AS n_left, count(DISTINCT a.stratum) AS strata_left, count(*) FILTER (WHERE arm = 'morning') AS mornings FROM d JOIN a ON a.stratum <> d.dropped GROUP BY 1""",
 )
 def w10(t: Tables) -> DataFrame:
-    left = design.leave_one_out(arms(t).where("arm <> 'outside'"), "stratum")
-    return left.groupBy("dropped").agg(
-        F.count("*").alias("n_left"), F.count_distinct("stratum").alias("strata_left"), F.count_if(F.col("arm") == "morning").alias("mornings")
-    )
+    held = arms(t).where("arm <> 'outside'")
+    out = design.leave_one_out(held, "stratum", {"n_left": F.lit(1), "mornings": (F.col("arm") == "morning").cast("bigint")})
+    return out.select("dropped", "n_left", F.col("units_left").alias("strata_left"), "mornings")
 
 
 @query(

@@ -16,11 +16,13 @@ def hourly_means(stream: DataFrame, time: str, value: str, keys: list[str], late
 
 
 def complete_totals(stream: DataFrame, time: str, value: str, hours: int, lateness: str = "2 hours") -> DataFrame:
-    """Sliding windows of whole hours: the sum of a value, null unless every hour of the window had a row."""
-    seen = F.count_distinct if not stream.isStreaming else F.approx_count_distinct
-    w = F.window(time, f"{hours} hours", "1 hour")
-    slots = seen(F.date_trunc("hour", F.col(time)))
+    """Sliding windows of whole hours: the sum of a value, null unless every hour of the window had a row.
+
+    Rows are summed by closed hour first, so that a window counts its hours exactly.
+    """
+    hourly = stream.withWatermark(time, lateness).groupBy(F.window(time, "1 hour").alias("hour")).agg(F.sum(value).alias("s"))
+    w = F.window(F.window_time("hour"), f"{hours} hours", "1 hour")
     return (
-        stream.withWatermark(time, lateness).groupBy(w).agg(slots.alias("hours_there"), F.sum(value).alias("s"))
-        .select(F.col("window.start").alias("start"), "hours_there", F.when(F.col("hours_there") == hours, F.col("s")).alias("total"))
+        hourly.groupBy(w.alias("w")).agg(F.count("*").alias("hours_there"), F.sum("s").alias("total"))
+        .select(F.col("w.start").alias("start"), "hours_there", F.when(F.col("hours_there") == hours, F.col("total")).alias("total"))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,8 @@ def test_geojson_and_names_and_resume(spark, tmp_path):
     for _ in range(2):
         assert files.resume_or_make(spark, str(tmp_path / "done"), make).count() == 2
     assert len(calls) == 1
+    spark.range(5).write.mode("overwrite").parquet(str(tmp_path / "done"))  # not what was finished there
+    assert files.resume_or_make(spark, str(tmp_path / "done"), make).count() == 2 and len(calls) == 2
 
 
 def test_config(spark, tmp_path):
@@ -74,6 +77,46 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(spark.table("hourly")) == rows(windows.hourly_means(events, "ts", "value", ["event_type"]))
 
 
+def test_json_has_no_nan(spark, tmp_path):
+    with pytest.raises(ContractError):
+        files.write_json(spark.createDataFrame([(1.0,), (float("nan"),)], "v double"), str(tmp_path / "x"))
+    files.write_json(spark.createDataFrame([(1.0,), (None,)], "v double"), str(tmp_path / "y"))
+
+
+def test_frozen_protocol_and_domain(spark, tmp_path):
+    (tmp_path / "p.yaml").write_text("decision_id: d7\nlimit: 3\n")
+    assert files.read_protocol(spark, str(tmp_path / "p.yaml"), "d7")["limit"] == 3
+    with pytest.raises(ContractError):
+        files.read_protocol(spark, str(tmp_path / "p.yaml"), "d8")
+    doc = '{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"a":1},"geometry":{"type":"Point","coordinates":[1.0,2.0]}}]}'
+    (tmp_path / "d.json").write_text(doc)
+    row = files.read_geojson(spark, str(tmp_path / "d.json")).select(F.to_json(F.struct("properties", "kind", "coordinates")).alias("j")).first()["j"]
+    assert files.read_domain(spark, str(tmp_path / "d.json"), hashlib.sha256(row.encode()).hexdigest()).count() == 1
+    with pytest.raises(ContractError):
+        files.read_domain(spark, str(tmp_path / "d.json"), "0" * 64)
+
+
+def test_missing_pages_are_noticed(spark, tmp_path):
+    files.write_json(spark.createDataFrame([(0, [1, 2], 3)], "page long, items array<long>, hits long"), str(tmp_path / "pages"))
+    assert not files.replayed_pages(spark, str(tmp_path / "pages"), "page bigint, items array<bigint>, hits bigint").first()["complete"]
+
+
+def test_streamed_totals_equal_batch(spark, tmp_path):
+    rows = [(f"2024-01-01 {h:02d}:{m:02d}:00", float(h)) for h in range(12) for m in (5, 40) if h != 6]
+    events = spark.createDataFrame(rows, "s string, v double").select(F.col("s").cast("timestamp").alias("ts"), "v").orderBy("ts")
+    late = spark.createDataFrame([("2024-01-03 00:00:00", 0.0)], "s string, v double").select(F.col("s").cast("timestamp").alias("ts"), "v")
+    for k, part in enumerate((events, late, late)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02 * (k < 2))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    q = windows.complete_totals(stream, "ts", "v", 3, "1 hour").writeStream.format("memory").queryName("totals").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    want = {r["start"]: r["total"] for r in windows.complete_totals(events, "ts", "v", 3).collect()}
+    got = {r["start"]: r["total"] for r in spark.table("totals").collect()}
+    assert got and all(want[k] == v for k, v in got.items() if k in want) and any(v is not None for v in got.values())
+
+
 def test_incomplete_windows_are_null(spark):
     df = spark.createDataFrame([("2024-01-01 00:10:00", 1.0), ("2024-01-01 01:10:00", 2.0), ("2024-01-01 03:10:00", 4.0)], "s string, v double").select(F.col("s").cast("timestamp").alias("ts"), "v")
     got = {str(r["start"])[11:13]: r["total"] for r in windows.complete_totals(df, "ts", "v", 2).collect()}
