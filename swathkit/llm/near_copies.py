@@ -1,197 +1,320 @@
-"""Texts whose sets of five-word shingles have Jaccard similarity 0.8 or more, all of them.
+"""Documents linked by word shingles of Jaccard similarity 0.8 or more: SimHash and BK-trees first, then what they miss.
 
-Words and shingles are those of simhash_dedup (a text of fewer words is one shingle, one without words has none);
-a set is its shingles' XXH64 hashes, and is named by the XXH64 of them in order, so equal sets are one node. Only
-two hashes of 64 bits that meet could make a similarity wrong.
+Words are those of simhash_dedup; a text of fewer than `words` words is one shingle, one without words has none (all
+such texts are alike). A shingle is named by a 64-bit rolling hash of its bytes, so a set is its distinct
+hashes; only hashes of unlike shingles that meet could make a similarity wrong. Nodes are distinct texts (64-bit hash).
 
-Two sets this similar share a hash among the first n - ceil(0.8 n) + 1 of each, in any order common to all sets
-(prefix filter). The order is rarest first by a table of counts that hashes share, which only saves work. Sets meet by
-an equi-join on these hashes; pairs that sizes or places rule out are dropped, and every other pair is verified on the
-whole sets.
+1. One pass makes each text's SimHash, size, least hash under BANDS permutations, and counts of common hashes.
+2. simhash_dedup.link() finds fingerprints within RADIUS bits in BK-trees; each text is also paired with the middle text
+   of its bands, if their fingerprints are no more than FAR bits apart. These pairs are verified on the whole sets, and
+   components() joins what is similar. A group of many copies becomes one component here, without all its pairs.
+3. A radius cannot see every pair of similarity 0.8, so an exact way takes the rest: two such sets share a hash among
+   the first n - ceil(0.8 n) + 1 of each in any order common to all (prefix filter; rarest first, by the counts, which
+   only saves work). Texts of different components that meet there, and that sizes, places and counts of hashes by bucket
+   allow, are verified.
 
-A group of many similar sets would meet in full. So sets are first linked, verified in the same way, to the
-smallest set with the same least hash under BANDS permutations; members of one component are not compared again, as
-nothing they could find would change it. Sets that share a rare hash without being similar are compared pair by pair.
+Every pass reads the texts and writes keys only; texts move just for pairs to be verified. Hot copies meet once per
+task, since a task sends each text once; a bucket lists only pairs of different components.
+
+Null text is a text without words. Null and repeated ids are rows like any other. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swathkit.llm import common
+from swathkit.llm import common, simhash_dedup
 from swathkit.llm.components import components
-from swathkit.llm.simhash_dedup import shingle_hashes
 
 WORDS = 5
 PART, WHOLE = 4, 5  #: similarity 4 / 5, in whole numbers so that the bound itself is met exactly
-BANDS = 4
-SLOTS = 1 << 20  #: of the table of counts
+RADIUS = 2  #: of the BK-trees
+FAR = 24  #: bits between texts that a band may pair; similarity 0.8 differs by about ten
+SLOTS, RANGE = 1 << 21, 1 << 16  #: of the table of counts, and slots in a row of it
 ROWS = 1 << 16  #: pairs looked at together
-MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
-
-
-def _lists(sets: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+FULL = 255  #: a count of this or more is not known
+CHUNK = 1 << 20  #: text bytes hashed at once
+# Odd 64-bit multipliers, one for each permutation.
+BANDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text in ascending order, text after text, and how many each has."""
+    text, begin, end, n_words = simhash_dedup.word_spans(texts)
+    n = np.where(n_words > 0, np.maximum(n_words - words + 1, 1), 0)
+    if not len(begin):
+        return np.zeros(0, np.uint64), n
+    first, at = np.cumsum(n_words) - n_words, np.cumsum(n) - n
+    left = np.arange(n.sum()) - np.repeat(at - first, n)
+    right = np.minimum(left + words, np.repeat(first + n_words, n)) - 1
+    h = common.stretch_hashes(text, begin[left], end[right])
+    doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    order = np.argsort(h)
+    order = order[np.argsort(doc[order], kind="stable")]
+    h, doc = h[order], doc[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
+    return h[new], np.bincount(doc[new], minlength=len(n))
+
+
+def sketches(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many hashes of each text fall in each of its buckets (a power of two, a quarter of its hashes), end to end."""
+    size = 1 << np.ceil(np.log2(np.maximum(n / 4, 16))).astype(np.int64)
+    at = np.cumsum(size) - size
+    place = np.repeat(at, n) + (h & (np.repeat(size, n) - 1).astype(np.uint64)).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=int(size.sum())), FULL).astype(np.uint8), np.r_[0, np.cumsum(size)]
+
+
+def may_share(a: bytes, b: bytes, least: int) -> bool:
+    """Whether two sets may have `least` hashes in common: in each bucket no more than the smaller count."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
+    if x.max(initial=0) >= FULL or y.max(initial=0) >= FULL:
+        return True
+    m = min(len(x), len(y))  # the larger one is folded: low bits of the hash name the bucket
+    return int(np.minimum(x.reshape(-1, m).sum(axis=0), y.reshape(-1, m).sum(axis=0)).sum()) >= least
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (names the set), hashes (the set in order)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(SLOTS - 1)).astype(np.int64)
 
-        for batch in batches:
-            for part in common.chunks(batch, "text", 1 << 20):
-                h, n = shingle_hashes(part.column("text").to_pylist(), WORDS)
-                sets = [np.unique(x).view(np.int64) for x in np.split(h, np.cumsum(n)[:-1])]
-                key = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key), _lists(sets)], ["doc_id", "key", "hashes"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, key bigint, hashes array<bigint>"
-    )
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from common.chunks(batch, "text", CHUNK)
 
-def _split(column: pa.ListArray) -> list[np.ndarray]:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    size = np.diff(column.offsets.to_numpy())
-    return np.split(flat, np.cumsum(size)[:-1])
 
+def signed(docs: DataFrame, words: int) -> DataFrame:
+    """A row per row of docs (rid, tid, doc_id, fp, n, bands, sketch), and from each task its counts (range, seen)."""
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h.view(np.uint64) & np.uint64(SLOTS - 1)).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["rid", "tid", "doc_id", "fp", "n", "bands", "sketch", "range", "seen"]
+        counts, kinds = np.zeros(SLOTS, np.int64), None
+        for part in _chunks(batches):
+            h, n = shingle_sets(part.column("text").to_pylist(), words)
+            counts += np.bincount(_slot(h), minlength=SLOTS)
+            has, at = n > 0, np.cumsum(n) - n
+            bands = np.zeros((len(n), len(BANDS)), np.uint64)
+            for k, m in enumerate(BANDS):
+                if len(h):
+                    bands[has, k] = np.minimum.reduceat(h * np.uint64(m), at[has])
+            fp = simhash_dedup.majority_bits(h, n)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(BANDS)), pa.array(bands.ravel().view(np.int64)))
+            counted, edges = sketches(h, n)
+            kinds = part.column("doc_id").type
+            yield pa.RecordBatch.from_arrays(
+                [part.column("rid"), part.column("tid"), part.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(n), lists, common.slices(counted.tobytes(), edges), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names
+            )
+        if kinds is not None:
+            some = np.arange(0, SLOTS, RANGE)
+            none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), kinds, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())]
+            packed = [common.squeeze(counts[k : k + RANGE].astype(np.uint32)) for k in some]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(some // RANGE), pa.array(packed, pa.binary())], names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("rid", "tid", "doc_id", "text").mapInArrow(
+        common.tidy(run), f"rid bigint, tid bigint, doc_id {kind}, fp bigint, n bigint, bands array<bigint>, sketch binary, range bigint, seen binary"
+    )
 
 
-def slot_counts(sets: DataFrame) -> np.ndarray:
-    """How many hashes of all sets fall in each slot, about: a task reports only slots well above its mean."""
+def slot_counts(marked: DataFrame) -> np.ndarray:
+    """How many hashes of all sets fall in each slot: a table of fixed size, summed range by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS, np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            seen += np.bincount(_slot(batch.column("hashes").flatten().to_numpy(zero_copy_only=False).astype(np.int64)), minlength=SLOTS)
-        mean = seen.mean()
-        slot = np.flatnonzero(seen > mean + 4 * mean**0.5 + 1)  # the rest are rare
-        for k in range(0, len(slot), ROWS):
-            some = slot[k : k + ROWS]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["slot", "n"])
+            for k, seen in zip(batch.column("range").to_pylist(), batch.column("seen").to_pylist(), strict=True):
+                total.setdefault(k, np.zeros(RANGE, np.int64))[:] += common.expand(seen, np.uint32)[0]
+        for k, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([common.squeeze(n)], pa.binary())], ["range", "seen"])
 
-    counts = sets.select("hashes").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    table = np.zeros(SLOTS, np.int64)
-    got = counts.toArrow()
-    table[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    return table
+    rows = marked.where("range is not null").select("range", "seen").repartition("range")
+    out = np.zeros(SLOTS, np.int64)
+    got = rows.mapInArrow(common.tidy(run), "range bigint, seen binary").toArrow()
+    for k, seen in zip(got.column("range").to_pylist(), got.column("seen").to_pylist(), strict=True):
+        out[k * RANGE : (k + 1) * RANGE] = common.expand(seen, np.int64)[0]
+    return out
 
 
-def prefixes(sets: DataFrame, counts: np.ndarray) -> DataFrame:
-    """token, key, n (size of the set), pos (place of the token): what similar sets must share one of."""
-    shared = sets.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+def prefixes(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
+    """token, tid, n (size of the set), pos (place of the token): what similar sets share one of."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
-            for key, h in zip(batch.column("key").to_numpy().tolist(), _split(batch.column("hashes")), strict=True):
-                n = len(h)
-                take = n - (PART * n + WHOLE - 1) // WHOLE + 1 if n else 0
-                first = h[np.lexsort((h, table[_slot(h)]))[:take]]
-                for a, x in zip(out, (first, np.full(take, key), np.full(take, n), np.arange(take)), strict=True):
-                    a.append(x)
-            kinds = (np.int64, np.int64, np.int32, np.int32)
-            cols = [pa.array(np.concatenate(x).astype(kind)) for x, kind in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, ["token", "key", "n", "pos"])
-
-    return sets.select("key", "hashes").mapInArrow(run, "token bigint, key bigint, n int, pos int")
+        table, sent = shared.value, set()
+        for part in _chunks(batches):
+            tids = part.column("tid").to_pylist()
+            new = []
+            for k, t in enumerate(tids):
+                if t not in sent:
+                    sent.add(t)
+                    new.append(k)
+            part = part.take(pa.array(new, pa.int64()))
+            h, n = shingle_sets(part.column("text").to_pylist(), words)
+            doc = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, table[_slot(h)], doc))
+            pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            take = n - (PART * n + WHOLE - 1) // WHOLE + 1
+            first = np.flatnonzero(pos < np.repeat(take, n))
+            tid = part.column("tid").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[order][first].view(np.int64)), pa.array(tid[doc[first]]), pa.array(n[doc[first]].astype(np.int32)), pa.array(pos[first].astype(np.int32))],
+                ["token", "tid", "n", "pos"],
+            )
+
+    return docs.select("tid", "text").mapInArrow(common.tidy(run), "token bigint, tid bigint, n int, pos int")
+
+
+def bucket_pairs(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of texts (u < v) that share a token, are of different root and may be similar; rows: token, tid, root, n, pos."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
+    if not len(rows):
+        return
+    rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]]  # a text comes once from each task
+
+    def ends(columns: int) -> np.ndarray:
+        """For each row the end of the stretch of rows that agree in token (and root)."""
+        head = np.flatnonzero(np.r_[True, (rows[1:, [0, 2][:columns]] != rows[:-1, [0, 2][:columns]]).any(axis=1)])
+        return np.repeat(np.r_[head[1:], len(rows)], np.diff(np.r_[head, len(rows)]))
+
+    first, last = ends(2), ends(1)
+    after = last - first  # partners of a row: the other roots after its own
+    total, done = np.cumsum(after), 0
+    while done < len(rows):
+        stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + ROWS, "right")))
+        n = after[done:stop]
+        a = np.repeat(np.arange(done, stop), n)
+        b = first[a] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        p, q = rows[a], rows[b]
+        least = (PART * (p[:, 3] + q[:, 3]) + PART + WHOLE - 1) // (PART + WHOLE)  # common hashes needed
+        most = np.minimum(p[:, 3] - p[:, 4], q[:, 3] - q[:, 4])
+        fit = (most >= least) & (WHOLE * np.minimum(p[:, 3], q[:, 3]) >= PART * np.maximum(p[:, 3], q[:, 3]))
+        if fit.any():
+            both = np.sort(np.stack([p[fit, 1], q[fit, 1]], 1), axis=1)
+            yield np.unique(both, axis=0)
+        done = stop
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """u < v: sets of different root that share a token and may be similar by size and place."""
-    dealt = rows.repartition("token").sortWithinPartitions("token")
+    """u < v: texts of different root that share a token and may be similar by size and place."""
+    columns = ["token", "tid", "root", "n", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((0, 5), np.int64)
-        for batch in batches:
-            new = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "key", "root", "n", "pos")], 1)
-            now = np.concatenate([rest, new])
-            last = np.flatnonzero(now[:, 0] != now[-1, 0]) if len(now) else []
-            whole = last[-1] + 1 if len(last) else 0
-            yield from pairs(now[:whole])
-            rest = now[whole:]
-        yield from pairs(rest)
-
-    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)] if len(rows) else np.zeros(0, bool)
-        rows = rows[new]  # texts with one set
-        edges = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]]) if len(rows) else np.zeros(0, np.int64)
-        end = np.repeat(np.r_[edges[1:], len(rows)], np.diff(np.r_[edges, len(rows)]))
-        after = end - np.arange(len(rows)) - 1  # partners of a row are those after it in its bucket
-        done = 0
-        total = np.cumsum(after)
-        while done < len(rows):
-            stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + ROWS, "right")))
-            n = after[done:stop]
-            a = np.repeat(np.arange(done, stop), n)
-            b = a + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            p, q = rows[a], rows[b]
-            least = (PART * (p[:, 3] + q[:, 3]) + PART + WHOLE - 1) // (PART + WHOLE)  # common hashes needed
-            most = np.minimum(p[:, 3] - p[:, 4], q[:, 3] - q[:, 4])
-            fit = (p[:, 2] != q[:, 2]) & (most >= least) & (WHOLE * np.minimum(p[:, 3], q[:, 3]) >= PART * np.maximum(p[:, 3], q[:, 3]))
-            found = np.unique(np.stack([p[fit, 1], q[fit, 1]], 1), axis=0)
-            if len(found):
+        for whole in common.whole_groups(batches, columns, 1):
+            for found in bucket_pairs(whole):
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["u", "v"])
-            done = stop
-
-    return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
 
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar."""
-    pairs = common.materialize(pairs, "near-pairs")
-    named = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
-    needed = common.materialize(sets.select("key", "hashes").join(named, "key", "left_semi").dropDuplicates(["key"]), "near-sets")
-    both = pairs.join(needed.select(F.col("key").alias("u"), F.col("hashes").alias("a")), "u").join(
-        needed.select(F.col("key").alias("v"), F.col("hashes").alias("b")), "v"
-    )
-    common_n, n = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
-    return both.where(WHOLE * common_n >= PART * (n - common_n)).select("u", "v")
+    dealt = rows.select(columns).repartition("token").sortWithinPartitions("token")
+    return dealt.mapInArrow(common.tidy(run), "u bigint, v bigint").distinct()
 
 
-def _stars(sets: DataFrame) -> DataFrame:
-    """u, v: each set with the smallest set of its band."""
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sketches do not rule similarity out; no similar pair is lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [
-                (key, k, int((h.view(np.uint64) * np.uint64(m)).min().view(np.int64)))
-                for key, h in zip(batch.column("key").to_numpy().tolist(), _split(batch.column("hashes")), strict=True)
-                if len(h)
-                for k, m in enumerate(MULTIPLIERS[:BANDS])
-            ]
-            cols = np.array(out, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[:, k].copy()) for k in range(3)], ["key", "band", "least"])
-
-    bands = common.materialize(sets.select("key", "hashes").mapInArrow(run, "key bigint, band bigint, least bigint").distinct(), "near-bands")
-    heads = bands.groupBy("band", "least").agg(F.min("key").alias("u"))
-    return bands.join(heads, ["band", "least"]).where("u <> key").select("u", F.col("key").alias("v")).distinct()
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id (smallest id of all documents linked by similarity, itself included)."""
-    sets = common.materialize(shingle_sets(docs, id_col, text_col), "near-shingles")
-    first = common.materialize(verified(_stars(sets), sets), "near-first")
-    roots = components(first)
-    rows = prefixes(sets, slot_counts(sets)).join(roots.withColumnRenamed("node", "key"), "key", "left")
-    rest = verified(meetings(rows.select("token", "key", F.coalesce("root", "key").alias("root"), "n", "pos")), sets)
-    found = components(first.union(rest))
-    marked = sets.select("doc_id", "key").join(found.withColumnRenamed("node", "key"), "key", "left").select(
-        "doc_id", F.coalesce("root", "key").alias("root")
+            a, b, x, y = (batch.column(c).to_pylist() for c in ("n_u", "n_v", "sketch_u", "sketch_v"))
+            ok = [may_share(p, q, (PART * (n + m) + PART + WHOLE - 1) // (PART + WHOLE)) for n, m, p, q in zip(a, b, x, y, strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    side = [nodes.select(F.col("tid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in ("u", "v")]
+    both = pairs.join(side[0], "u").join(side[1], "v").where(f"{WHOLE} * least(n_u, n_v) >= {PART} * greatest(n_u, n_v)")
+    return both.select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v").mapInArrow(common.tidy(run), "u bigint, v bigint")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The pairs (u, v) whose whole texts are similar."""
+    pairs = common.materialize(possible(pairs, nodes), "near-pairs")
+    named = pairs.select(F.col("u").alias("tid")).union(pairs.select("v")).distinct()
+    texts = common.keep_keys(docs.select("tid", "text"), named, ["tid"]).groupBy("tid").agg(F.first("text").alias("text"))
+    both = pairs.join(texts.select(F.col("tid").alias("u"), F.col("text").alias("a")), "u").join(
+        texts.select(F.col("tid").alias("v"), F.col("text").alias("text")), "v"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _chunks(batches):
+            x, nx = shingle_sets(part.column("a").to_pylist(), words)
+            y, ny = shingle_sets(part.column("text").to_pylist(), words)
+            # a hash that both sets of a pair hold stands twice
+            pair = np.r_[np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)]
+            h = np.r_[x, y]
+            order = np.lexsort((h, pair))
+            h, pair = h[order], pair[order]
+            twice = (h[1:] == h[:-1]) & (pair[1:] == pair[:-1])
+            shared = np.bincount(pair[1:][twice], minlength=len(nx))
+            kept = pa.array(WHOLE * shared >= PART * (nx + ny - shared))
+            yield part.select(["u", "v"]).filter(kept)
+
+    return both.select("u", "v", "a", "text").mapInArrow(common.tidy(run), "u bigint, v bigint")
+
+
+def first_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """u, v: texts of near fingerprints (BK-trees), and each text with the middle one of its bands.
+
+    The middle one has the fingerprint nearest to the majority of bits: of many copies that differ from each other it is
+    the one that most are similar to, so that a group becomes one component without all its pairs.
+    """
+    prints = nodes.groupBy("fp").agg(F.min("tid").alias("first"))
+    near = simhash_dedup.link(common.materialize(prints.select("fp"), "near-prints"), radius)
+    u, v = (prints.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_first")) for x in ("u", "v"))
+    trees = near.join(u, "u").join(v, "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
+    same = nodes.join(prints, "fp").where("tid <> first").select(F.col("first").alias("u"), F.col("tid").alias("v"))
+    bands = nodes.select("tid", "fp", F.posexplode("bands").alias("band", "least"))
+    bit = lambda b: F.shiftright("fp", b).bitwiseAND(F.lit(1))
+    shared = bands.groupBy("band", "least").agg(F.count(F.lit(1)).alias("n"), *(F.sum(bit(b)).alias(f"b{b}") for b in range(64))).where("n > 1")
+    common_bits = functools.reduce(Column.bitwiseOR, (F.when(2 * F.col(f"b{b}") > F.col("n"), F.lit(simhash_dedup.signed(1 << b))).otherwise(F.lit(0).cast("bigint")) for b in range(64)))
+    met = bands.join(shared.select("band", "least", common_bits.alias("middle")), ["band", "least"])
+    away = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
+    heads = met.groupBy("band", "least").agg(F.min(F.struct(away.alias("away"), "tid", "fp")).alias("head"))
+    stars = bands.join(heads, ["band", "least"]).where(
+        (F.col("head.tid") != F.col("tid")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))) <= FAR)
     )
-    named = marked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return marked.join(named, "root").select("doc_id", "component_id")
+    return trees.union(same).union(stars.select(F.col("head.tid").alias("u"), F.col("tid").alias("v"))).select(
+        F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+    ).distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """rid, tid, doc_id, root of every row of docs: rid is a hash of the whole row, tid of its text, root names its group."""
+    rows = with_hashes(docs, id_col, text_col)
+    marked = common.materialize(signed(rows, words), "near-signed")
+    signs = marked.where("range is null").select("rid", "tid", "doc_id", "fp", "n", "bands", "sketch")
+    nodes = common.materialize(signs.select("tid", "fp", "n", "bands", "sketch").dropDuplicates(["tid"]), "near-nodes")
+    first = common.materialize(verified(first_pairs(nodes, radius), nodes, rows, words), "near-first")
+    roots = common.broadcast_if_small(components(first).withColumnRenamed("node", "tid"))
+    tokens = prefixes(rows, slot_counts(marked), words).join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    rest = verified(meetings(tokens), nodes, rows, words)
+    found = components(common.materialize(first.union(rest), "near-links")).withColumnRenamed("node", "tid")
+    return signs.select("rid", "tid", "doc_id").join(found, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+
+
+def with_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """rid, tid, doc_id, text."""
+    return docs.select(
+        F.xxhash64(*docs.columns).alias("rid"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tid"),
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+    )
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group with all its columns: that with the smallest id (null last), then text hash, then row hash.
+
+    Rows that are equal in every column count as one. No text is lost but to a similar one, and the choice does not
+    depend on the order of tasks.
+    """
+    grouped = common.materialize(near_copies(docs, id_col, text_col), "near-groups")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "tid", "rid")
+    best = grouped.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n"))
+    large = best.where("n > 1")
+    member = grouped.join(large, "root")
+    gone = member.where("rid <> best.rid").select("rid").distinct()
+    twice = member.where("rid = best.rid").groupBy("rid").count().where("count > 1").select("rid")  # equal rows
+    rid = F.xxhash64(*docs.columns)
+    named = docs.withColumn("_rid", rid)
+    kept = common.drop_keys(named, gone.union(twice).withColumnRenamed("rid", "_rid"), ["_rid"])
+    once = common.keep_keys(named, twice.withColumnRenamed("rid", "_rid"), ["_rid"]).dropDuplicates(["_rid"])
+    return kept.unionByName(once).drop("_rid")

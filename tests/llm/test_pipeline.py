@@ -6,6 +6,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from swathkit.llm import decontaminate
 from tests.llm.test_operators import brute_repeats, connected, plain_simhash
@@ -42,6 +43,29 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs):
     assert sorted(r.doc_id for r in kept) == sorted(set(groups.values()))
 
 
+def test_language_rejects_texts_of_no_learned_language(spark, docs):
+    strange = frame(spark, [(9100, "γνωστά κείμενα άλλης γλώσσας"), (9101, "日本語 の 文章"), (9102, "ξ" * 40)]).withColumn("lang", F.lit(None).cast("string"))
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(strange), SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
+
+
+def test_language_without_labels_keeps_texts_with_letters(spark):
+    rows = frame(spark, [(1, "some words"), (2, "123 !!"), (3, None), (4, ""), (5, "é")]).withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in corpus_pipeline.language(spark, rows, SF).collect()} == {1, 5}
+    one = frame(spark, [(1, "some words"), (2, "123 !!")])
+    assert {r.doc_id for r in corpus_pipeline.language(spark, one, SF).collect()} == {1}
+
+
+def test_near_dedup_loses_no_text(spark):
+    rng = random.Random(6)
+    a, b, c, d = (words(rng, 40) for _ in range(4))
+    rows = [(1, a), (1, b), (2, a), (None, c), (None, c), (None, a), (7, b + " more"), (8, d), (8, d), (3, None), (4, "")]
+    extra = frame(spark, rows).withColumn("text_hash", F.lit("clash")).repartition(4)
+    for _ in range(2):  # the same on every run
+        got = sorted((str(r.doc_id), r.text or "") for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, extra, SF).collect())
+        assert got == sorted([("1", a), ("1", b), ("None", c), ("8", d), ("3", "")])
+
+
 def test_suffix_dedup_cuts_later_copies(spark):
     rng = random.Random(2)
     passage = words(rng, 60)
