@@ -3,8 +3,8 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
 return the columns of `documents` for the rows that stay; the last returns the token ids of each document.
 
-Documents without an id cannot be named in a decision: language, decontamination and encoding treat them like
-any other, near-dedup keeps them, and suffix dedup cuts them after all documents with an id.
+Documents without an id are treated like any other; in near-dedup and suffix dedup they come after all documents with an
+id. Rows that share an id but not a text are different documents.
 """
 
 from __future__ import annotations
@@ -26,8 +26,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised stay; their lang, where it was null, becomes the recognised one.
 
     Rejected are texts without a letter and those whose score is no better than chance among the learned languages.
+    Where nothing can be learned (no row has a lang) every text with a letter stays; with one language, too.
     """
+    docs = docs.select(COLUMNS)
     model = language_id.train(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     chance = 1 / len(model.langs) if len(model.langs) > 1 else 0.0
     found = language_id.annotate(docs, model)
     sure = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MARGIN * chance))
@@ -36,21 +40,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of op7's fingerprints stays: the one with the smallest id. No stage by itself."""
-    return _smallest(docs, simhash_dedup.near_duplicates(docs))
+    kept = simhash_dedup.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    first = named.groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS), F.xxhash64(*COLUMNS)).alias("row"))
+    return first.select("row.*").unionByName(docs.where("doc_id is null").select(COLUMNS))
 
 
 def similar_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id.
 
-    Near copies are all texts whose five-word shingles have Jaccard similarity 0.8 or more.
+    Near copies are all texts whose five-word shingles have Jaccard similarity 0.8 or more: SimHash BK-trees, then an
+    exact way for what they miss. Rows of one id with different texts are different documents; of several rows with the
+    smallest id of a group, the one with the smallest hash stays; rows without an id come last.
     """
-    return _smallest(docs, near_copies.near_copies(docs))
-
-
-def _smallest(docs: DataFrame, grouped: DataFrame) -> DataFrame:
-    kept = grouped.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
+    return near_copies.keep_first(docs.select(COLUMNS))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
