@@ -127,7 +127,8 @@ def upper_median(df: DataFrame, key: list[str], value: str, width: int) -> DataF
 def supported_pair(df: DataFrame, group: str, block: str, value: str, candidates: DataFrame, width: float) -> DataFrame:
     """The low endpoint that maximises, over groups, the least number of blocks that span [low, low + width]; smallest on ties."""
     ranges = df.groupBy(group, block).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    met = ranges.join(F.broadcast(candidates), (F.col("lo") <= F.col("low")) & (F.col("hi") >= F.col("low") + width))  # a declared list
+    declared = F.array(*(F.lit(float(r["low"])) for r in candidates.collect()))  # a short list
+    met = ranges.withColumn("low", F.explode(F.filter(declared, lambda v: (F.col("lo") <= v) & (F.col("hi") >= v + width))))
     counts = met.groupBy("low", group).agg(F.count("*").alias("blocks"))
     n_groups = df.agg(F.count_distinct(group).alias("n_groups"))
     least = counts.groupBy("low").agg(F.min("blocks").alias("least"), F.count("*").alias("held")).join(F.broadcast(n_groups)).where("held = n_groups")

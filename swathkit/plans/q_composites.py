@@ -118,7 +118,7 @@ _LOOKUPS = ("place", "suppliers", "customers", "orders", "fits", "parts", "event
 @query(
     "r13_results_packet",
     """WITH f AS (SELECT CAST(floor(l_suppkey / CAST(k AS DOUBLE)) AS BIGINT) AS g, k, s_nationkey AS key, block_n, sxy, sxx FROM (SELECT l_suppkey, count(*) AS block_n, regr_sxy(l_extendedprice, l_discount) AS sxy, regr_sxx(l_extendedprice, l_discount) AS sxx FROM lineitem GROUP BY 1) JOIN supplier ON s_suppkey = l_suppkey CROSS JOIN (VALUES (1), (2), (4), (8)) v(k)),
- e AS (SELECT key, k, count(DISTINCT g) AS n_groups, sum(block_n) AS n_cells, sum(sxy) / sum(sxx) AS slope FROM f GROUP BY 1, 2),
+ e AS (SELECT key, k, count(DISTINCT g) AS n_groups, CAST(sum(block_n) AS BIGINT) AS n_cells, sum(sxy) / sum(sxx) AS slope FROM f GROUP BY 1, 2),
  p AS (SELECT n_nationkey AS nation, z.k AS size_km, r_name AS region, s.n AS n_suppliers, c.n AS n_customers, o.n AS n_orders, n_groups, n_cells, round(slope, 4) AS slope, q.n AS n_parts, v.n AS n_events,
  concat_ws('|', CASE WHEN r_name IS NULL THEN 'place' END, CASE WHEN s.n IS NULL THEN 'suppliers' END, CASE WHEN c.n IS NULL THEN 'customers' END, CASE WHEN o.n IS NULL THEN 'orders' END, CASE WHEN n_cells IS NULL THEN 'fits' END, CASE WHEN q.n IS NULL THEN 'parts' END, CASE WHEN v.n IS NULL THEN 'events' END) AS missing
  FROM nation CROSS JOIN (VALUES (1), (2), (4), (8)) z(k) LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN (SELECT s_nationkey AS key, count(*) AS n FROM supplier GROUP BY 1) s ON s.key = n_nationkey
@@ -452,7 +452,12 @@ def r36(t: Tables) -> DataFrame:
     )
 
 
-@query("r32_pass_window_edges")
+@query(
+    "r32_pass_window_edges",
+    """WITH RECURSIVE e AS (SELECT 'b' || block AS a, 'p' || pass AS b FROM {cells} GROUP BY 1, 2 HAVING count(*) >= 5), l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ u AS (SELECT DISTINCT a AS x, a AS y FROM l UNION SELECT u.x, l.b FROM u JOIN l ON l.a = u.y), r AS (SELECT x, min(y) AS root FROM u GROUP BY 1), c AS (SELECT root, count(*) AS n FROM e JOIN r ON r.x = e.a GROUP BY 1)
+ SELECT count(*) AS n_components, max(n) / sum(n) AS share FROM c""",
+)
 def r32(t: Tables) -> DataFrame:
     n = t.cells.groupBy("block", "pass").agg(F.count("*").alias("n")).where("n >= 5")
     edges = n.select(F.concat(F.lit("b"), F.col("block").cast("string")).alias("u"), F.concat(F.lit("p"), "pass").alias("v"))
