@@ -7,15 +7,18 @@ with document offsets, so that numpy can look at all of them at once.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import inspect
 import tempfile
 import unicodedata
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +26,10 @@ LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """A new path below spark.checkpoint.dir; where that is unset, a temporary folder, of local sessions only."""
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="swathkit-"))
     root = spark.conf.get("spark.checkpoint.dir")
     if spark.sparkContext.getCheckpointDir() is None:
@@ -39,6 +44,76 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_KEYS = 1_000_000  #: rows of hashes that are broadcast; more are shuffled
+
+
+def broadcast_if_small(keys: DataFrame) -> DataFrame:
+    """keys (rows of a few longs), written; broadcast if there are at most BROADCAST_KEYS."""
+    keys = materialize(keys, "keys")
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def keep_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of df whose key is in keys (long hashes)."""
+    return df.join(broadcast_if_small(keys), on, "left_semi")
+
+
+def drop_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of df whose key is not in keys (long hashes)."""
+    return df.join(broadcast_if_small(keys), on, "left_anti")
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives free memory back: workers are reused and would keep the most any stage took."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def tidied(run: Callable) -> Callable:
+    """A function of a group (or two, with or without the key), after which the worker gives free memory back."""
+
+    @functools.wraps(run)
+    def tidy_run(*args):
+        try:
+            return run(*args)
+        finally:
+            give_back()
+
+    tidy_run.__signature__ = inspect.signature(run)  # Spark passes the key by the number of parameters
+    return tidy_run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str], n_keys: int) -> Iterator[np.ndarray]:
+    """Sorted batches of longs as arrays that hold whole groups of the first n_keys columns."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], 1)
+        if not len(rows):
+            continue
+        last = np.flatnonzero((rows[:, :n_keys] != rows[-1, :n_keys]).any(axis=1))
+        whole = last[-1] + 1 if len(last) else 0
+        if whole or (held and (held[-1][-1, :n_keys] != rows[0, :n_keys]).any()):
+            yield np.concatenate([*held, rows[:whole]])
+            held = []
+        held.append(rows[whole:])
+    if held:
+        yield np.concatenate(held)
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """Bytes of all texts, nulls as 0."""
     return df.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
@@ -189,6 +264,70 @@ def buffer_of_array(texts: pa.Array | pa.ChunkedArray) -> tuple[bytes, np.ndarra
     return data, offsets - offsets[0]
 
 
+# Odd 64-bit multipliers of the hashes.
+STEP, MIX = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(MIX)
+    return h ^ (h >> np.uint64(29))
+
+
+BYTE_HASHES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(STEP))
+
+
+_powers: dict[int, np.ndarray] = {}
+POWERS_KEPT = 1 << 20
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; up to POWERS_KEPT of them stay in memory."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1), base, np.uint64)
+        known[0] = 1
+        np.cumprod(known, out=known)
+        if n <= POWERS_KEPT:
+            _powers[base] = known
+    return known[:n]
+
+
+def stretch_hashes(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of data: differences of running sums, moved back to the start of the buffer."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_HASHES[np.frombuffer(data, np.uint8)] * powers(STEP, len(data)), out=total[1:])
+    return mixed((total[end] - total[begin]) * powers(pow(STEP, -1, 1 << 64), len(data))[begin])
+
+
+def squeeze(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays end to end in a fixed layout: their sizes, then zstd of their bytes."""
+    parts = [x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in arrays]
+    sizes = np.array([len(parts), *map(len, parts)], "<u4")
+    return sizes.tobytes() + pa.compress(b"".join(parts), codec="zstd", asbytes=True)
+
+
+def expand(payload: bytes, *kinds: type) -> list[np.ndarray]:
+    """The arrays of squeeze(), each as the kind given."""
+    n = int(np.frombuffer(payload, "<u4", 1)[0])
+    sizes = np.frombuffer(payload, "<u4", n, 4).tolist()
+    data = pa.decompress(payload[4 + 4 * n :], decompressed_size=sum(sizes), codec="zstd")
+    at, out = 0, []
+    for size, kind in zip(sizes, kinds, strict=True):
+        out.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
+
+
+def shards_for(total_bytes: int, shard_bytes: int, least: int) -> int:
+    """How many shards a table is dealt to: `least`, and more only beyond least x shard_bytes.
+
+    So what each block sends grows with the input up to there; beyond, rows are at most one per entry sent.
+    """
+    return max(least, -(-total_bytes // shard_bytes))
+
+
 def to_stream(table: pa.Table | pa.RecordBatch) -> bytes:
     """An Arrow stream with zstd buffers."""
     sink = pa.BufferOutputStream()
@@ -202,34 +341,35 @@ def from_streams(payloads: Iterable[bytes]) -> pa.Table:
 
 
 def packed_blocks(
-    docs: DataFrame, n_blocks: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+    docs: DataFrame, block_bytes: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """block, payload: documents dealt over blocks by a hash of the row, packed before they are shuffled.
+    """block, payload: a row per stretch of about block_bytes of text; a longer text is a block of its own.
 
-    A payload is an Arrow stream (doc_id, text, struct of the carried columns if any) with zstd buffers; a block has
-    one from each task and chunk.
+    A payload is an Arrow stream (doc_id, text, struct of the carried columns if any) with zstd buffers. Blocks are
+    numbered by the partition of docs and their place in it, so that equal rows spread like any others; docs must come
+    in the same order if a task is done again, as files do.
     """
     columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
     if carry:
         columns.append(F.struct(*carry).alias("carried"))
-    rows = docs.select(*columns).withColumn(
-        "block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
-    )
-    names = [c for c in rows.columns if c != "block"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            payload = to_stream(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([payload], pa.binary())], ["block", "payload"])
+
         for batch in batches:
-            for part in chunks(batch, "text", 32 << 20):
-                block = part.column("block").to_numpy()
-                order = np.argsort(block, kind="stable")
-                kept = part.select(names).take(pa.array(order))
-                edges = np.r_[0, np.flatnonzero(np.diff(block[order])) + 1, len(order)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(block[order][edges[:-1]], pa.int32()),
-                        pa.array([to_stream(kept.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
-                    ],
-                    ["block", "payload"],
-                )
-
-    return rows.mapInArrow(pack, "block int, payload binary")
+            for part in chunks(batch, "text", max(block_bytes // 8, 1)):
+                n = part.column("text").nbytes
+                if held and size + n > block_bytes:
+                    yield packed()
+                    number, held, size = number + 1, [], 0
+                held.append(part)
+                size += n
+        if held:
+            yield packed()
+
+    return docs.select(*columns).mapInArrow(tidy(pack), "block bigint, payload binary")

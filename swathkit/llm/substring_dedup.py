@@ -38,37 +38,22 @@ from swathkit.llm.suffix_array import window_owners
 
 LENGTH = 50
 GRAM = 24
-BLOCK_BYTES = 8 << 20  #: text bytes per block
+BLOCK_BYTES = 4 << 20  #: text bytes per block
 HOT_BLOCKS = 64
 MAX_RUN = 64  #: windows in a run
-SHARD_BYTES = 3 << 20  #: snippet bytes per suffix array
-PART_BYTES = 1 << 20  #: text bytes hashed at once
+SHARD_TEXT, LEAST_SHARDS = 16 << 20, 128  #: text bytes per shard, and shards at least
+SHARD_BYTES = 2 << 20  #: snippet bytes per suffix array
+PART_BYTES = 1 << 19  #: text bytes hashed at once
 LAST = np.iinfo(np.int64).max
-FACTOR = 0x9E3779B97F4A7C15
-MIX = 0xBF58476D1CE4E5B9
 
 
 def gram_hashes(raw: np.ndarray, width: int) -> np.ndarray:
-    """64-bit polynomial hash of every width bytes, by doubling."""
-    mod = (1 << 64) - 1
-    have, done = 1, None
-    power = raw.astype(np.uint64) + np.uint64(1)
-    bits, total = width, 0
-    while bits:
-        if bits & 1:
-            if done is None:
-                done, total = power, have
-            else:  # `done` covers total bytes, then come have more
-                n = min(len(done), len(power) - total)
-                done = done[:n] * np.uint64(pow(FACTOR, have, 1 << 64)) + power[total : total + n]
-                total += have
-        bits >>= 1
-        if bits:
-            n = len(power) - have
-            power = power[:n] * np.uint64(pow(FACTOR, have, 1 << 64) & mod) + power[have : have + n]
-            have *= 2
-    done = (done ^ (done >> np.uint64(31))) * np.uint64(MIX)
-    return done ^ (done >> np.uint64(29))
+    """64-bit hash of every width bytes: differences of running sums, moved back to the start."""
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(common.BYTE_HASHES[raw] * common.powers(common.STEP, len(raw)), out=total[1:])
+    h = total[width:] - total[:-width]
+    h *= common.powers(pow(common.STEP, -1, 1 << 64), len(raw))[: len(h)]
+    return common.mixed(h)
 
 
 def runs_of(data: bytes, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -193,8 +178,8 @@ class Block:
         place = np.repeat(self.place[self.doc[self.kept]], n)
         gone = at[bits[self.window_bit[flat]] | (place > self.window_least[flat])]
         change = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(change, gone, 1)
-        np.add.at(change, gone + self.length, -1)
+        change[gone] += 1  # each window once
+        change[gone + self.length] -= 1
         covered = np.r_[False, np.cumsum(change[:-1]) > 0, False]
         edge = np.flatnonzero(covered[1:] != covered[:-1])
         start, end = edge[::2], edge[1::2]
@@ -224,14 +209,6 @@ def to_whole_characters(raw: np.ndarray, start: np.ndarray, end: np.ndarray) ->
     return start[start < end], end[start < end]
 
 
-def pack(x: np.ndarray) -> bytes:
-    return zlib.compress(x.tobytes(), 1)
-
-
-def unpack(x: bytes, dtype: type) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), dtype)
-
-
 def send_prints(key: tuple, table: pa.Table, length: int, n_shards: int) -> pa.Table:
     block = Block(table.column("payload").to_pylist(), length, n_shards)
     shard = (block.prints >> np.uint64(32)).astype(np.int64)
@@ -240,7 +217,7 @@ def send_prints(key: tuple, table: pa.Table, length: int, n_shards: int) -> pa.T
     return pa.table(
         {
             "shard": pa.array(heads, pa.int32()),
-            "block": pa.array([key[0].as_py()] * len(heads), pa.int32()),
+            "block": pa.array([key[0].as_py()] * len(heads), pa.int64()),
             "prints": pa.array([low[a:b].tobytes() for a, b in edges], pa.binary()),
         }
     )
@@ -264,7 +241,7 @@ def count_prints(table: pa.Table, hot_blocks: int) -> pa.Table:
             "block": table.column("block"),
             "kind": pa.array([0] * len(lists), pa.int32()),
             "shard": table.column("shard"),
-            "answer": pa.array([pack(code[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
+            "answer": pa.array([common.squeeze(code[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
         }
     )
 
@@ -272,7 +249,7 @@ def count_prints(table: pa.Table, hot_blocks: int) -> pa.Table:
 def answers(table: pa.Table, kind: int, dtype: type) -> np.ndarray:
     """The answers of one kind in order of their shards."""
     rows = table.filter(pc.equal(table.column("kind"), kind)).select(["shard", "answer"]).to_pylist()
-    parts = [unpack(r["answer"], dtype) for r in sorted(rows, key=lambda r: r["shard"])]
+    parts = [common.expand(r["answer"], dtype)[0] for r in sorted(rows, key=lambda r: r["shard"])]
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
@@ -283,23 +260,22 @@ def send_runs(key: tuple, left: pa.Table, right: pa.Table, length: int, n_shards
     payloads = []
     for a, b in edges:
         text, cut = gather(block.raw, block.unit_begin[a:b], block.unit_n[a:b] + length - 1)
-        units = pa.table({"text": common.slices(text.tobytes(), cut), "least": pa.array(block.unit_least[a:b])})
-        payloads.append(common.to_stream(units))
+        payloads.append(common.squeeze(np.diff(cut).astype(np.uint32), block.unit_least[a:b], text))
     return pa.table(
         {
             "shard": pa.array(heads, pa.int32()),
-            "block": pa.array([key[0].as_py()] * len(heads), pa.int32()),
+            "block": pa.array([key[0].as_py()] * len(heads), pa.int64()),
             "units": pa.array(payloads, pa.binary()),
         }
     )
 
 
 def judge_runs(table: pa.Table, length: int) -> pa.Table:
-    parts = [common.from_streams([x]) for x in table.column("units").to_pylist()]
-    units = pa.concat_tables(parts)
-    coded = units.column("text").combine_chunks().dictionary_encode()
+    parts = [common.expand(x, np.uint32, np.int64, np.uint8) for x in table.column("units").to_pylist()]
+    sizes = np.concatenate([p[0] for p in parts]).astype(np.int64)
+    least = np.concatenate([p[1] for p in parts])
+    coded = common.slices(np.concatenate([p[2] for p in parts]).tobytes(), np.r_[0, np.cumsum(sizes)]).dictionary_encode()
     of = coded.indices.to_numpy()
-    least = units.column("least").to_numpy()
     low = np.full(len(coded.dictionary), LAST)
     np.minimum.at(low, of, least)
     data, edges = common.buffer_of_array(coded.dictionary)
@@ -307,13 +283,13 @@ def judge_runs(table: pa.Table, length: int) -> pa.Table:
     owner = window_owners(np.frombuffer(data, np.uint8), edges[:-1], size, low, length, SHARD_BYTES)
     n = size[of] - length + 1
     lower = owner[np.repeat(edges[:-1][of], n) + spread(n)] < np.repeat(least, n)
-    ends = np.cumsum(np.r_[0, n])[np.cumsum([0] + [len(p) for p in parts])]
+    ends = np.cumsum(np.r_[0, n])[np.cumsum([0] + [len(p[0]) for p in parts])]
     return pa.table(
         {
             "block": table.column("block"),
             "kind": pa.array([1] * len(parts), pa.int32()),
             "shard": table.column("shard"),
-            "answer": pa.array([pack(lower[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
+            "answer": pa.array([common.squeeze(lower[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
         }
     )
 
@@ -347,7 +323,7 @@ def cut_documents(left: pa.Table, right: pa.Table, length: int, n_shards: int, w
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS,
+    docs: DataFrame, length: int = LENGTH, block_bytes: int | None = None, hot_blocks: int = HOT_BLOCKS,
     id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), whole_characters: bool = False,
 ) -> DataFrame:
     """doc_id, n_bytes, spans (removed stretches of bytes: start, end), kept (the bytes that stay), carried.
@@ -359,20 +335,20 @@ def remove_repeats(
         raise ValueError(f"length must be over {GRAM}")
     same = {id_col: F.col(id_col).cast("bigint")}
     rows = docs.withColumns(same)
-    n = 1 + common.text_bytes(rows, text_col) // block_bytes
-    blocks = common.packed_blocks(rows, n, id_col, text_col, carry)
+    n = common.shards_for(common.text_bytes(rows, text_col), SHARD_TEXT, LEAST_SHARDS)
+    blocks = common.packed_blocks(rows, block_bytes or BLOCK_BYTES, id_col, text_col, carry)
     kind = T.StructType.fromDDL("doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
     if carry:
         kind = kind.add("carried", rows.select(F.struct(*carry).alias("c")).schema["c"].dataType)
-    answer = "block int, kind int, shard int, answer binary"
+    answer = "block bigint, kind int, shard int, answer binary"
     prints = blocks.groupBy("block").applyInArrow(
-        lambda key, table: send_prints(key, table, length, n), "shard int, block int, prints binary"
+        common.tidied(lambda key, table: send_prints(key, table, length, n)), "shard int, block bigint, prints binary"
     )
-    codes = prints.groupBy("shard").applyInArrow(lambda table: count_prints(table, hot_blocks), answer)
+    codes = prints.groupBy("shard").applyInArrow(common.tidied(lambda table: count_prints(table, hot_blocks)), answer)
     units = blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(
-        lambda key, left, right: send_runs(key, left, right, length, n), "shard int, block int, units binary"
+        common.tidied(lambda key, left, right: send_runs(key, left, right, length, n)), "shard int, block bigint, units binary"
     )
-    bits = units.groupBy("shard").applyInArrow(lambda table: judge_runs(table, length), answer)
+    bits = units.groupBy("shard").applyInArrow(common.tidied(lambda table: judge_runs(table, length)), answer)
     return blocks.groupBy("block").cogroup(codes.union(bits).groupBy("block")).applyInArrow(
-        lambda left, right: cut_documents(left, right, length, n, whole_characters), kind
+        common.tidied(lambda left, right: cut_documents(left, right, length, n, whole_characters)), kind
     )
