@@ -1,11 +1,11 @@
 """BPE encoding and decoding through a table of distinct words.
 
-encode_decode() deals documents over blocks of bounded bytes. Each block lists its distinct
-pretokens once; the lists are shuffled by a hash of the word, so that all copies of a word meet
-in one task, which encodes each distinct word once with the tokenizers library. The ids go back
-to the blocks that listed the word, are joined to the words' positions, and are decoded by
-looking up each id's piece. What is shuffled: packed texts once, and per block its distinct
-words and their ids, never a row per word of a text.
+encode_decode() cuts documents into blocks of bounded bytes. Each block lists its distinct pretokens once; the lists
+are shuffled by a hash of the word, so that all copies of a word meet in one part of the word table, which encodes
+each distinct word once with the tokenizers library. The ids go back to the blocks that listed the word and are joined
+to the words' positions; texts come back by joining each id to its piece. What is shuffled: packed texts once, and per
+block its distinct words and their ids in a fixed layout, never a row per word of a text. A block sends a row per part;
+parts do not grow with blocks up to PART_BYTES x LEAST_PARTS of text, and a row holds one word at least beyond.
 
 Null text is empty: no ids and the text ''. Null and repeated ids keep their rows; an empty
 table gives an empty result; extra columns are dropped. Documents of any length are encoded
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import functools
 import json
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +26,10 @@ from pyspark.sql import functions as F
 
 from swathkit.llm import common
 from swathkit.llm.token_counts import byte_symbols
-from swathkit.llm.token_shards import encoder
+from swathkit.llm.token_shards import WordEncoder, encoder
 
-BLOCK_BYTES = 8 << 20  #: text bytes per block
+BLOCK_BYTES = 4 << 20  #: text bytes per block
+PART_BYTES, LEAST_PARTS = 32 << 20, 64  #: text bytes per part of the word table, and parts at least
 
 
 @functools.lru_cache(2)
@@ -43,14 +43,30 @@ def piece_table(path: str) -> pa.Array:
     return pa.array([pieces.get(i, b"") for i in range(max(pieces) + 1)], pa.binary())
 
 
+def decoded(flat: pa.Array, ends: np.ndarray, tokenizer: str) -> pa.Array:
+    """Texts of id lists end to end: each id is joined to its piece by its place in the table; invalid UTF-8 becomes U+FFFD."""
+    table = piece_table(tokenizer)
+    size = np.diff(np.frombuffer(table.buffers()[1], np.int32)[: len(table) + 1])
+    out = []
+    at = 0
+    while at < len(ends) - 1:  # whole documents, so many that the pieces stay small
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 18), "right")) - 1)
+        ids = flat.slice(ends[at], ends[stop] - ends[at])
+        cut = np.r_[0, np.cumsum(size[ids.to_numpy()])][ends[at : stop + 1] - ends[at]]
+        text = table.take(ids).buffers()[2].to_pybytes() if cut[-1] else b""
+        out += [text[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        at = stop
+    return pa.array(out, pa.string())
+
+
 def decode_ids(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id and decoded text of rows with id arrays, by an id-to-piece lookup; invalid UTF-8 becomes U+FFFD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = piece_table(tokenizer)
         for batch in batches:
-            texts = [b"".join(pieces.take(pa.array(x or [], pa.int64())).to_pylist()).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "decoded"])
+            size = pc.list_value_length(batch.column("ids")).fill_null(0).to_numpy(zero_copy_only=False)
+            texts = decoded(batch.column("ids").flatten(), np.r_[0, np.cumsum(size)].astype(np.int64), tokenizer)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts], ["doc_id", "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(
@@ -58,84 +74,82 @@ def decode_ids(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_c
     )
 
 
-def sorted_words(data: bytes, offsets: np.ndarray, specials: tuple[bytes, ...]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """words_of() with the distinct words in byte order, so that the order of documents does not matter."""
+def words_by_part(data: bytes, offsets: np.ndarray, specials: tuple[bytes, ...], n: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of a block in order of their part: their bytes, sizes and parts; the word at each position; the
+    first position of each document."""
     words, index, first = common.words_of(data, offsets, specials)
-    order = pc.sort_indices(words).to_numpy()
+    text, edges = common.buffer_of_array(words)
+    part = (common.stretch_hashes(text, edges[:-1], edges[1:]) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return words.take(pa.array(order)), place[index], first
-
-
-def part_of(words: pa.Array, n: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w) % n for w in words.to_pylist()), np.int64, len(words))
+    text, _ = common.buffer_of_array(words.take(pa.array(order)))
+    return text, np.diff(edges)[order], part[order], place[index], first
+
+
+def stretches(key: np.ndarray) -> list[tuple[int, int]]:
+    """Where each value of a sorted key starts and ends."""
+    edges = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)].tolist() if len(key) else [0]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def encode_words(lists: list[bytes], enc: WordEncoder) -> list[bytes]:
+    """The ids of lists of words; each word is encoded once however many lists hold it."""
+    parts = [common.expand(x, np.uint32, np.uint8) for x in lists]
+    sizes = np.concatenate([p[0] for p in parts]).astype(np.int64)
+    words = common.slices(np.concatenate([p[1] for p in parts]).tobytes(), np.r_[0, np.cumsum(sizes)]).dictionary_encode()
+    packed = enc.ids(words.dictionary.to_pylist())
+    n = np.fromiter(map(len, packed), np.int64, len(packed)) // enc.dtype.itemsize
+    flat, at = np.frombuffer(b"".join(packed), enc.dtype), np.cumsum(n) - n
+    index, out, done = words.indices.to_numpy(), [], 0
+    for p in parts:
+        own = index[done : done + len(p[0])]
+        done += len(own)
+        k = n[own]
+        ids = flat[np.repeat(at[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+        out.append(common.squeeze(k.astype(np.uint32), ids.astype(np.uint32 if enc.dtype.itemsize == 4 else np.uint16)))
+    return out
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array<int>) and decoded text of every document."""
-    n = 1 + common.text_bytes(docs, text_col) // BLOCK_BYTES
+    n = common.shards_for(common.text_bytes(docs, text_col), PART_BYTES, LEAST_PARTS)
     kind = docs.schema[id_col].dataType.simpleString()
-    blocks = common.packed_blocks(docs, n, id_col, text_col)
+    blocks = common.packed_blocks(docs, BLOCK_BYTES, id_col, text_col)
 
     def list_words(key: tuple, table: pa.Table) -> pa.Table:
         docs_of = common.from_streams(table.column("payload").to_pylist())
-        words, _, _ = sorted_words(*common.buffer_of_array(docs_of.column("text")), encoder(tokenizer).specials)
-        part = part_of(words, n)
-        order = np.argsort(part, kind="stable")
-        words, part = words.take(pa.array(order)), part[order]
-        edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)] if len(part) else np.zeros(1, int)
-        spans = list(zip(edges[:-1], edges[1:], strict=True))
+        text, sizes, part, _, _ = words_by_part(*common.buffer_of_array(docs_of.column("text")), encoder(tokenizer).specials, n)
+        edges, spans = np.r_[0, np.cumsum(sizes)], stretches(part)
         return pa.table(
             {
                 "part": pa.array([part[a] for a, _ in spans], pa.int32()),
-                "block": pa.array([key[0].as_py()] * len(spans), pa.int32()),
-                "words": pa.array([common.to_stream(pa.table({"w": words.slice(a, b - a)})) for a, b in spans], pa.binary()),
+                "block": pa.array([key[0].as_py()] * len(spans), pa.int64()),
+                "words": pa.array([common.squeeze(sizes[a:b].astype(np.uint32), text[edges[a] : edges[b]]) for a, b in spans], pa.binary()),
             }
         )
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(table: pa.Table) -> pa.Table:
+        ids = encode_words(table.column("words").to_pylist(), encoder(tokenizer))
+        return pa.table({"part": table.column("part"), "block": table.column("block"), "ids": pa.array(ids, pa.binary())})
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
         enc = encoder(tokenizer)
-        for batch in batches:
-            out = []
-            for words in batch.column("words").to_pylist():
-                packed = enc.ids(common.from_streams([words]).column("w").to_pylist())
-                ends = np.cumsum([len(p) for p in packed], dtype=np.int64) // enc.dtype.itemsize
-                flat = pa.array(np.frombuffer(b"".join(packed), enc.dtype))
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), flat)
-                out.append(common.to_stream(pa.table({"i": ids})))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("part"), batch.column("block"), pa.array(out, pa.binary())], ["part", "block", "ids"]
-            )
-
-    def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         docs_of = common.from_streams(left.column("payload").to_pylist())
-        words, index, first = sorted_words(*common.buffer_of_array(docs_of.column("text")), encoder(tokenizer).specials)
-        at = np.argsort(part_of(words, n), kind="stable")  # the words as they were sent
-        got = sorted(zip(right.column("part").to_pylist(), right.column("ids").to_pylist(), strict=True))
-        ids = pa.chunked_array([c for _, x in got for c in common.from_streams([x]).column("i").chunks] or [pa.array([], pa.list_(pa.uint16()))])
-        ids = ids.combine_chunks()
-        place = np.empty(len(at), np.int64)
-        place[at] = np.arange(len(at))
-        index = pa.array(place[index])
-        size = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
-        # ids of all words in the order of their positions, then of all documents
-        all_ids = ids.take(index)
-        ends = np.r_[0, np.cumsum(size[index.to_numpy()])][first].astype(np.int32)
-        flat = all_ids.flatten().cast(pa.int32())
-        pieces = piece_table(tokenizer).take(flat)
-        cut = np.frombuffer(pieces.buffers()[1], np.int32)[: len(pieces) + 1] if len(pieces) else np.zeros(1, np.int32)
-        text = pieces.buffers()[2].to_pybytes() if len(pieces) and pieces.buffers()[2] else b""
-        decoded = [text[a:b].decode("utf-8", "replace") for a, b in zip(cut[ends[:-1]], cut[ends[1:]], strict=True)]
+        _, _, _, index, first = words_by_part(*common.buffer_of_array(docs_of.column("text")), enc.specials, n)
+        got = [common.expand(x, np.uint32, enc.dtype) for _, x in sorted(zip(right.column("part").to_pylist(), right.column("ids").to_pylist(), strict=True))]
+        size = np.concatenate([np.zeros(0, np.int64), *(g[0] for g in got)]).astype(np.int64)
+        ids, at = np.concatenate([np.zeros(0, enc.dtype), *(g[1] for g in got)]), np.cumsum(size) - size
+        # ids of all words in the order of their positions, and where each document's end
+        each = size[index]
+        flat = pa.array(ids[np.repeat(at[index] - (np.cumsum(each) - each), each) + np.arange(each.sum())].astype(np.int32))
+        ends = np.r_[0, np.cumsum(each)][first]
         return pa.table(
-            {
-                "doc_id": docs_of.column("doc_id"),
-                "ids": pa.ListArray.from_arrays(pa.array(ends), flat),
-                "decoded": pa.array(decoded, pa.string()),
-            }
+            {"doc_id": docs_of.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat), "decoded": decoded(flat, ends, tokenizer)}
         )
 
-    listed = blocks.groupBy("block").applyInArrow(list_words, "part int, block int, words binary")
-    coded = listed.repartition("part").mapInArrow(encode, "part int, block int, ids binary")
+    listed = blocks.groupBy("block").applyInArrow(common.tidied(list_words), "part int, block bigint, words binary")
+    coded = listed.groupBy("part").applyInArrow(common.tidied(encode), "part int, block bigint, ids binary")
     return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(
-        join, f"doc_id {kind}, ids array<int>, decoded string"
+        common.tidied(join), f"doc_id {kind}, ids array<int>, decoded string"
     )
