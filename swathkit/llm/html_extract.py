@@ -1,11 +1,12 @@
 """Main text of web pages by consensus of a host's pages on where the article is.
 
-Each page is read into containers (sections of the page with a path of tags and classes, digits folded) and
+Each page is read into containers (elements with a path of tags and classes, digits folded, kept as a hash) and
 blocks (paragraphs, headings, list items, cells, loose text). Containers are scored by the characters of the
 blocks they hold, links against them. Spark sums the scores by host and path, and the path with the largest sum
 wins its host. Each page is then read again: its text is that of the containers with the winning path, or of its
-own best container where it has none, without what is marked as menu, header, footer, sidebar, notice, advert,
-form, script, style or reader comment.
+own best container where they hold next to nothing, without what is marked as menu, header, footer, sidebar, notice,
+advert, form, script, style or reader comment. Elements of a kind (nav, footer, script) are always out; a mark by
+class name, role, form or header is void where it holds most of the page's prose.
 
 A block's white space becomes one blank, a line break is white space, and blocks are joined by a newline in
 page order. Votes are partial sums by (host, path), so a host with a third of all pages costs no more; the
@@ -38,88 +39,158 @@ CONTAINERS = frozenset(
 )
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li pre dt dd figcaption caption address summary legend option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style xmp noembed noframes".split())
 DROPPED = frozenset(
-    "nav footer aside form dialog menu search button select textarea datalist output fieldset legend option head title "
+    "nav footer aside dialog menu search button select textarea datalist output legend option head title "
     "noscript template iframe object canvas svg math audio video map".split()
 )
+DOUBTFUL = frozenset("form fieldset header".split())  #: outside the article unless they hold it
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ENDS = {  # what an open element of these kinds ends at
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
+}
 # Words in class and id names that mark what is not the article.
 MARKS = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead topbar footer sidebar aside rail ad ads adv "
     "advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
-    "recommended comment comments commentlist respond reply replies discussion disqus pagination pager widget toolbar "
-    "copyright disclaimer skip search".split()
+    "recommended pagination pager widget toolbar copyright disclaimer skip search".split()
 )
+COMMENTS = frozenset("comment comments commentlist respond reply replies discussion disqus".split())
+MODIFIERS = frozenset("has no with without is not show hide js".split())  #: `has-sidebar` is no sidebar
+OWN_HEADER = frozenset("entry post article story content section".split())  #: `entry-header` is the article's
 ARTICLE = frozenset("article main".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|xmp|noembed|noframes)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<[!?/][^>]*+>"
-    r"|<(?P<tag2>[a-z][^\s/>]*)(?P<attrs2>[^>]*+)>",
-    re.S | re.I,
-)
 ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+QUOTE = re.compile(r"=\s*([\"'])")
+NAME = re.compile(r"[a-z][^\s/>]*", re.I)
 NAME_WORDS = re.compile(r"[a-z]+")
 HUMPS = re.compile(r"(?<=[a-z])(?=[A-Z])")
 DIGITS = re.compile(r"\d+")
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+
+PLAIN, GONE, DOUBT, TALK = range(4)  #: marks: none, never of the article, unless it holds the article, reader comments
+
+
+def pieces(source: str) -> Iterator[tuple[str, str, str]]:
+    """("text", "", text), ("open", tag, attributes) and ("close", tag, "") of a page, in time linear in its length."""
+    at, n = 0, len(source)
+    more = {'"': True, "'": True, ">": True}  # whether another may come; said once, it holds for the rest
+    while at < n:
+        lt = source.find("<", at)
+        if lt < 0 or not more[">"]:
+            break
+        if lt > at:
+            yield "text", "", source[at:lt]
+        if source.startswith("<!--", lt):
+            end = source.find("-->", lt + 4)
+            at = n if end < 0 else end + 3
+            continue
+        close = source.startswith("/", lt + 1)
+        name = NAME.match(source, lt + 1 + close)
+        if not name:
+            if source[lt + 1 : lt + 2] in ("!", "?", "/"):
+                end = source.find(">", lt)
+                at = n if end < 0 else end + 1
+            else:
+                yield "text", "", "<"
+                at = lt + 1
+            continue
+        end = start = name.end()
+        gt = source.find(">", end)
+        while 0 <= gt and (quote := QUOTE.search(source, end, gt)):
+            mark = quote[1]
+            shut = source.find(mark, quote.end()) if more[mark] else -1
+            if shut < 0:
+                more[mark] = False
+                break  # never closed: the tag ends at the first >
+            end = shut + 1
+            if gt < end:
+                gt = source.find(">", end)
+        if gt < 0:
+            more[">"] = source.find(">", start) >= 0
+            gt = source.find(">", start) if more[">"] else -1
+            if gt < 0:
+                at = lt
+                break
+        tag = name[0].lower()
+        at = gt + 1
+        if close:
+            yield "close", tag, ""
+        elif tag in RAW:
+            found = re.compile(f"</{tag}", re.I).search(source, at)
+            end = source.find(">", found.end()) if found else -1
+            at = n if end < 0 else end + 1
+        else:
+            yield "open", tag, source[start:gt]
+    if at < n:
+        yield "text", "", source[at:]
 
 
 class Node:
-    """A container: its parent, path, whether it is outside the article by its marks, and its blocks' characters."""
+    """A container or a marked element: its parent, the hash of its path, its mark, and the characters of its blocks."""
 
-    __slots__ = ("parent", "path", "tag", "out", "own", "total")
+    __slots__ = ("parent", "path", "tag", "mark", "out", "own", "prose", "total", "holds")
 
-    def __init__(self, parent: Node | None, label: str, tag: str, out: bool):
-        self.parent, self.tag, self.out = parent, tag, out
-        self.path = f"{parent.path}/{label}" if parent else label
-        self.own = self.total = 0.0
+    def __init__(self, parent: Node | None, label: str, tag: str, mark: int):
+        import xxhash
+
+        self.parent, self.tag, self.mark = parent, tag, mark
+        self.path = xxhash.xxh64_intdigest(label, parent.path) if parent else 0
+        self.own = self.prose = self.total = 0.0
+        self.holds = tag in ARTICLE or tag == "h1"
+        self.out = False
 
 
 class Page:
-    """Containers and blocks of one page; a block is (container, text, characters in links, outside)."""
+    """Containers and blocks of one page; a block is (container, text, prose characters, its element)."""
 
     def __init__(self, source: str):
-        self.nodes = [Node(None, "", "", False)]
-        self.blocks: list[tuple[Node, str, int, bool]] = []
-        self.stack: list[tuple[str, Node, bool]] = [("", self.nodes[0], False)]  # tag, container, outside
+        self.nodes = [Node(None, "", "", PLAIN)]
+        self.blocks: list[tuple[Node, str, float, str]] = []
+        self.stack: list[tuple[str, Node]] = [("", self.nodes[0])]
+        self.open_blocks: list[int] = [0]  # places of containers and leaves in the stack
+        self.count: dict[str, int] = {}  # open elements by tag
         self.pieces: list[str] = []
         self.link_chars = 0
-        at = 0
-        for m in TOKEN.finditer(source):
-            if m.start() > at:
-                self.text(source[at : m.start()])
-            at = m.end()
-            tag = m["tag"] or m["tag2"]
-            if tag is None:
-                continue
-            tag = tag.lower()
-            if m["close"]:
-                self.close(tag)
+        for kind, tag, rest in pieces(source):
+            if kind == "text":
+                self.text(rest)
+            elif kind == "open":
+                self.open(tag, rest)
             else:
-                self.open(tag, m["attrs"] or m["attrs2"] or "")
-        if at < len(source):
-            self.text(source[at:])
+                self.close(tag)
         self.flush()
-        for node, text, links, out in self.blocks:
-            if not out:
-                node.own += max(0.0, len(text) - 2.0 * links)
+        self.judge()
 
     def text(self, raw: str) -> None:
         self.pieces.append(raw)
-        if any(tag == "a" for tag, _, _ in self.stack):
+        if self.count.get("a"):
             self.link_chars += len(raw.strip())
 
     def flush(self) -> None:
         if self.pieces:
             text = " ".join(entities.unescape("".join(self.pieces)).split())
             if text:
-                _, node, out = self.stack[-1]
-                self.blocks.append((node, text, min(self.link_chars, len(text)), out))
+                leaf = self.stack[self.open_blocks[-1]][0]
+                self.blocks.append((self.stack[-1][1], text, max(0.0, len(text) - 2.0 * self.link_chars), leaf))
             self.pieces, self.link_chars = [], 0
 
+    def push(self, tag: str, node: Node) -> None:
+        if tag in CONTAINERS or tag in LEAVES:
+            self.open_blocks.append(len(self.stack))
+        self.stack.append((tag, node))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def cut(self, k: int) -> None:
+        """Close what is open from place k on."""
+        while len(self.stack) > k:
+            tag, _ = self.stack.pop()
+            self.count[tag] -= 1
+        while self.open_blocks[-1] >= k:
+            self.open_blocks.pop()
+
     def open(self, tag: str, attrs: str) -> None:
         if tag in VOID:
             if tag == "hr":
@@ -127,83 +198,94 @@ class Page:
             elif tag == "br":
                 self.pieces.append("\n")
             return
-        block = tag in CONTAINERS or tag in LEAVES
-        if block:
+        if tag in CONTAINERS or tag in LEAVES:
             self.flush()
             self.end_leaf(tag)
         elif tag == "a":
             self.close("a")
-        _, node, out = self.stack[-1]
-        label, marked = self.label(tag, attrs)
-        if marked and not out:
-            self.flush()  # what is inside is another block
-        out = out or marked
-        if tag in CONTAINERS:
-            node = Node(node, label, tag, out)
+        node = self.stack[-1][1]
+        label, mark = self.label(tag, attrs)
+        if tag in CONTAINERS or mark != PLAIN:
+            self.flush()  # what a marked element holds is another block
+            node = Node(node, label, tag, mark)
             self.nodes.append(node)
+        elif tag == "h1":
+            node.holds = True
         if not attrs.endswith("/") or tag not in ("svg", "math"):
-            self.stack.append((tag, node, out))
-
-    def label(self, tag: str, attrs: str) -> tuple[str, bool]:
-        names, marked, label = [], tag in DROPPED, tag
-        if attrs:
-            for m in ATTR.finditer(attrs):
-                key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if key not in ("class", "id", "role", "hidden", "aria-hidden"):
-                    continue
-                if key == "role":
-                    marked = marked or value.lower() in ROLES
-                elif key == "hidden":
-                    marked = True
-                elif key == "aria-hidden":
-                    marked = marked or value.lower() == "true"
-                else:
-                    mark = "." if key == "class" else "#"
-                    names += [mark + DIGITS.sub("0", x) for x in value.split()]
-                    words = NAME_WORDS.findall(HUMPS.sub(" ", value).lower())
-                    marked = marked or (tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(words))
-            label += "".join(sorted(names))
-        if tag == "header" and not any(t in ARTICLE for t, _, _ in self.stack):
-            marked = True
-        return label, marked
+            self.push(tag, node)
+
+    def label(self, tag: str, attrs: str) -> tuple[str, int]:
+        names, mark, label = [], GONE if tag in DROPPED else PLAIN, tag
+        inside = any(self.count.get(t) for t in ARTICLE)
+        doubt = tag in DOUBTFUL and not (tag == "header" and inside)
+        talk = False
+        for m in ATTR.finditer(attrs) if attrs else ():
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key == "role":
+                doubt = doubt or value.lower() in ROLES
+            elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and NOT_SHOWN.search(value)):
+                mark = GONE
+            elif key in ("class", "id"):
+                for name in value.split():
+                    names.append((".#"[key == "id"]) + DIGITS.sub("0", name))
+                    words = set(NAME_WORDS.findall(HUMPS.sub(" ", name).lower()))
+                    if words & MODIFIERS or tag in ("html", "body"):
+                        continue
+                    talk = talk or bool(words & COMMENTS)
+                    if inside or words & OWN_HEADER:
+                        words.discard("header")
+                    doubt = doubt or (tag not in ARTICLE and bool(words & MARKS))
+        if mark == PLAIN and (talk or doubt):
+            mark = TALK if talk else DOUBT
+        return label + "".join(sorted(names)), mark
 
     def end_leaf(self, tag: str) -> None:
         """An open paragraph (or item, cell, row) ends where the next block or one of its kind begins."""
-        ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
-        for k in range(len(self.stack) - 1, 0, -1):
-            open_tag = self.stack[k][0]
-            if open_tag == "p" or open_tag in ends or (tag[0] == "h" and tag in LEAVES and open_tag in LEAVES and open_tag[0] == "h"):
-                del self.stack[k:]
-                return
-            if open_tag in CONTAINERS or open_tag in LEAVES:
-                return
+        k = self.open_blocks[-1]
+        open_tag = self.stack[k][0]
+        if k and (open_tag == "p" or open_tag in ENDS.get(tag, ()) or (tag in HEADINGS and open_tag in HEADINGS)):
+            self.cut(k)
 
     def close(self, tag: str) -> None:
         inline = tag not in CONTAINERS and tag not in LEAVES
-        for k in range(len(self.stack) - 1, 0, -1):
-            open_tag, _, out = self.stack[k]
-            if open_tag == tag:
-                if not inline or out != self.stack[k - 1][2]:
+        if not self.count.get(tag):
+            if not inline:
+                self.flush()
+            return
+        floor = self.open_blocks[-1] if inline else 0
+        for k in range(len(self.stack) - 1, floor, -1):
+            if self.stack[k][0] == tag:
+                if not inline or self.stack[k][1] is not self.stack[k - 1][1]:
                     self.flush()
-                del self.stack[k:]
+                self.cut(k)
                 return
-            if inline and (open_tag in CONTAINERS or open_tag in LEAVES):
-                return  # an end without a beginning here
-        if not inline:
-            self.flush()
 
-    def scores(self) -> None:
-        """own plus half of what the containers directly inside hold; total of all inside."""
+    def judge(self) -> None:
+        """Which containers are outside the article, and the characters of prose in the others.
+
+        A mark may be void: a form around the page, or a class that names its neighbour, must not take the article away.
+        """
+        for node, _, prose, _ in self.blocks:
+            node.own += prose
+        for node in self.nodes:
+            node.prose = node.own
+        for node in reversed(self.nodes):  # parents come before children
+            if node.parent and node.mark not in (GONE, TALK):
+                node.parent.prose += node.prose
+                node.parent.holds = node.parent.holds or node.holds
+        whole = self.nodes[0].prose
+        for node in self.nodes[1:]:
+            much = node.prose >= (0.3 if node.holds else 0.8) * whole and whole > 0
+            node.out = node.parent.out or node.mark in (GONE, TALK) or (node.mark == DOUBT and not much)
         for node in self.nodes:
-            node.total = node.own
+            node.total = 0.0 if node.out else node.own
         for node in reversed(self.nodes):
             if node.parent and not node.out:
                 node.parent.total += node.total
 
     def best(self) -> tuple[Node, float] | None:
-        """The container with the highest score, taken up to the article around it."""
-        self.scores()
-        score = {id(n): n.own for n in self.nodes}
+        """The container with the highest score (its own prose and half of its parts'), taken up to the article around it."""
+        score = {id(n): n.own for n in self.nodes if not n.out}
         for node in self.nodes:
             if node.parent and not node.out:
                 score[id(node.parent)] += 0.5 * node.own
@@ -214,24 +296,27 @@ class Page:
         if found is None:
             return None
         value = score[id(found)]
-        while (up := found.parent) and up.tag not in ("", "html", "body") and (
-            up.total <= 1.15 * found.total or up.tag == "article"
-        ):
+        while (up := found.parent) and up.tag not in ("", "html", "body") and (up.total <= 2 * found.total or up.tag in ARTICLE):
             found = up
         return found, value
 
-    def extract(self, path: str | None) -> str:
-        """Text of the containers with the path, or of the best container if there is none."""
-        roots = {id(n) for n in self.nodes if n.path == path and not n.out} if path is not None else set()
-        if not roots:
-            found = self.best()
-            if not found:
-                return ""
-            roots = {id(found[0])}
-        inside = {}
+    def extract(self, path: int | None) -> str:
+        """Text of the containers with the path, or with that of the best container if they hold next to nothing."""
+        roots = [n for n in self.nodes if n.path == path and not n.out] if path is not None else []
+        found = self.best()
+        if not found:  # nothing but links: paragraphs of links are text, lists of links are menus
+            return "\n".join(text for node, text, _, leaf in self.blocks if not node.out and (leaf == "p" or leaf in HEADINGS))
+        if sum(n.total for n in roots) < 0.1 * found[0].total:
+            roots = [n for n in self.nodes if n.path == found[0].path and not n.out]
+        own = {id(n) for n in roots}
+        inside: dict[int, bool] = {}
         for node in self.nodes:  # parents come before children
-            inside[id(node)] = id(node) in roots or (node.parent is not None and inside[id(node.parent)])
-        return "\n".join(text for node, text, _, out in self.blocks if not out and inside[id(node)])
+            inside[id(node)] = id(node) in own or (node.parent is not None and inside[id(node.parent)])
+        return "\n".join(text for node, text, _, _ in self.blocks if not node.out and inside[id(node)])
+
+
+def signed(path: int) -> int:
+    return path - (1 << 64) if path >> 63 else path
 
 
 def host_of(url: Column) -> Column:
@@ -248,13 +333,13 @@ def best_paths(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("host"),
-                    pa.array([f[0].path if f else None for f in found], pa.string()),
+                    pa.array([signed(f[0].path) if f else None for f in found], pa.int64()),
                     pa.array([f[1] if f else None for f in found], pa.float64()),
                 ],
                 ["host", "path", "score"],
             )
 
-    return pages.select("host", "html").mapInArrow(run, "host string, path string, score double").where("path is not null")
+    return pages.select("host", "html").mapInArrow(common.tidy(run), "host string, path bigint, score double").where("path is not null")
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
@@ -280,7 +365,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                Page(x or "").extract(path)
+                Page(x or "").extract(None if path is None else path % (1 << 64))
                 for x, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
@@ -288,4 +373,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             )
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "path").mapInArrow(run, f"page_id {kind}, url string, text string")
+    return joined.select("page_id", "url", "html", "path").mapInArrow(common.tidy(run), f"page_id {kind}, url string, text string")
