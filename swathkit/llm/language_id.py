@@ -1,141 +1,209 @@
 """Language identification by word-first backoff.
 
-train() counts words per language in Spark over a bounded sample of labelled documents and keeps
-the most frequent ones; tables of character n-grams come from those words. predict() scores every
-word of a whole text: a known word by its log frequency in each language, an unseen one by its
-longest known character n-grams, trying ever shorter ones. The language with the largest mean wins.
-
-The bounds are parameters: max_rows labelled rows to learn from (all of them if there are fewer),
-max_words words and max_grams n-grams per language and length, so the broadcast model is bounded by
-languages x (max_words + 5 x max_grams) entries however large the corpus is.
-
-Null text or text without a letter gives `und` with score 0. Null labels are not learned from;
-without any label every text is `und`. Ties go to the language first in alphabetical order. Null and
-repeated ids keep their rows; extra columns are dropped; an empty table gives an empty result.
+train() counts words per language in Spark over a bounded sample of labelled documents, and from them character
+n-grams. predict() scores every word of a whole text: a known word by its log frequency in each language, an unseen
+one by its longest known n-grams, trying ever shorter ones. The language with the largest mean wins.
+
+The bound is a parameter: about max_rows labelled rows of each language (all of them if there are fewer), chosen by a
+64-bit hash of id and text, so that rare languages are learned too and equal ids do not matter. All words and n-grams
+of the sample are kept, as sorted 64-bit hashes with a score per language, so the broadcast model is bounded by the
+sample however large the corpus is.
+
+Null text or text without a letter gives `und` with score 0. Null labels are not learned from; without any label every
+text is `und`. Ties go to the language first in alphabetical order. Null and repeated ids keep their rows; extra columns
+are dropped; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import pickle
-import zlib
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from swathkit.llm import common
 
-MAX_ROWS = 20_000  #: labelled rows to learn from, about
-MAX_WORDS = 20_000  #: words per language
-MAX_GRAMS = 10_000  #: n-grams per language and length
+MAX_ROWS = 3_000  #: labelled rows to learn from, about, of each language
 LONGEST_GRAM = 5
-CACHE_WORDS = 300_000
+CHUNK = 1 << 20  #: text bytes scored at once
 UNKNOWN = "und"
+# Odd 64-bit multipliers of the hashes.
+STEP, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+@dataclass
+class Table:
+    """Sorted hashes of words, or n-grams of one length, and their log frequency in each language."""
+
+    keys: np.ndarray
+    scores: np.ndarray
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes in the table, -1 where they are not."""
+        if not len(self.keys):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, at, -1)
 
 
 @dataclass
 class Model:
-    """Log frequencies per language of known words and of n-grams by length."""
+    """A table for words (size 0) and for n-grams of each length."""
 
     langs: list[str]
-    words: dict[bytes, int] = field(default_factory=dict)
-    grams: dict[str, int] = field(default_factory=dict)
-    word_scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
-    gram_scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
-
-    def score(self, word: bytes) -> np.ndarray:
-        """Log frequency of a lower-case word in each language."""
-        if (k := self.words.get(word)) is not None:
-            return self.word_scores[k]
-        text = f"<{word.decode('utf-8', 'replace')}>"
-        for n in range(min(LONGEST_GRAM, len(text)), 0, -1):
-            known = [k for i in range(len(text) - n + 1) if (k := self.grams.get(text[i : i + n])) is not None]
-            if known:
-                return self.gram_scores[known].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+    tables: dict[int, Table] = field(default_factory=dict)
+
+    def score(self, cps: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Log frequencies in each language of words whose code points lie end to end."""
+        out = np.zeros((len(edges) - 1, len(self.langs)), np.float32)
+        if not self.langs or not len(out):
+            return out
+        at = self.tables[0].find(word_hashes(cps, edges))
+        out[at >= 0] = self.tables[0].scores[at[at >= 0]]
+        todo = np.flatnonzero(at < 0)
+        for size in range(LONGEST_GRAM, 0, -1):
+            if not len(todo):
+                break
+            h, word = gram_hashes(*only(cps, edges, todo), size)
+            at = self.tables[size].find(h)
+            word, at = word[at >= 0], at[at >= 0]
+            n = np.bincount(word, minlength=len(todo))
+            for k in range(len(self.langs)):
+                total = np.bincount(word, self.tables[size].scores[at, k], len(todo))
+                out[todo[n > 0], k] = (total[n > 0] / n[n > 0]).astype(np.float32)
+            todo = todo[n == 0]
+        return out
+
+
+def only(cps: np.ndarray, edges: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the words, end to end."""
+    n = (edges[1:] - edges[:-1])[which]
+    new = np.r_[0, np.cumsum(n)]
+    return cps[np.repeat(edges[which] - new[:-1], n) + np.arange(new[-1])], new
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(MIX)
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(cps: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A hash of each word's code points (a word has one at least)."""
+    if len(edges) < 2:
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(cps)) - np.repeat(edges[:-1], np.diff(edges))
+    each = mixed((cps.astype(np.uint64) + np.uint64(1)) * np.uint64(STEP) + place.astype(np.uint64))
+    return mixed(np.add.reduceat(each, edges[:-1]))
+
+
+def gram_hashes(cps: np.ndarray, edges: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-grams of the words with a mark at both ends, and the word of each."""
+    n = np.diff(edges)
+    word = np.repeat(np.arange(len(n)), n + 2)
+    marked = np.ones(len(word), np.uint64)  # no letter has this code
+    marked[np.arange(len(cps)) + 2 * np.repeat(np.arange(len(n)), n) + 1] = cps
+    if len(word) < size:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    m = len(word) - size + 1
+    h = np.zeros(m, np.uint64)
+    for k in range(size):
+        h = h * np.uint64(STEP) + marked[k : k + m]
+    whole = word[:m] == word[size - 1 :]
+    return mixed(h[whole]), word[:m][whole]
 
 
 def words_column(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
 
 
-def train(
-    labelled: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS,
-    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-) -> Model:
-    """Learn from rows with a non-null label; the sample is chosen by a hash of the id."""
-    rows = labelled.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
-    ).where("lang is not null and text is not null")
-    total = rows.count()
-    share = min(1.0, max_rows / max(total, 1))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000)))
-    counts = sample.select("lang", F.explode(words_column(F.col("text"))).alias("word")).groupBy("lang", "word").count()
-    best = W.partitionBy("lang").orderBy(F.desc("count"), "word")
-    kept = counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= max_words)
-    return build((r["lang"], r["word"], r["count"]) for r in kept.select("lang", "word", "count").collect())
-
-
-def build(counts: Iterator[tuple[str, str, int]], max_grams: int = MAX_GRAMS) -> Model:
-    """Model from (language, word, count) rows."""
-    by_word: dict[str, Counter] = defaultdict(Counter)
-    for lang, word, n in counts:
-        by_word[lang][word] += n
-    langs = sorted(by_word)
-    if not langs:
-        return Model([])
-    words = sorted({w for c in by_word.values() for w in c})
-    model = Model(langs, {w.encode(): k for k, w in enumerate(words)})
-    model.word_scores = log_frequencies([by_word[x] for x in langs], words)
-    by_gram: list[Counter] = []
-    for lang in langs:
-        grams: Counter = Counter()
-        for word, n in by_word[lang].items():
-            text = f"<{word}>"
-            for size in range(1, min(LONGEST_GRAM, len(text)) + 1):
-                for i in range(len(text) - size + 1):
-                    grams[text[i : i + size]] += n
-        per_size: dict[int, list] = defaultdict(list)
-        for gram, n in grams.items():
-            per_size[len(gram)].append((-n, gram))
-        by_gram.append(Counter({g: -n for found in per_size.values() for n, g in sorted(found)[:max_grams]}))
-    grams_known = sorted({g for c in by_gram for g in c})
-    model.grams = {g: k for k, g in enumerate(grams_known)}
-    model.gram_scores = np.zeros((len(grams_known), len(langs)), np.float32)
-    for size in range(1, LONGEST_GRAM + 1):
-        own = [g for g in grams_known if len(g) == size]
-        if own:
-            only = [Counter({g: c[g] for g in own if g in c}) for c in by_gram]
-            model.gram_scores[[model.grams[g] for g in own]] = log_frequencies(only, own)
-    return model
+def hash_bound(wanted: int, total: int) -> int:
+    """Signed 64-bit hashes below it are about `wanted` of `total`."""
+    if wanted >= total:
+        return (1 << 63) - 1
+    return -(1 << 63) + (wanted << 64) // total
 
 
-def log_frequencies(by_lang: list[Counter], keys: list[str]) -> np.ndarray:
-    """log((count + 1/2) / (total + keys/2)) of each key in each language."""
-    out = np.empty((len(keys), len(by_lang)), np.float32)
-    for k, counts in enumerate(by_lang):
-        n = np.fromiter((counts.get(x, 0) for x in keys), np.float64, len(keys))
-        out[:, k] = np.log((n + 0.5) / (n.sum() + 0.5 * len(keys)))
-    return out
+def sample(rows: DataFrame, max_rows: int) -> DataFrame:
+    """About max_rows rows of each lang (columns doc_id, text, lang), or all if there are fewer."""
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    if not totals:
+        return rows
+    bounds = F.create_map(*(F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, hash_bound(max_rows, n))))
+    return rows.where(F.xxhash64("doc_id", "text") <= F.element_at(bounds, F.col("lang")))
 
 
-_models: dict[int, tuple[Model, dict[bytes, np.ndarray]]] = {}
+def count_grams(words: DataFrame) -> DataFrame:
+    """lang, size, h, n: n-grams of (lang, word, count) rows; size 0 is the word itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, count = batch.column("lang"), batch.column("count").to_numpy()
+            for size, h, word in all_hashes(batch.column("word").to_pylist()):
+                yield pa.RecordBatch.from_arrays(
+                    [lang.take(pa.array(word)), pa.array(np.full(len(h), size, np.int32)), pa.array(h.view(np.int64)), pa.array(count[word])],
+                    ["lang", "size", "h", "n"],
+                )
+
+    made = words.select("lang", "word", "count").mapInArrow(common.tidy(run), "lang string, size int, h bigint, n bigint")
+    return made.groupBy("lang", "size", "h").agg(F.sum("n").alias("n"))
+
+
+def all_hashes(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    cps = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+    edges = np.cumsum([0, *map(len, words)])
+    yield 0, word_hashes(cps, edges), np.arange(len(words))
+    for size in range(1, LONGEST_GRAM + 1):
+        yield size, *gram_hashes(cps, edges, size)
 
 
-def loaded(payload: bytes) -> tuple[Model, dict[bytes, np.ndarray]]:
-    """The model of a broadcast payload and the scores of words seen by this worker."""
-    key = zlib.crc32(payload)
-    if key not in _models:
-        _models.clear()
-        _models[key] = (pickle.loads(payload), {})
-    return _models[key]
+def train(
+    labelled: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> Model:
+    """Learn from a sample of the rows with a non-null label."""
+    rows = labelled.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
+    ).where("lang is not null")
+    words = sample(rows, max_rows).select("lang", F.explode(words_column(F.col("text"))).alias("word"))
+    return assemble(count_grams(words.groupBy("lang", "word").count()).toArrow())
+
+
+def build(counts: Iterable[tuple[str, str, int]]) -> Model:
+    """Model from (language, word, count) rows."""
+    counts = list(counts)
+    n = np.array([c for _, _, c in counts], np.int64)
+    lang = np.array([x for x, _, _ in counts], object)
+    parts = [
+        pa.table({"lang": pa.array(lang[word].tolist(), pa.string()), "size": pa.array(np.full(len(h), size)), "h": pa.array(h.view(np.int64)), "n": pa.array(n[word])})
+        for size, h, word in all_hashes([w for _, w, _ in counts])
+    ]
+    return assemble(pa.concat_tables(parts))
+
+
+def assemble(counts: pa.Table) -> Model:
+    """Model from counts of hashes: log((count + 1/2) / (total + keys / 2)) of each key in each language."""
+    coded = counts.column("lang").combine_chunks().dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    langs = coded.dictionary.to_pylist()
+    order = sorted(range(len(langs)), key=langs.__getitem__)
+    rank = np.empty(len(langs), np.int64)
+    rank[order] = np.arange(len(langs))
+    lang = rank[coded.indices.to_numpy()] if langs else np.zeros(0, np.int64)
+    size, h, n = (counts.column(c).to_numpy() for c in ("size", "h", "n"))
+    model = Model([langs[k] for k in order])
+    for s in range(LONGEST_GRAM + 1):
+        own = size == s
+        keys, at = np.unique(h[own].view(np.uint64), return_inverse=True)
+        table = np.zeros((len(keys), len(langs)))
+        np.add.at(table, (at, lang[own]), n[own])
+        model.tables[s] = Table(keys, np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * max(len(keys), 1))).astype(np.float32))
+    return model
 
 
 def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -147,10 +215,10 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     docs = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = loaded(payload.value)
+        own = pickle.loads(payload.value)
         for batch in batches:
-            for part in common.chunks(batch, text_col):
-                mean, n = mean_scores(own, seen, part.column(text_col).to_pylist())
+            for part in common.chunks(batch, text_col, CHUNK):
+                mean, n = mean_scores(own, part.column(text_col).to_pylist())
                 if own.langs:
                     odds = np.exp(mean - mean.max(axis=1, keepdims=True))
                     best = odds.argmax(axis=1)
@@ -164,7 +232,7 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 )
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.tidy(run), schema)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,31 +241,24 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return annotate(rows, model).drop("text")
 
 
-def mean_scores(model: Model, seen: dict[bytes, np.ndarray], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def mean_scores(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Mean log frequencies of each text's words per language, and its number of words."""
-    data, offsets = common.buffer_of((t or "").lower() for t in texts)
-    n_docs = len(offsets) - 1
-    if not data:
+    lower = [(t or "").lower() for t in texts]
+    ends = np.cumsum([0, *map(len, lower)])
+    n_docs = len(lower)
+    cps = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), "<u4")
+    if not len(cps):
         return np.zeros((n_docs, len(model.langs))), np.zeros(n_docs, np.int64)
-    cps, at = common.code_points(data)
     letter = common.class_table()[cps] == common.LETTER
-    edge = np.empty(len(cps), bool)
-    edge[0] = True
-    np.not_equal(letter[1:], letter[:-1], out=edge[1:])
-    edge[np.searchsorted(at, offsets[:-1][offsets[:-1] < len(data)])] = True
+    edge = letter.copy()
+    edge[1:] &= ~letter[:-1]
+    at_start = ends[:-1][ends[:-1] < len(cps)]
+    edge[at_start] = letter[at_start]
     starts = np.flatnonzero(edge)
-    runs = common.slices(data, np.r_[at[starts], len(data)]).filter(pa.array(letter[starts]))
-    doc = np.searchsorted(offsets, at[starts][letter[starts]], "right") - 1
+    word_of = np.cumsum(edge)[letter] - 1
+    n_chars = np.bincount(word_of, minlength=len(starts))
+    doc = np.searchsorted(ends, starts, "right") - 1
     n = np.bincount(doc, minlength=n_docs)
-    coded = runs.dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    if len(seen) + len(words) > CACHE_WORDS:
-        seen.clear()
-    table = np.zeros((len(words), len(model.langs)))
-    for k, w in enumerate(words):
-        if (s := seen.get(w)) is None:
-            s = seen[w] = model.score(w)
-        table[k] = s
-    index = coded.indices.to_numpy()
-    total = np.stack([np.bincount(doc, table[index, c], n_docs) for c in range(len(model.langs))], 1) if model.langs else np.zeros((n_docs, 0))
+    each = model.score(cps[letter], np.r_[0, np.cumsum(n_chars)])
+    total = np.stack([np.bincount(doc, each[:, c], n_docs) for c in range(len(model.langs))], 1) if model.langs else np.zeros((n_docs, 0))
     return total / np.maximum(n, 1)[:, None], n
