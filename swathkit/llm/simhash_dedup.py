@@ -9,7 +9,7 @@ into BLOCKS blocks: two linked fingerprints agree in at least BLOCKS - radius wh
 many blocks deals the fingerprints into shards that together see every link. A shard's fingerprints form a
 BK-tree (children keyed by Hamming distance to the parent); a search follows only edges within the radius.
 The trees stay where their shard was shuffled to: broadcast trees would grow with the corpus. Shards are
-distinct fingerprints only, and one larger than SPLIT is cut again by its free bits, exactly. A shard emits a
+distinct fingerprints only, and one larger than SPLIT is dealt again by its free bits, exactly. A shard emits a
 spanning set of its links, never all pairs; components.components() joins them.
 
 Null text counts as empty. Null ids keep their rows and never become a component's id unless no member has
@@ -34,12 +34,14 @@ RADIUS = 2
 BLOCKS = 5
 SPLIT = 2_048  #: fingerprints in a tree
 SEED = 42
+CHUNK = 1 << 20  #: text bytes hashed at once
 
 
-def shingle_hashes(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles, text after text, and how many each text has."""
-    import xxhash
+PIECE = 1 << 16  #: hashes looked at together
 
+
+def word_spans(texts: list[str | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of the texts in lower case (A-Z only) with a blank after each, their starts and ends, and how many each text has."""
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     raw = np.frombuffer(b" ".join(parts) + b" ", np.uint8).copy()
     raw[(raw >= 65) & (raw <= 90)] += 32
@@ -48,38 +50,49 @@ def shingle_hashes(texts: list[str | None], words: int = WORDS) -> tuple[np.ndar
     after_word = np.r_[False, ~blank[:-1]]
     starts = np.flatnonzero(~blank & ~after_word)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(parts), np.int64)
+        return b"", starts, starts, np.zeros(len(parts), np.int64)
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     doc_start = np.r_[0, np.cumsum(size + 1)[:-1]]
     first = np.searchsorted(starts, np.r_[doc_start, len(raw)])  # word numbers
     keep = ~blank | after_word  # one blank after each word
     text = raw[keep].tobytes()
-    place = np.cumsum(keep) - 1
-    begin = place[starts]
-    end = np.r_[begin[1:], len(text)] - 1
-    n_words = np.diff(first)
+    begin = np.cumsum(keep)[starts] - 1
+    return text, begin, np.r_[begin[1:], len(text)] - 1, np.diff(first)
+
+
+def shingle_hashes(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles, text after text, and how many each text has."""
+    import xxhash
+
+    text, begin, end, n_words = word_spans(texts)
     n = np.where(n_words > 0, np.maximum(n_words - words + 1, 1), 0)
-    at = np.cumsum(n) - n
-    left = np.arange(n.sum()) - np.repeat(at - first[:-1], n)
-    right = np.minimum(left + words, np.repeat(first[1:], n)) - 1
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(text[a:b], SEED) for a, b in zip(begin[left].tolist(), end[right].tolist(), strict=True)], np.uint64)
+    first, at = np.cumsum(n_words) - n_words, np.cumsum(n) - n
+    digest, h = xxhash.xxh64_intdigest, np.empty(n.sum(), np.uint64)
+    left = np.arange(len(h)) - np.repeat(at - first, n)
+    right = np.minimum(left + words, np.repeat(first + n_words, n)) - 1
+    for k in range(0, len(h), PIECE):
+        a, b = begin[left[k : k + PIECE]].tolist(), end[right[k : k + PIECE]].tolist()
+        h[k : k + PIECE] = [digest(text[x:y], SEED) for x, y in zip(a, b, strict=True)]
     return h, n
 
 
-def simhashes(texts: list[str | None], words: int = WORDS) -> np.ndarray:
-    """Unsigned 64-bit fingerprints."""
-    h, n = shingle_hashes(texts, words)
-    out = np.zeros(len(texts), np.uint64)
+def majority_bits(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each text, with n hashes each, the bits set in over half of its hashes."""
+    out = np.zeros(len(n), np.uint64)
     if not len(h):
         return out
-    at = np.cumsum(n) - n
-    has = n > 0
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, at[has], axis=0, dtype=np.int32)
-    set_bits = (2 * ones > n[has][:, None]).astype(np.uint8)
-    out[has] = np.packbits(set_bits, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    doc = np.repeat(np.arange(len(n)), n)
+    ones = np.zeros((len(n), 64), np.int64)
+    for k in range(0, len(h), PIECE):
+        bits = np.unpackbits(h[k : k + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        head = np.flatnonzero(np.r_[True, np.diff(doc[k : k + PIECE]) > 0])
+        ones[doc[k : k + PIECE][head]] += np.add.reduceat(bits, head, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def simhashes(texts: list[str | None], words: int = WORDS) -> np.ndarray:
+    """Unsigned 64-bit fingerprints."""
+    return majority_bits(*shingle_hashes(texts, words))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,13 +100,13 @@ def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.chunks(batch, "text"):
+            for part in common.chunks(batch, "text", CHUNK):
                 fp = simhashes(part.column("text").to_pylist(), words).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, fp bigint"
+        common.tidy(run), f"doc_id {kind}, fp bigint"
     )
 
 
@@ -175,43 +188,50 @@ def spanning_links(values: list[int], radius: int, free: int, split: int = SPLIT
     return out
 
 
-def link(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """u, v: spanning links among the distinct values of column fp."""
+def link(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, split: int = SPLIT) -> DataFrame:
+    """u, v: spanning links among the distinct values of column fp (a table: it is read more than once)."""
     choices = keep_masks(radius, blocks)
-    signed = [int(np.array(m, np.uint64).view(np.int64)) for m in choices]
+    held = F.array(*(F.lit(signed(m)) for m in choices))
     dealt = distinct.select(
-        "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("choice", "shard")
-    ).repartition("choice", "shard").sortWithinPartitions("choice", "shard")
+        "fp", F.posexplode(F.transform(held, lambda m: F.col("fp").bitwiseAND(m))).alias("choice", "shard")
+    )
+    # a shard too large for a tree is cut by blocks of its free bits: two linked values agree in one of them
+    size = dealt.groupBy("choice", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split)
+    hot = common.materialize(size.select("choice", "shard"), "hot-shards")
+    if hot.isEmpty():
+        return trees(dealt.withColumns({"part": F.lit(0), "bits": F.lit(0).cast("bigint")}), choices, radius, split)
+    cut = [masks([b for b in range(64) if not m >> b & 1], radius + 1) for m in choices]
+    parts = F.element_at(F.array(*(F.array(*(F.lit(signed(x)) for x in row)) for row in cut)), F.col("choice") + 1)
+    cold = common.drop_keys(dealt, hot, ["choice", "shard"]).withColumns({"part": F.lit(0), "bits": F.lit(0).cast("bigint")})
+    large = common.keep_keys(dealt, hot, ["choice", "shard"]).select(
+        "fp", "choice", "shard", F.posexplode(F.transform(parts, lambda m: F.col("fp").bitwiseAND(m))).alias("part", "bits")
+    )
+    return trees(cold.unionByName(large.withColumn("part", F.col("part") + 1)), choices, radius, split)
+
+
+def trees(dealt: DataFrame, choices: list[int], radius: int, split: int) -> DataFrame:
+    """u, v of the BK-tree of each (choice, shard, part, bits)."""
+    key = ["choice", "shard", "part", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((0, 3), np.int64)
-        for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("choice", "shard", "fp")], 1)
-            rows = np.concatenate([rest, rows])
-            last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
-            whole = last[-1] + 1 if len(last) else 0
-            yield links_of(rows[:whole])
-            rest = rows[whole:]
-        yield links_of(rest)
+        for rows in common.whole_groups(batches, [*key, "fp"], len(key)):
+            yield links_of(rows)
 
     def links_of(rows: np.ndarray) -> pa.RecordBatch:
-        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-        if len(rows):
-            edges = np.r_[0, np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1, len(rows)]
-            size = np.diff(edges)
-            two = edges[:-1][size == 2]
-            a, b = rows[two, 2], rows[two + 1, 2]
-            near = np.bitwise_count((a ^ b).view(np.uint64)) <= radius
-            found.append(np.stack([a[near], b[near]], 1))
-            for k in np.flatnonzero(size > 2):
-                values = rows[edges[k] : edges[k + 1], 2].view(np.uint64).tolist()
-                free = ~choices[rows[edges[k], 0]] & (2**64 - 1)
-                pairs = spanning_links(values, radius, free)
-                found.append(np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64))
-        out = np.concatenate(found)
+        edges = np.r_[0, np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1, len(rows)]
+        found: list[tuple[int, int]] = []
+        for k in np.flatnonzero(np.diff(edges) > 1):
+            values = rows[edges[k] : edges[k + 1], 4].copy().view(np.uint64).tolist()
+            free = ~choices[rows[edges[k], 0]] & (2**64 - 1)
+            found += spanning_links(values, radius, free, split)
+        out = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], ["u", "v"])
 
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(common.tidy(run), "u bigint, v bigint")
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def near_duplicates(
