@@ -10,13 +10,15 @@ characters, is broadcast, and makes one narrow pass over the documents, so neith
 is emitted before it is verified, and the broadcast does not grow with either table. Every document is
 searched whole.
 
-A null or empty text holds nothing. Items that are null or shorter than min_chars normalised characters are no
-evidence and match nothing. Repeated items and documents give repeated rows; ties of distance go to the first
+A null or empty text holds nothing. Items shorter than min_chars normalised characters match as whole words and
+without edits (an edit more or less would make another short item); items without a letter or digit match nothing. An
+item of any length is searched whole: its distance takes as many machine words as its length needs. Repeated items and documents give repeated rows; ties of distance go to the first
 place. Empty tables give an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -26,9 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from swathkit.llm import common
+
 ERROR_RATE = 0.08  #: edits per character of an item
-MIN_CHARS = 20
-BLOCK_CHARS = 4_000_000  #: characters of items per broadcast
+MIN_CHARS = 20  #: items of fewer characters match as whole words without an edit
+BLOCK_CHARS = 2_000_000  #: characters of items per broadcast
 
 _folded = re.compile(r"[\W_]+").sub
 
@@ -43,15 +47,18 @@ def pieces(n: int, errors: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
 
 
-def myers(pattern: str, text: str) -> tuple[int, int]:
-    """Smallest edit distance of the pattern to any stretch of the text, and the first end where it is reached."""
+def myers(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
+    """Smallest edit distance of the pattern to any stretch of the text, and the first end where it is reached.
+
+    anchored: to any stretch that starts where the text starts.
+    """
     m = len(pattern)
     full, top = (1 << m) - 1, 1 << (m - 1)
     at: dict[str, int] = {}
     for i, c in enumerate(pattern):
         at[c] = at.get(c, 0) | 1 << i
     plus, minus, score = full, 0, m
-    best, end = m, 0
+    best, end, enters = m, 0, int(anchored)
     for j, c in enumerate(text):
         eq = at.get(c, 0)
         vertical = eq | minus
@@ -64,7 +71,7 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
             score -= 1
         if score < best:
             best, end = score, j + 1
-        up = (up << 1) & full
+        up = ((up << 1) | enters) & full
         down = (down << 1) & full
         plus = down | (~(vertical | up) & full)
         minus = up & vertical
@@ -74,13 +81,14 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 class Matcher:
     """Items of one block and the automaton of their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int):
         import ahocorasick
 
         self.items, self.errors = items, [int(len(t) * error_rate) for _, t in items]
+        self.short = [len(t) < min_chars for _, t in items]  # whole words, no edits
         owners: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text) in enumerate(items):
-            for a, b in pieces(len(text), self.errors[k]):
+            for a, b in pieces(len(text), 0 if self.short[k] else self.errors[k]):
                 owners.setdefault(text[a:b], []).append((k, a))
         self.automaton = ahocorasick.Automaton()
         for piece, where in owners.items():
@@ -89,18 +97,23 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, distance, start of the verified window, end of the match) of each item found in a normalised text."""
+        """(item, distance, start and end of the match) of each item found in a normalised text."""
         windows: dict[int, list[list[int]]] = {}
+        whole: dict[int, int] = {}
         for end, (size, where) in self.automaton.iter(text):
             for k, a in where:
                 begin = end + 1 - size - a
+                if self.short[k]:
+                    if (begin == 0 or text[begin - 1] == " ") and (end + 1 == len(text) or text[end + 1] == " "):
+                        whole.setdefault(k, begin)
+                    continue
                 left, right = max(0, begin - self.errors[k]), begin + len(self.items[k][1]) + self.errors[k]
                 spans = windows.setdefault(k, [])
                 if spans and left <= spans[-1][1] and left >= spans[-1][0]:
                     spans[-1][1] = max(spans[-1][1], right)
                 else:
                     spans.append([left, right])
-        found = []
+        found = [(k, 0, begin, begin + len(self.items[k][1])) for k, begin in whole.items()]
         for k, spans in windows.items():
             pattern = self.items[k][1]
             if (exact := text.find(pattern)) >= 0:
@@ -108,22 +121,41 @@ class Matcher:
                 continue
             best = min((d, left, left + e) for left, right in spans for d, e in [myers(pattern, text[left:right])])
             if best[0] <= self.errors[k]:
-                found.append((k, *best))
+                distance, left, end = best
+                _, back = myers(pattern[::-1], text[left:end][::-1], anchored=True)
+                found.append((k, distance, end - back, end))
         return found
 
 
-def item_blocks(benchmark: DataFrame, min_chars: int, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+_matchers: dict[str, Matcher] = {}
+
+
+def matcher_of(block: list[tuple[int, str]], digest: str, error_rate: float, min_chars: int) -> Matcher:
+    """The automaton of a block, made once by a worker; it keeps one."""
+    if digest not in _matchers:
+        _matchers.clear()
+        _matchers[digest] = Matcher(block, error_rate, min_chars)
+    return _matchers[digest]
+
+
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """Normalised items in blocks of BLOCK_CHARS; the driver holds a block at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [normalize(t) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(texts, pa.string())], ["i", "t"])
+
+    kind = benchmark.schema[item_col].dataType.simpleString()
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"i {kind}, t string").where("t <> ''")
     block: list[tuple[int, str]] = []
     size = 0
-    for row in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        text = normalize(row["t"])
-        if len(text) < min_chars:
-            continue
-        if block and size + len(text) > BLOCK_CHARS:
+    for row in items.toLocalIterator():
+        if block and size + len(row["t"]) > BLOCK_CHARS:
             yield block
             block, size = [], 0
-        block.append((row["i"], text))
-        size += len(text)
+        block.append((row["i"], row["t"]))
+        size += len(row["t"])
     if block:
         yield block
 
@@ -134,7 +166,7 @@ def mark_leaks(
 ) -> DataFrame:
     """All columns of docs (but an earlier `leaks`) with leaks: an array of item_id, distance, match_start, match_end.
 
-    Places are in the normalised text; match_start is that of the verified window, at most 2k before the match.
+    Places are in the normalised text.
     """
     docs = docs.drop("leaks")
     plain, item = docs.schema, benchmark.schema[item_col].dataType
@@ -144,11 +176,12 @@ def mark_leaks(
     out = docs.withColumn("leaks", F.array().cast(T.ArrayType(hit)))
     schema = T.StructType([*plain.fields, T.StructField("leaks", T.ArrayType(hit))])
     arrow = to_arrow_type(T.ArrayType(hit))
-    for block in item_blocks(benchmark, min_chars, item_col, item_text_col):
+    for block in item_blocks(benchmark, item_col, item_text_col):
+        digest = hashlib.sha256(repr((block, error_rate, min_chars)).encode("utf-8", "surrogatepass")).hexdigest()
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, error_rate)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, digest=digest) -> Iterator[pa.RecordBatch]:
+            matcher = matcher_of(shared.value, digest, error_rate, min_chars)
             for batch in batches:
                 texts, before = batch.column(text_col), batch.column("leaks").to_pylist()
                 found = []
@@ -160,7 +193,7 @@ def mark_leaks(
                 kept = [batch.column(c) for c in plain.names]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(found, arrow)], [*plain.names, "leaks"])
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(common.tidy(run), schema)
     return out
 
 
