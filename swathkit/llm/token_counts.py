@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from swathkit.llm import common
 
-CACHE_WORDS = 600_000  #: counts kept by a worker before it starts anew
+CACHE_WORDS, CACHE_LONGEST = 200_000, 64  #: counts kept by a worker before it starts anew, and bytes of the longest word kept
 
 
 class MergeCounter:
@@ -43,7 +43,9 @@ class MergeCounter:
         if (known := self.counts.get(word)) is None:
             if len(self.counts) >= CACHE_WORDS:
                 self.counts = {s: 1 for s in self.specials}
-            known = self.counts[word] = len(word) - self.merges(word)
+            known = len(word) - self.merges(word)
+            if len(word) <= CACHE_LONGEST:
+                self.counts[word] = known
         return known
 
     def merges(self, word: bytes) -> int:
@@ -91,7 +93,7 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
         for batch in batches:
-            for part in common.chunks(batch, "text"):
+            for part in common.chunks(batch, "text", 2 << 20):
                 data, offsets = common.buffer_of(part.column("text").to_pylist())
                 words, index, first = common.words_of(data, offsets, count.specials)
                 each = np.fromiter(map(count.of, words.to_pylist()), np.int64, len(words))
@@ -104,5 +106,5 @@ def count_tokens(
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean"
+        common.tidy(run), f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean"
     )
