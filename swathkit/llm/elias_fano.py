@@ -62,6 +62,43 @@ class EliasFano:
             low = (span >> (from_bit & 7)) & ((1 << self.width) - 1)
         return ((at - i) << self.width) | low
 
+    def select_many(self, which: np.ndarray) -> np.ndarray:
+        """The values at the places `which`, each from its entry of the sampled table and the bytes after it."""
+        which = np.asarray(which, np.int64)
+        if not len(which):
+            return np.zeros(0, np.int64)
+        if which.min() < 0 or which.max() >= self.n:
+            raise IndexError("no such place")
+        high = np.frombuffer(self.high, np.uint8)
+        at = np.frombuffer(self.samples, "<u4")[which // SAMPLE].astype(np.int64)
+        left, byte = which % SAMPLE, at >> 3
+        word = high[byte] & (0xFF << (at & 7)) & 0xFF
+        live = np.arange(len(which))
+        while len(live):
+            ones = np.bitwise_count(word[live].astype(np.uint8)).astype(np.int64)
+            live, ones = live[ones <= left[live]], ones[ones <= left[live]]
+            left[live] -= ones
+            byte[live] += 1
+            word[live] = high[byte[live]]
+        out = ((byte << 3) + BYTE_SELECT[word, left] - which) << self.width
+        if self.width:
+            low = np.frombuffer(self.low, np.uint8)
+            bits = which[:, None] * self.width + np.arange(self.width)
+            out |= ((low[bits >> 3] >> (bits & 7)) & 1).astype(np.int64) @ (1 << np.arange(self.width, dtype=np.int64))
+        return out
+
+
+def byte_select() -> np.ndarray:
+    """Place of the k-th set bit of each byte (row), 0 where there is none."""
+    table = np.zeros((256, 8), np.int64)
+    for byte in range(256):
+        for k, bit in enumerate(b for b in range(8) if byte >> b & 1):
+            table[byte, k] = bit
+    return table
+
+
+BYTE_SELECT = byte_select()
+
 
 def low_width(n: int, universe: int) -> int:
     return max(0, (universe // n).bit_length() - 1) if n else 0

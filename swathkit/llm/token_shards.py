@@ -29,7 +29,8 @@ from swathkit.llm import common
 from swathkit.llm.elias_fano import EliasFano
 
 PARTITION_BYTES = 16 << 20  #: text bytes per range partition
-CACHE_WORDS = 600_000
+CHUNK_BYTES = 4 << 20  #: text bytes per chunk
+CACHE_WORDS, CACHE_LONGEST = 150_000, 64  #: words kept by a worker, and bytes of the longest one kept
 CHUNK = (
     "part int, chunk int, doc_ids array<bigint>, n_docs bigint, n_ids bigint, id_bytes int, ids binary, "
     "ends_low binary, ends_high binary, ends_samples binary"
@@ -55,14 +56,18 @@ class WordEncoder:
 
     def ids(self, words: list[bytes]) -> list[bytes]:
         """The packed ids of each pretoken."""
-        if len(self.known) + len(words) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS:
             self.known = {}
         new = [w for w in words if w not in self.known]
+        fresh: dict[bytes, bytes] = {}
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, self.dtype).tobytes() for e in coded), strict=True))
-        return [self.known[w] for w in words]
+            fresh.update(zip(part, (np.array(e.ids, self.dtype).tobytes() for e in coded), strict=True))
+        out = [fresh[w] if w in fresh else self.known[w] for w in words]
+        room = CACHE_WORDS - len(self.known)
+        self.known.update([x for x in fresh.items() if len(x[0]) <= CACHE_LONGEST][: max(room, 0)])
+        return out
 
 
 @functools.lru_cache(2)
@@ -99,7 +104,7 @@ def write_token_shards(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, chunk, part = encoder(tokenizer), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for piece in common.chunks(batch, "text"):
+            for piece in common.chunks(batch, "text", CHUNK_BYTES):
                 ids, ends = encode_chunk(enc, piece.column("text").to_pylist(), end_id)
                 ef = EliasFano.encode(ends, len(ids))
                 yield pa.RecordBatch.from_pydict(
@@ -113,7 +118,7 @@ def write_token_shards(
                 )
                 chunk += 1
 
-    rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, CHUNK).write.option(
+    rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(common.tidy(run), CHUNK).write.option(
         "compression", "zstd"
     ).parquet(path)
 
@@ -125,7 +130,8 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ends = EliasFano(row["n_docs"], row["n_ids"], row["ends_low"], row["ends_high"], row["ends_samples"]).values()
+                ends = EliasFano(row["n_docs"], row["n_ids"], row["ends_low"], row["ends_high"], row["ends_samples"])
+                ends = ends.select_many(np.arange(ends.n))
                 starts = np.r_[0, ends[:-1]]
                 wide = np.frombuffer(row["ids"], f"<u{row['id_bytes']}").astype("<u4")
                 crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -138,7 +144,7 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     docs = chunk_rows.mapInArrow(
-        run, "part int, chunk int, doc_id bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint"
+        common.tidy(run), "part int, chunk int, doc_id bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint"
     )
     sums = chunk_rows.select("part", "chunk", "n_ids")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row per range partition
@@ -160,7 +166,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 ef = EliasFano(row["n_docs"], row["n_ids"], row["ends_low"], row["ends_high"], row["ends_samples"])
                 ids = np.frombuffer(row["ids"], f"<u{row['id_bytes']}").astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ef.values()].astype(np.int32)), pa.array(ids))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ef.select_many(np.arange(ef.n))].astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), lists], ["doc_id", "ids"])
 
-    return spark.read.schema(CHUNK).parquet(path).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spark.read.schema(CHUNK).parquet(path).mapInArrow(common.tidy(run), "doc_id bigint, ids array<int>")
