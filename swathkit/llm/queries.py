@@ -15,7 +15,10 @@ from swathkit.llm import (
     fingerprints,
     html_extract,
     language_id,
+    lattice_score,
+    ranked_search,
     simhash_dedup,
+    source_divergence,
     substring_dedup,
     token_counts,
     token_shards,
@@ -24,6 +27,7 @@ from swathkit.llm import (
 )
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +102,20 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.pmod(common.crc32_of_id(), F.lit(7)) == 2, F.lit(False))
+    scored = lattice_score.score(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_shards": op2_token_shards,
@@ -109,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_fingerprints": op9_fingerprints,
     "op10_html_text": op10_html_text,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_lattice_score": op12_lattice_score,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 _FIVE = " || ".join(
@@ -119,4 +140,30 @@ ORACLE_SQL: dict[str, str] = {
     "op3_warc_store": f"""SELECT page_id, bytes AS payload_bytes, translate({_FIVE}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
  FROM (SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)""",
+    "op11_source_divergence": """WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+ o AS (SELECT d, lang, source, unnest(terms) AS term FROM d),
+ k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+ s AS (SELECT DISTINCT lang, source FROM d),
+ v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+ c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+ n AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+ p AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (coalesce(total, 0) + 2 * v) AS p
+  FROM s JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN n USING (lang, source)),
+ q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 2)) // (any_value(total) + 2 * any_value(v)) AS q FROM c JOIN v USING (lang)
+  JOIN (SELECT lang, sum(total) AS total FROM n GROUP BY lang) USING (lang) GROUP BY lang, term),
+ f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+ term AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+ SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM (FROM pair UNION ALL FROM term)
+ QUALIFY part = 'pair' OR rank <= 10""",
+    "op13_ranked_search": """WITH d AS (SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+ i AS (SELECT item_id, row_number() OVER () AS i, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+ t AS (SELECT count(*)::BIGINT AS n, sum(len(terms))::BIGINT AS l FROM d WHERE len(terms) > 0),
+ o AS (SELECT d, doc_id, len(terms) AS n, term, count(*)::BIGINT AS tf FROM (SELECT d, doc_id, terms, unnest(terms) AS term FROM d) GROUP BY ALL),
+ w AS (SELECT term, CAST(floor(1000 * ln((2 * t.n + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM o, t GROUP BY term, t.n),
+ s AS (SELECT i, item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * o.n * t.n) // t.l))))::BIGINT AS score FROM i JOIN o USING (term) JOIN w USING (term), t GROUP BY ALL)
+ SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0
+ QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) <= 10""",
 }
