@@ -92,20 +92,6 @@ def concentration(shares: DataFrame) -> DataFrame:
     return whole.join(top)  # one row each
 
 
-def spearman(df: DataFrame, a: str, b: str, key: list[str]) -> DataFrame:
-    """Pearson and Spearman correlation per key with n >= 3, over rows where both are there; ties share mean ranks."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-
-    def mean_rank(c: str) -> Column:
-        return F.rank().over(W.partitionBy(*key).orderBy(c)) + (F.count("*").over(W.partitionBy(*key, c)) - 1) / 2.0
-
-    ranked = both.withColumns({"__ra": mean_rank(a), "__rb": mean_rank(b)})
-    n = F.count("*")
-    return ranked.groupBy(*key).agg(
-        n.alias("n"), F.when(n >= 3, F.corr(a, b)).alias("pearson"), F.when(n >= 3, F.corr("__ra", "__rb")).alias("spearman")
-    )
-
-
 def upper_median(df: DataFrame, key: list[str], value: str, width: int) -> DataFrame:
     """The element at place floor(n / 2) (from 0) of each key's values in order.
 

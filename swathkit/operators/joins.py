@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathkit.functions import clock
-from swathkit.operators.contracts import require_empty, require_unique
+from swathkit.operators.contracts import ContractError, require_empty, require_unique
 from swathkit.sources.files import written
 
 DAY_US = 86_400_000_000
@@ -160,6 +162,18 @@ def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str,
     return out.select(query_id, F.col("__best.__p").alias("nearest_id"), F.sqrt("__best.__d2").alias("distance"))
 
 
+MOST_SCENARIOS = 1_000_000  #: scenarios are declared by a person; more are a mistake
+
+
+def scenarios(axes: list[DataFrame]) -> DataFrame:
+    """The product of the axes' distinct values (one column each), which are few: their number is checked first."""
+    values = [[r[0] for r in a.distinct().limit(MOST_SCENARIOS + 1).collect()] for a in axes]
+    if math.prod(map(len, values)) > MOST_SCENARIOS:
+        raise ContractError("axes have too many values for scenarios")
+    spark, schema = axes[0].sparkSession, ", ".join(f"{a.columns[0]} {a.dtypes[0][1]}" for a in axes)
+    return spark.createDataFrame(sorted(itertools.product(*values), key=repr), schema)
+
+
 def trailing_totals(points: DataFrame, hourly: DataFrame, key: list[str], time: str, hour: str, value: str, hours: int) -> DataFrame:
     """Sum of the closed hours before each point's hour; null unless every hour is there and not negative.
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from swathkit.operators import ranks
+
 TOLERANCE = 1e-10
 
 
@@ -26,7 +28,7 @@ def drawn_place(n: Column, *parts: Column) -> Column:
 
 def numbered(groups: DataFrame, label: str) -> DataFrame:
     """Adds place: 0, 1, .. in order of the label's text; labels are distinct, one row each."""
-    return groups.withColumn("place", F.row_number().over(W.orderBy(F.col(label).cast("string"))).cast("bigint") - 1)
+    return ranks.placed(groups.withColumn("__text", F.col(label).cast("string")), ["__text"]).drop("__text")
 
 
 def multiplicities(spark: SparkSession, n: int, replicates: int, seed: int) -> DataFrame:

@@ -15,13 +15,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from swathkit.operators import resampling
+from swathkit.operators import resampling, tsqr
 from swathkit.operators.contracts import ContractError, require_columns, require_finite
 from swathkit.sources.files import written
 
-TOLERANCE = 1e-10
-
-
 def centred_products(df: DataFrame, block: str, predictors: list[str], outcomes: list[str], weight: str | None = None, also: list[str] | None = None) -> DataFrame:
     """Per block: n, w, xx_i_j (i <= j) and xy_i_k: weighted sums of products of values centred on the block's means."""
     w = F.col(weight) if weight else F.lit(1.0)
@@ -63,19 +60,6 @@ class Moments:
         xx = np.array([[value(f"xx_{min(i, j)}_{max(i, j)}") for j in range(p)] for i in range(p)])
         return xx, np.array([[value(f"xy_{i}_{o}") for o in range(k)] for i in range(p)])
 
-    @functools.cached_property
-    def arrays(self) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Labels, xx (G, p, p) and xy (G, p, k) of few groups, for inspection."""
-        rows = self.table.orderBy("g").toPandas()
-        p, k = len(self.predictors), len(self.outcomes)
-        xx = np.stack([np.stack([rows[f"xx_{min(i, j)}_{max(i, j)}"].to_numpy(float) for j in range(p)], 1) for i in range(p)], 1)
-        xy = np.stack([np.stack([rows[f"xy_{i}_{o}"].to_numpy(float) for o in range(k)], 1) for i in range(p)], 1)
-        return rows["g"].tolist(), xx, xy
-
-    labels = property(lambda self: self.arrays[0])
-    xx = property(lambda self: self.arrays[1])
-    xy = property(lambda self: self.arrays[2])
-
 
 def gather(products: DataFrame, group: str, predictors: list[str], outcomes: list[str]) -> Moments:
     """Block moments summed by group (blocks may not cross groups), written for the passes that follow."""
@@ -84,28 +68,47 @@ def gather(products: DataFrame, group: str, predictors: list[str], outcomes: lis
     return Moments(written(summed, "moments"), predictors, outcomes)
 
 
-def keep_independent(xx: np.ndarray) -> list[int]:
-    """Predictors to keep: context terms by pivoted Cholesky of their scaled Gram matrix; the first is always kept.
+SURE = 1e-6  #: a pivot of X'X (for columns of length one) above which its columns are surely independent
 
-    The first predictor is protected: if it depends on the kept context the fit is refused, never rescued by
-    dropping a context term.
-    """
+
+def clearly_independent(xx: np.ndarray) -> bool:
+    """Whether X'X alone shows that no column depends on the others; it holds half the digits, so a small pivot says nothing."""
     norms = np.sqrt(np.diag(xx))
-    if norms[0] <= 1e-12:
-        raise ContractError("no within-group variation of the protected predictor")
-    left = [j for j in range(1, len(xx)) if norms[j] > 1e-12]
-    gram = xx / np.where(norms > 0, norms, 1)[:, None] / np.where(norms > 0, norms, 1)[None, :]
-    rest, kept = gram.copy(), []
-    while left:
-        j = max(left, key=lambda a: rest[a, a])
-        if rest[j, j] <= TOLERANCE:
-            break
-        kept.append(j)
-        left.remove(j)
-        rest = rest - np.outer(rest[:, j], rest[j, :]) / rest[j, j]
-    if rest[0, 0] <= TOLERANCE:
-        raise ContractError("protected predictor is not identifiable")
-    return [0, *sorted(kept)]
+    if (norms <= 1e-12).any():
+        return False
+    values = np.linalg.eigvalsh(xx / np.outer(norms, norms))
+    return bool(values[0] > SURE)
+
+
+def centred_rows(df: DataFrame, block: str, columns: list[str], weight: str | None = None, also: list[str] | None = None) -> DataFrame:
+    """Rows with the columns less their (weighted) block means, times the root of the weight; block and `also` are kept."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    means = df.groupBy(block).agg(*((F.sum(w * F.col(c)) / F.sum(w)).alias(f"__m_{c}") for c in columns))
+    return df.join(means, block).select(block, *(also or []), *(((F.col(c) - F.col(f"__m_{c}")) * F.sqrt(w)).alias(c) for c in columns))
+
+
+def fit_by_qr(df: DataFrame, block: str, group: str, predictors: list[str], outcomes: list[str], weight: str | None = None) -> Fit:
+    """fit() by another way: QR factors of the centred rows in place of sums of products; ranks are decided on R.
+
+    Two passes over the written rows: the factors, then the influence of each group on the first coefficient.
+    """
+    rows = written(centred_rows(df, block, [*predictors, *outcomes], weight, [group] if group != block else None), "centred")
+    r = tsqr.r_factor(rows, [*predictors, *outcomes])
+    keep = tsqr.independent(r[:, : len(predictors)])
+    beta, first = tsqr.solve(r, keep, len(outcomes))
+    names = [predictors[i] for i in keep]
+    along = sum((F.col(c) * float(v) for c, v in zip(names, first, strict=True)), F.lit(0.0))
+    left = [F.col(o) - sum((F.col(c) * float(b) for c, b in zip(names, beta[:, k], strict=True)), F.lit(0.0)) for k, o in enumerate(outcomes)]
+    by = rows.groupBy(group).agg(F.count("*").alias("n"), *(F.sum(along * e).alias(f"s{k}") for k, e in enumerate(left)))
+    total = by.agg(F.count("*").alias("g"), F.sum("n").alias("n"), *(F.sum(F.col(f"s{k}") * F.col(f"s{k}")).alias(f"m{k}") for k in range(len(outcomes)))).first()
+    blocks = df.select(block).distinct().count()
+    groups, n = int(total["g"]), int(total["n"] or 0)
+    dof = n - blocks - len(keep)
+    if groups < 2 or dof <= 0:
+        raise ContractError("too few groups or residual degrees of freedom")
+    se = np.sqrt(np.array([float(total[f"m{k}"]) for k in range(len(outcomes))]) * groups / (groups - 1) * (n - 1) / dof)
+    removed = [c for i, c in enumerate(predictors) if i not in keep]
+    return Fit(names, beta, se, {"n": n, "blocks": blocks, "groups": groups, "rank": len(keep), "dof": dof, "removed": removed})
 
 
 @dataclass
@@ -117,12 +120,14 @@ class Fit:
 
 
 def fit(m: Moments) -> Fit:
-    """Weighted fixed-effect OLS with clustered standard errors of the first predictor.
+    """Weighted fixed-effect OLS with clustered standard errors of the first predictor, of independent predictors.
 
     Two aggregates over the groups: their sums, then the squares of the first coefficient's influence.
     """
     xx_all, xy_all = m.total
-    keep = keep_independent(xx_all)
+    keep = list(range(len(m.predictors)))
+    if not clearly_independent(xx_all):
+        raise ContractError("predictors may depend on each other: fit_frame() decides that on the rows")
     norms = np.sqrt(np.diag(xx_all))[keep]
     inverse = np.linalg.inv(xx_all[np.ix_(keep, keep)] / np.outer(norms, norms)) / np.outer(norms, norms)
     beta = inverse @ xy_all[keep]
@@ -149,22 +154,10 @@ def fit(m: Moments) -> Fit:
 
 def bootstrap_table(m: Moments, replicates: int, seed: int, keep: list[int] | None = None) -> DataFrame:
     """rep, outcome, coef of whole-group multinomial refits; coef is null where a draw is rank-deficient."""
-    keep = keep or keep_independent(m.total[0])
     sums = resampling.resampled_sums(m.table, "g", m.names, replicates, seed)
     return resampling.coefficients(sums, len(m.predictors), len(m.outcomes), keep)
 
 
-def bootstrap(m: Moments, replicates: int, seed: int, keep: list[int] | None = None) -> tuple[np.ndarray, int]:
-    """bootstrap_table() as an array (R, p, k), NaN where the draw is rank-deficient, and how many are."""
-    rows = bootstrap_table(m, replicates, seed, keep).collect()
-    width = max((len(r["coef"]) for r in rows if r["coef"]), default=1)
-    out = np.full((replicates, width, len(m.outcomes)), np.nan)
-    for r in rows:
-        if r["coef"]:
-            out[r["rep"], :, r["outcome"]] = r["coef"]
-    return out, int(np.isnan(out[:, 0, 0]).sum())
-
-
 def joint_bootstrap(populations: list[Moments], replicates: int, seed: int) -> DataFrame:
     """rep, population, outcome, coef under one multiplicity of each group for all populations (absent groups add nothing)."""
     both, names = None, []
@@ -180,9 +173,12 @@ def joint_bootstrap(populations: list[Moments], replicates: int, seed: int) -> D
 
 
 def fit_frame(df: DataFrame, block: str, group: str, predictors: list[str], outcomes: list[str], weight: str | None = None) -> tuple[Fit, Moments]:
-    """Check, aggregate and fit; group may equal block, otherwise a block lies in one group."""
+    """Check, aggregate and fit; group may equal block, otherwise a block lies in one group.
+
+    Where the products leave open whether predictors depend on each other, the rows decide: fit_by_qr().
+    """
     require_columns(df, [block, group, *predictors, *outcomes, *([weight] if weight else [])])
     require_finite(df, [*predictors, *outcomes])
     products = centred_products(df, block, predictors, outcomes, weight, [group] if group != block else None)
     m = gather(products, group, predictors, outcomes)
-    return fit(m), m
+    return (fit(m) if clearly_independent(m.total[0]) else fit_by_qr(df, block, group, predictors, outcomes, weight)), m

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swathkit.functions import bits
-from swathkit.operators import aggregates, design, grid
+from swathkit.operators import aggregates, design, grid, ranks
 from swathkit.plans.registry import Tables, query, rounded
 
 
@@ -54,10 +54,11 @@ def a9(t: Tables) -> DataFrame:
     "SELECT event_type, round(median(value), 4) AS mid, round(quantile_cont(abs(value - 50), 0.95), 4) AS abs95, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1",
 )
 def a10(t: Tables) -> DataFrame:
-    v = F.col("value")
-    return t.events.groupBy("event_type").agg(
-        F.round(F.median(v), 4).alias("mid"), F.round(F.percentile(F.abs(v - 50), 0.95), 4).alias("abs95"), F.min(v).alias("lo"), F.max(v).alias("hi")
-    )
+    e = t.events.select("event_type", "value", F.abs(F.col("value") - 50).alias("away"))
+    mid = ranks.quantile_columns(e, ["event_type"], "value", {"mid": 0.5})
+    far = ranks.quantile_columns(e, ["event_type"], "away", {"abs95": 0.95})
+    ends = e.groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return rounded(ends.join(mid, "event_type").join(far, "event_type"), 4, skip=("lo", "hi"))
 
 
 @query(
@@ -231,7 +232,7 @@ def a34(t: Tables) -> DataFrame:
  rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0 AS rb FROM lineitem) GROUP BY 1""",
 )
 def a36(t: Tables) -> DataFrame:
-    return rounded(aggregates.spearman(t.lineitem, "l_quantity", "l_extendedprice", ["l_returnflag"]))
+    return rounded(ranks.rank_correlation(t.lineitem, ["l_returnflag"], "l_quantity", "l_extendedprice"))
 
 
 @query(
@@ -241,10 +242,10 @@ def a36(t: Tables) -> DataFrame:
  SELECT max(p10) AS low, min(p90) AS high FROM (SELECT k, quantile_cont(l_discount, 0.1) AS p10, quantile_cont(l_discount, 0.9) AS p90 FROM g GROUP BY 1)""",
 )
 def a37(t: Tables) -> DataFrame:
-    e = t.lineitem.agg(F.percentile("l_quantity", F.array(F.lit(1.0 / 3), F.lit(2.0 / 3))).alias("e"))
-    third = F.when(F.col("l_quantity") <= F.col("e")[0], 0).when(F.col("l_quantity") <= F.col("e")[1], 1).otherwise(2)
+    e = ranks.quantile_columns(t.lineitem, [], "l_quantity", {"a": 1.0 / 3, "b": 2.0 / 3})
+    third = F.when(F.col("l_quantity") <= F.col("a"), 0).when(F.col("l_quantity") <= F.col("b"), 1).otherwise(2)
     groups = t.lineitem.join(F.broadcast(e)).withColumn("k", third)  # e is one row
-    return aggregates.span(groups, ["k"], "l_discount").agg(F.max("p10").alias("low"), F.min("p90").alias("high"))
+    return ranks.quantile_columns(groups, ["k"], "l_discount", {"p10": 0.1, "p90": 0.9}).agg(F.max("p10").alias("low"), F.min("p90").alias("high"))
 
 
 @query("a40_upper_median", "SELECT user_id, list_sort(list(epoch_us(ts)))[CAST(floor(count(*) / 2.0) AS BIGINT) + 1] AS middle FROM events GROUP BY 1")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathkit.functions import clock, ident, physics
-from swathkit.operators import aggregates, design, graph, joins, select, within
+from swathkit.operators import aggregates, design, graph, joins, ranks, select, within
 from swathkit.plans.q_joins import GRID_SQL, PAIRS_ONLY_SQL, lattice, pairs
 from swathkit.plans.q_windows import ARMS, arms
 from swathkit.plans.registry import Tables, query, rounded
@@ -308,11 +308,11 @@ def r24(t: Tables) -> DataFrame:
     cells = t.cells.join(kept, "block").select("block", "x", "y", roles.alias("role"))
     slopes = cells.groupBy("role", "block").agg(F.regr_sxy("y", "x").alias("sxy"), F.regr_sxx("y", "x").alias("sxx")).groupBy("role").agg((F.sum("sxy") / F.sum("sxx")).alias("slope"))
     base = slopes.where("role = 'original'").select(F.col("slope").alias("base"))  # one row
-    q = F.percentile("x", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    d = cells.groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("block").alias("blocks"), q.alias("q"), F.avg("y").alias("m"))
+    q = ranks.quantile_columns(cells, ["role"], "x", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    d = cells.groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("block").alias("blocks"), F.avg("y").alias("m")).join(q, "role")
     eq = lambda k: F.round(physics.temperature_equivalent(-F.col("m") / 1000, F.lit(k), F.lit(0.97)), 6)
     return d.join(slopes, "role").join(F.broadcast(base)).select(
-        "role", "n", "blocks", *(F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("p10", "p50", "p90"))), F.round("m", 4).alias("mean"),
+        "role", "n", "blocks", *(F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")), F.round("m", 4).alias("mean"),
         F.round("slope", 3).alias("slope"), (F.round(F.col("slope") - F.col("base"), 3) + 0.0).alias("slope_change"), eq(290.0).alias("eq_290"), eq(310.0).alias("eq_310"),
     )
 
@@ -495,7 +495,7 @@ def r37(t: Tables) -> DataFrame:
 
 @query("r40_ecdf_step", "SELECT event_type, event_id, round(cume_dist() OVER (PARTITION BY event_type ORDER BY value), 8) AS ecdf FROM events")
 def r40(t: Tables) -> DataFrame:
-    return t.events.select("event_type", "event_id", F.round(F.cume_dist().over(W.partitionBy("event_type").orderBy("value")), 8).alias("ecdf"))
+    return rounded(ranks.ecdf(t.events.select("event_type", "event_id", "value"), ["event_type"], "value").drop("value"), 8)
 
 
 @query("c2_public_columns", "SELECT c_custkey, c_name FROM customer")

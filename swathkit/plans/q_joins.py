@@ -205,10 +205,19 @@ def j23(t: Tables) -> DataFrame:
     return rounded(near.withColumnRenamed("p_partkey", "q"), 4)
 
 
-@query("j24_scenario_product", "SELECT a, b, c, a * 100 + b * 10 + c AS code FROM (VALUES (1), (2), (3)) x(a) CROSS JOIN (VALUES (1), (2)) y(b) CROSS JOIN (VALUES (1), (2), (3), (4)) z(c)")
+@query(
+    "j24_scenario_product",
+    """WITH s AS (SELECT * FROM (SELECT DISTINCT c_mktsegment FROM customer) CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) CROSS JOIN (SELECT DISTINCT o_orderstatus FROM orders)),
+ n AS (SELECT c_mktsegment, o_orderpriority, o_orderstatus, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+ SELECT s.*, coalesce(n, 0) AS n FROM s LEFT JOIN n USING (c_mktsegment, o_orderpriority, o_orderstatus)""",
+)
 def j24(t: Tables) -> DataFrame:
-    axes = [t.spark.range(1, n + 1).select(F.col("id").cast("int").alias(c)) for c, n in (("a", 3), ("b", 2), ("c", 4))]
-    return axes[0].crossJoin(axes[1]).crossJoin(axes[2]).withColumn("code", F.col("a") * 100 + F.col("b") * 10 + F.col("c"))
+    """Every scenario of three axes that the tables hold, with its orders, also where there are none."""
+    axes = [t.customer.select("c_mktsegment"), t.orders.select("o_orderpriority"), t.orders.select("o_orderstatus")]
+    both = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    names = [a.columns[0] for a in axes]
+    counts = both.groupBy(*names).agg(F.count("*").alias("n"))
+    return joins.scenarios(axes).join(counts, names, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query("j25_unique_lookup", "SELECT n_name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")

@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swathkit.operators import graph
+from swathkit.operators import graph, ranks
 from swathkit.plans.registry import Tables, query
 
 
-@query("o1_o2_total_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+@query("o1_o2_total_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
 def o1(t: Tables) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    top = t.orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)  # a top-k report
-    place = F.row_number().over(W.orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    return top.select("o_orderkey", place.alias("place"))
+    order = ranks.placed(t.orders.select("o_orderkey", "o_totalprice"), ["-o_totalprice", "o_orderkey"])
+    return order.select("o_orderkey", (F.col("place") + 1).alias("place"))
 
 
 @query("o3_first_eligible", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') ORDER BY c_custkey LIMIT 5")

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathkit.functions import basis, ident, physics
-from swathkit.operators import aggregates, calibration, design, inference, resampling, within
+from swathkit.operators import aggregates, design, inference, resampling, within
 from swathkit.plans.registry import Tables, query, rounded
 
 
@@ -140,16 +140,35 @@ def x9(t: Tables) -> DataFrame:
 
 @query(
     "x10_x11_context_rank_selection",
-    "SELECT CAST(2 AS BIGINT) AS rank, CASE WHEN max(abs(r)) > 1 - 1e-9 AND max(v) < 1e-12 THEN 'flat|tax2' END AS removed FROM (SELECT corr(tax, tax * 2) AS r, var_pop(1.0) AS v FROM {cells})",
+    """WITH c AS (SELECT block, x, tax, qty, y FROM {cells}), m AS (SELECT block, covar_pop(tax, tax) * count(*) AS tt, covar_pop(tax, qty) * count(*) AS tq, covar_pop(qty, qty) * count(*) AS qq FROM c GROUP BY 1),
+ s AS (SELECT sum(tt) AS tt, sum(tq) AS tq, sum(qq) AS qq FROM m)
+ SELECT CAST(CASE WHEN 1e-8 * sqrt(qq - tq * tq / tt) / sqrt(tt) > 1e-10 THEN 3 ELSE 2 END AS BIGINT) AS rank, 'flat|tax2' AS removed FROM s""",
 )
 def x10(t: Tables) -> DataFrame:
-    cells = t.cells.withColumns({"tax2": F.col("tax") * 2, "flat": F.lit(1.0)})
-    fitted, _ = within.fit_frame(cells, "block", "block", ["x", "tax", "tax2", "flat"], ["y"])
+    """tax2 is twice tax and goes; near differs from tax by parts in 10^8, which only the rows' own factors can tell, and stays."""
+    cells = t.cells.withColumns({"tax2": F.col("tax") * 2, "flat": F.lit(1.0), "near": F.col("tax") + F.col("qty") * 1e-8})
+    fitted, _ = within.fit_frame(cells, "block", "block", ["x", "tax", "tax2", "flat", "near"], ["y"])
     # of two terms that depend on each other either may go; they are named as one
     gone = sorted("tax2" if c == "tax" else c for c in fitted.diagnostics["removed"])
     return t.spark.createDataFrame([(len(fitted.names), "|".join(gone))], "rank bigint, removed string")
 
 
+@query(
+    "x1_c16_fit_by_factors",
+    """WITH m AS (SELECT block, count(*) AS n, covar_pop(x, x) * count(*) AS a, covar_pop(x, tax) * count(*) AS b, covar_pop(tax, tax) * count(*) AS c, covar_pop(x, y) * count(*) AS d, covar_pop(tax, y) * count(*) AS e FROM {cells} GROUP BY block),
+ s AS (SELECT count(*) AS g, sum(n) AS n, sum(a) AS a, sum(b) AS b, sum(c) AS c, (sum(c) * sum(d) - sum(b) * sum(e)) / (sum(a) * sum(c) - sum(b) * sum(b)) AS b0, (sum(a) * sum(e) - sum(b) * sum(d)) / (sum(a) * sum(c) - sum(b) * sum(b)) AS b1 FROM m),
+ i AS (SELECT (s.c * (m.d - m.a * b0 - m.b * b1) - s.b * (m.e - m.b * b0 - m.c * b1)) / (s.a * s.c - s.b * s.b) AS v FROM m, s)
+ SELECT round(b0, 4) AS slope, round(sqrt((SELECT sum(v * v) FROM i) * g / (g - 1.0) * (n - 1) / (n - g - 2)), 4) AS cluster_se, CAST(n AS BIGINT) AS n_cells, true AS agrees FROM s""",
+)
+def x1_qr(t: Tables) -> DataFrame:
+    """The fit of fixed effects by QR of the rows, held against the fit by products."""
+    by_rows = within.fit_by_qr(t.cells, "block", "block", ["x", "tax"], ["y"])
+    by_products, _ = within.fit_frame(t.cells, "block", "block", ["x", "tax"], ["y"])
+    agrees = bool(np.allclose(by_rows.coef, by_products.coef, rtol=1e-9) and np.allclose(by_rows.cluster_se, by_products.cluster_se, rtol=1e-9))
+    row = (round(float(by_rows.coef[0, 0]), 4), round(float(by_rows.cluster_se[0]), 4), by_rows.diagnostics["n"], agrees)
+    return t.spark.createDataFrame([row], "slope double, cluster_se double, n_cells bigint, agrees boolean")
+
+
 @query(
     "x12_x13_quadratic_contrast",
     """SELECT round(0.06 * b1 + (0.08 * 0.08 - 0.02 * 0.02) * b2, 2) AS change FROM (SELECT (s11 * t0 - s01 * t1) / (s00 * s11 - s01 * s01) AS b1, (s00 * t1 - s01 * t0) / (s00 * s11 - s01 * s01) AS b2 FROM (SELECT sum(a) AS s00, sum(b) AS s01, sum(c) AS s11, sum(d) AS t0, sum(e) AS t1 FROM
@@ -327,16 +346,6 @@ def x33(t: Tables) -> DataFrame:
     return c.select("grp", "estimable", F.round("coverage", 6).alias("coverage"), F.round("coverage_mcse", 6).alias("coverage_mcse"), F.round("mean_width", 4).alias("mean_width"), F.round("bias", 4).alias("bias"))
 
 
-@query("x34_monte_carlo_calibration")
-def x34(t: Tables) -> DataFrame:
-    i, profiles = F.col("id"), F.array(*(F.lit(p) for p in calibration.PROFILES))
-    grid = t.spark.range(216).repartition(t.spark.sparkContext.defaultParallelism).select(
-        i.alias("scenario"), F.element_at(profiles, (i % 6).cast("int") + 1).alias("profile"), (F.floor(i / 6) % 3 * 0.3).cast("double").alias("amplitude"),
-        (F.floor(i / 18) % 4 * 0.1).cast("double").alias("day_sd"), (F.floor(i / 72) * 0.5).cast("double").alias("correlation"),
-    )
-    return calibration.calibrate(grid, calibration.Design.example(), 2000, 99, 20240101)
-
-
 @query(
     "x35_x37_mixing_scenarios",
     "SELECT f AS fraction, round(avg(f * 295 + (1 - f) * (305 + x)), 6) AS mean, round(avg(f * 295 + (1 - f) * (305 + x)) - avg(305 + x), 6) AS effect FROM {cells} CROSS JOIN (VALUES (0.0), (0.1), (0.2), (0.3), (0.5), (0.7), (0.9)) v(f) GROUP BY 1",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from swathkit.operators import design, joins, select
+from swathkit.operators import design, joins, ranks, select
 from swathkit.plans.registry import Tables, query, rounded
 
 REV = ["l_shipdate", "l_partkey", "l_suppkey"]
@@ -108,12 +108,12 @@ def w13(t: Tables) -> DataFrame:
 
 @query(
     "w14_ecdf_at_probabilities",
-    "SELECT event_type, unnest(range(0, 21)) AS p, unnest(list_transform(quantile_cont(value, [0, .05, .1, .15, .2, .25, .3, .35, .4, .45, .5, .55, .6, .65, .7, .75, .8, .85, .9, .95, 1]), lambda z: round(z, 6))) AS q FROM events GROUP BY 1",
+    """SELECT event_type, unnest(range(0, 201)) AS p, unnest(list_transform(quantile_cont(value, list_transform(range(0, 201), lambda k: k / 200.0)), lambda z: round(z, 6))) AS q
+ FROM events GROUP BY 1""",
 )
 def w14(t: Tables) -> DataFrame:
-    shares = F.array(*(F.lit(round(k * 0.05, 2)) for k in range(21)))
-    q = t.events.groupBy("event_type").agg(F.percentile("value", shares).alias("q"))
-    return q.select("event_type", F.posexplode("q").alias("p", "q")).withColumn("p", F.col("p").cast("bigint")).withColumn("q", F.round("q", 6))
+    q = ranks.quantiles(t.events, ["event_type"], "value", [k / 200 for k in range(201)])
+    return q.select("event_type", F.col("share").cast("bigint").alias("p"), F.round("q", 6).alias("q"))
 
 
 @query("w15_head_in_time", "SELECT event_id FROM events WHERE event_type = 'purchase' ORDER BY ts, event_id LIMIT 5")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from swathkit.operators import aggregates, calibration, design, inference, joins, resampling, within
+from swathkit.operators import aggregates, design, inference, joins, resampling, within
 
 
 def plain_draw(n, *parts):
@@ -80,53 +80,6 @@ def test_clustered_error_by_matrices(spark):
     assert fitted.coef[0, 0] == pytest.approx(beta[0]) and fitted.cluster_se[0] == pytest.approx(variance**0.5)
 
 
-def example():
-    return calibration.Design(np.array([10.0, 11, 12, 14, 15, 16]), np.array([6, 6, 6, 8, 8, 8]), np.array([1, 3, 8, 60, 63, 70]), np.array([-1.0, 0, 0, 0, 0, 1]), np.eye(6) * 1e-3)
-
-
-def test_rules_cover_what_they_are_made_for():
-    got = calibration.simulate_scenario(example(), "line", 0.3, 0.15, 1.0, 5000, 99, 17)
-    assert set(got) == {"fixed_days", "moment_t", "noise_twice", "known_variance", "day_slope", "within_strata"}
-    coverage, fixed, width = ({k: v[i] for k, v in got.items()} for i in (2, 4, 5))
-    assert 0.93 < coverage["known_variance"] < 0.97 and 0.93 < fixed["fixed_days"] < 0.97 and coverage["fixed_days"] < 0.4
-    assert width["noise_twice"] > width["moment_t"] > width["fixed_days"]
-    assert all(v[0] == v[1] == 5000 for v in got.values())
-
-
-def test_banks_keep_their_weights():
-    rng = np.random.default_rng(3)
-    w, months = np.array([0.5, -0.5, 0.5, -0.25, -0.25]), np.array([6, 6, 8, 8, 8])
-    bank = calibration.strata_bank(w, months, 40, rng)
-    assert (bank[:, :3] == w[:3]).all() and np.allclose(bank.sum(axis=1), 0) and set(np.unique(bank[:, 3])) <= {0.0, -0.25, -0.5}
-    t = np.linspace(10, 17, 8)
-    whole, slopes = calibration.slope_bank(t, 10.5, 16, 50, rng)
-    assert whole @ (2 * t + 1) == pytest.approx(11) and np.allclose(slopes @ (2 * t + 1), 11)
-    with pytest.raises(ValueError):
-        calibration.slope_bank(t, 9, 16, 5, rng)
-
-
-def test_noise_is_taken_off_once():
-    t, months, noise = np.arange(8.0) + 10, np.array([6] * 4 + [8] * 4), np.eye(8) * 0.04
-    q, left = calibration.nuisance_basis(t, months)
-    outside = np.linalg.svd(np.eye(8) - q @ q.T)[0][:, 0]
-    y = outside * np.sqrt(0.04 * left)  # exactly the noise that is expected
-    tau2, df = calibration.day_variance(y[None, :], noise, t, months)
-    assert tau2[0] == pytest.approx(0, abs=1e-12) and df == left == 5
-    with pytest.raises(ValueError):
-        calibration.nuisance_basis(t[:3], np.array([6, 7, 8]))
-    with pytest.raises(ValueError):
-        calibration.Design(t, months, t, np.array([1.0, -0.5] + [0] * 6), noise)
-    with pytest.raises(ValueError):
-        calibration.Design(t[:2], months[:2], t[:2], np.array([1.0, -1.0]), np.array([[1.0, 2], [2, 1]]))
-
-
-def test_calibration_rows(spark):
-    rows = [(k, p, 0.3, 0.1, 0.5) for k, p in enumerate(calibration.PROFILES)]
-    grid = spark.createDataFrame(rows, "scenario long, profile string, amplitude double, day_sd double, correlation double")
-    got = calibration.calibrate(grid, calibration.Design.example(), 200, 20, 5).collect()
-    assert len(got) == 36 and {r["requested"] for r in got} == {200}
-
-
 def test_natural_gap_across_bins(spark):
     values = [0.0, 0.1, 0.2, 7.0, 7.05, 7.1, 100.0]
     df = spark.createDataFrame([(v,) for v in values] * 2, "v double")
