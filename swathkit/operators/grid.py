@@ -28,12 +28,6 @@ def linear_key(row: Column, col: Column, n_cols: int) -> Column:
     return (row * n_cols + col).cast("bigint")
 
 
-def lattice(spark, n_rows: int, n_cols: int) -> DataFrame:  # noqa: ANN001
-    """row, col of a whole grid, made by two ranges."""
-    cells = spark.range(n_rows * n_cols)
-    return cells.select(F.floor(F.col("id") / n_cols).alias("row"), (F.col("id") % n_cols).alias("col"))
-
-
 def shifted(cells: DataFrame, key: list[str], row: str, col: str, value: str, shifts: list[tuple[int, int]]) -> DataFrame:
     """Each cell's value from (dy, dx) away for every shift, null beyond the edge (no wrap)."""
     steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in shifts))
@@ -88,20 +82,6 @@ def moran(pairs: DataFrame, cells: DataFrame, value: str) -> DataFrame:
     return joined.groupBy().agg((F.first("n") * F.sum(z) / (F.count("*") * F.first("ss"))).alias("moran"), F.count("*").alias("n_pairs"))
 
 
-def nearest_distance(cells: DataFrame, targets: DataFrame, cell_id: str, x: str, y: str, reach: float) -> DataFrame:
-    """Distance of each cell to the nearest target within reach (null beyond), by tiles as wide as the reach.
-
-    A cell meets the targets of its own tile and the eight around it: an equi-join, each target listed once.
-    """
-    tx, ty = F.floor(F.col(x) / reach), F.floor(F.col(y) / reach)
-    around = F.array(*(F.struct((tx + a).alias("tx"), (ty + b).alias("ty")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    sought = cells.select(cell_id, x, y, F.explode(around).alias("t")).select(cell_id, x, y, "t.tx", "t.ty")
-    held = targets.select(F.col(x).alias("__x"), F.col(y).alias("__y"), tx.alias("tx"), ty.alias("ty"))
-    d = F.hypot(F.col(x) - F.col("__x"), F.col(y) - F.col("__y"))
-    met = sought.join(held, ["tx", "ty"], "left").groupBy(cell_id).agg(F.min(d).alias("distance"))
-    return met.withColumn("distance", F.when(F.col("distance") <= reach, F.col("distance")))
-
-
 def box_meets_convex(x0: Column, y0: Column, x1: Column, y1: Column, ring: list[tuple[float, float]]) -> Column:
     """Whether a box and a convex (literal) polygon overlap: they do unless an axis of the box or an edge's normal parts them."""
     axes = {(1.0, 0.0), (0.0, 1.0)} | {(b[1] - a[1], a[0] - b[0]) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)}

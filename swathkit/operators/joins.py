@@ -123,45 +123,6 @@ def neighbours(cells: DataFrame, key: list[str], x: str, y: str, value: str) ->
     return moved.join(cells.select(*key, x, y, F.col(value).alias("neighbour")), [*key, x, y])
 
 
-def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, features: list[str]) -> DataFrame:
-    """Nearest point of each query row by squared distance of the features (smallest id on ties); null without points.
-
-    Both sides lie in tiles over the first two features. A query meets the points of its tile and the eight around it;
-    what it finds within a tile's width is the nearest, and queries without such a find go on with tiles twice as wide
-    until the tiles hold everything. query_id is unique.
-    """
-    tiled = features[:2]
-    ends = points.agg(F.count("*").alias("n"), *(F.min(f).cast("double").alias(f"a_{f}") for f in tiled), *(F.max(f).cast("double").alias(f"b_{f}") for f in tiled)).first()
-    near = F.struct("__d2", "__p")
-    if not ends["n"]:
-        return queries.select(query_id, F.lit(None).cast(points.schema[point_id].dataType).alias("nearest_id"), F.lit(None).cast("double").alias("distance"))
-    spread = max(ends[f"b_{f}"] - ends[f"a_{f}"] for f in tiled)
-    reach = queries.agg(*(F.max(F.greatest(F.abs(F.col(f) - ends[f"a_{f}"]), F.abs(F.col(f) - ends[f"b_{f}"]))).alias(f) for f in tiled)).first()
-    farthest = max([spread, *(float(v) for v in reach if v is not None)])
-    width, left, done = max(spread / max(1.0, ends["n"] ** (1 / len(tiled))), farthest / 2**30, 1e-12), written(queries, "queries"), []
-    pool = points.select(F.col(point_id).alias("__p"), *(F.col(f).alias(f"__{f}") for f in features))
-    around = F.array(*(F.lit(d) for d in (-1, 0, 1)))
-    while True:
-        tile = lambda f, w=width: F.floor((F.col(f) - ends[f"a_{f.lstrip('_')}"]) / w)
-        here = left
-        for k, f in enumerate(tiled):
-            here = here.withColumn(f"__d{k}", F.explode(around)).withColumn(f"__t{k}", tile(f) + F.col(f"__d{k}")).drop(f"__d{k}")
-        there = pool.withColumns({f"__t{k}": tile(f"__{f}") for k, f in enumerate(tiled)})
-        met = here.join(there, [f"__t{k}" for k in range(len(tiled))])
-        d2 = sum((F.pow(F.col(f) - F.col(f"__{f}"), F.lit(2.0)) for f in features), F.lit(0.0))
-        best = met.withColumn("__d2", d2).groupBy(query_id).agg(F.min(near).alias("__best"))
-        found = written(left.join(best, query_id, "left"), "nearest")
-        settled = F.sqrt("__best.__d2") <= width
-        last = width > farthest
-        done.append(found if last else found.where(settled))
-        left = found.where(~F.coalesce(settled, F.lit(False))).drop("__best")
-        if last or left.isEmpty():
-            break
-        width *= 2
-    out = reduce(DataFrame.unionByName, done)
-    return out.select(query_id, F.col("__best.__p").alias("nearest_id"), F.sqrt("__best.__d2").alias("distance"))
-
-
 MOST_SCENARIOS = 1_000_000  #: scenarios are declared by a person; more are a mistake
 
 

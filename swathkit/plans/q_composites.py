@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathkit.functions import clock, ident, physics
-from swathkit.operators import aggregates, design, graph, joins, ranks, select, within
+from swathkit.operators import aggregates, design, distance, graph, joins, ranks, select, within
 from swathkit.plans.q_joins import GRID_SQL, PAIRS_ONLY_SQL, lattice, pairs
 from swathkit.plans.q_windows import ARMS, arms
 from swathkit.plans.registry import Tables, query, rounded
@@ -467,22 +467,19 @@ def r32(t: Tables) -> DataFrame:
 @query(
     "r34_r35_static_context_screen",
     f"""WITH g AS (SELECT gx, gy, v, CAST(floor(round(v, 2)) AS BIGINT) % 7 = 0 AS water, CAST(floor(round(v, 2)) AS BIGINT) % 5 IN (2, 3) AS built FROM {GRID_SQL}),
- d AS (SELECT a.gx, a.gy, min(sqrt(power(a.gx - w.gx, 2) + power(a.gy - w.gy, 2))) AS far FROM g a JOIN g w ON w.water AND abs(a.gx - w.gx) <= 4 AND abs(a.gy - w.gy) <= 4 GROUP BY 1, 2)
- SELECT CAST(floor(g.gx / 4.0) AS BIGINT) AS bx, CAST(floor(g.gy / 4.0) AS BIGINT) AS by, count(*) AS n, round(avg(CASE WHEN built THEN 1.0 ELSE 0 END), 6) AS built, round(avg(CASE WHEN water THEN 1.0 ELSE 0 END), 6) AS water, round(avg(least(coalesce(far, 4), 4)), 6) AS to_water,
+ d AS (SELECT a.gx, a.gy, min(sqrt(power(a.gx - w.gx, 2) + power(a.gy - w.gy, 2))) AS far FROM g a JOIN g w ON w.water GROUP BY 1, 2)
+ SELECT CAST(floor(g.gx / 4.0) AS BIGINT) AS bx, CAST(floor(g.gy / 4.0) AS BIGINT) AS by, count(*) AS n, round(avg(CASE WHEN built THEN 1.0 ELSE 0 END), 6) AS built, round(avg(CASE WHEN water THEN 1.0 ELSE 0 END), 6) AS water, round(avg(far), 6) AS to_water,
  round(quantile_cont(v, 0.9) - quantile_cont(v, 0.1), 4) AS span, quantile_cont(v, 0.9) - quantile_cont(v, 0.1) >= 1 AS wide FROM g LEFT JOIN d ON d.gx = g.gx AND d.gy = g.gy GROUP BY 1, 2""",
 )
 def r35(t: Tables) -> DataFrame:
-    """Context of blocks of a grid: class fractions, mean distance to water (up to the reach), span of values and its screen."""
+    """Context of blocks of a grid: class fractions, mean distance to water (at any distance), span of values and its screen."""
     code = F.floor(F.round("v", 2))
     g = lattice(t).select("gx", "gy", "v", (code % 7 == 0).alias("water"), (code % 5).isin(2, 3).alias("built"))
-    around = F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in range(-4, 5) for b in range(-4, 5)))
-    spread = g.where("water").select("gx", "gy", F.explode(around).alias("s")).select((F.col("gx") + F.col("s.dx")).alias("gx"), (F.col("gy") + F.col("s.dy")).alias("gy"), F.hypot("s.dx", "s.dy").alias("d"))
-    far = spread.groupBy("gx", "gy").agg(F.min("d").alias("far"))
     q = F.percentile("v", F.array(F.lit(0.1), F.lit(0.9)))
-    out = g.join(far, ["gx", "gy"], "left").groupBy(F.floor(F.col("gx") / 4).alias("bx"), F.floor(F.col("gy") / 4).alias("by"))
+    out = distance.distance_to_nearest(g, g.where("water"), "gx", "gy", "far").groupBy(F.floor(F.col("gx") / 4).alias("bx"), F.floor(F.col("gy") / 4).alias("by"))
     return out.agg(
         F.count("*").alias("n"), F.round(F.avg(F.col("built").cast("double")), 6).alias("built"), F.round(F.avg(F.col("water").cast("double")), 6).alias("water"),
-        F.round(F.avg(F.least(F.coalesce("far", F.lit(4.0)), F.lit(4.0))), 6).alias("to_water"), F.round(q[1] - q[0], 4).alias("span"), (q[1] - q[0] >= 1).alias("wide"),
+        F.round(F.avg("far"), 6).alias("to_water"), F.round(q[1] - q[0], 4).alias("span"), (q[1] - q[0] >= 1).alias("wide"),
     )
 
 

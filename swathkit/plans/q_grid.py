@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swathkit.operators import grid, joins
+from swathkit.operators import distance, grid, joins, polygons
 from swathkit.plans.q_joins import GRID_SQL, lattice
 from swathkit.plans.registry import Tables, query, rounded
 
@@ -30,17 +30,79 @@ def g3(t: Tables) -> DataFrame:
     return t.lineitem.groupBy(bx.alias("bx"), by.alias("by_"), F.floor(by / 2).alias("g")).agg(F.count("*").alias("n"), F.min(key).alias("key"))
 
 
-RING = [(10.0, 5.0), (60.0, 0.0), (90.0, 40.0), (40.0, 60.0)]
+# Polygons of a table: an eight-cornered ring around each supplier's place, with a square hole where its key is even.
+WAYS = [(1.0, 0.0), (0.7, 0.7), (0.0, 1.0), (-0.7, 0.7), (-1.0, 0.0), (-0.7, -0.7), (0.0, -1.0), (0.7, -0.7)]
+_CORNERS = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(WAYS))
+EDGES_SQL = f"""(WITH s AS (SELECT s_suppkey AS polygon, s_suppkey * 7 % 100 + 0.25 AS cx, s_acctbal / 200 AS cy FROM supplier), w(k, a, b) AS (VALUES {_CORNERS}),
+ c AS (SELECT polygon, 0 AS ring, k, 8 AS n, cx + a * (4 + (polygon * (k + 3)) % 7) AS x, cy + b * (4 + (polygon * (k + 3)) % 7) AS y FROM s, w
+  UNION ALL SELECT polygon, 1, h.k, 4, cx + h.a, cy + h.b FROM s, (VALUES (0, -1.5, -1.5), (1, -1.5, 1.5), (2, 1.5, 1.5), (3, 1.5, -1.5)) h(k, a, b) WHERE polygon % 2 = 0)
+ SELECT p.polygon AS polygon, p.x AS x0, p.y AS y0, q.x AS x1, q.y AS y1 FROM c p JOIN c q ON q.polygon = p.polygon AND q.ring = p.ring AND q.k = (p.k + 1) % p.n)"""
+
+
+def supplier_polygons(t: Tables) -> DataFrame:
+    cx, cy, key = F.col("s_suppkey") * 7 % 100 + 0.25, F.col("s_acctbal") / 200, F.col("s_suppkey")
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    reach = [4 + (key * (k + 3)) % 7 for k in range(8)]
+    outer = F.array(*(corner(cx + F.lit(a) * r, cy + F.lit(b) * r) for (a, b), r in zip(WAYS, reach, strict=True)))
+    hole = F.array(*(corner(cx + a, cy + b) for a, b in ((-1.5, -1.5), (-1.5, 1.5), (1.5, 1.5), (1.5, -1.5))))
+    return t.supplier.select(key.alias("polygon"), F.when(key % 2 == 0, F.array(outer, hole)).otherwise(F.array(outer)).alias("rings"))
+
+
+@query(
+    "j20_points_in_polygons",
+    f"""WITH e AS {EDGES_SQL}, b AS (SELECT polygon, min(x0) AS a, max(x0) AS b, min(y0) AS c, max(y0) AS d FROM e GROUP BY 1), p AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 1000 AS x, l_quantity + l_tax * 10 AS y FROM lineitem),
+ m AS (SELECT row_number() OVER () AS m, polygon, x, y FROM p JOIN b ON x BETWEEN a AND b AND y BETWEEN c AND d)
+ SELECT polygon, count(*) AS n, round(sum(x), 3) AS sum_x FROM (SELECT m, m.polygon AS polygon, any_value(x) AS x FROM m JOIN e ON e.polygon = m.polygon
+  WHERE (y0 > y) <> (y1 > y) AND x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 GROUP BY 1, 2 HAVING count(*) % 2 = 1) GROUP BY 1""",
+)
+def j20_table(t: Tables) -> DataFrame:
+    """Cells of the order lines that each supplier's polygon (with its hole) holds."""
+    points = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 1000).alias("x"), (F.col("l_quantity") + F.col("l_tax") * 10).alias("y"))
+    met = polygons.points_in_polygons(points, "x", "y", supplier_polygons(t), "polygon", "rings", 4.0)
+    return met.groupBy("polygon").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sum_x"))
+
+
+@query(
+    "j22_blocks_half_covered",
+    f"""WITH e AS {EDGES_SQL}, r AS (SELECT polygon, CAST(floor(min(x0) / 3) AS BIGINT) AS a, CAST(floor(max(x0) / 3) AS BIGINT) AS b, CAST(floor(min(y0) / 3) AS BIGINT) AS c, CAST(floor(max(y0) / 3) AS BIGINT) AS d FROM e GROUP BY 1),
+ g AS (SELECT polygon, bx, by_, bx * 3.0 AS gx, by_ * 3.0 AS gy FROM (SELECT *, unnest(range(a, b + 1)) AS bx FROM r), LATERAL (SELECT unnest(range(c, d + 1)) AS by_)),
+ p AS (SELECT g.polygon AS polygon, bx, by_, gx, sign(y1 - y0) AS up, x0, y0, (x1 - x0) / (y1 - y0) AS slope, greatest(least(y0, y1), gy) AS lo, least(greatest(y0, y1), gy + 3) AS hi FROM g JOIN e ON e.polygon = g.polygon AND y1 <> y0 WHERE least(greatest(y0, y1), gy + 3) > greatest(least(y0, y1), gy)),
+ q AS (SELECT *, x0 + slope * (lo - y0) AS u, x0 + slope * (hi - y0) AS v FROM p),
+ k AS (SELECT *, least(greatest(u - gx, 0), 3) AS cu, least(greatest(v - gx, 0), 3) AS cv FROM q),
+ s AS (SELECT polygon, bx, by_, abs(sum(up * (hi - lo) * CASE WHEN abs(v - u) < 1e-9 THEN cu ELSE (cv * cv / 2 + 3 * greatest(v - gx - 3, 0) - cu * cu / 2 - 3 * greatest(u - gx - 3, 0)) / (v - u) END)) AS area FROM k GROUP BY 1, 2, 3)
+ SELECT polygon, count(*) AS blocks, count(*) FILTER (WHERE area >= 4.5) AS half_covered, round(sum(area), 6) AS area FROM s WHERE area > 1e-9 GROUP BY 1""",
+)
+def j22_table(t: Tables) -> DataFrame:
+    """Blocks of three by three that each polygon overlaps, those of which it covers half or more, and its area."""
+    areas = polygons.block_areas(supplier_polygons(t), "polygon", "rings", 3.0)
+    return areas.groupBy("polygon").agg(F.count("*").alias("blocks"), F.count_if(F.col("area") >= 4.5).alias("half_covered"), F.round(F.sum("area"), 6).alias("area"))
+
+
+@query(
+    "s42_polygon_to_cells",
+    f"""WITH e AS {EDGES_SQL}, r AS (SELECT polygon, CAST(floor(min(x0)) AS BIGINT) AS a, CAST(floor(max(x0)) AS BIGINT) AS b, CAST(floor(min(y0)) AS BIGINT) AS c, CAST(floor(max(y0)) AS BIGINT) AS d FROM e GROUP BY 1),
+ g AS (SELECT polygon, col, row FROM (SELECT *, unnest(range(a, b + 1)) AS col FROM r), LATERAL (SELECT unnest(range(c, d + 1)) AS row))
+ SELECT g.polygon AS polygon, col, row FROM g JOIN e ON e.polygon = g.polygon AND (y0 > row + 0.5) <> (y1 > row + 0.5) AND col + 0.5 < (x1 - x0) * (row + 0.5 - y0) / (y1 - y0) + x0 GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1""",
+)
+def s42(t: Tables) -> DataFrame:
+    """Unit cells whose centre a supplier's polygon holds."""
+    return polygons.cells_of_polygons(supplier_polygons(t), "polygon", "rings", 1.0)
 
 
 @query(
     "g4_lattice_in_polygon",
-    """SELECT r AS row, c AS col FROM (SELECT unnest(range(0, 70)) AS r) CROSS JOIN (SELECT unnest(range(0, 100)) AS c) WHERE c + 0.5 BETWEEN 10 AND 90 AND r + 0.5 BETWEEN 0 AND 60 AND
- (CASE WHEN (5 > r + 0.5) <> (0 > r + 0.5) AND c + 0.5 < 50 * (r + 0.5 - 5) / (-5) + 10 THEN 1 ELSE 0 END + CASE WHEN (0 > r + 0.5) <> (40 > r + 0.5) AND c + 0.5 < 30 * (r + 0.5) / 40 + 60 THEN 1 ELSE 0 END
- + CASE WHEN (40 > r + 0.5) <> (60 > r + 0.5) AND c + 0.5 < -50 * (r + 0.5 - 40) / 20 + 90 THEN 1 ELSE 0 END + CASE WHEN (60 > r + 0.5) <> (5 > r + 0.5) AND c + 0.5 < -30 * (r + 0.5 - 60) / (-55) + 40 THEN 1 ELSE 0 END) % 2 = 1""",
+    f"""WITH e AS {EDGES_SQL}, r AS (SELECT polygon, CAST(floor(min(x0) / 2.5) AS BIGINT) AS a, CAST(floor(max(x0) / 2.5) AS BIGINT) AS b, CAST(floor(min(y0) / 2.5) AS BIGINT) AS c, CAST(floor(max(y0) / 2.5) AS BIGINT) AS d FROM e GROUP BY 1),
+ g AS (SELECT polygon, col, row, (col + 0.5) * 2.5 AS x, (row + 0.5) * 2.5 AS y FROM (SELECT *, unnest(range(a, b + 1)) AS col FROM r), LATERAL (SELECT unnest(range(c, d + 1)) AS row)),
+ h AS (SELECT g.polygon AS polygon, col, row FROM g JOIN e ON e.polygon = g.polygon AND (y0 > y) <> (y1 > y) AND x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1)
+ SELECT col, row, min(polygon) AS owner, count(*) AS held_by FROM h GROUP BY 1, 2""",
 )
 def g4(t: Tables) -> DataFrame:
-    return grid.lattice(t.spark, 70, 100).where(grid.inside_polygon(F.col("col") + 0.5, F.col("row") + 0.5, RING)).select("row", "col")
+    """The block lattice over the union of the polygons: each block centre that some polygon holds, once."""
+    cells = polygons.cells_of_polygons(supplier_polygons(t), "polygon", "rings", 2.5)
+    return cells.groupBy("col", "row").agg(F.min("polygon").alias("owner"), F.count("*").alias("held_by"))
+
+
+RING = [(10.0, 5.0), (60.0, 0.0), (90.0, 40.0), (40.0, 60.0)]
 
 
 @query(
@@ -85,12 +147,14 @@ def g8(t: Tables) -> DataFrame:
 
 @query(
     "g9_distance_to_nearest",
-    "SELECT a.p_partkey, round(CASE WHEN min(sqrt(power(a.p_size - b.s_nationkey, 2) + power(a.p_retailprice / 20 - b.s_acctbal / 100, 2))) <= 8 THEN min(sqrt(power(a.p_size - b.s_nationkey, 2) + power(a.p_retailprice / 20 - b.s_acctbal / 100, 2))) END, 6) AS distance FROM part a CROSS JOIN supplier b GROUP BY 1",
+    """SELECT p_partkey, round(min(sqrt(power(x - tx, 2) + power(y - ty, 2))), 6) AS distance FROM (SELECT p_partkey, p_size AS x, CAST(floor(p_retailprice / 20) AS BIGINT) AS y FROM part)
+ CROSS JOIN (SELECT s_nationkey AS tx, CAST(floor(s_acctbal / 100) AS BIGINT) AS ty FROM supplier) GROUP BY 1""",
 )
 def g9(t: Tables) -> DataFrame:
-    cells = t.part.select("p_partkey", F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 20).alias("y"))
-    water = t.supplier.select(F.col("s_nationkey").cast("double").alias("x"), (F.col("s_acctbal") / 100).alias("y"))
-    return rounded(grid.nearest_distance(cells, water, "p_partkey", "x", "y", 8.0))
+    """Distance of each part's cell to the nearest supplier's cell, however far."""
+    cells = t.part.select("p_partkey", F.col("p_size").cast("bigint").alias("x"), F.floor(F.col("p_retailprice") / 20).alias("y"))
+    water = t.supplier.select(F.col("s_nationkey").alias("x"), F.floor(F.col("s_acctbal") / 100).alias("y"))
+    return rounded(distance.distance_to_nearest(cells, water).select("p_partkey", "distance"))
 
 
 @query("g10_g11_pixels_by_zone", "SELECT CASE WHEN l_extendedprice < 30000 THEN 11 ELSE 12 END AS zone, count(DISTINCT l_partkey) AS n_pixels FROM lineitem GROUP BY 1")

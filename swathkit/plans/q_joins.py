@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swathkit.operators import joins
+from swathkit.operators import joins, kdtree
 from swathkit.plans.registry import Tables, query, rounded
 
 
@@ -195,14 +195,24 @@ def j18(t: Tables) -> DataFrame:
     return rounded(n.select(F.col("x0").alias("gx"), F.col("y0").alias("gy"), F.col("gx").alias("nx"), F.col("gy").alias("ny"), (F.col("neighbour") - F.col("value")).alias("step")), 2)
 
 
+FEATURES = ["qty", "price", "discount", "tax", "p_size", "p_retailprice"]
+
+
 @query(
     "j23_nearest_neighbour",
-    """SELECT q, p AS nearest_id, round(sqrt(d), 4) AS distance FROM (SELECT a.p_partkey AS q, b.p_partkey AS p, power(a.p_size - b.p_size, 2) + power(a.p_retailprice - b.p_retailprice, 2) AS d,
- row_number() OVER (PARTITION BY a.p_partkey ORDER BY power(a.p_size - b.p_size, 2) + power(a.p_retailprice - b.p_retailprice, 2), b.p_partkey) AS k FROM part a JOIN part b ON a.p_partkey % 10 <> 0 AND b.p_partkey % 10 = 0) WHERE k = 1""",
+    """WITH f AS (SELECT p_partkey, p_type, avg(l_quantity) AS qty, avg(l_extendedprice) AS price, avg(l_discount) AS discount, avg(l_tax) AS tax, any_value(p_size) AS p_size, any_value(p_retailprice) AS p_retailprice FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2),
+ s AS (SELECT avg(qty) AS m1, stddev_pop(qty) AS s1, avg(price) AS m2, stddev_pop(price) AS s2, avg(discount) AS m3, stddev_pop(discount) AS s3, avg(tax) AS m4, stddev_pop(tax) AS s4, avg(p_size) AS m5, stddev_pop(p_size) AS s5, avg(p_retailprice) AS m6, stddev_pop(p_retailprice) AS s6 FROM f),
+ z AS (SELECT p_partkey, p_type = 'ECONOMY' AS pool, (qty - m1) / s1 AS a, (price - m2) / s2 AS b, (discount - m3) / s3 AS c, (tax - m4) / s4 AS d, (p_size - m5) / s5 AS e, (p_retailprice - m6) / s6 AS g FROM f, s)
+ SELECT q, nearest_id, round(sqrt(d), 6) AS distance FROM (SELECT x.p_partkey AS q, y.p_partkey AS nearest_id, power(x.a - y.a, 2) + power(x.b - y.b, 2) + power(x.c - y.c, 2) + power(x.d - y.d, 2) + power(x.e - y.e, 2) + power(x.g - y.g, 2) AS d,
+ row_number() OVER (PARTITION BY x.p_partkey ORDER BY power(x.a - y.a, 2) + power(x.b - y.b, 2) + power(x.c - y.c, 2) + power(x.d - y.d, 2) + power(x.e - y.e, 2) + power(x.g - y.g, 2), y.p_partkey) AS k FROM z x JOIN z y ON NOT x.pool AND y.pool) WHERE k = 1""",
 )
 def j23(t: Tables) -> DataFrame:
-    near = joins.nearest(t.part.where("p_partkey % 10 <> 0"), t.part.where("p_partkey % 10 = 0"), "p_partkey", "p_partkey", ["p_size", "p_retailprice"])
-    return rounded(near.withColumnRenamed("p_partkey", "q"), 4)
+    """For each part outside the pool the nearest part of the pool, by six standardised features."""
+    means = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg("l_quantity").alias("qty"), F.avg("l_extendedprice").alias("price"), F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"))
+    rows = t.part.join(means, "p_partkey").select("p_partkey", "p_type", *FEATURES)
+    z = kdtree.standardised(rows, rows, FEATURES)
+    near = kdtree.nearest(z.where("p_type <> 'ECONOMY'"), z.where("p_type = 'ECONOMY'"), "p_partkey", "p_partkey", FEATURES)
+    return rounded(near.withColumnRenamed("p_partkey", "q"))
 
 
 @query(

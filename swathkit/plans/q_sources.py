@@ -158,15 +158,6 @@ def s39(t: Tables) -> DataFrame:
     return files.digests(t.spark, path)
 
 
-@query(
-    "s42_polygon_to_cells",
-    "SELECT r AS row, c AS col FROM (SELECT unnest(range(0, 20)) AS r) CROSS JOIN (SELECT unnest(range(0, 20)) AS c) WHERE c + 0.5 BETWEEN 3 AND 12 AND r + 0.5 BETWEEN 4 AND 9",
-)
-def s42(t: Tables) -> DataFrame:
-    square = [(3.0, 4.0), (12.0, 4.0), (12.0, 9.0), (3.0, 9.0)]
-    return grid.lattice(t.spark, 20, 20).where(grid.inside_polygon(F.col("col") + 0.5, F.col("row") + 0.5, square)).select("row", "col")
-
-
 @query(
     "j21_footprints_meet_domain",
     """SELECT s_suppkey, x < 9 AND x + 2 > 5 AND y < 9 AND y + 1 > 0 AND x + y < 14 AS meets FROM (SELECT s_suppkey, s_nationkey + 0.25 AS x, s_suppkey % 12 + 0.25 AS y FROM supplier)""",

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathkit.functions import basis, ident, physics
-from swathkit.operators import aggregates, design, inference, resampling, within
+from swathkit.operators import aggregates, design, hulls, inference, resampling, within
 from swathkit.plans.registry import Tables, query, rounded
 
 
@@ -263,6 +263,21 @@ def x20(t: Tables) -> DataFrame:
     return rounded(inference.interval_summary(draws, ["event_type"], "value").join(point, "event_type"))
 
 
+@query(
+    "x21_shared_support",
+    """WITH p AS (SELECT l_partkey, l_returnflag = 'R' AS arm, CAST(l_quantity AS BIGINT) AS x, CAST(round(l_discount * 100) AS BIGINT) AS y FROM lineitem GROUP BY ALL),
+ a AS (SELECT DISTINCT g, unnest([-dy, dx]) AS ax, unnest([dx, dy]) AS ay FROM (SELECT u.l_partkey AS g, v.x - u.x AS dx, v.y - u.y AS dy FROM p u JOIN p v ON u.l_partkey = v.l_partkey AND (u.x, u.y) <> (v.x, v.y))),
+ s AS (SELECT g, ax, ay, min(ax * x + ay * y) FILTER (WHERE arm) AS al, max(ax * x + ay * y) FILTER (WHERE arm) AS ah, min(ax * x + ay * y) FILTER (WHERE NOT arm) AS bl, max(ax * x + ay * y) FILTER (WHERE NOT arm) AS bh FROM a JOIN p ON l_partkey = g GROUP BY 1, 2, 3),
+ c AS (SELECT g, bool_or(ah < bl OR bh < al) AS parted FROM s GROUP BY 1),
+ k AS (SELECT l_partkey, count(*) FILTER (WHERE arm) AS n_a, count(*) FILTER (WHERE NOT arm) AS n_b FROM p GROUP BY 1)
+ SELECT l_partkey, n_a > 0 AND n_b > 0 AND NOT coalesce(parted, false) AS meets FROM k LEFT JOIN c ON g = l_partkey""",
+)
+def x21(t: Tables) -> DataFrame:
+    """Whether returned and other lines of a part share support: their hulls over quantity and discount meet."""
+    rows = t.lineitem.select("l_partkey", (F.col("l_returnflag") == "R").alias("arm"), F.col("l_quantity").alias("x"), F.round(F.col("l_discount") * 100).alias("y"))
+    return hulls.overlaps(rows, ["l_partkey"], "arm", "x", "y").select("l_partkey", "meets")
+
+
 @query(
     "x22_window_quantities",
     """SELECT grp, round(a - m, 6) AS difference_flux, round(-300.0 * (power((k - a) / k, 0.25) - 1) + 300.0 * (power((k - m) / k, 0.25) - 1), 6) AS difference_equivalent FROM
