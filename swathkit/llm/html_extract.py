@@ -4,13 +4,20 @@ Each page is read into containers (elements with a path of tags and classes, dig
 blocks (paragraphs, headings, list items, cells, loose text). Containers are scored by the characters of the
 blocks they hold, links against them. Spark sums the scores by host and path, and the path with the largest sum
 wins its host. Each page is then read again: its text is that of the containers with the winning path, or of its
-own best container where they hold next to nothing, without what is marked as menu, header, footer, sidebar, notice,
-advert, form, script, style or reader comment. Elements of a kind (nav, footer, script) are always out; a mark by
-class name, role, form or header is void where it holds most of the page's prose.
+own best container where they hold next to nothing, without menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles and reader comments.
+
+What is cut out of the article is voted on as well. Elements of a kind (nav, footer, script) are always out. A suspect (a
+class or id made of the words of such parts, a role, a form, a header) needs ENOUGH votes: its name, if it has no other
+words than those of page parts, is one; lying outside <article>, being mostly links, holding controls, and being a list of
+comments are one each; so is a path that a good share of the host's pages have; and the same text in that path on several
+different pages of the host is two. A section of an article shares a word with a menu at most, and stays. Nothing that
+holds most of the page's prose is cut.
 
 A block's white space becomes one blank, a line break is white space, and blocks are joined by a newline in
 page order. Votes are partial sums by (host, path), so a host with a third of all pages costs no more; the
-winners are broadcast if they are at most BROADCAST_HOSTS hosts and otherwise joined by a salted shuffle.
+winners are broadcast if they are at most BROADCAST_HOSTS hosts and otherwise joined by a salted shuffle. A host's row
+holds its winning path and the voted paths to cut, which are on LEAST_SHARE of its pages at least and so are few.
 
 Null html, or html without an article, gives the text ''. A null url is a host of its own name ''. Null and
 repeated ids keep their rows; ties of votes go to the first path in order; an empty table gives an empty result;
@@ -30,6 +37,8 @@ from pyspark.sql import functions as F
 from swathkit.llm import common
 
 BROADCAST_HOSTS = 100_000
+ENOUGH = 2  #: votes that cut a suspect
+SEVERAL, USUAL, LEAST_SHARE = 3, 0.3, 0.01  #: pages that make a path recur; share of pages for a vote, and for a repeated text
 SALTS = 64
 
 # HTML elements by kind.
@@ -58,6 +67,13 @@ MARKS = frozenset(
     "recommended pagination pager widget toolbar copyright disclaimer skip search".split()
 )
 COMMENTS = frozenset("comment comments commentlist respond reply replies discussion disqus".split())
+# Words that go with those in the names of page parts.
+PARTS = frozenset(
+    "site page main left right top bottom area box wrap wrapper inner outer container block bar list item items link links post posts "
+    "form section col column primary secondary global mobile desktop button buttons icon icons content entry article module panel "
+    "group row holder zone slot unit text title body thread meta view more up in out bottom sticky fixed area feed story stories".split()
+)
+CONTROLS = frozenset("input button textarea select".split())
 MODIFIERS = frozenset("has no with without is not show hide js".split())  #: `has-sidebar` is no sidebar
 OWN_HEADER = frozenset("entry post article story content section".split())  #: `entry-header` is the article's
 ARTICLE = frozenset("article main".split())
@@ -131,22 +147,28 @@ def pieces(source: str) -> Iterator[tuple[str, str, str]]:
 class Node:
     """A container or a marked element: its parent, the hash of its path, its mark, and the characters of its blocks."""
 
-    __slots__ = ("parent", "path", "tag", "mark", "out", "own", "prose", "total", "holds")
+    __slots__ = ("parent", "path", "tag", "mark", "out", "own", "prose", "total", "holds", "plain", "inside", "chars", "links", "controls", "every", "votes")
 
-    def __init__(self, parent: Node | None, label: str, tag: str, mark: int):
+    def __init__(self, parent: Node | None, label: str, tag: str, mark: int, plain: bool = False, inside: bool = False):
+        """plain: its name has a word of a page part and no foreign word; inside: it lies in an <article>."""
         import xxhash
 
-        self.parent, self.tag, self.mark = parent, tag, mark
+        self.parent, self.tag, self.mark, self.plain, self.inside = parent, tag, mark, plain, inside
         self.path = xxhash.xxh64_intdigest(label, parent.path) if parent else 0
-        self.own = self.prose = self.total = 0.0
+        self.own = self.prose = self.total = self.every = 0.0
+        self.chars = self.links = self.controls = self.votes = 0
         self.holds = tag in ARTICLE or tag == "h1"
         self.out = False
 
 
 class Page:
-    """Containers and blocks of one page; a block is (container, text, prose characters, its element)."""
+    """Containers and blocks of one page; a block is (container, text, prose characters, its element).
 
-    def __init__(self, source: str):
+    votes: what the host's pages say for cutting paths.
+    """
+
+    def __init__(self, source: str, votes: dict[int, int] | None = None):
+        self.host_votes = votes or {}
         self.nodes = [Node(None, "", "", PLAIN)]
         self.blocks: list[tuple[Node, str, float, str]] = []
         self.stack: list[tuple[str, Node]] = [("", self.nodes[0])]
@@ -174,7 +196,9 @@ class Page:
             text = " ".join(entities.unescape("".join(self.pieces)).split())
             if text:
                 leaf = self.stack[self.open_blocks[-1]][0]
-                self.blocks.append((self.stack[-1][1], text, max(0.0, len(text) - 2.0 * self.link_chars), leaf))
+                node = self.stack[-1][1]
+                self.blocks.append((node, text, max(0.0, len(text) - 2.0 * self.link_chars), leaf))
+                node.chars, node.links = node.chars + len(text), node.links + min(self.link_chars, len(text))
             self.pieces, self.link_chars = [], 0
 
     def push(self, tag: str, node: Node) -> None:
@@ -192,6 +216,8 @@ class Page:
             self.open_blocks.pop()
 
     def open(self, tag: str, attrs: str) -> None:
+        if tag in CONTROLS:
+            self.stack[-1][1].controls += 1
         if tag in VOID:
             if tag == "hr":
                 self.flush()
@@ -204,25 +230,27 @@ class Page:
         elif tag == "a":
             self.close("a")
         node = self.stack[-1][1]
-        label, mark = self.label(tag, attrs)
+        label, mark, plain = self.label(tag, attrs)
         if tag in CONTAINERS or mark != PLAIN:
             self.flush()  # what a marked element holds is another block
-            node = Node(node, label, tag, mark)
+            node = Node(node, label, tag, mark, plain, bool(self.count.get("article")))
             self.nodes.append(node)
         elif tag == "h1":
             node.holds = True
         if not attrs.endswith("/") or tag not in ("svg", "math"):
             self.push(tag, node)
 
-    def label(self, tag: str, attrs: str) -> tuple[str, int]:
+    def label(self, tag: str, attrs: str) -> tuple[str, int, bool]:
+        """Name in a path, mark, and whether the mark's name is that of a page part and nothing else."""
         names, mark, label = [], GONE if tag in DROPPED else PLAIN, tag
         inside = any(self.count.get(t) for t in ARTICLE)
-        doubt = tag in DOUBTFUL and not (tag == "header" and inside)
+        doubt = plain = tag in DOUBTFUL and not (tag == "header" and inside)
         talk = False
         for m in ATTR.finditer(attrs) if attrs else ():
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "role":
-                doubt = doubt or value.lower() in ROLES
+                if value.lower() in ROLES:
+                    doubt = plain = True
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and NOT_SHOWN.search(value)):
                 mark = GONE
             elif key in ("class", "id"):
@@ -231,13 +259,15 @@ class Page:
                     words = set(NAME_WORDS.findall(HUMPS.sub(" ", name).lower()))
                     if words & MODIFIERS or tag in ("html", "body"):
                         continue
-                    talk = talk or bool(words & COMMENTS)
+                    own = not words - MARKS - COMMENTS - PARTS
                     if inside or words & OWN_HEADER:
                         words.discard("header")
-                    doubt = doubt or (tag not in ARTICLE and bool(words & MARKS))
+                    spoken = bool(words & COMMENTS)
+                    suspect = spoken or (tag not in ARTICLE and bool(words & MARKS))
+                    talk, doubt, plain = talk or spoken, doubt or suspect, plain or (suspect and own)
         if mark == PLAIN and (talk or doubt):
             mark = TALK if talk else DOUBT
-        return label + "".join(sorted(names)), mark
+        return label + "".join(sorted(names)), mark, plain
 
     def end_leaf(self, tag: str) -> None:
         """An open paragraph (or item, cell, row) ends where the next block or one of its kind begins."""
@@ -263,26 +293,66 @@ class Page:
     def judge(self) -> None:
         """Which containers are outside the article, and the characters of prose in the others.
 
-        A mark may be void: a form around the page, or a class that names its neighbour, must not take the article away.
+        A suspect that holds most of the prose is not cut: a form around the page, or a class that names its neighbour,
+        must not take the article away.
         """
         for node, _, prose, _ in self.blocks:
             node.own += prose
+        alike: dict[tuple[int, int], int] = {}  # containers with text by their parent and path: comments come as a list
         for node in self.nodes:
-            node.prose = node.own
+            node.prose = node.every = node.own
+            if node.parent:
+                key = (id(node.parent), node.path)
+                alike[key] = alike.get(key, 0) + 1
+        several: set[int] = set()
         for node in reversed(self.nodes):  # parents come before children
-            if node.parent and node.mark not in (GONE, TALK):
-                node.parent.prose += node.prose
-                node.parent.holds = node.parent.holds or node.holds
-        whole = self.nodes[0].prose
+            up = node.parent
+            if not up:
+                continue
+            if node.every and (alike[id(up), node.path] > 1 or id(node) in several):
+                several.add(id(up))
+            up.chars, up.links, up.controls = up.chars + node.chars, up.links + node.links, up.controls + node.controls
+            if node.mark != GONE:
+                up.every += node.every
+            if node.mark != GONE and not (node.mark == TALK and node.plain):
+                up.prose += node.prose
+                up.holds = up.holds or node.holds
+        whole, every = self.nodes[0].prose, self.nodes[0].every
         for node in self.nodes[1:]:
-            much = node.prose >= (0.3 if node.holds else 0.8) * whole and whole > 0
-            node.out = node.parent.out or node.mark in (GONE, TALK) or (node.mark == DOUBT and not much)
+            node.votes = 0
+            if node.mark == DOUBT or node.mark == TALK:
+                if node.plain:
+                    node.votes = 1 + (not node.inside) + (2 * node.links >= node.chars > 0) + (node.controls > 0) + (node.mark == TALK and id(node) in several)
+                node.votes += self.host_votes.get(node.path, 0) if node.plain or self.host_votes.get(node.path, 0) >= ENOUGH else 0
+            much = node.every >= 0.95 * every > 0 if node.mark == TALK else node.prose >= (0.3 if node.holds else 0.8) * whole and whole > 0
+            node.out = node.parent.out or node.mark == GONE or (node.votes >= ENOUGH and not much)
         for node in self.nodes:
             node.total = 0.0 if node.out else node.own
         for node in reversed(self.nodes):
             if node.parent and not node.out:
                 node.parent.total += node.total
 
+    def suspects(self) -> list[tuple[int, int]]:
+        """(path, hash of its text) of each element that is suspect and not cut by this page alone; paths once."""
+        import xxhash
+
+        near: dict[int, Node | None] = {}  # the innermost and the outermost suspect around each container
+        far: dict[int, Node | None] = {}
+        for node in self.nodes:  # parents come before children
+            own = node if node.mark in (DOUBT, TALK) and not node.out else None
+            up = id(node.parent) if node.parent else None
+            near[id(node)], far[id(node)] = own or near.get(up), far.get(up) or own
+        texts: dict[int, list[str]] = {}
+        for node, text, _, _ in self.blocks:
+            for path in {x.path for x in (near[id(node)], far[id(node)]) if x}:
+                texts.setdefault(path, []).append(text)
+        return [(path, xxhash.xxh64_intdigest("\n".join(own))) for path, own in texts.items()]
+
+    def digest(self) -> int:
+        import xxhash
+
+        return xxhash.xxh64_intdigest("\n".join(text for _, text, _, _ in self.blocks))
+
     def best(self) -> tuple[Node, float] | None:
         """The container with the highest score (its own prose and half of its parts'), taken up to the article around it."""
         score = {id(n): n.own for n in self.nodes if not n.out}
@@ -324,37 +394,52 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def best_paths(pages: DataFrame) -> DataFrame:
-    """host, path, score of each page's best container; pages has host and html."""
+def readings(pages: DataFrame) -> DataFrame:
+    """A row for each page's best container (host, path, score) and each suspect (host, path, text, page), written; pages has host and html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Page(x or "").best() for x in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("host"),
-                    pa.array([signed(f[0].path) if f else None for f in found], pa.int64()),
-                    pa.array([f[1] if f else None for f in found], pa.float64()),
-                ],
-                ["host", "path", "score"],
-            )
+            rows: list[tuple] = []
+            for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                page = Page(source or "")
+                found, digest = page.best(), signed(page.digest())
+                rows.append((host, signed(found[0].path) if found else None, found[1] if found else None, None, digest))
+                rows += [(host, signed(path), None, signed(text), digest) for path, text in page.suspects()]
+            kinds = (pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "path", "score", "text", "page"])
 
-    return pages.select("host", "html").mapInArrow(common.tidy(run), "host string, path bigint, score double").where("path is not null")
+    return common.materialize(pages.select("host", "html").mapInArrow(common.tidy(run), "host string, path bigint, score double, text bigint, page bigint"), "readings")
 
 
-def winning_paths(pages: DataFrame) -> DataFrame:
+def winning_paths(read: DataFrame) -> DataFrame:
     """host, path: the path with the largest sum of scores of each host."""
-    votes = best_paths(pages).groupBy("host", "path").agg(F.sum("score").alias("score"))
+    votes = read.where("score is not null").groupBy("host", "path").agg(F.sum("score").alias("score"))
     first = F.struct(F.round(-F.col("score"), 3), F.col("path"))
     return votes.groupBy("host").agg(F.min_by("path", first).alias("path"))
 
 
+def cut_paths(read: DataFrame) -> DataFrame:
+    """host, cut: the suspect paths (path, votes) that recur on the host: 1 for a usual path, 2 for one with a repeated text.
+
+    Pages with the same text count once, so copies of a page do not vote for each other's sections.
+    """
+    pages = read.where("text is null").select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    same = read.where("text is not null").groupBy("host", "path", "text", "page").agg(F.lit(1).alias("one")).groupBy("host", "path", "text").agg(F.count("one").alias("n"))
+    paths = same.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") >= SEVERAL, F.col("n")).otherwise(0)).alias("repeated"))
+    recur = (F.col("n") >= SEVERAL) & (F.col("n") >= LEAST_SHARE * F.col("pages"))
+    votes = F.when(2 * F.col("repeated") >= F.col("n"), 2).when(F.col("n") >= USUAL * F.col("pages"), 1).otherwise(0)
+    voted = paths.join(pages, "host").where(recur).withColumn("votes", votes).where("votes > 0")
+    return voted.groupBy("host").agg(F.collect_list(F.struct("path", "votes")).alias("cut"))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text of every page."""
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host")
     )
-    winners = common.materialize(winning_paths(rows), "winning-paths")
+    read = readings(rows)
+    winners = common.materialize(winning_paths(read).join(cut_paths(read), "host", "full"), "winning-paths")
     if winners.count() <= BROADCAST_HOSTS:
         joined = rows.join(F.broadcast(winners), "host", "left")
     else:
@@ -365,12 +450,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                Page(x or "").extract(None if path is None else path % (1 << 64))
-                for x, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)
+                Page(x or "", {c["path"] % (1 << 64): c["votes"] for c in cut or ()}).extract(None if path is None else path % (1 << 64))
+                for x, path, cut in zip(*(batch.column(c).to_pylist() for c in ("html", "path", "cut")), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"]
             )
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "path").mapInArrow(common.tidy(run), f"page_id {kind}, url string, text string")
+    return joined.select("page_id", "url", "html", "path", "cut").mapInArrow(common.tidy(run), f"page_id {kind}, url string, text string")
