@@ -155,30 +155,66 @@ def concurvity(df: DataFrame, key: list[str], outcome: str, predictors: list[str
     return df.groupBy(*key).applyInPandas(run, schema)
 
 
-def block_pass_fits(df: DataFrame, key: list[str], x: str, y: str, context: list[str], quadrant: str, least: int = 20, span: float = 0.08) -> DataFrame:
-    """OLS slope per block and pass with a leave-one-quadrant-out jackknife error; reason where a gate fails.
+def neighbour_moran(e: np.ndarray, gx: np.ndarray, gy: np.ndarray) -> tuple[float, int]:
+    """Moran's I of values over pairs of cells one step apart along a row or column, and how many pairs; NaN without one.
 
-    A group is one block in one pass, a few hundred cells.
+    Cells of one place all pair with those of the next: sums and counts by place stand for the weights' matrix.
     """
-    schema = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in key), "n bigint", "slope double", "jackknife_se double", "reason string"])
+    z = e - e.mean()
+    width = int(gy.max() - gy.min()) + 2
+    place, at = np.unique((gx - gx.min()) * width + gy - gy.min(), return_inverse=True)
+    total, n = np.bincount(at, z), np.bincount(at)
+    products = pairs = 0.0
+    for step in (1, width):
+        to = np.minimum(np.searchsorted(place, place + step), len(place) - 1)
+        met = place[to] == place + step
+        products, pairs = products + float((total * total[to])[met].sum()), pairs + float((n * n[to])[met].sum())
+    spread = float(z @ z)
+    return (len(e) * products / (pairs * spread) if pairs and spread > 0 else float("nan")), int(pairs)
+
+
+def block_pass_fits(
+    df: DataFrame, key: list[str], x: str, y: str, context: list[str], quadrant: str, place: tuple[str, str], least: int = 20, span: float = 0.08
+) -> DataFrame:
+    """OLS slope per block and pass with a leave-one-quadrant-out jackknife error, leverage and Moran's I of the residuals.
+
+    leverage is the largest diagonal of the hat matrix, high_leverage whether it exceeds max(0.25, 2 p / n); reason says
+    which gate failed. A group is one block in one pass, a few hundred cells.
+    """
+    names = ["n", "slope", "jackknife_se", "leverage", "high_leverage", "moran", "n_pairs", "reason"]
+    kinds = "n bigint, slope double, jackknife_se double, leverage double, high_leverage boolean, moran double, n_pairs bigint, reason string"
+    schema = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in key), kinds])
+
+    def design(p: pd.DataFrame) -> np.ndarray:
+        return np.column_stack([np.ones(len(p)), p[[x, *context]].to_numpy(float)])
 
-    def slope(p: pd.DataFrame) -> float:
-        design = np.column_stack([np.ones(len(p)), p[[x, *context]].to_numpy(float)])
-        if len(p) <= design.shape[1] or np.linalg.matrix_rank(design) < design.shape[1]:
-            return float("nan")
-        return float(np.linalg.lstsq(design, p[y].to_numpy(float), rcond=None)[0][1])
+    def solved(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+        """Coefficients and an orthonormal basis of the design, of designs of full rank."""
+        q, r = np.linalg.qr(design(p)) if len(p) > 1 + len(context) + 1 else (None, np.zeros((1, 1)))
+        size = np.abs(np.diag(r))
+        return (np.linalg.solve(r, q.T @ p[y].to_numpy(float)), q) if q is not None and size.min() > 1e-12 * size.max() else None
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         head = [p[c].iloc[0] for c in key]
-        reason = "few_cells" if len(p) < least else "narrow_span" if p[x].max() - p[x].min() < span else None
-        if reason:
-            return pd.DataFrame([[*head, len(p), None, None, reason]], columns=[*key, "n", "slope", "jackknife_se", "reason"])
-        whole = slope(p)
-        parts = np.array([slope(p[p[quadrant] != q]) for q in sorted(p[quadrant].unique())])
-        g = len(parts)
-        se = float(np.sqrt((g - 1) / g * ((parts - parts.mean()) ** 2).sum())) if g > 1 and np.isfinite(parts).all() else float("nan")
-        why = None if np.isfinite(whole) else "rank"
-        return pd.DataFrame([[*head, len(p), whole, se, why]], columns=[*key, "n", "slope", "jackknife_se", "reason"])
+        row = dict.fromkeys(names) | {"n": len(p), "n_pairs": 0}
+        whole = None
+        if len(p) < least:
+            row["reason"] = "few_cells"
+        elif p[x].max() - p[x].min() < span:
+            row["reason"] = "narrow_span"
+        elif (whole := solved(p)) is None:
+            row["reason"] = "rank"
+        if whole:
+            beta, q = whole
+            parts = [solved(p[p[quadrant] != k]) for k in sorted(p[quadrant].unique())]
+            slopes = np.array([f[0][1] if f else np.nan for f in parts])
+            g, hat = len(slopes), (q * q).sum(axis=1)
+            row["slope"] = float(beta[1])
+            row["jackknife_se"] = float(np.sqrt((g - 1) * slopes.var())) if g > 1 and np.isfinite(slopes).all() else None
+            row["leverage"], row["high_leverage"] = float(hat.max()), bool(hat.max() > max(0.25, 2 * q.shape[1] / len(p)))
+            moran, row["n_pairs"] = neighbour_moran(p[y].to_numpy(float) - design(p) @ beta, *(p[c].to_numpy(np.int64) for c in place))
+            row["moran"] = moran if np.isfinite(moran) else None
+        return pd.DataFrame([[*head, *(row[c] for c in names)]], columns=[*key, *names])
 
     return df.groupBy(*key).applyInPandas(run, schema)
 

@@ -174,26 +174,6 @@ def r17(t: Tables) -> DataFrame:
     return main.unionByName(held, allowMissingColumns=True).groupBy("event_type").agg(F.count("*").alias("n"), F.count("value").alias("n_values"))
 
 
-@query(
-    "r18_scene_binding",
-    """WITH a AS (SELECT o_orderkey, array_to_string(list_sort(list(DISTINCT l_linenumber)), '|') AS scenes FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY 1),
- b AS (SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_linenumber)), '|') AS held FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1)
- SELECT o_orderkey, scenes, coalesce(scenes = held, false) AS same_set, coalesce(sha256(scenes) = sha256(held), false) AS checksum_ok, coalesce(len(string_split(held, '|')), 0) AS n_held FROM a LEFT JOIN b ON l_orderkey = o_orderkey""",
-)
-def r18(t: Tables) -> DataFrame:
-    """Scenes of each pass against those of a ledger: equal sets, equal digests, how many the ledger holds."""
-    listed = lambda df, key, name: df.groupBy(F.col(key).alias("o_orderkey")).agg(
-        F.concat_ws("|", F.transform(F.array_sort(F.collect_set("l_linenumber")), lambda x: x.cast("string"))).alias(name), F.count_distinct("l_linenumber").cast("bigint").alias(f"n_{name}")
-    )
-    passes = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    scenes = listed(t.lineitem.join(passes, "l_orderkey", "left_semi"), "l_orderkey", "scenes").drop("n_scenes")
-    both = joins.keyed_join(scenes, listed(t.lineitem.where("l_returnflag <> 'R'"), "l_orderkey", "held"), ["o_orderkey"], "left", "one_to_one")
-    same = lambda a, b: F.coalesce(a == b, F.lit(False))
-    return both.select(
-        "o_orderkey", "scenes", same(F.col("scenes"), F.col("held")).alias("same_set"), same(F.sha2("scenes", 256), F.sha2("held", 256)).alias("checksum_ok"), F.coalesce("n_held", F.lit(0)).alias("n_held")
-    )
-
-
 @query("r19_query_definitions", "SELECT r_name || ':' || y AS definition, r_name, y AS year FROM region CROSS JOIN (SELECT unnest(range(2019, 2026)) AS y)")
 def r19(t: Tables) -> DataFrame:
     years = t.spark.range(2019, 2026).select(F.col("id").alias("year"))
@@ -502,36 +482,6 @@ def c2(t: Tables) -> DataFrame:
     return require_exact_columns(t.customer.select("c_custkey", "c_name"), ["c_custkey", "c_name"])
 
 
-@query("c6_estimate_reconciliation", "SELECT block, sign(e) = sign(m - 26000) AS same_sign, s > 0 AS se_ok FROM (SELECT block, regr_slope(y, x) AS e, avg(y) AS m, stddev_samp(y) AS s FROM {cells} GROUP BY 1)")
-def c6(t: Tables) -> DataFrame:
-    g = t.cells.groupBy("block").agg(F.regr_slope("y", "x").alias("e"), F.avg("y").alias("m"), F.stddev_samp("y").alias("s"))
-    return g.select("block", (F.signum("e") == F.signum(F.col("m") - 26000)).alias("same_sign"), (F.col("s") > 0).alias("se_ok"))
-
-
-@query(
-    "c7_c12_weather_reconciliation",
-    "SELECT count(*) AS checked, count(*) FILTER (WHERE abs(v - again) <= 1e-9) AS agreeing FROM (SELECT a.v AS v, a.v AS again FROM (SELECT event_id, date_trunc('hour', ts) AS hour FROM {passes}) p JOIN {hourly} a ON a.hour = p.hour)",
-)
-def c7(t: Tables) -> DataFrame:
-    at = t.passes.select("event_id", F.date_trunc("hour", "ts").alias("ts"))
-    once = joins.bracket(at, t.hourly, "ts", "hour", ["v"]).where("v is not null")
-    again = at.join(t.hourly.select(F.col("hour").alias("ts"), F.col("v").alias("again")), "ts").select("event_id", "again")
-    both = once.join(again, "event_id")
-    return both.agg(F.count("*").alias("checked"), F.count_if(F.abs(F.col("v") - F.col("again")) <= 1e-9).alias("agreeing"))
-
-
-@query("c8_output_scope", "SELECT count(*) AS n, count(DISTINCT block) AS blocks, count(*) = count(DISTINCT block) * 83 AS whole FROM (SELECT DISTINCT block, pass FROM {cells})")
-def c8(t: Tables) -> DataFrame:
-    p = t.cells.select("block", "pass").distinct()
-    return p.agg(F.count("*").alias("n"), F.count_distinct("block").alias("blocks"), (F.count("*") == F.count_distinct("block") * 83).alias("whole"))
-
-
-@query("c11_geometry_metrics", "SELECT l_suppkey, abs(sum(l_quantity) - round(avg(l_quantity) * count(*), 6)) < 0.001 AS agrees FROM lineitem GROUP BY 1")
-def c11(t: Tables) -> DataFrame:
-    q = F.col("l_quantity")
-    return t.lineitem.groupBy("l_suppkey").agg((F.abs(F.sum(q) - F.round(F.avg(q) * F.count("*"), 6)) < 0.001).alias("agrees"))
-
-
 @query("c13_gap_recovery", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS recovered FROM customer WHERE c_acctbal < 0")
 def c13(t: Tables) -> DataFrame:
     held = t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("there", F.lit(True))

@@ -64,22 +64,6 @@ def s24(t: Tables) -> DataFrame:
     return files.replayed_pages(t.spark, path, "page bigint, items array<bigint>, hits bigint").select("page", "n", "hits", "complete")
 
 
-@query(
-    "s25_search_after_replay",
-    """WITH p AS (SELECT CAST(floor((o_custkey - 1) / 50.0) AS BIGINT) AS page, max(o_orderkey) AS last, count(*) AS n FROM orders GROUP BY 1)
- SELECT page, n, lag(last) OVER (ORDER BY page) AS after, true AS chained FROM p""",
-)
-def s25(t: Tables) -> DataFrame:
-    """Recorded pages of a listing continued by a token: each page names the last item of the one before."""
-    pages = t.orders.groupBy(F.floor((F.col("o_custkey") - 1) / 50).alias("page")).agg(F.max("o_orderkey").alias("last"), F.count("*").alias("n"))
-    tokens = pages.select((F.col("page") + 1).alias("page"), F.col("last").alias("after"))
-    path = files.scratch_path(t.spark, "tokens")
-    files.write_json(pages.join(tokens, "page", "left"), path)
-    got = t.spark.read.schema("page bigint, last bigint, n bigint, after bigint").json(path)
-    before = got.select((F.col("page") + 1).alias("page"), F.col("last").alias("expected"))
-    return got.join(before, "page", "left").select("page", "n", "after", F.col("after").eqNullSafe(F.col("expected")).alias("chained"))
-
-
 @query("s11_scaled_scan", "SELECT l_linenumber, count(*) AS n, round(sum(CASE WHEN l_partkey <> 7 THEN l_partkey * 0.5 + 1.5 END), 2) AS total FROM lineitem GROUP BY 1")
 def s11(t: Tables) -> DataFrame:
     v = bits.scaled(F.col("l_partkey"), 0.5, 1.5, 7)

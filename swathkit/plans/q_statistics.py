@@ -209,11 +209,28 @@ def x15(t: Tables) -> DataFrame:
     return points.select("x", F.round(at[0] + at[1] + at[2], 2).alias("curve"))
 
 
-@query("x16_r33_block_pass_jackknife")
+_SLOPE2 = "((xy - sx * sy / n) * (zz - sz * sz / n) - (zy - sz * sy / n) * (xz - sx * sz / n)) / ((xx - sx * sx / n) * (zz - sz * sz / n) - power(xz - sx * sz / n, 2))"
+_SUMS2 = ("n", "sx", "sz", "sy", "xx", "xz", "zz", "xy", "zy")
+
+
+@query(
+    "x16_r33_block_pass_jackknife",
+    f"""WITH c AS (SELECT block, left(pass, 4) AS year, x, qty AS z, y, CAST(tax >= 0.04 AS INT) + 2 * CAST(qty >= 0.5 AS INT) AS quad, CAST(round(qty * 50) AS BIGINT) AS gx, word % 40 AS gy FROM {{cells}}),
+ q AS (SELECT block, year, quad, count(*)::DOUBLE AS n, sum(x) AS sx, sum(z) AS sz, sum(y) AS sy, sum(x * x) AS xx, sum(x * z) AS xz, sum(z * z) AS zz, sum(x * y) AS xy, sum(z * y) AS zy FROM c GROUP BY 1, 2, 3),
+ t AS (SELECT block, year, {", ".join(f"sum({v}) AS {v}" for v in _SUMS2)} FROM q GROUP BY 1, 2), w AS (SELECT *, {_SLOPE2} AS slope FROM t),
+ j AS (SELECT block, year, sqrt((count(*) - 1) * var_pop({_SLOPE2})) AS jackknife_se FROM (SELECT t.block AS block, t.year AS year, {", ".join(f"t.{v} - q.{v} AS {v}" for v in _SUMS2)} FROM t JOIN q ON q.block = t.block AND q.year = t.year) GROUP BY 1, 2),
+ f AS (SELECT *, sx / n AS mx, sz / n AS mz, sy / n AS my, xx - sx * sx / n AS cxx, xz - sx * sz / n AS cxz, zz - sz * sz / n AS czz, (zy - sz * sy / n - slope * (xz - sx * sz / n)) / (zz - sz * sz / n) AS b2 FROM w),
+ e AS (SELECT c.block AS block, c.year AS year, gx, gy, y - my - slope * (x - mx) - b2 * (z - mz) AS e, 1 / n + (power(x - mx, 2) * czz - 2 * (x - mx) * (z - mz) * cxz + power(z - mz, 2) * cxx) / (cxx * czz - cxz * cxz) AS h FROM c JOIN f ON f.block = c.block AND f.year = c.year),
+ s AS (SELECT block, year, sum(e * e) AS ss, max(h) AS leverage FROM e GROUP BY 1, 2),
+ p AS (SELECT a.block AS block, a.year AS year, sum(a.e * b.e) AS products, count(*) AS n_pairs FROM e a JOIN e b ON a.block = b.block AND a.year = b.year AND ((b.gx = a.gx + 1 AND b.gy = a.gy) OR (b.gx = a.gx AND b.gy = a.gy + 1)) GROUP BY 1, 2)
+ SELECT f.block AS block, f.year AS year, CAST(n AS BIGINT) AS n, round(slope, 2) AS slope, round(jackknife_se, 2) AS jackknife_se, round(leverage, 8) AS leverage, leverage > greatest(0.25, 6 / n) AS high_leverage,
+ round(n * products / (n_pairs * ss), 6) AS moran, coalesce(n_pairs, 0) AS n_pairs, CAST(NULL AS VARCHAR) AS reason FROM f JOIN j USING (block, year) JOIN s USING (block, year) LEFT JOIN p USING (block, year)""",
+)
 def x16(t: Tables) -> DataFrame:
     q = ident.quadrant(F.col("tax"), F.col("qty"), F.lit(0.04), F.lit(0.5))
-    cells = t.cells.withColumns({"quadrant": q, "year": F.substring("pass", 1, 4)})
-    return inference.block_pass_fits(cells, ["block", "year"], "x", "y", ["qty"], "quadrant")
+    cells = t.cells.withColumns({"quadrant": q, "year": F.substring("pass", 1, 4), "gx": F.round(F.col("qty") * 50).cast("bigint"), "gy": F.col("word") % 40})
+    fits = inference.block_pass_fits(cells, ["block", "year"], "x", "y", ["qty"], "quadrant", ("gx", "gy"))
+    return fits.withColumns({"slope": F.round("slope", 2), "jackknife_se": F.round("jackknife_se", 2), "leverage": F.round("leverage", 8), "moran": F.round("moran", 6)})
 
 
 @query(

@@ -108,16 +108,6 @@ def test_collinearity_by_matrices(spark):
     assert rank == 2 and all(np.isinf(v) for v in vif.values())
 
 
-def test_jackknife_by_hand(spark):
-    rng = np.random.default_rng(6)
-    x, z, q = rng.random(80), rng.random(80), np.arange(80) % 4
-    y = 5 * x + z + rng.normal(size=80) * (q + 1)
-    df = spark.createDataFrame([("b", float(a), float(b), float(c), int(d)) for a, b, c, d in zip(x, z, y, q)], "k string, x double, z double, y double, q int")
-    got = inference.block_pass_fits(df, ["k"], "x", "y", ["z"], "q").first()
-    slope = lambda at: np.linalg.lstsq(np.column_stack([np.ones(at.sum()), x[at], z[at]]), y[at], rcond=None)[0][1]
-    parts = np.array([slope(q != k) for k in range(4)])
-    assert got["slope"] == pytest.approx(slope(q >= 0)) and got["jackknife_se"] == pytest.approx((3 / 4 * ((parts - parts.mean()) ** 2).sum()) ** 0.5)
-
 
 def test_known_curve_is_recovered_on_any_support(spark):
     """A curve with a known slope is found whatever part of the range the cells cover."""
