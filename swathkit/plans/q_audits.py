@@ -1,12 +1,12 @@
-"""Checks of computed tables against independent ones (C6 to C12, R18, S25, S33); each can fail, and tests hold a table that does."""
+"""Checks of computed tables against independent ones (C6 to C12, R18, S25, S33), each of which can fail, and the quadratic run."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swathkit.functions import clock
-from swathkit.operators import inference, joins, polygons, ranks, reconcile, resampling, select
+from swathkit.functions import clock, physics
+from swathkit.operators import inference, joins, ledger, polygons, ranks, reconcile, resampling, select, sensitivity
 from swathkit.plans.q_grid import EDGES_SQL, supplier_polygons
 from swathkit.plans.q_statistics import _strata_sql
 from swathkit.plans.registry import Tables, query, rounded
@@ -165,3 +165,55 @@ def s33(t: Tables) -> DataFrame:
     path = files.scratch_path(t.spark, "checked-csv")
     files.write_csv(declared, path, columns, columns[:2], n_rows=out.count())
     return files.read_csv(t.spark, path, "o_orderpriority string, o_orderstatus string, n bigint, mean double", columns, set(columns))
+
+
+PAIRS = [(low, round(low + step, 2)) for low in (0.01, 0.02, 0.03, 0.04, 0.05) for step in (0.02, 0.03, 0.04)]
+HALFWIDTHS, SIZES, RUN_REPLICATES, RUN_SEED = [0.004, 0.014, 0.024], [4, 8], 40, 20261004
+_PAIRS_SQL = ", ".join(f"({lo}, {hi})" for lo, hi in PAIRS)
+_RUN_CELLS = "(SELECT left(pass, 4) AS year, block, x, 290 + y / 10000 AS k, 0.97 * 5.670374419e-8 * power(290 + y / 10000, 4) AS f FROM {cells})"
+_RUN_GROUPS = f"""(SELECT year, size, CAST(floor(block / CAST(size AS DOUBLE)) AS BIGINT) AS g, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d1) AS d1, sum(e1) AS e1, sum(d2) AS d2, sum(e2) AS e2
+ FROM (SELECT year, block, count(*) * covar_pop(x, x) AS a, count(*) * covar_pop(x, x * x) AS b, count(*) * covar_pop(x * x, x * x) AS c, count(*) * covar_pop(x, k) AS d1, count(*) * covar_pop(x * x, k) AS e1, count(*) * covar_pop(x, f) AS d2, count(*) * covar_pop(x * x, f) AS e2 FROM {_RUN_CELLS} GROUP BY 1, 2)
+ CROSS JOIN (VALUES (4), (8)) v(size) GROUP BY 1, 2, 3)"""
+_RUN_SUMS = ", ".join(f"sum(times * i.{m}) AS {m}" for m in ("a", "b", "c", "d1", "e1", "d2", "e2"))
+
+
+def _quantities_sql(k: str, f: str) -> str:
+    anchor = "(0.97 * 5.670374419e-8 * power(300.0, 4))"
+    equivalent = f"(-300.0 * (power(({anchor} - {f}) / {anchor}, 0.25) - 1))"
+    return f"[{k}, {f}, {equivalent}, {k} - {equivalent}]"
+
+
+@query(
+    "r29_quadratic_run",
+    f"""WITH {_strata_sql(_RUN_GROUPS, "concat_ws('/', year, size)", "g", RUN_REPLICATES, RUN_SEED)},
+ m AS (SELECT i.year AS year, i.size AS size, rep, {_RUN_SUMS} FROM d JOIN i ON i.s = d.s AND i.place = d.place GROUP BY 1, 2, 3 UNION ALL SELECT year, size, -1, {_RUN_SUMS.replace("times * ", "")} FROM i GROUP BY 1, 2),
+ f AS (SELECT year, size, rep, d1 / a AS l1, d2 / a AS l2, (c * d1 - b * e1) / (a * c - b * b) AS q1, (a * e1 - b * d1) / (a * c - b * b) AS r1, (c * d2 - b * e2) / (a * c - b * b) AS q2, (a * e2 - b * d2) / (a * c - b * b) AS r2 FROM m),
+ p(low, high) AS (VALUES {_PAIRS_SQL}),
+ v AS (SELECT year, size, rep, low, high, -l1 * (high - low) AS lk, -l2 * (high - low) AS lf, -(q1 * (high - low) + r1 * (high * high - low * low)) AS qk, -(q2 * (high - low) + r2 * (high * high - low * low)) AS qf FROM f, p),
+ w AS (SELECT year, size, rep, low, high, {_quantities_sql("lk", "lf")} AS line, {_quantities_sql("qk", "qf")} AS quad FROM v),
+ e AS (SELECT year, size, rep, low, high, model, unnest(['cooling_k', 'cooling_flux', 'equivalent_k', 'departure_k']) AS quantity, unnest(CASE model WHEN 'linear' THEN line WHEN 'quadratic' THEN quad ELSE [quad[1] - line[1], quad[2] - line[2], quad[3] - line[3], quad[4] - line[4]] END) AS v
+  FROM w, (VALUES ('linear'), ('quadratic'), ('quadratic_minus_linear')) t(model)),
+ r AS (SELECT year, size, low, high, model, quantity, max(v) FILTER (WHERE rep < 0) AS point, quantile_cont(v, 0.025) FILTER (WHERE rep >= 0) AS q025, quantile_cont(v, 0.975) FILTER (WHERE rep >= 0) AS q975, stddev_samp(v) FILTER (WHERE rep >= 0) AS se, count(v) FILTER (WHERE rep >= 0) AS estimable FROM e GROUP BY ALL),
+ s AS (SELECT year, low, high, count(*) FILTER (WHERE x0 <= low AND x1 >= high) AS spanning_blocks FROM (SELECT year, block, min(x) AS x0, max(x) AS x1 FROM {_RUN_CELLS} GROUP BY 1, 2), p GROUP BY 1, 2, 3),
+ h AS (SELECT year, low, high, halfwidth, count(*) FILTER (WHERE abs(x - low) <= halfwidth) AS lower_cells, count(*) FILTER (WHERE abs(x - high) <= halfwidth) AS upper_cells FROM {_RUN_CELLS}, p, (VALUES (0.004), (0.014), (0.024)) z(halfwidth) GROUP BY 1, 2, 3, 4)
+ SELECT year, low::DOUBLE AS low, high::DOUBLE AS high, halfwidth::DOUBLE AS halfwidth, size, model, quantity, spanning_blocks, lower_cells, upper_cells, round(point, 5) + 0.0 AS point, round(q025, 5) + 0.0 AS q025, round(q975, 5) + 0.0 AS q975, round(se, 5) AS se, estimable, 'OK' AS status
+ FROM h JOIN s USING (year, low, high) JOIN r USING (year, low, high)""",
+)
+def r29(t: Tables) -> DataFrame:
+    """Years x fifteen pairs x three half-widths x two group sizes x three models x four quantities; the second call of the run makes what the first left."""
+    cells = files.written(t.cells.select(F.substring("pass", 1, 4).alias("year"), "block", "x", (290 + F.col("y") / 10000).alias("k")).withColumn("f", physics.emitted_energy(F.lit(0.97), F.col("k"))), "run-cells")
+
+    def make(units: DataFrame) -> DataFrame:
+        moments = sensitivity.block_moments(cells.join(F.broadcast(units), "year", "left_semi"), "year", "block", "x", "k", "f")
+        return sensitivity.effects(moments, "year", "block", SIZES, PAIRS, RUN_REPLICATES, RUN_SEED, (300.0, 0.97))
+
+    schema = "year string, size int, low double, high double, model string, quantity string, point double, q025 double, q975 double, se double, estimable bigint, requested bigint"
+    run = ledger.Ledger(t.spark.createDataFrame([], schema), files.scratch_path(t.spark, "quadratic-run"), "year")
+    years = cells.select("year").distinct()
+    run.run(years.where("year % 2 = 0"), make)
+    out = run.run(years, make)
+    support = sensitivity.endpoint_support(cells, "year", "block", "x", PAIRS, HALFWIDTHS)
+    both = support.join(out, ["year", "low", "high"])
+    there = F.col("spanning_blocks") > 0
+    values = {c: F.when(there, F.round(c, 5) + 0.0) for c in ("point", "q025", "q975", "se")}
+    return both.withColumns(values).withColumn("status", F.when(there, "OK").otherwise("NOT_ESTIMATED_NO_SPANNING_BLOCKS")).drop("requested")

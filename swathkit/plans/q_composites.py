@@ -366,31 +366,6 @@ def r30(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    "r29_quadratic_run",
-    f"""WITH b AS (SELECT year, block, covar_pop(x, x) * count(*) AS a, covar_pop(x, x * x) * count(*) AS b, covar_pop(x * x, x * x) * count(*) AS c, covar_pop(x, y) * count(*) AS d, covar_pop(x * x, y) * count(*) AS e FROM {_YEARS} GROUP BY 1, 2),
- s AS (SELECT year, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d, sum(e) AS e FROM b GROUP BY 1), m AS (SELECT year, 'line' AS model, d / a AS b1, 0.0 AS b2 FROM s UNION ALL SELECT year, 'quadratic', (c * d - b * e) / (a * c - b * b), (a * e - b * d) / (a * c - b * b) FROM s)
- SELECT year, model, low, width, round(b1 * width + b2 * (power(low + width, 2) - power(low, 2)), 2) AS change, round((b1 * width + b2 * (power(low + width, 2) - power(low, 2))) / width, 2) AS per_unit FROM m CROSS JOIN (VALUES (0.01), (0.02), (0.03), (0.04), (0.05)) l(low) CROSS JOIN (VALUES (0.02), (0.03), (0.04)) w(width)""",
-)
-def r29(t: Tables) -> DataFrame:
-    """Changes between fifteen pairs of endpoints, by year, from a line and a quadratic of the same blocks."""
-    cells = t.cells.withColumns({"year": F.substring("pass", 1, 4).cast("int"), "x2": F.col("x") * F.col("x")})
-    cross = lambda p, q, name: (F.covar_pop(p, q) * F.count("*")).alias(name)
-    b = cells.groupBy("year", "block").agg(cross("x", "x", "a"), cross("x", "x2", "b"), cross("x2", "x2", "c"), cross("x", "y", "d"), cross("x2", "y", "e"))
-    s = b.groupBy("year").agg(*(F.sum(c).alias(c) for c in "abcde"))
-    a, bb, c, d, e = (F.col(x) for x in "abcde")
-    det = a * c - bb * bb
-    models = F.array(
-        F.struct(F.lit("line").alias("model"), (d / a).alias("b1"), F.lit(0.0).alias("b2")), F.struct(F.lit("quadratic").alias("model"), ((c * d - bb * e) / det).alias("b1"), ((a * e - bb * d) / det).alias("b2"))
-    )
-    lows = t.spark.createDataFrame([(v,) for v in (0.01, 0.02, 0.03, 0.04, 0.05)], "low double")
-    pairs_ = lows.crossJoin(t.spark.createDataFrame([(0.02,), (0.03,), (0.04,)], "width double"))  # fifteen rows
-    low, width = F.col("low"), F.col("width")
-    change = F.col("b1") * width + F.col("b2") * (F.pow(low + width, F.lit(2.0)) - F.pow(low, F.lit(2.0)))
-    fits = s.select("year", F.explode(models).alias("m")).select("year", "m.*").crossJoin(F.broadcast(pairs_))
-    return fits.select("year", "model", "low", "width", F.round(change, 2).alias("change"), F.round(change / width, 2).alias("per_unit"))
-
-
 @query(
     "r31_registration_refits",
     """WITH c AS (SELECT block, pass, avg(x) AS x, avg(y) AS y FROM {cells} GROUP BY 1, 2), s AS (SELECT a.block, a.pass, a.y, a.x AS x0, b.x AS x1, d.x AS x2 FROM c a JOIN c b ON b.block = a.block + 1 AND b.pass = a.pass JOIN c d ON d.block = a.block + 2 AND d.pass = a.pass),
