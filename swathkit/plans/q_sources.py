@@ -153,8 +153,44 @@ def j21(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", grid.box_meets_convex(x, y, x + 2.0, y + 1.0, domain).alias("meets"))
 
 
-@query("g19_map_coordinates")
+WEATHER = project.Conic(38.5, 38.5, 38.5, -97.5, 6371229.0, 0.0)  #: a sphere, as weather grids use
+STATES = project.Conic(33.0, 45.0, 23.0, -96.0)  #: on the ellipsoid
+_E = project.ECCENTRICITY
+
+
+def _series(terms: tuple[float, ...], f: str, g: str, sign: str = "+") -> str:
+    return "".join(f" {sign} ({a!r}) * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, a in enumerate(terms, 1))
+
+
+def _conic_sql(c: project.Conic, name: str) -> str:
+    e = repr(c.eccentricity)
+    t = f"tan(pi() / 4 - radians(lat2) / 2) * power((1 + {e} * sin(radians(lat2))) / (1 - {e} * sin(radians(lat2))), {e} / 2)"
+    return f"{c.reach!r} * power({t}, {c.cone!r}) * sin({c.cone!r} * radians(lon2 - ({c.longitude!r}))) AS {name}_x, {c.origin!r} - {c.reach!r} * power({t}, {c.cone!r}) * cos({c.cone!r} * radians(lon2 - ({c.longitude!r}))) AS {name}_y"
+
+
+@query(
+    "g19_map_coordinates",
+    f"""WITH p AS (SELECT s_suppkey, -180 + (s_suppkey * 37 % 3600) / 10.0::DOUBLE AS lon, -80 + (s_suppkey * 53 % 1640) / 10.0::DOUBLE AS lat, -125 + (s_suppkey * 7 % 600) / 10.0::DOUBLE AS lon2, 24 + (s_suppkey * 11 % 260) / 10.0::DOUBLE AS lat2 FROM supplier),
+ z AS (SELECT *, CAST(floor((lon + 180) / 6) AS INT) % 60 + 1 AS zone FROM p), a AS (SELECT *, sinh(atanh(sin(radians(lat))) - {_E!r} * atanh({_E!r} * sin(radians(lat)))) AS t, radians(lon - (zone * 6 - 183)) AS w FROM z),
+ x AS (SELECT *, atan2(t, cos(w)) AS xi, atanh(sin(w) / sqrt(1 + t * t)) AS eta FROM a)
+ SELECT s_suppkey, zone, round({project.SCALE * project.RADIUS!r} * (eta{_series(project.FORWARD, "cos", "sinh")}) + 500000, 3) AS x, round({project.SCALE * project.RADIUS!r} * (xi{_series(project.FORWARD, "sin", "cosh")}) + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END, 3) AS y,
+ {", ".join(f"round({n}, 3) AS {n}" for n in ("sphere_x", "sphere_y", "ellipsoid_x", "ellipsoid_y"))}, true AS there_and_back
+ FROM (SELECT *, {_conic_sql(WEATHER, "sphere")}, {_conic_sql(STATES, "ellipsoid")} FROM x)""",
+)
 def g19(t: Tables) -> DataFrame:
-    lon, lat = F.lit(-114.0) + F.col("s_suppkey") % 60 / 10, F.lit(30.0) + F.col("s_suppkey") % 50 / 5
-    x, y = project.utm(lon, lat, F.lit(12))
-    return t.supplier.select("s_suppkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+    """Places of the suppliers in their UTM zone, north or south, and in two conics; and whether the inverses lead back within 10^-9 degrees."""
+    key = F.col("s_suppkey")
+    lon, lat = -180 + (key * 37 % 3600) / 10, -80 + (key * 53 % 1640) / 10
+    lon2, lat2 = -125 + (key * 7 % 600) / 10, 24 + (key * 11 % 260) / 10
+    at = t.supplier.select("s_suppkey", lon.alias("lon"), lat.alias("lat"), lon2.alias("lon2"), lat2.alias("lat2"), project.utm_zone(lon).alias("zone"))
+    conics = {"sphere": WEATHER, "ellipsoid": STATES}
+    made = dict(zip("xy", project.utm(F.col("lon"), F.col("lat"), F.col("zone")), strict=True))
+    for name, conic in conics.items():
+        made |= dict(zip((f"{name}_x", f"{name}_y"), conic.forward(F.col("lon2"), F.col("lat2")), strict=True))
+    placed = at.withColumns(made)
+    back = {"b": project.utm_inverse(F.col("x"), F.col("y"), F.col("zone"), F.col("lat") < 0)} | {n: c.inverse(F.col(f"{n}_x"), F.col(f"{n}_y")) for n, c in conics.items()}
+    close = F.lit(True)
+    for name, (there, over) in back.items():
+        for got, want in ((there, "lon"), (over, "lat")):
+            close = close & (F.abs(got - F.col(want if name == "b" else f"{want}2")) < 1e-9)
+    return placed.select("s_suppkey", "zone", *(F.round(c, 3).alias(c) for c in made), close.alias("there_and_back"))

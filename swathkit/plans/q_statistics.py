@@ -243,12 +243,24 @@ def x17(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(round(float(m["coef"][1]), 6), round(float(m["coef"][0]), 4), round(float(m["se"][1]), 6))], "slope double, intercept double, se double")
 
 
-@query("x18_prediction_interval")
+def t975_sql(v: str) -> str:
+    """Student's 0.975 quantile by its expansion in 1 / v about the normal's (to the fourth power; v of twenty or more)."""
+    return f"(1.959963984540054 + 2.372271230298562 / ({v}) + 2.8224986157396112 / power({v}, 2) + 2.555849679507722 / power({v}, 3) + 1.5895340533938225 / power({v}, 4))"
+
+
+@query(
+    "x18_prediction_interval",
+    f"""WITH u AS (SELECT user_id, avg(value) AS y, avg(CASE WHEN extract('hour' FROM ts) > 12 THEN 1.0 ELSE 0 END) AS late FROM events GROUP BY 1), d AS (SELECT * FROM u WHERE user_id % 2 = 0),
+ m AS (SELECT count(*) AS n, avg(user_id) AS mp, avg(late) AS mq, avg(y) AS my, regr_sxx(y, user_id) AS pp, regr_sxx(y, late) AS qq, regr_sxy(late, user_id) AS pq, regr_sxy(y, user_id) AS py, regr_sxy(y, late) AS qy, regr_syy(y, late) AS yy FROM d),
+ b AS (SELECT *, pp * qq - pq * pq AS det, (qq * py - pq * qy) / (pp * qq - pq * pq) AS b1, (pp * qy - pq * py) / (pp * qq - pq * pq) AS b2 FROM m), s AS (SELECT *, (yy - b1 * py - b2 * qy) / (n - 3) AS s2 FROM b),
+ i AS (SELECT user_id, y, late, my + b1 * (user_id - mp) + b2 * (late - mq) AS mean, {t975_sql("n - 3")} * sqrt(s2 * (1 + 1.0 / n + (power(user_id - mp, 2) * qq - 2 * (user_id - mp) * (late - mq) * pq + power(late - mq, 2) * pp) / det)) AS half FROM u, s WHERE user_id % 2 = 1)
+ SELECT user_id, round(y, 4) AS y, round(late, 6) AS late, round(mean, 4) AS mean, round(mean - half, 4) AS low, round(mean + half, 4) AS high, y BETWEEN mean - half AND mean + half AS covered FROM i""",
+)
 def x18(t: Tables) -> DataFrame:
     per = t.events.groupBy("user_id").agg(F.avg("value").alias("y"), F.avg((F.hour("ts") > 12).cast("double")).alias("late"))
     model = inference.ols(per.where("user_id % 2 = 0"), ["user_id", "late"], "y")
-    out = inference.predict_interval(per.where("user_id % 2 = 1"), model)
-    return out.withColumn("covered", F.col("y").between(F.col("low"), F.col("high")))
+    out = inference.predict_interval(per.where("user_id % 2 = 1"), model).withColumn("covered", F.col("y").between(F.col("low"), F.col("high")))
+    return out.withColumns({c: F.round(c, 4) for c in ("y", "mean", "low", "high")}).withColumn("late", F.round("late", 6))
 
 
 _BY_DAY = "(SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS DOUBLE) AS n, sum(extract('hour' FROM ts)) AS h, sum(value) AS v, sum(extract('hour' FROM ts) * extract('hour' FROM ts)) AS hh, sum(extract('hour' FROM ts) * value) AS hv FROM events GROUP BY 1, 2)"
@@ -326,10 +338,40 @@ def x25(t: Tables) -> DataFrame:
     return rounded(a.join(b, "block").select("block", (F.col("a") - F.col("b")).alias("difference")), 4)
 
 
-@query("x26_x27_collinearity")
+def _determinant(rows: list[int], columns: list[int]) -> str:
+    """The determinant of a part of the correlation matrix, its entries named r<i><j>, written out."""
+    if not rows:
+        return "1.0"
+    entry = lambda i, j: "1.0" if i == j else f"r{min(i, j)}{max(i, j)}"
+    terms = (f"({1 - 2 * (k % 2)}.0) * {entry(rows[0], j)} * ({_determinant(rows[1:], columns[:k] + columns[k + 1 :])})" for k, j in enumerate(columns))
+    return "(" + " + ".join(terms) + ")"
+
+
+def _largest_sql(name: str, diagonal: float, sign: str) -> str:
+    """CTEs that square a 4 x 4 matrix (diagonal, and signed correlations) 60 times over its trace: name(value) is its largest eigenvalue."""
+    cells = [(i, j) for i in range(4) for j in range(i, 4)]
+    m = lambda i, j: f"m{min(i, j)}{max(i, j)}"
+    first = ", ".join(f"{f'{diagonal}::DOUBLE' if i == j else f'{sign}r{i}{j}'} AS {m(i, j)}" for i, j in cells)
+    squared = ", ".join(f"({' + '.join(f'{m(i, k)} * {m(k, j)}' for k in range(4))}) / power(m00 + m11 + m22 + m33, 2) AS {m(i, j)}" for i, j in cells)
+    product = " + ".join(f"a.{m(i, j)} * b.{m(i, j)} * {1 if i == j else 2}" for i, j in cells)
+    return f"""{name}_0 AS (SELECT 0 AS step, {first} FROM r), {name}_n AS (SELECT * FROM {name}_0 UNION ALL SELECT step + 1, {squared} FROM {name}_n WHERE step < 60),
+ {name} AS (SELECT ({product}) / (b.m00 + b.m11 + b.m22 + b.m33) AS value FROM {name}_0 a, (SELECT * FROM {name}_n WHERE step = 60) b)"""
+
+
+_TERMS = ("x", "tax", "qty", "y")
+
+
+@query(
+    "x26_x27_collinearity",
+    f"""WITH RECURSIVE r AS (SELECT {", ".join(f"corr({_TERMS[i]}, {_TERMS[j]}) AS r{i}{j}" for i in range(4) for j in range(i + 1, 4))} FROM {{cells}}),
+ {_largest_sql("top", 1.0, "")},
+ {_largest_sql("rest", 3.0, "-")},
+ v AS ({" UNION ALL ".join(f"SELECT '{c}' AS term, {_determinant([k for k in range(4) if k != i], [k for k in range(4) if k != i])} / {_determinant([0, 1, 2, 3], [0, 1, 2, 3])} AS vif FROM r" for i, c in enumerate(_TERMS))})
+ SELECT term, round(vif, 6) AS vif, round(sqrt(top.value / (4 - rest.value)), 6) AS condition_index, CAST(4 AS INT) AS rank FROM v, top, rest""",
+)
 def x26(t: Tables) -> DataFrame:
-    index, rank, vif = inference.collinearity(t.cells, ["x", "tax", "qty", "y"])
-    return t.spark.createDataFrame([(c, v, index, rank) for c, v in vif.items()], "term string, vif double, condition_index double, rank int")
+    index, rank, vif = inference.collinearity(t.cells, list(_TERMS))
+    return t.spark.createDataFrame([(c, round(v, 6), round(index, 6), rank) for c, v in vif.items()], "term string, vif double, condition_index double, rank int")
 
 
 @query("x28_concurvity")
@@ -345,7 +387,13 @@ def x29(t: Tables) -> DataFrame:
     return w.groupBy("grp").agg(F.count("*").alias("blocks"), F.when(ok, "KEEP").otherwise("DROP").alias("ruling"))
 
 
-@query("x31_moment_interval")
+@query(
+    "x31_moment_interval",
+    f"""WITH d AS (SELECT CAST(ts AS DATE) AS d, avg(value) AS y FROM events WHERE event_type = 'purchase' GROUP BY 1), k AS (SELECT y, row_number() OVER (ORDER BY d) AS k, count(*) OVER () AS n FROM d),
+ m AS (SELECT count(*) AS n, regr_syy(y, k) AS syy, regr_sxy(y, k) AS sxy, regr_sxx(y, k) AS sxx, avg(y) FILTER (WHERE k <= n // 2) AS a, avg(y) FILTER (WHERE k > n // 2) AS b FROM k),
+ v AS (SELECT *, greatest(0, (syy - sxy * sxy / sxx) / (n - 2) - 0.5) AS tau2 FROM m), h AS (SELECT *, {t975_sql("n - 2")} * sqrt((0.5 + tau2) * (1.0 / (n // 2) + 1.0 / (n - n // 2))) AS half FROM v)
+ SELECT round(a - b - half, 5) AS low, round(a - b + half, 5) AS high, round(tau2, 6) AS tau2 FROM h""",
+)
 def x31(t: Tables) -> DataFrame:
     days = t.events.where("event_type = 'purchase'").groupBy(F.to_date("ts").alias("d")).agg(F.avg("value").alias("y"))
     k = days.select("y", F.row_number().over(W.orderBy("d")).alias("k"))  # one row a day
@@ -354,7 +402,7 @@ def x31(t: Tables) -> DataFrame:
     m = k.agg(F.count("*").alias("n"), F.regr_syy("y", "k").alias("syy"), F.regr_sxy("y", "k").alias("sxy"), F.regr_sxx("y", "k").alias("sxx"),
               F.avg(F.when(first, F.col("y"))).alias("a"), F.avg(F.when(~first, F.col("y"))).alias("b")).first()
     low, high, tau2 = inference.trend_moment_interval(m["n"], m["syy"], m["sxy"], m["sxx"], m["a"], m["b"], 0.5)
-    return t.spark.createDataFrame([(low, high, tau2)], "low double, high double, tau2 double")
+    return rounded(t.spark.createDataFrame([(low, high, tau2)], "low double, high double, tau2 double").select(F.round("low", 5).alias("low"), F.round("high", 5).alias("high"), "tau2"))
 
 
 @query(
@@ -392,13 +440,16 @@ def x35(t: Tables) -> DataFrame:
 
 @query(
     "x36_x39_reference_sensitivity",
-    "SELECT k AS reference_k, e AS reference_eps, round(k * (power((e * 5.670374419e-8 * power(k, 4) - 20) / (e * 5.670374419e-8 * power(k, 4)), 0.25) - 1), 6) AS equivalent FROM (VALUES (290.0), (300.0), (310.0)) a(k) CROSS JOIN (VALUES (0.95), (0.97), (0.99)) b(e)",
+    """WITH g AS (SELECT grp, avg(y) / 1000 AS flux FROM {cells} GROUP BY 1) SELECT grp, k AS reference_k, e AS reference_eps, round(k * (power((e * 5.670374419e-8 * power(k, 4) - flux) / (e * 5.670374419e-8 * power(k, 4)), 0.25) - 1), 6) AS equivalent
+ FROM g CROSS JOIN (VALUES (290.0), (300.0), (310.0)) a(k) CROSS JOIN (VALUES (0.95), (0.97), (0.99)) b(e)""",
 )
 def x36(t: Tables) -> DataFrame:
-    ks = t.spark.createDataFrame([(290.0,), (300.0,), (310.0,)], "reference_k double")
-    es = t.spark.createDataFrame([(0.95,), (0.97,), (0.99,)], "reference_eps double")
-    eq = physics.temperature_equivalent(F.lit(-20.0), F.col("reference_k"), F.col("reference_eps"))
-    return ks.crossJoin(es).withColumn("equivalent", F.round(eq, 6))
+    """The change of flux of each group as a temperature at every frozen reference: three temperatures by three emissivities."""
+    flux = t.cells.groupBy("grp").agg((F.avg("y") / 1000).alias("flux"))
+    anchors = F.array(*(F.struct(F.lit(k).alias("reference_k"), F.lit(e).alias("reference_eps")) for k in (290.0, 300.0, 310.0) for e in (0.95, 0.97, 0.99)))
+    at = flux.select("grp", "flux", F.explode(anchors).alias("a")).select("grp", "flux", "a.*")
+    equivalent = physics.temperature_equivalent(-F.col("flux"), F.col("reference_k"), F.col("reference_eps"))
+    return at.select("grp", "reference_k", "reference_eps", F.round(equivalent, 6).alias("equivalent"))
 
 
 _DAYS = "(SELECT strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%m') AS month, extract('hour' FROM ts) >= 12 AS late, avg(value) AS v FROM events GROUP BY 1, 2, 3)"
