@@ -205,7 +205,7 @@ def r29(t: Tables) -> DataFrame:
 
     def make(units: DataFrame) -> DataFrame:
         moments = sensitivity.block_moments(cells.join(F.broadcast(units), "year", "left_semi"), "year", "block", "x", "k", "f")
-        return sensitivity.effects(moments, "year", "block", SIZES, PAIRS, RUN_REPLICATES, RUN_SEED, (300.0, 0.97))
+        return sensitivity.effects(moments, "year", SIZES, PAIRS, RUN_REPLICATES, RUN_SEED, (300.0, 0.97))
 
     schema = "year string, size int, low double, high double, model string, quantity string, point double, q025 double, q975 double, se double, estimable bigint, requested bigint"
     run = ledger.Ledger(t.spark.createDataFrame([], schema), files.scratch_path(t.spark, "quadratic-run"), "year")

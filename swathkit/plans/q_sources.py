@@ -9,7 +9,7 @@ from swathkit.functions import bits, project
 from swathkit.operators import grid
 from swathkit.plans.q_joins import GRID_SQL, lattice
 from swathkit.plans.registry import Tables, query, rounded
-from swathkit.sources import files
+from swathkit.sources import arrays, files
 
 
 @query("s1_s2_s3_s31_s32_csv_round_trip", "SELECT p_partkey, p_size, round(p_retailprice, 6) AS p_retailprice FROM part")
@@ -194,3 +194,17 @@ def g19(t: Tables) -> DataFrame:
         for got, want in ((there, "lon"), (over, "lat")):
             close = close & (F.abs(got - F.col(want if name == "b" else f"{want}2")) < 1e-9)
     return placed.select("s_suppkey", "zone", *(F.round(c, 3).alias(c) for c in made), close.alias("there_and_back"))
+
+
+@query(
+    "s18_s19_s20_array_archives",
+    """SELECT 'user_id' AS array, count(*) AS n, CAST(sum(user_id) AS DOUBLE) AS total, CAST(min(user_id) AS DOUBLE) AS low, CAST(max(user_id) AS DOUBLE) AS high FROM events
+ UNION ALL SELECT 'value', count(*), round(sum(value), 4), min(value), max(value) FROM events""",
+)
+def s18_archives(t: Tables) -> DataFrame:
+    """Events written as archives of arrays, checked for the required ones, and two of the three arrays read back in stretches."""
+    path = files.scratch_path(t.spark, "arrays")
+    arrays.write_arrays(t.events.select("event_id", "user_id", "value"), path, ["event_id", "user_id", "value"])
+    arrays.require_arrays(path, {"event_id", "user_id", "value"})
+    back = arrays.read_arrays(t.spark, path, ["user_id", "value"], stretch=50_000)
+    return back.groupBy("array").agg(F.count("value").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
