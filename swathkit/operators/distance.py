@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swathkit.operators.select import spread
+
 STRIP = 128  #: lines of a strip
 
 
@@ -92,4 +94,4 @@ def distance_to_nearest(cells: DataFrame, targets: DataFrame, x: str = "x", y: s
         return own.assign(**{name: np.where(np.isnan(out), None, out)})
 
     dealt = cells.withColumn("__rows", F.coalesce(strip(y), F.lit(0)))
-    return dealt.groupBy("__rows").cogroup(tiles.groupBy("__rows")).applyInPandas(along_rows, schema)
+    return spread(dealt, "__rows").groupBy("__rows").cogroup(spread(tiles, "__rows").groupBy("__rows")).applyInPandas(along_rows, schema)

@@ -8,37 +8,39 @@ coordinate are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swathkit.operators.select import spread
+
 FAN = 256  #: hulls of the middle step
+MANY = 10_000  #: corners of a key that are folded into one hull
 
 
-def hull(points: np.ndarray) -> np.ndarray:
+def hull(points: Iterable[tuple[float, float]]) -> list[tuple[float, float]]:
     """Corners of the convex hull, counter-clockwise from the smallest; points on edges are no corners."""
-    points = np.unique(points, axis=0)
-    if len(points) < 3:
-        return points
+    ordered = sorted(set(points))
+    if len(ordered) < 3:
+        return ordered
 
-    def chain(ordered: list) -> list:
+    def chain(way: list) -> list:
         out: list = []
-        for p in ordered:
+        for p in way:
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
                 out.pop()
             out.append(p)
         return out[:-1]
 
-    ordered = points.tolist()
-    return np.array(chain(ordered) + chain(ordered[::-1]))
+    return chain(ordered) + chain(ordered[::-1])
 
 
 def meet(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the hulls with these corners have a point in common."""
-    if not len(a) or not len(b):
+    if not len(a) or not len(b) or (a.max(axis=0) < b.min(axis=0)).any() or (b.max(axis=0) < a.min(axis=0)).any():
         return False
     axes = []
     for corners in (a, b):
@@ -61,10 +63,10 @@ def hulls(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
             if not len(f):
                 continue
             group = f.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
-            points = f[["__x", "__y"]].to_numpy(float)
             order = np.argsort(group, kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
-            corners = [hull(own).tolist() for own in np.split(points[order], first[1:])]
+            points = list(zip(f["__x"].to_numpy(float)[order].tolist(), f["__y"].to_numpy(float)[order].tolist(), strict=True))
+            corners = [hull(points[a:b]) if b - a > 3 else points[a:b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(points)], strict=True)]
             yield f.iloc[order[first]][keys].assign(corners=corners)
 
     def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,21 +76,21 @@ def hulls(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
             done = []
             for own, corners in zip(f[keys].astype(object).where(f[keys].notna(), None).itertuples(index=False, name=None), f["corners"], strict=True):
                 if held and own != key:
-                    done.append((*key, hull(np.concatenate(held)).tolist()))
+                    done.append((*key, hull(held)))
                     held = []
                 key = own
-                held.append(np.array([list(p) for p in corners], float).reshape(-1, 2))
-                if len(held) > 1000:
-                    held = [hull(np.concatenate(held))]
+                held.extend(map(tuple, corners))
+                if len(held) > MANY:
+                    held = hull(held)
             if done:
                 yield pd.DataFrame(done, columns=[*keys, "corners"])
         if held:
-            yield pd.DataFrame([(*key, hull(np.concatenate(held)).tolist())], columns=[*keys, "corners"])
+            yield pd.DataFrame([(*key, hull(held))], columns=[*keys, "corners"])
 
     schema = f"{kinds}, corners array<array<double>>"
     first = plain.mapInPandas(of_batches, schema).withColumn("__g", F.pmod(F.spark_partition_id(), F.lit(FAN)))
-    middle = first.repartition(*keys, "__g").sortWithinPartitions(*keys).drop("__g").mapInPandas(merged, schema)
-    return middle.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(merged, schema)
+    middle = spread(first, *keys, "__g").sortWithinPartitions(*keys).drop("__g").mapInPandas(merged, schema)
+    return spread(middle, *keys).sortWithinPartitions(*keys).mapInPandas(merged, schema)
 
 
 def overlaps(df: DataFrame, keys: list[str], arm: str, x: str, y: str) -> DataFrame:

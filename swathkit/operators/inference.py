@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swathkit.operators.select import spread
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (Lentz)."""
@@ -152,7 +154,7 @@ def concurvity(df: DataFrame, key: list[str], outcome: str, predictors: list[str
         r2 = ridge_loo(pdf, outcome, predictors) if len(pdf) > 3 else float("nan")
         return pd.DataFrame([[*(pdf[c].iloc[0] for c in key), len(pdf), r2]], columns=[*key, "n", "r2"])
 
-    return df.groupBy(*key).applyInPandas(run, schema)
+    return spread(df.select(*key, outcome, *predictors), *key).groupBy(*key).applyInPandas(run, schema)
 
 
 def neighbour_moran(e: np.ndarray, gx: np.ndarray, gy: np.ndarray) -> tuple[float, int]:
@@ -185,38 +187,52 @@ def block_pass_fits(
     kinds = "n bigint, slope double, jackknife_se double, leverage double, high_leverage boolean, moran double, n_pairs bigint, reason string"
     schema = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in key), kinds])
 
-    def design(p: pd.DataFrame) -> np.ndarray:
-        return np.column_stack([np.ones(len(p)), p[[x, *context]].to_numpy(float)])
-
-    def solved(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    def solved(d: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Coefficients and an orthonormal basis of the design, of designs of full rank."""
-        q, r = np.linalg.qr(design(p)) if len(p) > 1 + len(context) + 1 else (None, np.zeros((1, 1)))
-        size = np.abs(np.diag(r))
-        return (np.linalg.solve(r, q.T @ p[y].to_numpy(float)), q) if q is not None and size.min() > 1e-12 * size.max() else None
+        n, p = d.shape
+        if n <= p:
+            return None
+        q, r = d.copy(), np.zeros((p, p))  # Gram-Schmidt, twice: threads of a linear algebra library get in each other's way here
+        for j in range(p):
+            for _ in range(2):
+                for i in range(j):
+                    along = float((q[:, i] * q[:, j]).sum())
+                    r[i, j] += along
+                    q[:, j] -= along * q[:, i]
+            r[j, j] = math.sqrt(float((q[:, j] * q[:, j]).sum()))
+            if r[j, j] <= 1e-12 * math.sqrt(float((d[:, j] * d[:, j]).sum())):
+                return None
+            q[:, j] /= r[j, j]
+        beta = np.zeros(p)
+        for j in reversed(range(p)):
+            beta[j] = (float((q[:, j] * v).sum()) - float((r[j, j + 1 :] * beta[j + 1 :]).sum())) / r[j, j]
+        return beta, q
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         head = [p[c].iloc[0] for c in key]
+        d, v, quad = np.column_stack([np.ones(len(p)), p[[x, *context]].to_numpy(float)]), p[y].to_numpy(float), p[quadrant].to_numpy()
         row = dict.fromkeys(names) | {"n": len(p), "n_pairs": 0}
         whole = None
         if len(p) < least:
             row["reason"] = "few_cells"
-        elif p[x].max() - p[x].min() < span:
+        elif d[:, 1].max() - d[:, 1].min() < span:
             row["reason"] = "narrow_span"
-        elif (whole := solved(p)) is None:
+        elif (whole := solved(d, v)) is None:
             row["reason"] = "rank"
         if whole:
             beta, q = whole
-            parts = [solved(p[p[quadrant] != k]) for k in sorted(p[quadrant].unique())]
+            parts = [solved(d[quad != k], v[quad != k]) for k in np.unique(quad)]
             slopes = np.array([f[0][1] if f else np.nan for f in parts])
             g, hat = len(slopes), (q * q).sum(axis=1)
             row["slope"] = float(beta[1])
             row["jackknife_se"] = float(np.sqrt((g - 1) * slopes.var())) if g > 1 and np.isfinite(slopes).all() else None
             row["leverage"], row["high_leverage"] = float(hat.max()), bool(hat.max() > max(0.25, 2 * q.shape[1] / len(p)))
-            moran, row["n_pairs"] = neighbour_moran(p[y].to_numpy(float) - design(p) @ beta, *(p[c].to_numpy(np.int64) for c in place))
+            moran, row["n_pairs"] = neighbour_moran(v - (d * beta).sum(axis=1), *(p[c].to_numpy(np.int64) for c in place))
             row["moran"] = moran if np.isfinite(moran) else None
         return pd.DataFrame([[*head, *(row[c] for c in names)]], columns=[*key, *names])
 
-    return df.groupBy(*key).applyInPandas(run, schema)
+    needed = list(dict.fromkeys([*key, x, y, *context, quadrant, *place]))
+    return spread(df.select(*needed), *key).groupBy(*key).applyInPandas(run, schema)
 
 
 def moment_interval(y: np.ndarray, weights: np.ndarray, spatial: np.ndarray, design: np.ndarray) -> tuple[float, float, float]:

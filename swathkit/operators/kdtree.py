@@ -20,10 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swathkit.operators.select import spread
 from swathkit.sources.files import written
 
-SAMPLE, LEAF, BUCKET = 50_000, 50_000, 32  #: sampled points; points of a leaf, and of a bucket of its own tree
-MOST_QUERIES = 50_000  #: of a leaf in one task
+SAMPLE, LEAF, BUCKET = 50_000, 50_000, 64  #: sampled points; points of a leaf, and of a bucket of its own tree
+MOST_QUERIES = 4_000  #: of a leaf in one task
 
 
 def standardised(df: DataFrame, by: DataFrame, features: list[str]) -> DataFrame:
@@ -67,44 +68,53 @@ class Tree:
 
     def __init__(self, points: np.ndarray, rank: np.ndarray):
         self.points, self.rank = points, rank
+        self.nodes: list[tuple] = []  # (low, high, points of a bucket or None, left, right)
+        self._build(np.arange(len(points)))
+
+    def _build(self, own: np.ndarray) -> int:
+        low, high = self.points[own].min(axis=0), self.points[own].max(axis=0)
+        k = len(self.nodes)
+        self.nodes.append((low, high, own, -1, -1))
+        if len(own) > BUCKET:
+            axis = int(np.argmax(high - low))
+            order = own[np.argsort(self.points[own, axis], kind="stable")]
+            left, right = self._build(order[: len(order) // 2]), self._build(order[len(order) // 2 :])
+            self.nodes[k] = (low, high, None, left, right)
+        return k
 
     def nearest(self, queries: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared distance and place of the nearest point of each query, if it is within bound (else infinity and -1)."""
         best, place = bound.copy(), np.full(len(queries), -1)
-        pending = [(np.arange(len(self.points)), np.arange(len(queries)), np.zeros(len(queries)))]
+        pending = [(0, np.arange(len(queries)), np.zeros(len(queries)))]
         while pending:
-            own, asked, least = pending.pop()
-            ok = least <= best[asked]
-            asked = asked[ok]
-            if not len(asked) or not len(own):
+            node, asked, least = pending.pop()
+            asked = asked[least <= best[asked]]
+            if not len(asked):
                 continue
-            if len(own) <= BUCKET:
-                d2 = np.zeros((len(asked), len(own)))
-                for f in range(queries.shape[1]):  # one order of adding up, whatever the leaf
-                    d2 += (queries[asked, f, None] - self.points[None, own, f]) ** 2
-                near = d2.min(axis=1)
-                rank = np.where(d2 == near[:, None], self.rank[own][None, :], np.iinfo(np.int64).max)
-                k = rank.argmin(axis=1)
-                known = np.where(place[asked] >= 0, self.rank[place[asked]], np.iinfo(np.int64).max)
-                better = (near < best[asked]) | ((near == best[asked]) & (rank[np.arange(len(k)), k] < known))
-                best[asked[better]], place[asked[better]] = near[better], own[k[better]]
+            _, _, own, *halves = self.nodes[node]
+            if own is not None:
+                self._meet(own, queries, asked, best, place)
                 continue
-            low, high = self.points[own].min(axis=0), self.points[own].max(axis=0)
-            axis = int(np.argmax(high - low))
-            order = own[np.argsort(self.points[own, axis], kind="stable")]
-            halves = order[: len(order) // 2], order[len(order) // 2 :]
-            bounds = [self._least(queries[asked], h) for h in halves]
-            nearer = bounds[0] <= bounds[1]
-            for side in (0, 1):  # pushed far halves first, so that near ones are searched first
-                far = ~nearer if side == 0 else nearer
-                pending.append((halves[side], asked[far], bounds[side][far]))
-            for side in (0, 1):
-                near_ = nearer if side == 0 else ~nearer
-                pending.append((halves[side], asked[near_], bounds[side][near_]))
+            bounds = [box_distance(queries[asked], *self.nodes[h][:2]) for h in halves]
+            first = bounds[0] <= bounds[1]
+            # the far half of each query is pushed first, so that near ones are searched before
+            pending += [(halves[0], asked[~first], bounds[0][~first]), (halves[1], asked[first], bounds[1][first])]
+            pending += [(halves[0], asked[first], bounds[0][first]), (halves[1], asked[~first], bounds[1][~first])]
         return np.where(place >= 0, best, np.inf), place
 
-    def _least(self, queries: np.ndarray, own: np.ndarray) -> np.ndarray:
-        return box_distance(queries, self.points[own].min(axis=0), self.points[own].max(axis=0))
+    def _meet(self, own: np.ndarray, queries: np.ndarray, asked: np.ndarray, best: np.ndarray, place: np.ndarray) -> None:
+        """All points of a bucket against the queries; equally near ones by rank."""
+        for a in range(0, len(asked), 8192):
+            some = asked[a : a + 8192]
+            d2 = np.zeros((len(some), len(own)))
+            for f in range(queries.shape[1]):  # one order of adding up, whatever the leaf
+                d2 += (queries[some, f, None] - self.points[None, own, f]) ** 2
+            near = d2.min(axis=1)
+            rank = np.where(d2 == near[:, None], self.rank[own][None, :], np.iinfo(np.int64).max)
+            k = rank.argmin(axis=1)
+            known = np.where(place[some] >= 0, self.rank[place[some]], np.iinfo(np.int64).max)
+            better = (near < best[some]) | ((near == best[some]) & (rank[np.arange(len(k)), k] < known))
+            best[some[better]], place[some[better]] = near[better], own[k[better]]
 
 
 def box_distance(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -164,8 +174,8 @@ def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str,
         """Each (query, leaf): the nearest point of the leaf within the bound; leaves with many queries in several tasks."""
         visits = written(visits, "visits")
         counts = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))  # a row a leaf
-        spread: Column = F.pmod(F.xxhash64(*names), F.col("parts"))
-        left = visits.join(F.broadcast(counts), "leaf").withColumn("part", spread).drop("parts")
+        number: Column = F.pmod(F.xxhash64(*names), F.col("parts"))
+        left = visits.join(F.broadcast(counts), "leaf").withColumn("part", number).drop("parts")
         right = dealt.join(F.broadcast(counts), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
         def search(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -176,7 +186,7 @@ def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str,
             found = place >= 0
             return a[found][names].assign(leaf=key[0], bound=d2[found], near=ids[place[found]])
 
-        return left.groupBy("leaf", "part").cogroup(right.groupBy("leaf", "part")).applyInPandas(search, f"{columns}, leaf bigint, bound double, near {kind}")
+        return spread(left, "leaf", "part").groupBy("leaf", "part").cogroup(spread(right, "leaf", "part").groupBy("leaf", "part")).applyInPandas(search, f"{columns}, leaf bigint, bound double, near {kind}")
 
     first = written(visit(spots.mapInPandas(own_leaf, f"{columns}, leaf bigint, bound double, near {kind}")), "first")
     second = visit(first.select(*names, "leaf", "bound").withColumn("near", F.lit(None).cast(kind)).mapInPandas(others, f"{columns}, leaf bigint, bound double, near {kind}"))

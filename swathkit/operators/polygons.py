@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swathkit.operators.select import spread
+
 HOT = 200_000  #: points of a tile in one task
 
 
@@ -46,7 +48,7 @@ def bands(all_edges: DataFrame, size: float) -> DataFrame:
     """polygon, ty, edges: the edges of each polygon by the band of tiles they reach, and the polygon's tiles from left to right."""
     low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
     held = all_edges.select("polygon", F.struct("x0", "y0", "x1", "y1").alias("e"), F.least("x0", "x1").alias("a"), F.greatest("x0", "x1").alias("b"), _span(low, high, size).alias("ty"))
-    return held.groupBy("polygon", "ty").agg(F.collect_list("e").alias("edges"), F.min("a").alias("left"), F.max("b").alias("right"))
+    return spread(held, "polygon", "ty").groupBy("polygon", "ty").agg(F.collect_list("e").alias("edges"), F.min("a").alias("left"), F.max("b").alias("right"))
 
 
 def tiles(polygons: DataFrame, polygon_id: str, rings: str, size: float) -> DataFrame:
@@ -79,7 +81,7 @@ def points_in_polygons(points: DataFrame, x: str, y: str, polygons: DataFrame, p
     dealt = dealt.join(F.broadcast(crowded), ["__tx", "__ty"], "left").withColumn("__part", part).drop("__parts")
     named = cut.withColumnsRenamed({"tx": "__tx", "ty": "__ty", "edges": "__edges"}).join(F.broadcast(crowded), ["__tx", "__ty"], "left")
     copies = named.withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
-    met = dealt.join(copies, ["__tx", "__ty", "__part"])
+    met = spread(dealt, "__tx", "__ty", "__part").join(copies, ["__tx", "__ty", "__part"])
     inside = F.col("__edges").isNull() | (crossings(F.col("__edges"), F.col(x).cast("double"), F.col(y).cast("double")) % 2 == 1)
     return met.where(inside).select(*points.columns, "polygon")
 

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from swathkit.functions import clock
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by the keys to as many tasks as shuffles have: for work that costs more than its bytes say, which would be coalesced."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def first_per(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a total order."""
     w = W.partitionBy(*key).orderBy(*order)

@@ -157,7 +157,7 @@ def test_hulls_of_a_hot_group_in_small_batches(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     for key in {r[0] for r in rows}:
         a, b = ([(x, y) for k, arm, x, y in rows if k == key and arm == side] for side in (True, False))
-        assert got[key] == (touching(list(map(tuple, hulls.hull(np.array(a)))), list(map(tuple, hulls.hull(np.array(b))))), len(hulls.hull(np.array(a, float))))
+        assert got[key] == (touching(hulls.hull(a), hulls.hull(b)), len(hulls.hull(a)))
 
 
 # --- neighbours ----------------------------------------------------------------------------------------------------
