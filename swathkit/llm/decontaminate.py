@@ -5,10 +5,14 @@ blank) tolerates k = floor(error_rate x n) edits. It is split into k + 1 pieces:
 item holds one of them unchanged. The pieces of a block of items form one Aho-Corasick automaton; each piece
 found in a document opens a window, and Myers' bit-parallel distance verifies the item there.
 
+A piece that many items share (a common prompt line) would open a window for each of them wherever it stands. Such an
+item is cut into more pieces, until those that few items share are k + 1 by themselves: k edits cannot touch all of
+them, so the shared ones are left out and nothing is lost. Items that are nearly all shared text keep all their pieces.
+
 Items are a stated query set, matched against all documents in blocks: a block holds at most BLOCK_CHARS
 characters, is broadcast, and makes one narrow pass over the documents, so neither side is shuffled, no pair
-is emitted before it is verified, and the broadcast does not grow with either table. Every document is
-searched whole.
+is emitted before it is verified, and the broadcast does not grow with either table. After CHAIN blocks the rows are
+written, so that a task has no more than CHAIN Python workers, and their broadcasts go. Every document is searched whole.
 
 A null or empty text holds nothing. Items shorter than min_chars normalised characters match as whole words and
 without edits (an edit more or less would make another short item); items without a letter or digit match nothing. An
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +38,8 @@ from swathkit.llm import common
 ERROR_RATE = 0.08  #: edits per character of an item
 MIN_CHARS = 20  #: items of fewer characters match as whole words without an edit
 BLOCK_CHARS = 2_000_000  #: characters of items per broadcast
+CHAIN = 4  #: blocks of items that pass over the documents before these are written
+SHARED, SHORTEST = 16, 7  #: items that make a piece a shared one; characters of a piece at least
 
 _folded = re.compile(r"[\W_]+").sub
 
@@ -87,15 +94,35 @@ class Matcher:
         self.items, self.errors = items, [int(len(t) * error_rate) for _, t in items]
         self.short = [len(t) < min_chars for _, t in items]  # whole words, no edits
         owners: dict[str, list[tuple[int, int]]] = {}
-        for k, (_, text) in enumerate(items):
-            for a, b in pieces(len(text), 0 if self.short[k] else self.errors[k]):
-                owners.setdefault(text[a:b], []).append((k, a))
+        for k, own in enumerate(self.searched([0 if short else e for short, e in zip(self.short, self.errors, strict=True)])):
+            for a, piece in own:
+                owners.setdefault(piece, []).append((k, a))
         self.automaton = ahocorasick.Automaton()
         for piece, where in owners.items():
             self.automaton.add_word(piece, (len(piece), where))
         if owners:
             self.automaton.make_automaton()
 
+    def searched(self, errors: list[int]) -> list[list[tuple[int, str]]]:
+        """Places and pieces to search for each item: more than errors that few items hold, if its text has as many, or all."""
+        texts, grams = [t for _, t in self.items], Counter()
+        for t in texts:
+            grams.update({t[i : i + SHORTEST] for i in range(len(t) - SHORTEST + 1)})
+        out = []
+        for t, e, short in zip(texts, errors, self.short, strict=True):
+            n, plain = e + 1, [(a, t[a:b]) for a, b in pieces(len(t), e)]
+            cut = plain
+            while True:
+                # a piece of which every gram is in many items may be in as many, at whatever place
+                rare = [(a, p) for a, p in cut if len(p) < SHORTEST or any(grams[p[i : i + SHORTEST]] <= SHARED for i in range(len(p) - SHORTEST + 1))]
+                more = min(n + e + 1 - len(rare), len(t) // SHORTEST)
+                if short or len(rare) > e or more <= n:
+                    break
+                n = more
+                cut = [(a, t[a:b]) for a, b in pieces(len(t), n - 1)]
+            out.append(rare if len(rare) > e and not short else plain)
+        return out
+
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, distance, start and end of the match) of each item found in a normalised text."""
         windows: dict[int, list[list[int]]] = {}
@@ -176,9 +203,15 @@ def mark_leaks(
     out = docs.withColumn("leaks", F.array().cast(T.ArrayType(hit)))
     schema = T.StructType([*plain.fields, T.StructField("leaks", T.ArrayType(hit))])
     arrow = to_arrow_type(T.ArrayType(hit))
+    chained = []
     for block in item_blocks(benchmark, item_col, item_text_col):
+        if len(chained) == CHAIN:
+            out = common.materialize(out, "leaks")
+            while chained:
+                chained.pop().destroy()
         digest = hashlib.sha256(repr((block, error_rate, min_chars)).encode("utf-8", "surrogatepass")).hexdigest()
         shared = docs.sparkSession.sparkContext.broadcast(block)
+        chained.append(shared)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, digest=digest) -> Iterator[pa.RecordBatch]:
             matcher = matcher_of(shared.value, digest, error_rate, min_chars)

@@ -1,6 +1,6 @@
 """Canonical exact fingerprints, native to Spark SQL.
 
-canonical() composes a text to Unicode NFC, folds case and white space; fingerprint() is a wide
+canonical() composes a text to Unicode NFC, folds case, composes again and folds white space; fingerprint() is a wide
 (128-bit) xxhash of the canonical text. exact_classes() groups the texts of repeated fingerprints by
 fingerprint and canonical bytes together: the hash deals the rows, and Spark's grouping compares the bytes inside
 equal buckets, so a collision of hashes cannot join different texts. Partial aggregation folds copies before the
@@ -30,10 +30,11 @@ BROADCAST_FINGERPRINTS = 500_000  #: repeated fingerprints (32 bytes each) that
 
 
 def canonical(text: Column) -> Column:
-    """NFC, case and white space folded; null is ''."""
+    """NFC, case folded, composed again (folding may take letters apart), white space folded; null is ''."""
     text = F.coalesce(text, F.lit(""))
     nfc = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
     folded = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), nfc, F.lit(True))
+    folded = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), folded, F.lit(False))
     plain = F.octet_length(text) == F.char_length(text)  # ASCII is its own NFC
     return F.trim(F.regexp_replace(F.when(plain, F.lower(text)).otherwise(folded), r"[\s\p{Z}\x{85}]+", " "))
 

@@ -229,6 +229,35 @@ def test_leaks_against_brute_force(spark, odd_docs, empty_docs):
     assert decontaminate.mark_leaks(odd_docs, b).where("size(leaks) > 0").count() == 0
 
 
+def test_shared_openings_cost_nothing_and_lose_nothing(spark, monkeypatch):
+    """Items of one template: what all of them share is not searched, and matches equal those of brute force."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(3, 8)))
+    opening = "answer the following question with one of the choices below "
+    items = [(k, opening + " ".join(word() for _ in range(9))) for k in range(60)] + [(100 + k, opening + word()) for k in range(20)] + [(200 + k, "one short text") for k in range(20)]
+    matcher = decontaminate.Matcher([(k, decontaminate.normalize(t)) for k, t in items], decontaminate.ERROR_RATE, decontaminate.MIN_CHARS)
+    searched = matcher.searched([0 if s else e for s, e in zip(matcher.short, matcher.errors, strict=True)])
+    assert all(len(own) > e for own, e in zip(searched[:60], matcher.errors, strict=False)) and max(len(where) for _, (_, where) in matcher.automaton.items()) <= 40
+
+    def spoil(text, n):
+        chars = list(text)
+        for _ in range(n):
+            chars[rng.randrange(len(chars))] = rng.choice("xyz")
+        return "".join(chars)
+
+    docs = [(i, opening * 3 + " " + spoil(items[i % 80][1], i % 13) + " " + word()) for i in range(160)] + [(500, "so, one short text!"), (501, "none short texts")]
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 1200)  # more blocks than a chain holds
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for i, t in docs:
+        for k, x in items:
+            p, text = decontaminate.normalize(x), decontaminate.normalize(t)
+            d = (0 if f" {p} " in f" {text} " else 99) if len(p) < decontaminate.MIN_CHARS else decontaminate.myers(p, text)[0]
+            if d <= int(len(p) * decontaminate.ERROR_RATE):
+                want[i, k] = d
+    assert got == want and len(want) > 150
+
+
 # --- repeated passages ------------------------------------------------------------------------------------------
 
 
@@ -363,7 +392,13 @@ def test_components_of_a_path(spark):
 
 
 def canon(t):
-    return re.sub(r"[\s\x85]+", " ", unicodedata.normalize("NFC", text_of(t)).casefold()).strip(" ")
+    return re.sub(r"[\s\x85]+", " ", unicodedata.normalize("NFC", unicodedata.normalize("NFC", text_of(t)).casefold())).strip(" ")
+
+
+def test_canonically_equal_texts_share_a_fingerprint(spark):
+    """Folding takes U+0390 apart; what it leaves must meet the text that was written apart."""
+    df = spark.createDataFrame([("\u0390",), ("\u03aa\u0301",), ("\u03b9\u0308\u0301",), ("\u1fd3",)], "t string")
+    assert df.select(fingerprints.fingerprint(fingerprints.canonical(F.col("t"))).alias("f")).distinct().count() == 1
 
 
 @pytest.mark.parametrize("range_bytes,broadcast", [(16 << 20, 10), (40, 0)])
