@@ -39,7 +39,7 @@ ERROR_RATE = 0.08  #: edits per character of an item
 MIN_CHARS = 20  #: items of fewer characters match as whole words without an edit
 BLOCK_CHARS = 2_000_000  #: characters of items per broadcast
 CHAIN = 4  #: blocks of items that pass over the documents before these are written
-SHARED, SHORTEST = 16, 7  #: items that make a piece a shared one; characters of a piece at least
+SHARED, SHARE, SHORTEST = 16, 0.005, 5  #: items, and share of a block's, that make a piece a shared one; its characters at least
 
 _folded = re.compile(r"[\W_]+").sub
 
@@ -108,13 +108,13 @@ class Matcher:
         texts, grams = [t for _, t in self.items], Counter()
         for t in texts:
             grams.update({t[i : i + SHORTEST] for i in range(len(t) - SHORTEST + 1)})
-        out = []
+        many, out = max(SHARED, int(SHARE * len(texts))), []
         for t, e, short in zip(texts, errors, self.short, strict=True):
             n, plain = e + 1, [(a, t[a:b]) for a, b in pieces(len(t), e)]
             cut = plain
             while True:
                 # a piece of which every gram is in many items may be in as many, at whatever place
-                rare = [(a, p) for a, p in cut if len(p) < SHORTEST or any(grams[p[i : i + SHORTEST]] <= SHARED for i in range(len(p) - SHORTEST + 1))]
+                rare = [(a, p) for a, p in cut if len(p) < SHORTEST or any(grams[p[i : i + SHORTEST]] <= many for i in range(len(p) - SHORTEST + 1))]
                 more = min(n + e + 1 - len(rare), len(t) // SHORTEST)
                 if short or len(rare) > e or more <= n:
                     break
