@@ -243,17 +243,27 @@ def x17(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(round(float(m["coef"][1]), 6), round(float(m["coef"][0]), 4), round(float(m["se"][1]), 6))], "slope double, intercept double, se double")
 
 
-def t975_sql(v: str) -> str:
-    """Student's 0.975 quantile by its expansion in 1 / v about the normal's (to the fourth power; v of twenty or more)."""
-    return f"(1.959963984540054 + 2.372271230298562 / ({v}) + 2.8224986157396112 / power({v}, 2) + 2.555849679507722 / power({v}, 3) + 1.5895340533938225 / power({v}, 4))"
+def t975_sql(name: str, freedom: str) -> str:
+    """CTEs (of a recursive WITH) that halve an interval 60 times: name(t) is Student's 0.975 quantile; freedom: a query of v.
+
+    For whole degrees of freedom the two-sided probability is a finite sum of powers of cos(atan(t / sqrt(v))).
+    """
+    angle = "atan(mid / sqrt(v))"
+    even = f"sin({angle}) * list_sum(list_transform(range(0, v // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * power(cos({angle}), 2 * j)))"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * coalesce(list_sum(list_transform(range(0, (v - 1) // 2), lambda j: sqrt(pi()) / 2 * exp(lgamma(j + 1.0) - lgamma(j + 1.5)) * power(cos({angle}), 2 * j + 1))), 0))"
+    below = f"CASE WHEN v % 2 = 0 THEN {even} ELSE {odd} END < 0.95"
+    return f"""{name}_0 AS ({freedom}), {name}_n AS (SELECT v, 0 AS step, 0.0::DOUBLE AS lo, 1000.0::DOUBLE AS hi FROM {name}_0 UNION ALL
+ SELECT v, step + 1, CASE WHEN {below} THEN mid ELSE lo END, CASE WHEN {below} THEN hi ELSE mid END FROM (SELECT *, (lo + hi) / 2 AS mid FROM {name}_n WHERE step < 60)),
+ {name} AS (SELECT hi AS t FROM {name}_n WHERE step = 60)"""
 
 
 @query(
     "x18_prediction_interval",
-    f"""WITH u AS (SELECT user_id, avg(value) AS y, avg(CASE WHEN extract('hour' FROM ts) > 12 THEN 1.0 ELSE 0 END) AS late FROM events GROUP BY 1), d AS (SELECT * FROM u WHERE user_id % 2 = 0),
+    f"""WITH RECURSIVE u AS (SELECT user_id, avg(value) AS y, avg(CASE WHEN extract('hour' FROM ts) > 12 THEN 1.0 ELSE 0 END) AS late FROM events GROUP BY 1), d AS (SELECT * FROM u WHERE user_id % 2 = 0),
  m AS (SELECT count(*) AS n, avg(user_id) AS mp, avg(late) AS mq, avg(y) AS my, regr_sxx(y, user_id) AS pp, regr_sxx(y, late) AS qq, regr_sxy(late, user_id) AS pq, regr_sxy(y, user_id) AS py, regr_sxy(y, late) AS qy, regr_syy(y, late) AS yy FROM d),
  b AS (SELECT *, pp * qq - pq * pq AS det, (qq * py - pq * qy) / (pp * qq - pq * pq) AS b1, (pp * qy - pq * py) / (pp * qq - pq * pq) AS b2 FROM m), s AS (SELECT *, (yy - b1 * py - b2 * qy) / (n - 3) AS s2 FROM b),
- i AS (SELECT user_id, y, late, my + b1 * (user_id - mp) + b2 * (late - mq) AS mean, {t975_sql("n - 3")} * sqrt(s2 * (1 + 1.0 / n + (power(user_id - mp, 2) * qq - 2 * (user_id - mp) * (late - mq) * pq + power(late - mq, 2) * pp) / det)) AS half FROM u, s WHERE user_id % 2 = 1)
+ {t975_sql("q", "SELECT n - 3 AS v FROM m")},
+ i AS (SELECT user_id, y, late, my + b1 * (user_id - mp) + b2 * (late - mq) AS mean, t * sqrt(s2 * (1 + 1.0 / n + (power(user_id - mp, 2) * qq - 2 * (user_id - mp) * (late - mq) * pq + power(late - mq, 2) * pp) / det)) AS half FROM u, s, q WHERE user_id % 2 = 1)
  SELECT user_id, round(y, 4) AS y, round(late, 6) AS late, round(mean, 4) AS mean, round(mean - half, 4) AS low, round(mean + half, 4) AS high, y BETWEEN mean - half AND mean + half AS covered FROM i""",
 )
 def x18(t: Tables) -> DataFrame:
@@ -389,9 +399,9 @@ def x29(t: Tables) -> DataFrame:
 
 @query(
     "x31_moment_interval",
-    f"""WITH d AS (SELECT CAST(ts AS DATE) AS d, avg(value) AS y FROM events WHERE event_type = 'purchase' GROUP BY 1), k AS (SELECT y, row_number() OVER (ORDER BY d) AS k, count(*) OVER () AS n FROM d),
+    f"""WITH RECURSIVE d AS (SELECT CAST(ts AS DATE) AS d, avg(value) AS y FROM events WHERE event_type = 'purchase' GROUP BY 1), k AS (SELECT y, row_number() OVER (ORDER BY d) AS k, count(*) OVER () AS n FROM d),
  m AS (SELECT count(*) AS n, regr_syy(y, k) AS syy, regr_sxy(y, k) AS sxy, regr_sxx(y, k) AS sxx, avg(y) FILTER (WHERE k <= n // 2) AS a, avg(y) FILTER (WHERE k > n // 2) AS b FROM k),
- v AS (SELECT *, greatest(0, (syy - sxy * sxy / sxx) / (n - 2) - 0.5) AS tau2 FROM m), h AS (SELECT *, {t975_sql("n - 2")} * sqrt((0.5 + tau2) * (1.0 / (n // 2) + 1.0 / (n - n // 2))) AS half FROM v)
+ v AS (SELECT *, greatest(0, (syy - sxy * sxy / sxx) / (n - 2) - 0.5) AS tau2 FROM m), {t975_sql("q", "SELECT n - 2 AS v FROM m")}, h AS (SELECT *, t * sqrt((0.5 + tau2) * (1.0 / (n // 2) + 1.0 / (n - n // 2))) AS half FROM v, q)
  SELECT round(a - b - half, 5) AS low, round(a - b + half, 5) AS high, round(tau2, 6) AS tau2 FROM h""",
 )
 def x31(t: Tables) -> DataFrame:
