@@ -4,6 +4,9 @@ Each round is a min per node and a join, so a node with very many links costs pa
 join that adaptive execution can split; the links of a round are written to the shared folder, which cuts
 lineage. Nothing is collected but one checksum per round. The number of rounds grows with the logarithm of
 the longest path.
+
+Links with a null end, and of a node to itself, link nothing and are left out; repeated links count once, whichever way
+round; a node without another link is not returned. An empty table gives an empty result. Extra columns are dropped.
 """
 
 from __future__ import annotations

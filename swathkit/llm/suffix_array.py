@@ -4,6 +4,9 @@ window_order() sorts the windows of `depth` bytes of a shard by Larsson-Sadakane
 first 8 bytes, then double the compared length through the ranks reached so far, touching only groups that are
 still tied. common_prefixes() is Kasai's walk along the text, one lane per snippet. merge_owners() joins the
 sorted windows of several shards by binary search.
+
+Texts are bytes here: null and empty ones come as no snippet, snippets shorter than a window have none, and equal windows
+stay in the order of their places. No snippets give empty arrays.
 """
 
 from __future__ import annotations

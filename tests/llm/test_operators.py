@@ -388,6 +388,12 @@ def test_components_of_a_path(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_of_odd_links(spark):
+    links = spark.createDataFrame([(3, 2, "x"), (2, 3, "x"), (3, 2, "y"), (5, 5, "x"), (None, 2, "x"), (7, None, "x"), (None, None, "x")], "u long, v long, root string")
+    assert sorted(map(tuple, components(links).collect())) == [(2, 2), (3, 2)]
+    assert components(links.limit(0)).collect() == []
+
+
 # --- exact fingerprints -----------------------------------------------------------------------------------------
 
 

@@ -18,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from swathkit.llm import common, decontaminate, html_extract, language_id, queries, simhash_dedup, substring_dedup, token_shards, word_table_bpe
+from swathkit.llm import common, decontaminate, html_extract, language_id, queries, simhash_dedup, substring_dedup, token_counts, token_shards, warc_store, word_table_bpe
 from swathkit.llm.elias_fano import EliasFano
 from tests.llm.test_operators import brute_repeats, connected, edit_search, plain_simhash
 from tests.llm.test_pipeline import words
@@ -330,3 +330,15 @@ def test_clashing_columns(spark):
     assert decontaminate.mark_leaks(df, spark.createDataFrame([(1, "two three four five")], "item_id long, text string")).where("size(leaks) = 1").count() == 1
     assert substring_dedup.remove_repeats(df, carry=names).count() == 2 and word_table_bpe.encode_decode(df, PATH).count() == 2
     assert simhash_dedup.near_duplicates(df).count() == 2
+
+
+def test_clashing_columns_of_writers_and_readers(spark, tmp_path):
+    names = ("n_tokens", "n_bytes", "start", "ids", "chunk", "block", "payload", "record", "page", "host", "path", "score", "cut", "votes", "term", "part", "class", "train", "item", "rank")
+    df = spark.createDataFrame([(1, 1, "http://h/x", "one two three", "<p>one two three</p>"), (2, None, None, None, None)], "doc_id long, page_id long, url string, text string, html string")
+    df = df.withColumns({c: F.lit("clash") for c in names}).withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    assert sorted(r.n_tokens for r in token_counts.count_tokens(df, PATH).collect()) == [0, 3]
+    token_shards.write_token_shards(df, f"file://{tmp_path}/ids", PATH)
+    assert sorted(r.n_tokens for r in token_shards.read_token_shards(spark, f"file://{tmp_path}/ids").collect()) == [1, 4]
+    warc_store.write_archive(df, f"file://{tmp_path}/warc")
+    assert sorted(r.payload_bytes for r in warc_store.read_records(spark, f"file://{tmp_path}/warc").collect()) == [0, 20]
+    assert sorted(r.text for r in html_extract.extract(df).collect()) == ["", "one two three"]
