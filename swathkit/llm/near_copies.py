@@ -2,7 +2,8 @@
 
 Words are those of simhash_dedup; a text of fewer than `words` words is one shingle, one without words has none (all
 such texts are alike). A shingle is named by a 64-bit rolling hash of its bytes, so a set is its distinct
-hashes; only hashes of unlike shingles that meet could make a similarity wrong. Nodes are distinct texts (64-bit hash).
+hashes; only hashes of unlike shingles that meet could make a similarity wrong. Nodes are distinct texts: their 64-bit
+hash names them, and where a second hash tells that one name stands for several texts, both hashes together do.
 
 1. One pass makes each text's SimHash, size, least hash under BANDS permutations, and counts of common hashes.
 2. simhash_dedup.link() finds fingerprints within RADIUS bits in BK-trees; each text is also paired with the middle text
@@ -11,7 +12,8 @@ hashes; only hashes of unlike shingles that meet could make a similarity wrong.
 3. A radius cannot see every pair of similarity 0.8, so an exact way takes the rest: two such sets share a hash among
    the first n - ceil(0.8 n) + 1 of each in any order common to all (prefix filter; rarest first, by the counts, which
    only saves work). Texts of different components that meet there, and that sizes, places and counts of hashes by bucket
-   allow, are verified.
+   allow, are verified. A token that many texts share is cut by size (similar sets are of the same or the next class), and
+   a class into cells of CELL texts; each two cells meet in a task of their own, so no task holds the whole token.
 
 Every pass reads the texts and writes keys only; texts move just for pairs to be verified. Hot copies meet once per
 task, since a task sends each text once; a bucket lists only pairs of different components.
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,9 @@ RADIUS = 2  #: of the BK-trees
 FAR = 24  #: bits between texts that a band may pair; similarity 0.8 differs by about ten
 SLOTS, RANGE = 1 << 21, 1 << 16  #: of the table of counts, and slots in a row of it
 ROWS = 1 << 16  #: pairs looked at together
+HOT, CELL = 2048, 1024  #: texts that share a token before it is cut, and texts of a piece
+SIZE_STEP = 1.26  #: ratio of size classes; over 5 / 4, so that similar sets are at most one class apart
+FAN = 64  #: tables of counts added up together
 FULL = 255  #: a count of this or more is not known
 CHUNK = 1 << 20  #: text bytes hashed at once
 # Odd 64-bit multipliers, one for each permutation.
@@ -89,10 +95,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """A row per row of docs (rid, tid, doc_id, fp, n, bands, sketch), and from each task its counts (range, seen)."""
+    """A row per row of docs (rid, tid, also, doc_id, fp, n, bands, sketch), and from each task its counts (task, range, seen)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rid", "tid", "doc_id", "fp", "n", "bands", "sketch", "range", "seen"]
+        names = ["rid", "tid", "also", "doc_id", "fp", "n", "bands", "sketch", "task", "range", "seen"]
         counts, kinds = np.zeros(SLOTS, np.int64), None
         for part in _chunks(batches):
             h, n = shingle_sets(part.column("text").to_pylist(), words)
@@ -107,41 +113,59 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
             counted, edges = sketches(h, n)
             kinds = part.column("doc_id").type
             yield pa.RecordBatch.from_arrays(
-                [part.column("rid"), part.column("tid"), part.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(n), lists, common.slices(counted.tobytes(), edges), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names
+                [
+                    *(part.column(c) for c in ("rid", "tid", "also", "doc_id")),
+                    pa.array(fp.view(np.int64)), pa.array(n), lists, common.slices(counted.tobytes(), edges),
+                    pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary()),
+                ],
+                names,
             )
         if kinds is not None:
             some = np.arange(0, SLOTS, RANGE)
-            none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), kinds, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())]
+            none = [pa.nulls(len(some), t) for t in (*[pa.int64()] * 3, kinds, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())]
+            task = np.full(len(some), TaskContext.get().partitionId())
             packed = [common.squeeze(counts[k : k + RANGE].astype(np.uint32)) for k in some]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(some // RANGE), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*none, pa.array(task), pa.array(some // RANGE), pa.array(packed, pa.binary())], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("rid", "tid", "doc_id", "text").mapInArrow(
-        common.tidy(run), f"rid bigint, tid bigint, doc_id {kind}, fp bigint, n bigint, bands array<bigint>, sketch binary, range bigint, seen binary"
+    return docs.select("rid", "tid", "also", "doc_id", "text").mapInArrow(
+        common.tidy(run),
+        f"rid bigint, tid bigint, also bigint, doc_id {kind}, fp bigint, n bigint, bands array<bigint>, sketch binary, "
+        "task bigint, range bigint, seen binary",
     )
 
 
 def slot_counts(marked: DataFrame) -> np.ndarray:
-    """How many hashes of all sets fall in each slot: a table of fixed size, summed range by range."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, seen in zip(batch.column("range").to_pylist(), batch.column("seen").to_pylist(), strict=True):
-                total.setdefault(k, np.zeros(RANGE, np.int64))[:] += common.expand(seen, np.uint32)[0]
-        for k, n in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([common.squeeze(n)], pa.binary())], ["range", "seen"])
-
-    rows = marked.where("range is not null").select("range", "seen").repartition("range")
+    """How many hashes of all sets fall in each slot: a table of fixed size, a row per range and task added up by a tree."""
+
+    def added(kind: type):
+        def run(table: pa.Table) -> pa.Table:
+            total = np.zeros(RANGE, np.int64)
+            for seen in table.column("seen").to_pylist():
+                total += common.expand(seen, kind)[0]
+            return pa.table({"task": table.column("task").slice(0, 1), "range": table.column("range").slice(0, 1), "seen": pa.array([common.squeeze(total)], pa.binary())})
+
+        return common.tidied(run)
+
+    rows, kind = marked.where("range is not null").select("task", "range", "seen"), np.uint32
+    tasks = (rows.agg(F.max("task").alias("last")).first()["last"] or 0) + 1
+    while kind is np.uint32 or tasks > 1:  # at most FAN rows of a range are added up together
+        groups = rows.withColumn("task", F.expr(f"task div {FAN}")).groupBy("range", "task")
+        rows, kind = groups.applyInArrow(added(kind), "task bigint, range bigint, seen binary"), np.int64
+        tasks = -(-tasks // FAN)
     out = np.zeros(SLOTS, np.int64)
-    got = rows.mapInArrow(common.tidy(run), "range bigint, seen binary").toArrow()
+    got = rows.toArrow()
     for k, seen in zip(got.column("range").to_pylist(), got.column("seen").to_pylist(), strict=True):
         out[k * RANGE : (k + 1) * RANGE] = common.expand(seen, np.int64)[0]
     return out
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
-    """token, tid, n (size of the set), pos (place of the token): what similar sets share one of."""
+    """token, tid, n (size of the set), pos (place of the token), many: what similar sets share one of.
+
+    Where many is false no more than HOT texts hold the token; where it is true there may be more. A task remembers the
+    hashes of the texts that it has sent, some bytes a text of its stretch.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,53 +186,97 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
             first = np.flatnonzero(pos < np.repeat(take, n))
             tid = part.column("tid").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[order][first].view(np.int64)), pa.array(tid[doc[first]]), pa.array(n[doc[first]].astype(np.int32)), pa.array(pos[first].astype(np.int32))],
-                ["token", "tid", "n", "pos"],
+                [
+                    pa.array(h[order][first].view(np.int64)), pa.array(tid[doc[first]]), pa.array(n[doc[first]].astype(np.int32)),
+                    pa.array(pos[first].astype(np.int32)), pa.array(table[_slot(h[order][first])] > HOT),
+                ],
+                ["token", "tid", "n", "pos", "many"],
             )
 
-    return docs.select("tid", "text").mapInArrow(common.tidy(run), "token bigint, tid bigint, n int, pos int")
+    return docs.select("tid", "text").mapInArrow(common.tidy(run), "token bigint, tid bigint, n int, pos int, many boolean")
 
 
 def bucket_pairs(rows: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of texts (u < v) that share a token, are of different root and may be similar; rows: token, tid, root, n, pos."""
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
-    if not len(rows):
+    """Pairs of texts (u < v) of one cell that are of different root and side and may be similar; rows are MET."""
+    key, tid, root, n, pos, side = rows[:, :4], *rows[:, 4:].T
+    order = np.lexsort((tid, root, *key.T[::-1]))
+    key, tid, root, n, pos, side = key[order], tid[order], root[order], n[order], pos[order], side[order]
+    if not len(tid):
         return
-    rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]]  # a text comes once from each task
-
-    def ends(columns: int) -> np.ndarray:
-        """For each row the end of the stretch of rows that agree in token (and root)."""
-        head = np.flatnonzero(np.r_[True, (rows[1:, [0, 2][:columns]] != rows[:-1, [0, 2][:columns]]).any(axis=1)])
-        return np.repeat(np.r_[head[1:], len(rows)], np.diff(np.r_[head, len(rows)]))
-
-    first, last = ends(2), ends(1)
+    other = np.r_[True, (key[1:] != key[:-1]).any(axis=1)]
+    once = other | np.r_[True, tid[1:] != tid[:-1]]  # a text comes once from each task
+    tid, root, n, pos, side = tid[once], root[once], n[once], pos[once], side[once]
+    cell = np.cumsum(other)[once]
+
+    def ends(head: np.ndarray) -> np.ndarray:
+        """For each row the end of the stretch of rows that starts at a head."""
+        at = np.flatnonzero(head)
+        return np.repeat(np.r_[at[1:], len(tid)], np.diff(np.r_[at, len(tid)]))
+
+    new = np.r_[True, cell[1:] != cell[:-1]]
+    first, last = ends(new | np.r_[True, root[1:] != root[:-1]]), ends(new)
     after = last - first  # partners of a row: the other roots after its own
     total, done = np.cumsum(after), 0
-    while done < len(rows):
+    while done < len(tid):
         stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + ROWS, "right")))
-        n = after[done:stop]
-        a = np.repeat(np.arange(done, stop), n)
-        b = first[a] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        p, q = rows[a], rows[b]
-        least = (PART * (p[:, 3] + q[:, 3]) + PART + WHOLE - 1) // (PART + WHOLE)  # common hashes needed
-        most = np.minimum(p[:, 3] - p[:, 4], q[:, 3] - q[:, 4])
-        fit = (most >= least) & (WHOLE * np.minimum(p[:, 3], q[:, 3]) >= PART * np.maximum(p[:, 3], q[:, 3]))
+        m = after[done:stop]
+        p = np.repeat(np.arange(done, stop), m)
+        q = first[p] + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        least = (PART * (n[p] + n[q]) + PART + WHOLE - 1) // (PART + WHOLE)  # common hashes needed
+        most = np.minimum(n[p] - pos[p], n[q] - pos[q])
+        fit = (most >= least) & (WHOLE * np.minimum(n[p], n[q]) >= PART * np.maximum(n[p], n[q]))
+        fit &= (side[p] < 0) | (side[p] != side[q])
         if fit.any():
-            both = np.sort(np.stack([p[fit, 1], q[fit, 1]], 1), axis=1)
-            yield np.unique(both, axis=0)
+            yield np.unique(np.sort(np.stack([tid[p[fit]], tid[q[fit]]], 1), axis=1), axis=0)
         done = stop
 
 
+MET = ["token", "low", "a", "b", "tid", "root", "n", "pos", "side"]  #: cell (first four), text, and its side of the cell
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """The rows (token, tid, root, n, pos, many) with the cells where they meet others, as MET.
+
+    A token of up to HOT rows is one cell. Of others each size class is dealt by the text's hash to pieces of about CELL
+    rows. A cell takes two pieces of a class, or one of a class and one of the next; only rows of different sides are
+    compared there, and the cell of a piece with itself has no sides (-1).
+    """
+    rows = rows.withColumn("class", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int"))
+    pieces = F.struct("class", F.ceil(F.col("count") / CELL).cast("int").alias("pieces"))
+    hot = (
+        rows.where("many").groupBy("token", "class").count()
+        .groupBy("token").agg(F.sum("count").alias("all"), F.map_from_entries(F.collect_list(pieces)).alias("of"))
+        .where(F.col("all") > HOT).select("token", "of", F.explode("of").alias("class", "own"))
+        .select("token", "class", "own", *(F.coalesce(F.col("of")[F.col("class") + k], F.lit(0)).alias(c) for c, k in (("under", -1), ("over", 1))))
+    )
+    met = rows.join(common.broadcast_if_small(hot), ["token", "class"], "left")
+    mine = F.pmod(F.xxhash64("tid", "token"), F.col("own")).cast("int")
+
+    def cell(low: Column, a: Column, b: Column, side: Column) -> Column:
+        return F.struct(low.cast("int").alias("low"), a.cast("int").alias("a"), b.cast("int").alias("b"), side.cast("int").alias("side"))
+
+    def each(count: str, make) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(0), F.col(count)), lambda k: k < F.col(count)), make)
+
+    same = each("own", lambda k: cell(
+        2 * F.col("class"), F.least(mine, k), F.greatest(mine, k), F.when(mine == k, -1).otherwise((mine > k).cast("int"))
+    ))
+    over = each("over", lambda k: cell(2 * F.col("class") + 1, mine, k, F.lit(0)))
+    under = each("under", lambda k: cell(2 * F.col("class") - 1, k, mine, F.lit(1)))
+    alone = F.array(cell(F.lit(-1), F.lit(0), F.lit(0), F.lit(-1)))
+    where = F.when(F.col("own").isNull(), alone).otherwise(F.concat(same, over, under))
+    return met.withColumn("cell", F.explode(where)).select("token", "cell.low", "cell.a", "cell.b", "tid", "root", "n", "pos", "cell.side")
+
+
 def meetings(rows: DataFrame) -> DataFrame:
     """u < v: texts of different root that share a token and may be similar by size and place."""
-    columns = ["token", "tid", "root", "n", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in common.whole_groups(batches, columns, 1):
+        for whole in common.whole_groups(batches, MET, 4):
             for found in bucket_pairs(whole):
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["u", "v"])
 
-    dealt = rows.select(columns).repartition("token").sortWithinPartitions("token")
+    dealt = cells(rows).select(MET).repartition(*MET[:4]).sortWithinPartitions(*MET[:4])
     return dealt.mapInArrow(common.tidy(run), "u bigint, v bigint").distinct()
 
 
@@ -279,42 +347,64 @@ def first_pairs(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """rid, tid, doc_id, root of every row of docs: rid is a hash of the whole row, tid of its text, root names its group."""
+    """rid, also, tid, doc_id, root of every row of docs: rid is a hash of the whole row, tid and also are hashes of its
+    text, root names its group."""
     rows = with_hashes(docs, id_col, text_col)
     marked = common.materialize(signed(rows, words), "near-signed")
-    signs = marked.where("range is null").select("rid", "tid", "doc_id", "fp", "n", "bands", "sketch")
-    nodes = common.materialize(signs.select("tid", "fp", "n", "bands", "sketch").dropDuplicates(["tid"]), "near-nodes")
+    signs = marked.where("range is null").select("rid", "tid", "also", "doc_id", "fp", "n", "bands", "sketch")
+    nodes = common.materialize(signs.select("tid", "also", "fp", "n", "bands", "sketch").dropDuplicates(["tid", "also"]), "near-nodes")
+    shared = common.materialize(nodes.groupBy("tid").count().where("count > 1").select("tid"), "near-shared")
+    if not shared.isEmpty():
+        rows, signs, nodes = (apart(x, shared) for x in (rows, signs, nodes))
     first = common.materialize(verified(first_pairs(nodes, radius), nodes, rows, words), "near-first")
     roots = common.broadcast_if_small(components(first).withColumnRenamed("node", "tid"))
     tokens = prefixes(rows, slot_counts(marked), words).join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    rest = verified(meetings(tokens), nodes, rows, words)
+    rest = verified(meetings(common.materialize(tokens, "near-tokens")), nodes, rows, words)
     found = components(common.materialize(first.union(rest), "near-links")).withColumnRenamed("node", "tid")
-    return signs.select("rid", "tid", "doc_id").join(found, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    return signs.select("rid", "also", "tid", "doc_id").join(found, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def with_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, tid, doc_id, text."""
+    """rid, tid, also (hashes of the row, of the text, and of the text by another seed), doc_id, text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
-        F.xxhash64(*docs.columns).alias("rid"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tid"),
+        F.xxhash64(*docs.columns).alias("rid"), text_hash(text).alias("tid"), F.xxhash64(F.lit(1), text).alias("also"),
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
     )
 
 
+def apart(df: DataFrame, shared: DataFrame) -> DataFrame:
+    """df with another tid, made of both hashes, where a tid stands for different texts (shared)."""
+    named = df.join(common.broadcast_if_small(shared.withColumn("twofold", F.lit(True))), "tid", "left")
+    return named.withColumn("tid", F.when(F.col("twofold"), F.xxhash64("tid", "also")).otherwise(F.col("tid"))).drop("twofold")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group with all its columns: that with the smallest id (null last), then text hash, then row hash.
 
     Rows that are equal in every column count as one. No text is lost but to a similar one, and the choice does not
-    depend on the order of tasks.
+    depend on the order of tasks. Rows are told apart by 128 bits, a hash of the row and one of the text.
     """
     grouped = common.materialize(near_copies(docs, id_col, text_col), "near-groups")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "tid", "rid")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "tid", "rid", "also")
     best = grouped.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n"))
     large = best.where("n > 1")
     member = grouped.join(large, "root")
-    gone = member.where("rid <> best.rid").select("rid").distinct()
-    twice = member.where("rid = best.rid").groupBy("rid").count().where("count > 1").select("rid")  # equal rows
-    rid = F.xxhash64(*docs.columns)
-    named = docs.withColumn("_rid", rid)
-    kept = common.drop_keys(named, gone.union(twice).withColumnRenamed("rid", "_rid"), ["_rid"])
-    once = common.keep_keys(named, twice.withColumnRenamed("rid", "_rid"), ["_rid"]).dropDuplicates(["_rid"])
-    return kept.unionByName(once).drop("_rid")
+    gone = member.where("rid <> best.rid or also <> best.also").select("rid", "also").distinct()
+    twice = member.where("rid = best.rid and also = best.also").groupBy("rid", "also").count().where("count > 1").select("rid", "also")  # equal rows
+    keys = [_free(docs, c) for c in ("_rid", "_also")]
+    named = docs.withColumns({keys[0]: F.xxhash64(*docs.columns), keys[1]: F.xxhash64(F.lit(1), F.coalesce(F.col(text_col), F.lit("")))})
+    kept = common.drop_keys(named, gone.union(twice).toDF(*keys), keys)
+    once = common.keep_keys(named, twice.toDF(*keys), keys).dropDuplicates(keys)
+    return kept.unionByName(once).drop(*keys)
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
