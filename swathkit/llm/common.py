@@ -373,3 +373,37 @@ def packed_blocks(
             yield packed()
 
     return docs.select(*columns).mapInArrow(tidy(pack), "block bigint, payload binary")
+
+
+FAN = 1024  #: rows of a key that are taken together
+
+
+def by_tree(rows: DataFrame, sources: int, solve: Callable, merge: Callable, spread: Callable, leaf: bool = True) -> DataFrame:
+    """key, block, answer of rows (key int, block bigint, body binary), where a key's answers depend on all its bodies.
+
+    sources is about how many blocks there are. Up to FAN of them, a key is solved at once: solve(bodies, leaf) gives an
+    answer for each body. Beyond, about FAN bodies of a key are merged to one, merge(bodies, leaf), whatever their order,
+    merged ones are solved in the same way, and spread(bodies, answer, leaf) makes the answers of the bodies from that
+    of the merged one. So a task takes about FAN bodies of a key, however many blocks hold it.
+    """
+    kind = "key int, block bigint, answer binary"
+
+    def solved(table: pa.Table) -> pa.Table:
+        out = solve(table.column("body").to_pylist(), leaf)
+        return pa.table({"key": table.column("key"), "block": table.column("block"), "answer": pa.array(out, pa.binary())})
+
+    def merged(table: pa.Table) -> pa.Table:
+        body = merge(table.column("body").to_pylist(), leaf)
+        return pa.table({"key": table.column("key")[:1], "block": table.column("above")[:1], "body": pa.array([body], pa.binary())})
+
+    def given(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = spread(left.column("body").to_pylist(), right.column("answer")[0].as_py(), leaf)
+        return pa.table({"key": left.column("key"), "block": left.column("block"), "answer": pa.array(out, pa.binary())})
+
+    if sources <= FAN:
+        return rows.groupBy("key").applyInArrow(tidied(solved), kind)
+    groups = -(-sources // FAN)
+    dealt = rows.withColumn("above", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    fewer = dealt.groupBy("key", "above").applyInArrow(tidied(merged), "key int, block bigint, body binary")
+    answers = by_tree(fewer, groups, solve, merge, spread, False).withColumnRenamed("block", "above")
+    return dealt.groupBy("key", "above").cogroup(answers.groupBy("key", "above")).applyInArrow(tidied(given), kind)

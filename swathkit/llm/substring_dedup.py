@@ -15,7 +15,7 @@ Every byte covered by a string of `length` bytes that also starts in a document
 4. Blocks join the bits to their documents and cut.
 
 Hashes only choose what is compared; equality is decided on bytes. No step sees more than a block, or a shard's
-share of distinct runs; the rows of one key are at most one per block.
+share of distinct runs; where a key has rows of more than about common.FAN blocks, these are merged before they meet.
 
 Null text is empty. Rows without an id count as later than any id; rows of one id do not remove each other's
 bytes. Matches never cross documents. Texts shorter than `length` bytes keep all. An empty table gives an empty
@@ -216,9 +216,9 @@ def send_prints(key: tuple, table: pa.Table, length: int, n_shards: int) -> pa.T
     low = block.prints.astype(np.uint32)
     return pa.table(
         {
-            "shard": pa.array(heads, pa.int32()),
+            "key": pa.array(heads, pa.int32()),
             "block": pa.array([key[0].as_py()] * len(heads), pa.int64()),
-            "prints": pa.array([low[a:b].tobytes() for a, b in edges], pa.binary()),
+            "body": pa.array([low[a:b].tobytes() for a, b in edges], pa.binary()),
         }
     )
 
@@ -231,19 +231,38 @@ def cut_by(key: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
     return key[at[:-1]].tolist(), list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
 
 
-def count_prints(table: pa.Table, hot_blocks: int) -> pa.Table:
-    lists = [np.frombuffer(x, np.uint32) for x in table.column("prints").to_pylist()]
-    _, back, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    code = ((times > 1).astype(np.uint8) + (times > hot_blocks))[back]
-    edges = np.cumsum([0] + [len(x) for x in lists])
-    return pa.table(
-        {
-            "block": table.column("block"),
-            "kind": pa.array([0] * len(lists), pa.int32()),
-            "shard": table.column("shard"),
-            "answer": pa.array([common.squeeze(code[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
-        }
-    )
+def met_prints(bodies: list[bytes], leaf: bool) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """The lists' sizes, the distinct prints, the print at each place of all lists, and how many blocks hold each."""
+    if leaf:
+        lists = [np.frombuffer(x, np.uint32) for x in bodies]
+        times = [np.ones(len(x), np.int64) for x in lists]
+    else:
+        lists, times = zip(*(common.expand(x, np.uint32, np.int64) for x in bodies), strict=True)
+    low, back = np.unique(np.concatenate(lists), return_inverse=True)
+    total = np.zeros(len(low), np.int64)
+    np.add.at(total, back, np.concatenate(times))
+    return [len(x) for x in lists], low, back, total
+
+
+def dealt(values: np.ndarray, sizes: list[int]) -> list[bytes]:
+    edges = np.cumsum([0, *sizes])
+    return [common.squeeze(values[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def count_prints(bodies: list[bytes], leaf: bool, hot_blocks: int) -> list[bytes]:
+    """For each print of each list 0 (no other list holds it), 1, or 2 (over hot_blocks do)."""
+    sizes, _, back, total = met_prints(bodies, leaf)
+    return dealt(((total > 1).astype(np.uint8) + (total > hot_blocks))[back], sizes)
+
+
+def merge_prints(bodies: list[bytes], leaf: bool) -> bytes:
+    _, low, _, total = met_prints(bodies, leaf)
+    return common.squeeze(low, total)
+
+
+def spread_prints(bodies: list[bytes], answer: bytes, leaf: bool) -> list[bytes]:
+    sizes, _, back, _ = met_prints(bodies, leaf)
+    return dealt(common.expand(answer, np.uint8)[0][back], sizes)
 
 
 def answers(table: pa.Table, kind: int, dtype: type) -> np.ndarray:
@@ -263,35 +282,61 @@ def send_runs(key: tuple, left: pa.Table, right: pa.Table, length: int, n_shards
         payloads.append(common.squeeze(np.diff(cut).astype(np.uint32), block.unit_least[a:b], text))
     return pa.table(
         {
-            "shard": pa.array(heads, pa.int32()),
+            "key": pa.array(heads, pa.int32()),
             "block": pa.array([key[0].as_py()] * len(heads), pa.int64()),
-            "units": pa.array(payloads, pa.binary()),
+            "body": pa.array(payloads, pa.binary()),
         }
     )
 
 
-def judge_runs(table: pa.Table, length: int) -> pa.Table:
-    parts = [common.expand(x, np.uint32, np.int64, np.uint8) for x in table.column("units").to_pylist()]
+def met_runs(bodies: list[bytes]) -> tuple[list[int], np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """The lists' sizes, the smallest id of each unit of all lists, the distinct units, which of them each unit is, and
+    the smallest id of each distinct one."""
+    parts = [common.expand(x, np.uint32, np.int64, np.uint8) for x in bodies]
     sizes = np.concatenate([p[0] for p in parts]).astype(np.int64)
     least = np.concatenate([p[1] for p in parts])
     coded = common.slices(np.concatenate([p[2] for p in parts]).tobytes(), np.r_[0, np.cumsum(sizes)]).dictionary_encode()
     of = coded.indices.to_numpy()
     low = np.full(len(coded.dictionary), LAST)
     np.minimum.at(low, of, least)
-    data, edges = common.buffer_of_array(coded.dictionary)
+    return [len(p[0]) for p in parts], least, coded.dictionary, of, low
+
+
+def dealt_windows(bits: np.ndarray, n: np.ndarray, many: list[int]) -> list[bytes]:
+    """The bits of each list: n windows of each unit, many units of each list."""
+    return dealt(bits, np.diff(np.cumsum(np.r_[0, n])[np.cumsum([0, *many])]).tolist())
+
+
+def judge_runs(bodies: list[bytes], length: int) -> list[bytes]:
+    """For each window of each unit whether a smaller id than the unit's holds it."""
+    many, least, units, of, low = met_runs(bodies)
+    data, edges = common.buffer_of_array(units)
     size = np.diff(edges)
     owner = window_owners(np.frombuffer(data, np.uint8), edges[:-1], size, low, length, SHARD_BYTES)
     n = size[of] - length + 1
     lower = owner[np.repeat(edges[:-1][of], n) + spread(n)] < np.repeat(least, n)
-    ends = np.cumsum(np.r_[0, n])[np.cumsum([0] + [len(p[0]) for p in parts])]
-    return pa.table(
-        {
-            "block": table.column("block"),
-            "kind": pa.array([1] * len(parts), pa.int32()),
-            "shard": table.column("shard"),
-            "answer": pa.array([common.squeeze(lower[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
-        }
-    )
+    return dealt_windows(lower, n, many)
+
+
+def merge_runs(bodies: list[bytes]) -> bytes:
+    """The distinct units in the order of their bytes, each with its smallest id."""
+    _, _, units, _, low = met_runs(bodies)
+    order = pc.array_sort_indices(units)
+    text, edges = common.buffer_of_array(units.take(order))
+    return common.squeeze(np.diff(edges).astype(np.uint32), low[order.to_numpy()], text)
+
+
+def spread_runs(bodies: list[bytes], answer: bytes, length: int) -> list[bytes]:
+    """The bits of each list from those of merge_runs(): where a list's smallest id is not that of the merged unit, the
+    unit stands whole in a document of a smaller id."""
+    many, least, units, of, low = met_runs(bodies)
+    order = pc.array_sort_indices(units).to_numpy()
+    size = np.diff(common.buffer_of_array(units)[1]) - length + 1
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(size[order]) - size[order]
+    n = size[of]
+    bits = common.expand(answer, np.bool_)[0][np.repeat(at[of], n) + spread(n)]
+    return dealt_windows(bits | np.repeat(least > low[of], n), n, many)
 
 
 def cut_documents(left: pa.Table, right: pa.Table, length: int, n_shards: int, whole_characters: bool) -> pa.Table:
@@ -335,20 +380,28 @@ def remove_repeats(
         raise ValueError(f"length must be over {GRAM}")
     same = {id_col: F.col(id_col).cast("bigint")}
     rows = docs.withColumns(same)
-    n = common.shards_for(common.text_bytes(rows, text_col), SHARD_TEXT, LEAST_SHARDS)
+    total = common.text_bytes(rows, text_col)
+    n, sources = common.shards_for(total, SHARD_TEXT, LEAST_SHARDS), -(-total // (block_bytes or BLOCK_BYTES))
     blocks = common.packed_blocks(rows, block_bytes or BLOCK_BYTES, id_col, text_col, carry)
     kind = T.StructType.fromDDL("doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
     if carry:
         kind = kind.add("carried", rows.select(F.struct(*carry).alias("c")).schema["c"].dataType)
-    answer = "block bigint, kind int, shard int, answer binary"
+    named = lambda answered, kind: answered.select("block", F.lit(kind).alias("kind"), F.col("key").alias("shard"), "answer")
     prints = blocks.groupBy("block").applyInArrow(
-        common.tidied(lambda key, table: send_prints(key, table, length, n)), "shard int, block bigint, prints binary"
+        common.tidied(lambda key, table: send_prints(key, table, length, n)), "key int, block bigint, body binary"
+    )
+    codes = named(
+        common.by_tree(prints, sources, lambda x, leaf: count_prints(x, leaf, hot_blocks), merge_prints, spread_prints), 0
     )
-    codes = prints.groupBy("shard").applyInArrow(common.tidied(lambda table: count_prints(table, hot_blocks)), answer)
     units = blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(
-        common.tidied(lambda key, left, right: send_runs(key, left, right, length, n)), "shard int, block bigint, units binary"
+        common.tidied(lambda key, left, right: send_runs(key, left, right, length, n)), "key int, block bigint, body binary"
     )
-    bits = units.groupBy("shard").applyInArrow(common.tidied(lambda table: judge_runs(table, length)), answer)
+    bits = named(
+        common.by_tree(
+            units, sources, lambda x, leaf: judge_runs(x, length), lambda x, leaf: merge_runs(x),
+            lambda x, answer, leaf: spread_runs(x, answer, length),
+        ), 1,
+    )
     return blocks.groupBy("block").cogroup(codes.union(bits).groupBy("block")).applyInArrow(
         common.tidied(lambda left, right: cut_documents(left, right, length, n, whole_characters)), kind
     )

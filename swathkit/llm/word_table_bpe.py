@@ -9,7 +9,8 @@ parts do not grow with blocks up to PART_BYTES x LEAST_PARTS of text, and a row
 
 Null text is empty: no ids and the text ''. Null and repeated ids keep their rows; an empty
 table gives an empty result; extra columns are dropped. Documents of any length are encoded
-whole. The texts' words are spread by hash, so a frequent word costs one entry per block.
+whole. The texts' words are spread by hash, so a frequent word costs one entry per block; lists of more than about
+common.FAN blocks are merged before they meet, so that no task takes an entry of every block.
 """
 
 from __future__ import annotations
@@ -93,27 +94,54 @@ def stretches(key: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def encode_words(lists: list[bytes], enc: WordEncoder) -> list[bytes]:
-    """The ids of lists of words; each word is encoded once however many lists hold it."""
+def listed_words(lists: list[bytes]) -> tuple[list[int], pa.DictionaryArray]:
+    """How many words each list has, and all of them end to end."""
     parts = [common.expand(x, np.uint32, np.uint8) for x in lists]
     sizes = np.concatenate([p[0] for p in parts]).astype(np.int64)
-    words = common.slices(np.concatenate([p[1] for p in parts]).tobytes(), np.r_[0, np.cumsum(sizes)]).dictionary_encode()
-    packed = enc.ids(words.dictionary.to_pylist())
-    n = np.fromiter(map(len, packed), np.int64, len(packed)) // enc.dtype.itemsize
-    flat, at = np.frombuffer(b"".join(packed), enc.dtype), np.cumsum(n) - n
-    index, out, done = words.indices.to_numpy(), [], 0
-    for p in parts:
-        own = index[done : done + len(p[0])]
-        done += len(own)
+    words = common.slices(np.concatenate([p[1] for p in parts]).tobytes(), np.r_[0, np.cumsum(sizes)])
+    return [len(p[0]) for p in parts], words.dictionary_encode()
+
+
+def dealt_ids(many: list[int], index: np.ndarray, n: np.ndarray, at: np.ndarray, flat: np.ndarray) -> list[bytes]:
+    """Each list's ids: word w has n[w] of flat from at[w] on; index names the words of all lists end to end."""
+    out, done = [], 0
+    for m in many:
+        own = index[done : done + m]
+        done += m
         k = n[own]
-        ids = flat[np.repeat(at[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
-        out.append(common.squeeze(k.astype(np.uint32), ids.astype(np.uint32 if enc.dtype.itemsize == 4 else np.uint16)))
+        out.append(common.squeeze(k.astype(np.uint32), flat[np.repeat(at[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())]))
     return out
 
 
+def encode_words(lists: list[bytes], enc: WordEncoder) -> list[bytes]:
+    """The ids of lists of words; each word is encoded once however many lists hold it."""
+    many, words = listed_words(lists)
+    packed = enc.ids(words.dictionary.to_pylist())
+    n = np.fromiter(map(len, packed), np.int64, len(packed)) // enc.dtype.itemsize
+    return dealt_ids(many, words.indices.to_numpy(), n, np.cumsum(n) - n, np.frombuffer(b"".join(packed), enc.dtype))
+
+
+def merge_words(lists: list[bytes]) -> bytes:
+    """One list of the distinct words of all, in the order of their bytes."""
+    words = listed_words(lists)[1].dictionary
+    text, edges = common.buffer_of_array(words.take(pc.array_sort_indices(words)))
+    return common.squeeze(np.diff(edges).astype(np.uint32), text)
+
+
+def spread_ids(lists: list[bytes], ids: bytes, enc: WordEncoder) -> list[bytes]:
+    """The ids of each list from those of merge_words()."""
+    many, words = listed_words(lists)
+    order = pc.array_sort_indices(words.dictionary).to_numpy()
+    size, flat = common.expand(ids, np.uint32, enc.dtype)
+    n, at = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    n[order], at[order] = size, np.cumsum(size.astype(np.int64)) - size
+    return dealt_ids(many, words.indices.to_numpy(), n, at, flat)
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array<int>) and decoded text of every document."""
-    n = common.shards_for(common.text_bytes(docs, text_col), PART_BYTES, LEAST_PARTS)
+    total = common.text_bytes(docs, text_col)
+    n = common.shards_for(total, PART_BYTES, LEAST_PARTS)
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = common.packed_blocks(docs, BLOCK_BYTES, id_col, text_col)
 
@@ -123,21 +151,17 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         edges, spans = np.r_[0, np.cumsum(sizes)], stretches(part)
         return pa.table(
             {
-                "part": pa.array([part[a] for a, _ in spans], pa.int32()),
+                "key": pa.array([part[a] for a, _ in spans], pa.int32()),
                 "block": pa.array([key[0].as_py()] * len(spans), pa.int64()),
-                "words": pa.array([common.squeeze(sizes[a:b].astype(np.uint32), text[edges[a] : edges[b]]) for a, b in spans], pa.binary()),
+                "body": pa.array([common.squeeze(sizes[a:b].astype(np.uint32), text[edges[a] : edges[b]]) for a, b in spans], pa.binary()),
             }
         )
 
-    def encode(table: pa.Table) -> pa.Table:
-        ids = encode_words(table.column("words").to_pylist(), encoder(tokenizer))
-        return pa.table({"part": table.column("part"), "block": table.column("block"), "ids": pa.array(ids, pa.binary())})
-
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         enc = encoder(tokenizer)
         docs_of = common.from_streams(left.column("payload").to_pylist())
         _, _, _, index, first = words_by_part(*common.buffer_of_array(docs_of.column("text")), enc.specials, n)
-        got = [common.expand(x, np.uint32, enc.dtype) for _, x in sorted(zip(right.column("part").to_pylist(), right.column("ids").to_pylist(), strict=True))]
+        got = [common.expand(x, np.uint32, enc.dtype) for _, x in sorted(zip(right.column("key").to_pylist(), right.column("answer").to_pylist(), strict=True))]
         size = np.concatenate([np.zeros(0, np.int64), *(g[0] for g in got)]).astype(np.int64)
         ids, at = np.concatenate([np.zeros(0, enc.dtype), *(g[1] for g in got)]), np.cumsum(size) - size
         # ids of all words in the order of their positions, and where each document's end
@@ -148,8 +172,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
             {"doc_id": docs_of.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat), "decoded": decoded(flat, ends, tokenizer)}
         )
 
-    listed = blocks.groupBy("block").applyInArrow(common.tidied(list_words), "part int, block bigint, words binary")
-    coded = listed.groupBy("part").applyInArrow(common.tidied(encode), "part int, block bigint, ids binary")
+    listed = blocks.groupBy("block").applyInArrow(common.tidied(list_words), "key int, block bigint, body binary")
+    coded = common.by_tree(
+        listed, -(-total // BLOCK_BYTES),
+        lambda lists, leaf: encode_words(lists, encoder(tokenizer)), lambda lists, leaf: merge_words(lists),
+        lambda lists, ids, leaf: spread_ids(lists, ids, encoder(tokenizer)),
+    )
     return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(
         common.tidied(join), f"doc_id {kind}, ids array<int>, decoded string"
     )
