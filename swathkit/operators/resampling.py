@@ -2,7 +2,8 @@
 
 Draw k of replicate r picks the group at place SHA-256("seed:r:k") mod G among the G sorted labels: as uniform as any
 generator, and the same on every run, in every order and in other engines. Draws are rows, counted by (replicate, place)
-and joined to one row of sums per group, so neither groups nor replicates pass through the driver or one task.
+and joined to one row of sums per group, so neither groups nor replicates pass through the driver or one task. Draws are made by
+explode, which size estimates do not see: the joins ask for a merge, or the draws would be broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathkit.operators import ranks
+from swathkit.operators.select import spread
 
 TOLERANCE = 1e-10
 
@@ -45,7 +47,7 @@ def resampled_sums(groups: DataFrame, label: str, values: list[str], replicates:
     """rep and the sums of the values over each replicate's groups, each as often as it was drawn."""
     placed = numbered(groups.select(label, *values), label)
     times = multiplicities(groups.sparkSession, groups.count(), replicates, seed)
-    return times.join(placed, "place").groupBy("rep").agg(*(F.sum(F.col("times") * F.coalesce(v, F.lit(0.0))).alias(v) for v in values))
+    return times.hint("merge").join(placed, "place").groupBy("rep").agg(*(F.sum(F.col("times") * F.coalesce(v, F.lit(0.0))).alias(v) for v in values))
 
 
 def resampled_rows(rows: DataFrame, stratum: list[str], label: str, replicates: int, seed: int) -> DataFrame:
@@ -58,10 +60,11 @@ def resampled_rows(rows: DataFrame, stratum: list[str], label: str, replicates:
     placed = named.withColumn("__place", F.row_number().over(W.partitionBy("__s").orderBy(F.col(label).cast("string"))).cast("bigint") - 1)
     sizes = named.groupBy("__s").agg(F.count(F.lit(1)).alias("__n"))
     reps = rows.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-    draws = sizes.crossJoin(F.broadcast(reps)).select("rep", "__s", "__n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)).alias("__k"))
+    runs = spread(sizes.crossJoin(F.broadcast(reps)), "__s", "rep")  # few rows, which make very many
+    draws = runs.select("rep", "__s", "__n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)).alias("__k"))
     place = drawn_place(F.col("__n"), F.lit(seed), F.col("rep"), F.col("__s"), F.col("__k"))
     times = draws.groupBy("rep", "__s", place.alias("__place")).agg(F.count(F.lit(1)).alias("times"))
-    return times.join(placed, ["__s", "__place"]).drop("__s", "__place")
+    return times.hint("merge").join(placed, ["__s", "__place"]).drop("__s", "__place")
 
 
 def coefficients(sums: DataFrame, p: int, k: int, keep: list[int] | None = None, prefix: str = "") -> DataFrame:
