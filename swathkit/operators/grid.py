@@ -38,8 +38,11 @@ def shifted(cells: DataFrame, key: list[str], row: str, col: str, value: str, sh
     return met.select(*key, F.col("__r").alias(row), F.col("__c").alias(col), "dy", "dx", value)
 
 
-def area_average(fine: DataFrame, key: list[str], x: str, y: str, value: str, fine_size: float, coarse_size: float) -> DataFrame:
-    """Mean of fine cells over coarse cells, weighted by overlap; x and y are the fine cells' lower corners."""
+def area_average(fine: DataFrame, key: list[str], x: str, y: str, value: str, fine_size: float, coarse_size: float, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Mean of fine cells over coarse cells, weighted by overlap; x and y are the fine cells' lower corners.
+
+    shape: columns and rows of the target grid, from 0, where one is declared; without it every coarse cell that is reached.
+    """
 
     def cover(start: Column) -> Column:
         first = F.floor(start / coarse_size)
@@ -54,6 +57,8 @@ def area_average(fine: DataFrame, key: list[str], x: str, y: str, value: str, fi
 
     parts = fine.where(F.col(value).isNotNull()).select(*key, F.explode(cover(F.col(x))).alias("cx"), y, value)
     parts = parts.select(*key, "cx", F.explode(cover(F.col(y))).alias("cy"), value)
+    if shape:
+        parts = parts.where(F.col("cx.i").between(0, shape[0] - 1) & F.col("cy.i").between(0, shape[1] - 1))
     w = F.col("cx.w") * F.col("cy.w")
     return parts.groupBy(*key, F.col("cx.i").alias("gx"), F.col("cy.i").alias("gy")).agg(
         (F.sum(w * F.col(value)) / F.sum(w)).alias("mean"), (F.sum(w) / (coarse_size * coarse_size)).alias("covered")
