@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,18 @@ from pyspark.sql import functions as F
 from swathkit.operators.select import first_per
 
 
+def compared_mean(c: str, limit: str) -> Column:
+    """Sign of the mean of a column less a limit (a decimal's text), an aggregate: by decimals, whatever order rows come in.
+
+    A sum of doubles can fall on either side of a limit that the mean equals. Values count to twelve digits after the point;
+    where one is NaN, infinite or too large for that, doubles decide. Null without a value.
+    """
+    exact = F.col(c).try_cast("decimal(26,12)")
+    by_decimals = F.signum((F.sum(exact) - F.count(c) * F.lit(Decimal(limit))).cast("double"))
+    by_doubles = F.signum((F.avg(c) > float(limit)).cast("int") - (F.avg(c) < float(limit)).cast("int"))
+    return F.when(F.count(exact) == F.count(c), by_decimals).otherwise(by_doubles.cast("double"))
+
+
 def mode_of(df: DataFrame, key: list[str], value: str) -> DataFrame:
     """Most frequent value per key (smallest on ties), its count and its share."""
     counted = df.groupBy(*key, value).agg(F.count("*").alias("n"))

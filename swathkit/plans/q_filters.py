@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swathkit.functions import bits, clock, ident, physics
-from swathkit.operators import select
+from swathkit.operators import aggregates, select
 from swathkit.plans.q_scalars import HOURS, LON
 from swathkit.plans.registry import Tables, query, rounded
 
@@ -133,8 +133,8 @@ def p13(t: Tables) -> DataFrame:
  FROM (SELECT block, count(*) AS n, avg(x) AS m, max(x) - min(x) AS s FROM {cells} GROUP BY 1)""",
 )
 def p15(t: Tables) -> DataFrame:
-    g = t.cells.groupBy("block").agg(F.count("*").alias("n"), F.avg("x").alias("m"), (F.max("x") - F.min("x")).alias("s"))
-    tests = {"cells": F.col("n") >= 600, "mean": F.col("m") > 0.0499, "span": F.col("s") >= 0.1}
+    g = t.cells.groupBy("block").agg(F.count("*").alias("n"), aggregates.compared_mean("x", "0.0499").alias("m"), (F.max("x") - F.min("x")).alias("s"))
+    tests = {"cells": F.col("n") >= 600, "mean": F.col("m") > 0, "span": F.col("s") >= 0.1}
     return g.select("block", (tests["cells"] & tests["mean"] & tests["span"]).alias("passed"), ident.failed_criteria(tests).alias("failed"))
 
 
