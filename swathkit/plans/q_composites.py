@@ -199,11 +199,11 @@ def r20(t: Tables) -> DataFrame:
     """Latest revisions, orbits by day, local slot, place and cloud, dense counts by month and slot, balanced weights."""
     day = t.events.withColumn("day", F.to_date("ts"))
     latest = select.latest_revision(day, ["user_id", "event_type", "day"], ["ts", "event_id"])
-    orbits = latest.groupBy("user_id", "day").agg(F.min("ts").alias("first"), F.count_distinct("event_type").alias("tiles"), F.avg("value").alias("cloud"))
+    orbits = latest.groupBy("user_id", "day").agg(F.min("ts").alias("first"), F.count_distinct("event_type").alias("tiles"), aggregates.compared_mean("value", "60").alias("cloud"))
     hour = F.hour(F.col("first") - F.expr("interval 7 hours"))
     slot = F.when(hour.between(6, 11), "morning").when(hour.between(12, 18), "afternoon").otherwise("other")
     placed = orbits.join(t.customer.select(F.col("c_custkey").alias("user_id"), F.lit(True).alias("placed")), "user_id", "left")
-    usable = (F.col("tiles") >= 2) & (F.col("cloud") < 60) & F.coalesce("placed", F.lit(False))
+    usable = (F.col("tiles") >= 2) & (F.col("cloud") < 0) & F.coalesce("placed", F.lit(False))
     counts = placed.groupBy(F.date_format("day", "MM").alias("month"), slot.alias("slot")).agg(F.count("*").alias("n"), F.count_if(usable).alias("n_usable"))
     spine = t.events.select(F.date_format("ts", "MM").alias("month")).distinct().crossJoin(t.spark.createDataFrame([("morning",), ("afternoon",), ("other",)], "slot string"))
     dense = spine.join(counts, ["month", "slot"], "left").na.fill(0, ["n", "n_usable"])
