@@ -46,7 +46,7 @@ def s7(t: Tables) -> DataFrame:
     x, y = F.col("s_nationkey") + F.col("s_suppkey") % 10 / 10.0, F.col("s_suppkey") % 50 + 0.5
     feature = F.concat(F.lit('{"type":"Feature","properties":{"id":'), F.col("s_suppkey").cast("string"), F.lit('},"geometry":{"type":"Point","coordinates":['), x.cast("string"), F.lit(","), y.cast("string"), F.lit("]}}"))
     path = files.scratch_path(t.spark, "geojson")
-    files.write_geojson(t.supplier.select(feature.alias("value"), F.pmod(F.col("s_suppkey"), F.lit(4)).alias("part")), path, "value", "part")
+    files.write_geojson(t.supplier.select(feature.alias("value"), F.floor(F.col("s_suppkey") / 1000).alias("part")), path, "value", "part")
     points = files.read_geojson_points(t.spark, path, (3.0, 4.0, 12.0, 30.0))
     return points.select(F.get_json_object("properties", "$.id").cast("bigint").alias("s_suppkey"), "x", "y")
 

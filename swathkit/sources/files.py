@@ -56,8 +56,8 @@ def read_in_box(spark: SparkSession, path: str, box: tuple[float, float, float,
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """properties (JSON text), kind and coordinates (JSON text) of each feature of a collection."""
     shape = "features array<struct<properties:string,geometry:struct<type:string,coordinates:string>>>"
-    doc = spark.read.schema(shape).option("multiLine", True).json(path)
-    f = doc.select(F.explode("features").alias("f"))
+    doc = spark.read.text(path, wholetext=True)  # Spark's multi-line reader reads a document again for each nested text
+    f = doc.select(F.explode(F.from_json("value", shape)["features"]).alias("f"))
     return f.select("f.properties", F.col("f.geometry.type").alias("kind"), "f.geometry.coordinates")
 
 
