@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +12,9 @@ from pyspark.sql import functions as F
 from swathkit.functions import clock
 
 
+GROUP_LIMIT = 1000  #: rows of a group up to which Spark keeps only the first before a shuffle (spark.sql.optimizer.windowGroupLimitThreshold)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt by the keys to as many tasks as shuffles have: for work that costs more than its bytes say, which would be coalesced."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
@@ -57,8 +63,21 @@ def complete_bundles(layers: DataFrame, key: list[str], version: list[str], laye
 
 
 def hash_sample(df: DataFrame, key: list[str], identity: Column, n: int) -> DataFrame:
-    """n rows per key with the lowest SHA-256 of their identity."""
-    w = W.partitionBy(*key).orderBy(F.sha2(identity.cast("string"), 256))
+    """n rows per key with the lowest SHA-256 of their identity.
+
+    Spark cuts groups before its shuffle where n is at most GROUP_LIMIT. For a larger n, rows are counted by the digest's
+    first digits, and of keys with more than n rows only those up to the digits that hold the n-th are ranked.
+    """
+    digest = F.sha2(identity.cast("string"), 256)
+    if n > GROUP_LIMIT:
+        head = F.coalesce(F.substring(digest, 1, 3), F.lit(""))  # 4,096 of a key; null digests come first
+        w = W.partitionBy(*key)
+        counts = df.groupBy(*key, head.alias("__h")).agg(F.count(F.lit(1)).alias("__c"))
+        upto = counts.withColumns({"__sum": F.sum("__c").over(w.orderBy("__h")) - F.col("__c"), "__all": F.sum("__c").over(w)})
+        cut = upto.where((F.col("__all") > n) & (F.col("__sum") < n)).groupBy(*(F.col(k).alias(f"__k_{k}") for k in key)).agg(F.max("__h").alias("__cut"))
+        same = functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in key), F.lit(True))
+        df = df.join(F.broadcast(cut), same, "left").where(F.col("__cut").isNull() | (head <= F.col("__cut"))).select(*df.columns)  # at most rows / n keys
+    w = W.partitionBy(*key).orderBy(digest)
     return df.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n).drop("__k")
 
 
