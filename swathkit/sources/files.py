@@ -170,8 +170,8 @@ def write_csv(df: DataFrame, path: str, columns: list[str], key: list[str], n_ro
 
 
 def write_cells(df: DataFrame, path: str, by: list[str]) -> None:
-    """Parquet in folders by (city, pass) or the like, one task per folder value at most."""
-    df.repartition(*by).write.partitionBy(*by).parquet(path)
+    """Parquet in folders by (city, pass) or the like; a small folder has one file, a large one is written by several tasks."""
+    df.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
 
 
 def resume_or_make(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
