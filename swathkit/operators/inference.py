@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -157,22 +158,123 @@ def concurvity(df: DataFrame, key: list[str], outcome: str, predictors: list[str
     return spread(df.select(*key, outcome, *predictors), *key).groupBy(*key).applyInPandas(run, schema)
 
 
-def neighbour_moran(e: np.ndarray, gx: np.ndarray, gy: np.ndarray) -> tuple[float, int]:
-    """Moran's I of values over pairs of cells one step apart along a row or column, and how many pairs; NaN without one.
+CHUNK_ROWS = 1 << 16  #: rows of whole groups that are fitted side by side
 
-    Cells of one place all pair with those of the next: sums and counts by place stand for the weights' matrix.
+
+def whole_groups(frames: Iterator[pd.DataFrame], key: list[str], rows: int = CHUNK_ROWS) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames sorted by key as frames of whole groups, of about `rows` rows or one group, each with the row where a group starts."""
+
+    def heads(f: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(f), bool)
+        for c in key:
+            own, null = f[c].to_numpy(), f[c].isna().to_numpy()
+            new[1:] |= ~((own[1:] == own[:-1]) | (null[1:] & null[:-1]))
+        new[:1] = True
+        return np.flatnonzero(new)
+
+    held, n, least = [], 0, rows
+    for f in frames:
+        held, n = [*held, f], n + len(f)
+        if n >= least:
+            f = pd.concat(held, ignore_index=True)
+            first = heads(f)
+            if len(first) > 1:  # the last group may go on
+                yield f.iloc[: first[-1]], first[:-1]
+                f = f.iloc[first[-1] :]
+            held, n = [f], len(f)
+            least = max(rows, 2 * n)
+    if n:
+        f = pd.concat(held, ignore_index=True)
+        yield f, heads(f)
+
+
+class Segments:
+    """Rows that lie group after group; first is where each group starts."""
+
+    def __init__(self, first: np.ndarray, rows: int):
+        self.first, self.n = first, np.diff(np.r_[first, rows])
+        self.of = np.repeat(np.arange(len(first)), self.n)
+
+    @classmethod
+    def of_groups(cls, of: np.ndarray) -> Segments:
+        return cls(np.flatnonzero(np.r_[len(of) > 0, of[1:] != of[:-1]]), len(of))
+
+    def sum(self, v: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(v, self.first) if len(self.first) else v[:0]
+
+    def span(self, v: np.ndarray) -> np.ndarray:
+        return np.maximum.reduceat(v, self.first) - np.minimum.reduceat(v, self.first) if len(self.first) else v[:0]
+
+
+def group_fits(d: list[np.ndarray], v: np.ndarray, by: Segments) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Least squares of v on the columns d in each group: whether the design has full rank, an orthonormal basis, coefficients.
+
+    Gram-Schmidt, twice, with the sums of all groups side by side.
+    """
+    p, groups = len(d), len(by.first)
+    q, r, fine = [c.astype(float) for c in d], np.zeros((p, p, groups)), by.n > p
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):  # of groups without full rank
+        for j in range(p):
+            for _ in range(2):
+                for i in range(j):
+                    along = by.sum(q[i] * q[j])
+                    r[i, j] += along
+                    q[j] -= along[by.of] * q[i]
+            r[j, j] = np.sqrt(by.sum(q[j] * q[j]))
+            fine &= ~(r[j, j] <= 1e-12 * np.sqrt(by.sum(d[j] * d[j])))
+            q[j] /= r[j, j][by.of]
+        beta = np.zeros((p, groups))
+        for j in reversed(range(p)):
+            beta[j] = (by.sum(q[j] * v) - (r[j, j + 1 :] * beta[j + 1 :]).sum(axis=0)) / r[j, j]
+    return fine, q, beta
+
+
+def neighbour_moran(e: np.ndarray, gx: np.ndarray, gy: np.ndarray, by: Segments) -> tuple[np.ndarray, np.ndarray]:
+    """Moran's I of each group over pairs of cells one step apart along a row or column, and how many pairs; NaN without one.
+
+    Cells of one place all pair with those of the next: sums and counts by place stand for the weights' matrix. Cells with
+    a NaN for a place pair with none.
     """
-    z = e - e.mean()
-    width = int(gy.max() - gy.min()) + 2
-    place, at = np.unique((gx - gx.min()) * width + gy - gy.min(), return_inverse=True)
-    total, n = np.bincount(at, z), np.bincount(at)
-    products = pairs = 0.0
-    for step in (1, width):
-        to = np.minimum(np.searchsorted(place, place + step), len(place) - 1)
-        met = place[to] == place + step
-        products, pairs = products + float((total * total[to])[met].sum()), pairs + float((n * n[to])[met].sum())
-    spread = float(z @ z)
-    return (len(e) * products / (pairs * spread) if pairs and spread > 0 else float("nan")), int(pairs)
+    z = e - (by.sum(e) / by.n)[by.of]
+    some = np.flatnonzero(~(np.isnan(gx) | np.isnan(gy)))
+    order = some[np.lexsort((gy[some], gx[some], by.of[some]))]
+    x, y, g = gx[order], gy[order], by.of[order]
+    first = np.flatnonzero(np.r_[len(g) > 0, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (g[1:] != g[:-1])])
+    place = Segments(first, len(g))
+    total, n, x, y, g = place.sum(z[order]), place.n, x[first], y[first], g[first]
+    products, pairs = np.zeros(len(by.first)), np.zeros(len(by.first))
+    for way, (same, on) in ((np.arange(len(g)), (x, y)), (np.lexsort((x, y, g)), (y, x))):
+        a, b = way[:-1], way[1:]  # the place after a in its line
+        met = (g[a] == g[b]) & (same[a] == same[b]) & (on[b] == on[a] + 1)
+        a, b = a[met], b[met]
+        products += np.bincount(g[a], total[a] * total[b], len(by.first))
+        pairs += np.bincount(g[a], n[a] * n[b], len(by.first))
+    spread = by.sum(z * z)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where((pairs > 0) & (spread > 0), by.n * products / (pairs * spread), np.nan), pairs.astype(np.int64)
+
+
+def jackknife_errors(d: list[np.ndarray], v: np.ndarray, quadrant: np.ndarray, by: Segments) -> np.ndarray:
+    """Error of the second coefficient of each group, from fits that leave out one quadrant; NaN if one of them has no fit."""
+    order = np.lexsort((quadrant, by.of))
+    new = np.r_[len(order) > 0, quadrant[order][1:] != quadrant[order][:-1]]
+    new[by.first] = True
+    place = np.cumsum(new)
+    number = np.empty(len(order), np.int64)
+    number[order] = place - place[by.first][by.of]  # of a row's quadrant among those of its group
+    many = np.zeros(len(by.first), np.int64)
+    np.maximum.at(many, by.of, number + 1)
+    slopes = np.full((int(many.max(initial=0)), len(by.first)), np.nan)
+    for k in range(len(slopes)):
+        rest = np.flatnonzero((number != k) & (many > k)[by.of])
+        own = by.of[rest]
+        part = Segments.of_groups(own)
+        fine, _, beta = group_fits([c[rest] for c in d], v[rest], part)
+        slopes[k, own[part.first[fine]]] = beta[1, fine]
+    used = np.arange(len(slopes))[:, None] < many
+    mean = np.where(used, slopes, 0).sum(axis=0) / many
+    error = np.sqrt((many - 1) * (np.where(used, slopes - mean, 0) ** 2).sum(axis=0) / many)
+    return np.where(many > 1, error, np.nan)
 
 
 def block_pass_fits(
@@ -181,58 +283,44 @@ def block_pass_fits(
     """OLS slope per block and pass with a leave-one-quadrant-out jackknife error, leverage and Moran's I of the residuals.
 
     leverage is the largest diagonal of the hat matrix, high_leverage whether it exceeds max(0.25, 2 p / n); reason says
-    which gate failed. A group is one block in one pass, a few hundred cells.
+    which gate failed. A group is one block in one pass, a few hundred cells; all groups of a chunk are fitted together, so
+    the cost is that of the rows, not of a call for each group.
     """
-    names = ["n", "slope", "jackknife_se", "leverage", "high_leverage", "moran", "n_pairs", "reason"]
     kinds = "n bigint, slope double, jackknife_se double, leverage double, high_leverage boolean, moran double, n_pairs bigint, reason string"
     schema = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in key), kinds])
 
-    def solved(d: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        """Coefficients and an orthonormal basis of the design, of designs of full rank."""
-        n, p = d.shape
-        if n <= p:
-            return None
-        q, r = d.copy(), np.zeros((p, p))  # Gram-Schmidt, twice: threads of a linear algebra library get in each other's way here
-        for j in range(p):
-            for _ in range(2):
-                for i in range(j):
-                    along = float((q[:, i] * q[:, j]).sum())
-                    r[i, j] += along
-                    q[:, j] -= along * q[:, i]
-            r[j, j] = math.sqrt(float((q[:, j] * q[:, j]).sum()))
-            if r[j, j] <= 1e-12 * math.sqrt(float((d[:, j] * d[:, j]).sum())):
-                return None
-            q[:, j] /= r[j, j]
-        beta = np.zeros(p)
-        for j in reversed(range(p)):
-            beta[j] = (float((q[:, j] * v).sum()) - float((r[j, j + 1 :] * beta[j + 1 :]).sum())) / r[j, j]
-        return beta, q
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        head = [p[c].iloc[0] for c in key]
-        d, v, quad = np.column_stack([np.ones(len(p)), p[[x, *context]].to_numpy(float)]), p[y].to_numpy(float), p[quadrant].to_numpy()
-        row = dict.fromkeys(names) | {"n": len(p), "n_pairs": 0}
-        whole = None
-        if len(p) < least:
-            row["reason"] = "few_cells"
-        elif d[:, 1].max() - d[:, 1].min() < span:
-            row["reason"] = "narrow_span"
-        elif (whole := solved(d, v)) is None:
-            row["reason"] = "rank"
-        if whole:
-            beta, q = whole
-            parts = [solved(d[quad != k], v[quad != k]) for k in np.unique(quad)]
-            slopes = np.array([f[0][1] if f else np.nan for f in parts])
-            g, hat = len(slopes), (q * q).sum(axis=1)
-            row["slope"] = float(beta[1])
-            row["jackknife_se"] = float(np.sqrt((g - 1) * slopes.var())) if g > 1 and np.isfinite(slopes).all() else None
-            row["leverage"], row["high_leverage"] = float(hat.max()), bool(hat.max() > max(0.25, 2 * q.shape[1] / len(p)))
-            moran, row["n_pairs"] = neighbour_moran(v - (d * beta).sum(axis=1), *(p[c].to_numpy(np.int64) for c in place))
-            row["moran"] = moran if np.isfinite(moran) else None
-        return pd.DataFrame([[*head, *(row[c] for c in names)]], columns=[*key, *names])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f, first in whole_groups(frames, key):
+            yield fitted(f, Segments(first, len(f)))
+
+    def fitted(f: pd.DataFrame, every: Segments) -> pd.DataFrame:
+        out = f.iloc[every.first][key].reset_index(drop=True).assign(n=every.n, n_pairs=0)
+        reason = np.where(every.n < least, "few_cells", np.where(every.span(f[x].to_numpy(float)) < span, "narrow_span", None))
+        rows = np.flatnonzero((reason == None)[every.of])  # noqa: E711  element by element
+        group, by = every.of[rows], Segments.of_groups(every.of[rows])
+        d, v = [np.ones(len(rows)), *(f[c].to_numpy(float)[rows] for c in (x, *context))], f[y].to_numpy(float)[rows]
+        fine, _, _ = group_fits(d, v, by)
+        reason[group[by.first[~fine]]] = "rank"
+        kept = fine[by.of]
+        rows, d, v, group = rows[kept], [c[kept] for c in d], v[kept], group[kept]
+        by = Segments.of_groups(group)
+        _, q, beta = group_fits(d, v, by)
+        hat = np.maximum.reduceat(sum(c * c for c in q), by.first) if len(rows) else v
+        gx, gy = (f[c].to_numpy(float)[rows] for c in place)
+        moran, pairs = neighbour_moran(v - sum(c * b[by.of] for c, b in zip(d, beta, strict=True)), gx, gy, by)
+        quad = pd.factorize(f[quadrant], use_na_sentinel=False)[0][rows]
+        found = {"slope": beta[1], "jackknife_se": jackknife_errors(d, v, quad, by), "leverage": hat, "moran": moran}
+        at = group[by.first]
+        for c, values in found.items():
+            out[c] = np.nan
+            out.loc[at, c] = np.where(np.isfinite(values), values, np.nan)
+        out["high_leverage"] = pd.array([None] * len(out), "boolean")
+        out.loc[at, "high_leverage"] = hat > np.maximum(0.25, 2 * len(d) / by.n)
+        out.loc[at, "n_pairs"] = pairs
+        return out.assign(reason=reason)
 
     needed = list(dict.fromkeys([*key, x, y, *context, quadrant, *place]))
-    return spread(df.select(*needed), *key).groupBy(*key).applyInPandas(run, schema)
+    return spread(df.select(*needed), *key).sortWithinPartitions(*key).mapInPandas(run, schema)
 
 
 def moment_interval(y: np.ndarray, weights: np.ndarray, spatial: np.ndarray, design: np.ndarray) -> tuple[float, float, float]:
