@@ -8,7 +8,7 @@ Every byte covered by a string of `length` bytes that also starts in a document
 2. Each block sends 32-bit prints of its names to shards; the shards answer which prints came more than once,
    and which from more than HOT_BLOCKS blocks. A window whose name came once can be repeated nowhere.
 3. The distinct runs that remain go, with the smallest id that holds them, to shards by their name (runs of hot
-   names as single windows by a hash of the window, so a passage that a third of all documents hold spreads
+   names as finer runs, by the smallest hash of longer grams, so a passage that a third of all documents hold spreads
    out). A shard builds suffix arrays (Larsson-Sadakane), Kasai common prefixes give groups of equal windows,
    and arrays of several shards in a task are merged by binary search. The answer is a bit per window: whether
    an equal window starts in a document with a smaller id.
@@ -24,8 +24,6 @@ result; extra columns are dropped.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,6 +39,7 @@ GRAM = 24
 BLOCK_BYTES = 4 << 20  #: text bytes per block
 HOT_BLOCKS = 64
 MAX_RUN = 64  #: windows in a run
+FINER = 10  #: bytes that a gram of a finer run is shorter than a window
 SHARD_TEXT, LEAST_SHARDS = 16 << 20, 128  #: text bytes per shard, and shards at least
 SHARD_BYTES = 2 << 20  #: snippet bytes per suffix array
 PART_BYTES = 1 << 19  #: text bytes hashed at once
@@ -100,6 +99,28 @@ def gather(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.nda
     return raw[np.repeat(begin, size) + spread(size)], edges
 
 
+def finer_runs(raw: np.ndarray, begin: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, name, number of the run) of stretches of the runs whose windows share a finer name.
+
+    That is the smallest hash of their grams of nearly a window's length: some windows stay together, so less is sent than
+    for each of them alone, and neighbours go to different shards.
+    """
+    width = length - min(FINER, (length - GRAM) // 2)
+    out = []
+    part = np.cumsum(n + length - 1) // PART_BYTES
+    edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(n)] if len(n) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = n[a:b]
+        text, cut = gather(raw, begin[a:b], own + length - 1)
+        names = common.window_min(gram_hashes(text, width), length - width + 1)
+        named, run = names[np.repeat(cut[:-1], own) + spread(own)], np.repeat(np.arange(a, b), own)
+        first = np.flatnonzero(np.r_[True, (named[1:] != named[:-1]) | (run[1:] != run[:-1])])
+        out.append((begin[run[first]] + spread(own)[first], np.diff(np.r_[first, len(named)]), named[first], run[first]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 class Block:
     """Documents of a block in (id, text) order and their runs."""
 
@@ -122,7 +143,7 @@ class Block:
         """Distinct runs that may be repeated, and the units they are sent as.
 
         codes has, for each print, 0 (came once), 1 or 2 (hot). Units are distinct runs or, of hot names, distinct
-        windows, in order of their shard; window_bit and window_least say for each window of each distinct run
+        finer runs, in order of their shard; window_bit and window_least say for each window of each distinct run
         which bit answers it and the smallest id of its unit in this block.
         """
         code = codes[self.print_of]
@@ -137,21 +158,19 @@ class Block:
         begin, hot = self.begin[occurrence], code[occurrence] == 2
         least = self.place[self.doc[occurrence]]
         whole = np.flatnonzero(~hot)
-        window = np.repeat(begin[hot], self.run_n[hot]) + spread(self.run_n[hot])
-        owner = np.repeat(least[hot], self.run_n[hot])
-        if len(window):
-            text, edges = gather(self.raw, window, np.full(len(window), self.length))
-            window_of = common.slices(text.tobytes(), edges).dictionary_encode().indices.to_numpy()
-            _, at = np.unique(window_of, return_index=True)
+        cut_begin, cut_n, cut_name, owner = finer_runs(self.raw, begin[hot], self.run_n[hot], self.length)
+        owner = least[hot][owner]
+        if len(cut_begin):
+            text, edges = gather(self.raw, cut_begin, cut_n + self.length - 1)
+            cut_of = common.slices(text.tobytes(), edges).dictionary_encode().indices.to_numpy()
+            _, at = np.unique(cut_of, return_index=True)
             low = np.full(len(at), LAST)
-            np.minimum.at(low, window_of, owner)
-            dealt = np.fromiter(
-                (zlib.crc32(self.data[w : w + self.length]) % self.n_shards for w in window[at].tolist()), np.int64, len(at)
-            )
+            np.minimum.at(low, cut_of, owner)
+            dealt = ((cut_name[at] >> np.uint64(32)) % np.uint64(self.n_shards)).astype(np.int64)
         else:
-            window_of, at, low, dealt = (np.zeros(0, np.int64) for _ in range(4))
-        unit_begin = np.r_[begin[whole], window[at]].astype(np.int64)
-        unit_n = np.r_[self.run_n[whole], np.ones(len(at), np.int64)].astype(np.int64)
+            cut_of, at, low, dealt = (np.zeros(0, np.int64) for _ in range(4))
+        unit_begin = np.r_[begin[whole], cut_begin[at]].astype(np.int64)
+        unit_n = np.r_[self.run_n[whole], cut_n[at]].astype(np.int64)
         unit_least = np.r_[least[whole], low].astype(np.int64)
         unit_shard = np.r_[self.shard[occurrence][whole], dealt].astype(np.int64)
         order = np.argsort(unit_shard, kind="stable")
@@ -167,8 +186,8 @@ class Block:
         self.window_bit[own] = np.repeat(bit[: len(whole)], self.run_n[whole]) + spread(self.run_n[whole])
         self.window_least[own] = np.repeat(least[whole], self.run_n[whole])
         own = np.repeat(at_run[hot], self.run_n[hot]) + spread(self.run_n[hot])
-        self.window_bit[own] = bit[len(whole) :][window_of]
-        self.window_least[own] = low[window_of]
+        self.window_bit[own] = np.repeat(bit[len(whole) :][cut_of], cut_n) + spread(cut_n)
+        self.window_least[own] = np.repeat(low[cut_of], cut_n)
 
     def removed(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the maximal removed stretches."""
