@@ -89,7 +89,29 @@ def tidied(run: Callable) -> Callable:
     return tidy_run
 
 
+IDLE = 32  #: tasks or groups in a row that do not use it, after which a worker drops what it keeps
+_kept: dict[tuple, list] = {}
+
+
+def kept(make: Callable) -> Callable:
+    """make, a function of one argument, whose results a worker keeps while its tasks use them: workers outlive a stage."""
+
+    @functools.wraps(make)
+    def get(of):
+        entry = _kept.get((make.__qualname__, of))
+        if entry is None:
+            entry = _kept[make.__qualname__, of] = [make(of), 0]
+        entry[1] = 0
+        return entry[0]
+
+    return get
+
+
 def give_back() -> None:
+    for key, entry in list(_kept.items()):
+        entry[1] += 1
+        if entry[1] > IDLE:
+            del _kept[key]
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -167,7 +189,7 @@ def code_points(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return cps, np.flatnonzero((raw & 0xC0) != 0x80)
 
 
-def slices(data: bytes, edges: np.ndarray) -> pa.Array:
+def slices(data: bytes | np.ndarray, edges: np.ndarray) -> pa.Array:
     """Binary array of data cut at edges (first 0, last len(data)); no copy."""
     return pa.Array.from_buffers(
         pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)]

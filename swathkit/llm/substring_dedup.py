@@ -41,8 +41,9 @@ HOT_BLOCKS = 64
 MAX_RUN = 64  #: windows in a run
 FINER = 10  #: bytes that a gram of a finer run is shorter than a window
 SHARD_TEXT, LEAST_SHARDS = 16 << 20, 128  #: text bytes per shard, and shards at least
-SHARD_BYTES = 2 << 20  #: snippet bytes per suffix array
-PART_BYTES = 1 << 19  #: text bytes hashed at once
+SHARD_BYTES = 1 << 20  #: snippet bytes per suffix array
+PART_BYTES = 1 << 17  #: text bytes hashed, and bytes or windows looked at, at once
+NAME_PARTS = 8  #: parts by name in which runs of a block are told apart
 LAST = np.iinfo(np.int64).max
 
 
@@ -93,10 +94,20 @@ def spread(count: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) - np.repeat(total - count, count)
 
 
+def parts_of(edges: np.ndarray) -> list[tuple[int, int]]:
+    """First and last but one of entries of about PART_BYTES together; edges are where each starts and the last ends."""
+    part = edges[:-1] // PART_BYTES
+    cut = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)].tolist() if len(part) else [0]
+    return list(zip(cut[:-1], cut[1:], strict=True))
+
+
 def gather(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of the stretches end to end, and their edges."""
     edges = np.r_[0, np.cumsum(size)]
-    return raw[np.repeat(begin, size) + spread(size)], edges
+    out = np.empty(edges[-1], raw.dtype)
+    for a, b in parts_of(edges):
+        out[edges[a] : edges[b]] = raw[np.repeat(begin[a:b] - edges[a:b], size[a:b]) + np.arange(edges[a], edges[b])]
+    return out, edges
 
 
 def finer_runs(raw: np.ndarray, begin: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,26 +154,34 @@ class Block:
         """Distinct runs that may be repeated, and the units they are sent as.
 
         codes has, for each print, 0 (came once), 1 or 2 (hot). Units are distinct runs or, of hot names, distinct
-        finer runs, in order of their shard; window_bit and window_least say for each window of each distinct run
-        which bit answers it and the smallest id of its unit in this block.
+        finer runs, in order of their shard. A distinct run is a piece or, if hot, several, from piece_at on; a piece has
+        its windows, the bit that answers the first of them, and the smallest id of its unit in this block.
         """
         code = codes[self.print_of]
         self.kept = np.flatnonzero((code > 0) | (self.times[self.print_of] > 1))
-        size = self.n[self.kept] + self.length - 1
-        text, edges = gather(self.raw, self.begin[self.kept], size)
-        coded = common.slices(text.tobytes(), edges).dictionary_encode() if len(self.kept) else None
-        self.run_of = coded.indices.to_numpy() if coded else np.zeros(0, np.int64)
-        _, first = np.unique(self.run_of, return_index=True)  # runs are numbered as they come, so by ascending id
+        self.run_of, known = np.zeros(len(self.kept), np.int64), 0
+        part = self.print_of[self.kept] % NAME_PARTS  # equal runs have one name
+        for k in range(NAME_PARTS):
+            own = np.flatnonzero(part == k)
+            if len(own):
+                text, edges = gather(self.raw, self.begin[self.kept[own]], self.n[self.kept[own]] + self.length - 1)
+                coded = common.slices(text, edges).dictionary_encode()
+                self.run_of[own] = coded.indices.to_numpy() + known
+                known += len(coded.dictionary)
+                del text, coded
+        _, first = np.unique(self.run_of, return_index=True)  # the first of equal runs has the smallest id
         occurrence = self.kept[first]
-        self.run_n = self.n[occurrence]
+        run_n = self.n[occurrence]
         begin, hot = self.begin[occurrence], code[occurrence] == 2
         least = self.place[self.doc[occurrence]]
         whole = np.flatnonzero(~hot)
-        cut_begin, cut_n, cut_name, owner = finer_runs(self.raw, begin[hot], self.run_n[hot], self.length)
+        cut_begin, cut_n, cut_name, owner = finer_runs(self.raw, begin[hot], run_n[hot], self.length)
+        many = np.ones(len(run_n), np.int64)  # pieces of each run
+        many[hot] = np.bincount(owner, minlength=int(hot.sum()))
         owner = least[hot][owner]
         if len(cut_begin):
             text, edges = gather(self.raw, cut_begin, cut_n + self.length - 1)
-            cut_of = common.slices(text.tobytes(), edges).dictionary_encode().indices.to_numpy()
+            cut_of = common.slices(text, edges).dictionary_encode().indices.to_numpy()
             _, at = np.unique(cut_of, return_index=True)
             low = np.full(len(at), LAST)
             np.minimum.at(low, cut_of, owner)
@@ -170,7 +189,7 @@ class Block:
         else:
             cut_of, at, low, dealt = (np.zeros(0, np.int64) for _ in range(4))
         unit_begin = np.r_[begin[whole], cut_begin[at]].astype(np.int64)
-        unit_n = np.r_[self.run_n[whole], cut_n[at]].astype(np.int64)
+        unit_n = np.r_[run_n[whole], cut_n[at]].astype(np.int64)
         unit_least = np.r_[least[whole], low].astype(np.int64)
         unit_shard = np.r_[self.shard[occurrence][whole], dealt].astype(np.int64)
         order = np.argsort(unit_shard, kind="stable")
@@ -178,28 +197,27 @@ class Block:
         bit[order] = np.cumsum(unit_n[order]) - unit_n[order]  # the first bit of each unit
         self.unit_begin, self.unit_n = unit_begin[order], unit_n[order]
         self.unit_least, self.unit_shard = unit_least[order], unit_shard[order]
-        at_run = np.cumsum(self.run_n) - self.run_n
-        self.run_at = at_run
-        self.window_bit = np.empty(self.run_n.sum(), np.int64)
-        self.window_least = np.empty(self.run_n.sum(), np.int64)
-        own = np.repeat(at_run[whole], self.run_n[whole]) + spread(self.run_n[whole])
-        self.window_bit[own] = np.repeat(bit[: len(whole)], self.run_n[whole]) + spread(self.run_n[whole])
-        self.window_least[own] = np.repeat(least[whole], self.run_n[whole])
-        own = np.repeat(at_run[hot], self.run_n[hot]) + spread(self.run_n[hot])
-        self.window_bit[own] = np.repeat(bit[len(whole) :][cut_of], cut_n) + spread(cut_n)
-        self.window_least[own] = np.repeat(low[cut_of], cut_n)
+        self.piece_at = np.r_[0, np.cumsum(many)]
+        unit = np.empty(self.piece_at[-1], np.int64)
+        unit[self.piece_at[:-1][whole]] = np.arange(len(whole))
+        unit[np.repeat(self.piece_at[:-1][hot], many[hot]) + spread(many[hot])] = len(whole) + cut_of
+        self.piece_n, self.piece_bit, self.piece_least = unit_n[unit], bit[unit], unit_least[unit]
 
     def removed(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the maximal removed stretches."""
         n = self.n[self.kept]
-        flat = np.repeat(self.run_at[self.run_of], n) + spread(n)
-        at = np.repeat(self.begin[self.kept], n) + spread(n)
-        place = np.repeat(self.place[self.doc[self.kept]], n)
-        gone = at[bits[self.window_bit[flat]] | (place > self.window_least[flat])]
         change = np.zeros(len(self.data) + 1, np.int32)
-        change[gone] += 1  # each window once
-        change[gone + self.length] -= 1
-        covered = np.r_[False, np.cumsum(change[:-1]) > 0, False]
+        for a, b in parts_of(np.r_[0, np.cumsum(n)]):
+            kept, run = self.kept[a:b], self.run_of[a:b]
+            many = self.piece_at[run + 1] - self.piece_at[run]
+            piece = np.repeat(self.piece_at[run], many) + spread(many)
+            windows = self.piece_n[piece]
+            later = np.repeat(self.place[self.doc[kept]], many) > self.piece_least[piece]
+            at = np.repeat(self.begin[kept], n[a:b]) + spread(n[a:b])
+            gone = at[bits[np.repeat(self.piece_bit[piece], windows) + spread(windows)] | np.repeat(later, windows)]
+            change[gone] += 1  # each window once
+            change[gone + self.length] -= 1
+        covered = np.r_[False, np.cumsum(change[:-1], out=change[:-1]) > 0, False]
         edge = np.flatnonzero(covered[1:] != covered[:-1])
         start, end = edge[::2], edge[1::2]
         # stretches end with their document
@@ -314,11 +332,13 @@ def met_runs(bodies: list[bytes]) -> tuple[list[int], np.ndarray, pa.Array, np.n
     parts = [common.expand(x, np.uint32, np.int64, np.uint8) for x in bodies]
     sizes = np.concatenate([p[0] for p in parts]).astype(np.int64)
     least = np.concatenate([p[1] for p in parts])
-    coded = common.slices(np.concatenate([p[2] for p in parts]).tobytes(), np.r_[0, np.cumsum(sizes)]).dictionary_encode()
+    many, text = [len(p[0]) for p in parts], np.concatenate([p[2] for p in parts])
+    del parts
+    coded = common.slices(text, np.r_[0, np.cumsum(sizes)]).dictionary_encode()
     of = coded.indices.to_numpy()
     low = np.full(len(coded.dictionary), LAST)
     np.minimum.at(low, of, least)
-    return [len(p[0]) for p in parts], least, coded.dictionary, of, low
+    return many, least, coded.dictionary, of, low
 
 
 def dealt_windows(bits: np.ndarray, n: np.ndarray, many: list[int]) -> list[bytes]:
@@ -330,10 +350,14 @@ def judge_runs(bodies: list[bytes], length: int) -> list[bytes]:
     """For each window of each unit whether a smaller id than the unit's holds it."""
     many, least, units, of, low = met_runs(bodies)
     data, edges = common.buffer_of_array(units)
+    del units
     size = np.diff(edges)
     owner = window_owners(np.frombuffer(data, np.uint8), edges[:-1], size, low, length, SHARD_BYTES)
     n = size[of] - length + 1
-    lower = owner[np.repeat(edges[:-1][of], n) + spread(n)] < np.repeat(least, n)
+    total = np.r_[0, np.cumsum(n)]
+    lower = np.empty(total[-1], bool)
+    for a, b in parts_of(total):
+        lower[total[a] : total[b]] = owner[np.repeat(edges[:-1][of[a:b]], n[a:b]) + spread(n[a:b])] < np.repeat(least[a:b], n[a:b])
     return dealt_windows(lower, n, many)
 
 

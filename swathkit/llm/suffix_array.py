@@ -26,7 +26,7 @@ def window_order(data: np.ndarray, begin: np.ndarray, size: np.ndarray, depth: i
     data holds the snippets end to end; begin and size are theirs.
     """
     n = len(data)
-    room = (np.repeat(begin + size, size) - np.arange(n)).astype(np.int32)  # bytes to the snippet's end
+    room = np.repeat((begin + size).astype(np.int32), size) - np.arange(n, dtype=np.int32)  # bytes to the snippet's end
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for k in range(8):
@@ -72,7 +72,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, begin: np.ndarray, size
     order); all snippets walk side by side.
     """
     n = len(data)
-    room = (np.repeat(begin + size, size) - np.arange(n)).astype(np.int32)
+    room = np.repeat((begin + size).astype(np.int32), size) - np.arange(n, dtype=np.int32)
     before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     out = np.zeros(n, np.int32)

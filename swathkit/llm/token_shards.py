@@ -14,7 +14,6 @@ and no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -70,7 +69,7 @@ class WordEncoder:
         return out
 
 
-@functools.lru_cache(2)
+@common.kept
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 

@@ -15,7 +15,6 @@ common.FAN blocks are merged before they meet, so that no task takes an entry of
 
 from __future__ import annotations
 
-import functools
 import json
 from collections.abc import Iterator
 
@@ -33,7 +32,7 @@ BLOCK_BYTES = 4 << 20  #: text bytes per block
 PART_BYTES, LEAST_PARTS = 32 << 20, 64  #: text bytes per part of the word table, and parts at least
 
 
-@functools.lru_cache(2)
+@common.kept
 def piece_table(path: str) -> pa.Array:
     """The bytes of each id of a byte-level BPE file (bounded by its vocabulary)."""
     with open(path, encoding="utf-8") as f:
