@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from swathkit.operators.select import spread
 from swathkit.sources.files import written
 
-SAMPLE, LEAF, BUCKET = 50_000, 50_000, 64  #: sampled points; points of a leaf, and of a bucket of its own tree
-MOST_QUERIES = 4_000  #: of a leaf in one task
+SAMPLE, LEAF, BUCKET = 50_000, 50_000, 32  #: sampled points; points of a leaf, and of a bucket of its own tree
+TOGETHER, PAIRS = 512, 2048  #: queries searched side by side; pairs of a query and a bucket looked at together
+UNKNOWN = np.iinfo(np.int64).max
+MOST_QUERIES = 16_000  #: of a leaf in one task
 
 
 def standardised(df: DataFrame, by: DataFrame, features: list[str]) -> DataFrame:
@@ -64,57 +66,93 @@ class Splits:
 
 
 class Tree:
-    """A k-d tree over the points of one leaf, searched for many queries at once."""
+    """A k-d tree over the points of one leaf, searched for many queries side by side.
+
+    Nodes are halved at the median of their widest axis, all nodes of a level together, down to buckets of BUCKET points.
+    Queries and the nodes that they may have to see are pairs in flat arrays, so no step is made for a single query or node.
+    """
 
     def __init__(self, points: np.ndarray, rank: np.ndarray):
-        self.points, self.rank = points, rank
-        self.nodes: list[tuple] = []  # (low, high, points of a bucket or None, left, right)
-        self._build(np.arange(len(points)))
-
-    def _build(self, own: np.ndarray) -> int:
-        low, high = self.points[own].min(axis=0), self.points[own].max(axis=0)
-        k = len(self.nodes)
-        self.nodes.append((low, high, own, -1, -1))
-        if len(own) > BUCKET:
-            axis = int(np.argmax(high - low))
-            order = own[np.argsort(self.points[own, axis], kind="stable")]
-            left, right = self._build(order[: len(order) // 2]), self._build(order[len(order) // 2 :])
-            self.nodes[k] = (low, high, None, left, right)
-        return k
+        n = len(points)
+        depth = max(0, int(np.ceil(np.log2(n / BUCKET))))
+        slots = -(-n // 2**depth) * 2**depth  # some slots hold no point
+        low, high = (np.full((slots, points.shape[1]), v) for v in (np.inf, -np.inf))
+        low[:n] = high[:n] = points
+        order = np.arange(slots)[None, :]
+        self.boxes: list[tuple[np.ndarray, np.ndarray]] = []  # of each level: edges by feature and node
+        for level in range(depth + 1):
+            own = low[order]
+            a, b = own.min(axis=1), high[order].max(axis=1)
+            self.boxes.append((a.T.copy(), b.T.copy()))
+            if level < depth:
+                axis = np.argmax(b - a, axis=1)
+                by = np.argsort(np.take_along_axis(own, axis[:, None, None], 2)[:, :, 0], axis=1, kind="stable")
+                order = np.take_along_axis(order, by, 1).reshape(2 * len(order), -1)
+        ranks = np.r_[rank, np.full(slots - n, UNKNOWN)]
+        order = np.take_along_axis(order, np.argsort(ranks[order], axis=1), 1)  # so that of equally near points the first is the one
+        self.rank, self.place, self.depth = ranks[order], np.where(order < n, order, -1), depth
+        self.points = np.ascontiguousarray(low[order].transpose(2, 0, 1))  # feature, bucket, point
 
     def nearest(self, queries: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared distance and place of the nearest point of each query, if it is within bound (else infinity and -1)."""
-        best, place = bound.copy(), np.full(len(queries), -1)
-        pending = [(0, np.arange(len(queries)), np.zeros(len(queries)))]
-        while pending:
-            node, asked, least = pending.pop()
-            asked = asked[least <= best[asked]]
-            if not len(asked):
-                continue
-            _, _, own, *halves = self.nodes[node]
-            if own is not None:
-                self._meet(own, queries, asked, best, place)
-                continue
-            bounds = [box_distance(queries[asked], *self.nodes[h][:2]) for h in halves]
-            first = bounds[0] <= bounds[1]
-            # the far half of each query is pushed first, so that near ones are searched before
-            pending += [(halves[0], asked[~first], bounds[0][~first]), (halves[1], asked[first], bounds[1][first])]
-            pending += [(halves[0], asked[first], bounds[0][first]), (halves[1], asked[~first], bounds[1][~first])]
+        parts = [self._nearest(queries[k : k + TOGETHER], bound[k : k + TOGETHER]) for k in range(0, len(queries), TOGETHER)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0), np.zeros(0, np.int64))
+
+    def _nearest(self, queries: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(queries)
+        best, rank, place = bound.copy(), np.full(n, UNKNOWN), np.full(n, -1)
+        asked = np.flatnonzero(self._away(queries, np.arange(n), 0, np.zeros(n, np.int64)) <= best)
+        first = np.zeros(n, np.int64)
+        for level in range(1, self.depth + 1):  # down to a near bucket
+            left, right = (self._away(queries, asked, level, 2 * first[asked] + k) for k in (0, 1))
+            first[asked] = 2 * first[asked] + (right < left)
+        self._meet(queries, asked, first[asked], best, rank, place)
+        node, least = np.zeros(len(asked), np.int64), np.zeros(len(asked))
+        for level in range(1, self.depth + 1):
+            asked, node = np.repeat(asked, 2), np.repeat(2 * node, 2)
+            node[1::2] += 1
+            least = self._away(queries, asked, level, node)
+            near = least <= best[asked]
+            asked, node, least = asked[near], node[near], least[near]
+        more = node != first[asked]
+        asked, node, least = asked[more], node[more], least[more]
+        by = np.lexsort((least, asked))
+        asked, node, least = asked[by], node[by], least[by]
+        head = np.flatnonzero(np.r_[True, asked[1:] != asked[:-1]][: len(asked)])
+        turn = np.arange(len(asked)) - np.repeat(head, np.diff(np.r_[head, len(asked)]))
+        a = 0
+        for b in (1, 4, 16, UNKNOWN):  # the nearest buckets first: they leave fewer to see
+            now = (turn >= a) & (turn < b) & (least <= best[asked])
+            self._meet(queries, asked[now], node[now], best, rank, place)
+            a = b
         return np.where(place >= 0, best, np.inf), place
 
-    def _meet(self, own: np.ndarray, queries: np.ndarray, asked: np.ndarray, best: np.ndarray, place: np.ndarray) -> None:
-        """All points of a bucket against the queries; equally near ones by rank."""
-        for a in range(0, len(asked), 8192):
-            some = asked[a : a + 8192]
-            d2 = np.zeros((len(some), len(own)))
-            for f in range(queries.shape[1]):  # one order of adding up, whatever the leaf
-                d2 += (queries[some, f, None] - self.points[None, own, f]) ** 2
-            near = d2.min(axis=1)
-            rank = np.where(d2 == near[:, None], self.rank[own][None, :], np.iinfo(np.int64).max)
-            k = rank.argmin(axis=1)
-            known = np.where(place[some] >= 0, self.rank[place[some]], np.iinfo(np.int64).max)
-            better = (near < best[some]) | ((near == best[some]) & (rank[np.arange(len(k)), k] < known))
-            best[some[better]], place[some[better]] = near[better], own[k[better]]
+    def _away(self, queries: np.ndarray, asked: np.ndarray, level: int, node: np.ndarray) -> np.ndarray:
+        """Squared distance of the query to the box of the node, pair by pair."""
+        out = np.zeros(len(asked))
+        for f, (low, high) in enumerate(zip(*self.boxes[level], strict=True)):
+            x = queries[asked, f]
+            out += np.maximum(np.maximum(low[node] - x, x - high[node]), 0) ** 2
+        return out
+
+    def _meet(self, queries: np.ndarray, asked: np.ndarray, bucket: np.ndarray, best: np.ndarray, rank: np.ndarray, place: np.ndarray) -> None:
+        """All points of the bucket against the query, pair by pair in ascending order of queries; equally near ones by rank."""
+        for a in range(0, len(asked), PAIRS):
+            q, own = asked[a : a + PAIRS], bucket[a : a + PAIRS]
+            d2 = np.zeros((len(q), self.rank.shape[1]))
+            for f, points in enumerate(self.points):  # one order of adding up, whatever the leaf
+                d = points[own]
+                d -= queries[q, f, None]
+                d *= d
+                d2 += d
+            k = d2.argmin(axis=1)
+            near, ranked, at = d2[np.arange(len(k)), k], self.rank[own, k], self.place[own, k]
+            by = np.lexsort((ranked, near, q))
+            by = by[np.r_[True, q[by][1:] != q[by][:-1]]]  # the best of each query
+            q, near, ranked, at = q[by], near[by], ranked[by], at[by]
+            better = (at >= 0) & ((near < best[q]) | ((near == best[q]) & (ranked < rank[q])))
+            q = q[better]
+            best[q], rank[q], place[q] = near[better], ranked[better], at[better]
 
 
 def box_distance(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from swathkit.operators import joins, kdtree
 from swathkit.plans.registry import Tables, query, rounded
+from swathkit.sources.files import written
 
 
 @query("j1_one_to_one", "SELECT p_partkey, p_size, n FROM part JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON p_partkey = l_partkey")
@@ -209,7 +210,7 @@ FEATURES = ["qty", "price", "discount", "tax", "p_size", "p_retailprice"]
 def j23(t: Tables) -> DataFrame:
     """For each part outside the pool the nearest part of the pool, by six standardised features."""
     means = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg("l_quantity").alias("qty"), F.avg("l_extendedprice").alias("price"), F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"))
-    rows = t.part.join(means, "p_partkey").select("p_partkey", "p_type", *FEATURES)
+    rows = written(t.part.join(means, "p_partkey").select("p_partkey", "p_type", *FEATURES), "parts")
     z = kdtree.standardised(rows, rows, FEATURES)
     near = kdtree.nearest(z.where("p_type <> 'ECONOMY'"), z.where("p_type = 'ECONOMY'"), "p_partkey", "p_partkey", FEATURES)
     return rounded(near.withColumnRenamed("p_partkey", "q"))
