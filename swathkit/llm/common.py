@@ -168,7 +168,7 @@ def buffer_of(texts: Iterable[str | None]) -> tuple[bytes, np.ndarray]:
 def class_table() -> np.ndarray:
     """Letter, number, white space or other for every code point."""
     table = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
+    for c in [*range(0x40000), *range(0xE0000, 0xE1000)]:  # no other plane has letters or numbers
         kind = unicodedata.category(chr(c))[0]
         if kind == "L":
             table[c] = LETTER
@@ -254,11 +254,21 @@ def pretoken_edges(data: bytes, starts: np.ndarray, specials: tuple[bytes, ...]
     return np.r_[at[start], len(data)]
 
 
+EDGES_BYTES = 512 << 10  #: text bytes whose pretokens are cut at once; a longer document is cut as a whole
+
+
 def words_of(data: bytes, starts: np.ndarray, specials: tuple[bytes, ...] = ()) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct pretokens, the index of each pretoken in them, and the first pretoken of each document (and the end)."""
-    edges = pretoken_edges(data, starts, specials)
-    if len(edges) == 1:
+    if not data:
         return pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
+    found, a = [np.zeros(0, np.int64)], 0
+    while a < len(data):  # whole documents, so many that what is made of each byte stays small
+        i = int(np.searchsorted(starts, a))
+        k = max(int(np.searchsorted(starts, a, "right")), int(np.searchsorted(starts, a + EDGES_BYTES, "right")) - 1)
+        b = int(starts[k]) if k < len(starts) else len(data)
+        found.append(pretoken_edges(data[a:b], starts[i:k] - a, specials)[:-1] + a)
+        a = b
+    edges = np.concatenate([*found, [len(data)]])
     coded = slices(data, edges).dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy(), np.searchsorted(edges[:-1], starts)
 

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -29,7 +30,9 @@ from swathkit.llm.elias_fano import EliasFano
 
 PARTITION_BYTES = 16 << 20  #: text bytes per range partition
 CHUNK_BYTES = 4 << 20  #: text bytes per chunk
-CACHE_WORDS, CACHE_LONGEST = 150_000, 64  #: words kept by a worker, and bytes of the longest one kept
+CACHE_WORDS, CACHE_LONGEST = 400_000, 64  #: words kept by a worker, and bytes of the longest one kept
+LINE_END = 0x0A
+LINES_BYTES, LINES_AT_ONCE = 1 << 10, 256  #: bytes of the lines of words that are encoded as a text, and texts at once
 CHUNK = (
     "part int, chunk int, doc_ids array<bigint>, n_docs bigint, n_ids bigint, id_bytes int, ids binary, "
     "ends_low binary, ends_high binary, ends_samples binary"
@@ -48,25 +51,88 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.specials = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.specials = tuple(t.content.encode() for t in added.values())
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        """The packed ids of each pretoken."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        fresh: dict[bytes, bytes] = {}
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
-            fresh.update(zip(part, (np.array(e.ids, self.dtype).tobytes() for e in coded), strict=True))
-        out = [fresh[w] if w in fresh else self.known[w] for w in words]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.n_bytes = np.zeros(1 + max(*vocabulary.values(), *added), np.int64)  #: of each id's piece: a symbol is a byte
+        self.n_bytes[list(vocabulary.values())] = list(map(len, vocabulary))
+        for i, t in added.items():
+            self.n_bytes[i] = len(t.content.encode())
+        self.known = pa.array([], pa.binary())
+        self.known_n, self.known_ids = np.zeros(0, np.int64), np.zeros(0, self.dtype)
+
+    def ids(self, words: pa.Array, keep: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """n, at, ids of distinct pretokens: word w has n[w] of ids from at[w] on. keep: new ones go to the cache while there is room."""
+        place = pc.index_in(words, value_set=self.known)
+        new = words.filter(place.is_null())
+        new_n, new_ids = self.encoded(new)
+        which = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        which[which < 0] = len(self.known) + np.arange(len(new))
+        n, ids = np.concatenate([self.known_n, new_n]), np.concatenate([self.known_ids, new_ids])
+        at = np.cumsum(n) - n
         room = CACHE_WORDS - len(self.known)
-        self.known.update([x for x in fresh.items() if len(x[0]) <= CACHE_LONGEST][: max(room, 0)])
-        return out
+        if keep and room > 0 and len(new):
+            short = np.flatnonzero(pc.binary_length(new).to_numpy(zero_copy_only=False) <= CACHE_LONGEST)[:room]
+            self.known = pa.concat_arrays([self.known, new.take(pa.array(short))])
+            taken = np.zeros(len(new), bool)
+            taken[short] = True
+            self.known_n = np.concatenate([self.known_n, new_n[taken]])
+            self.known_ids = np.concatenate([self.known_ids, new_ids[np.repeat(taken, new_n)]])
+        return n[which], at[which], ids
+
+    def encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids of all end to end: many words in a text, a line for each, the rest one by one."""
+        n, ids = np.zeros(len(words), np.int64), np.zeros(0, self.dtype)
+        lines = ~self.apart(words)
+        together = self.encoded_lines(words.filter(pa.array(lines)))
+        if together is None:  # pieces that aren't bytes of their text
+            lines[:] = False
+        else:
+            n[lines], ids = together
+        if lines.all():
+            return n, ids
+        coded = []
+        rest = [w.decode("utf-8", "surrogatepass") for w in words.filter(pa.array(~lines)).to_pylist()]
+        for k in range(0, len(rest), 20_000):
+            coded += [e.ids for e in self.tokenizer.encode_batch_fast(rest[k : k + 20_000], add_special_tokens=False)]
+        n[~lines] = list(map(len, coded))
+        out, of_line = np.empty(n.sum(), self.dtype), np.repeat(lines, n)
+        out[of_line] = ids
+        out[~of_line] = [i for each in coded for i in each]
+        return n, out
+
+    def apart(self, words: pa.Array) -> np.ndarray:
+        """Words that a line end beside them may change: white space and special strings."""
+        space = pc.utf8_is_space(words.cast(pa.string()))
+        return pc.or_(space, pc.is_in(words, value_set=pa.array(self.specials, pa.binary()))).to_numpy(zero_copy_only=False)
+
+    def encoded_lines(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """encoded() of words that are cut as they are at a line end; None unless each line end has an id of its own.
+
+        No word holds white space but a blank before it, so that a line end is always a pretoken by itself.
+        """
+        text, edges = common.buffer_of_array(words)
+        text = np.insert(np.frombuffer(text, np.uint8), edges[1:], LINE_END).tobytes()
+        edges = edges + np.arange(len(edges))
+        n, ids = [np.zeros(0, np.int64)], [np.zeros(0, self.dtype)]
+        a = 0
+        while a < len(words):
+            cuts = [a]
+            while cuts[-1] < len(words) and len(cuts) <= LINES_AT_ONCE:
+                cuts.append(max(cuts[-1] + 1, int(np.searchsorted(edges, edges[cuts[-1]] + LINES_BYTES, "right")) - 1))
+            parts = [text[edges[i] : edges[k]].decode("utf-8", "surrogatepass") for i, k in zip(cuts[:-1], cuts[1:], strict=True)]
+            got = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+            some = np.concatenate(got)
+            stop, end = edges[a] + np.cumsum(self.n_bytes[some]), edges[a + 1 : cuts[-1] + 1]
+            last = np.searchsorted(stop, end)
+            if last[-1] != len(some) - 1 or (stop[last] != end).any() or (self.n_bytes[some[last]] != 1).any():
+                return None
+            n.append(np.diff(last, prepend=-1) - 1)
+            ids.append(np.delete(some, last))
+            a = cuts[-1]
+        return np.concatenate(n), np.concatenate(ids)
 
 
 @common.kept
@@ -74,18 +140,15 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encode_chunk(enc: WordEncoder, texts: list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+def encode_chunk(enc: WordEncoder, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, each followed by end_id if given, and where each text's ids end."""
-    data, offsets = common.buffer_of(texts)
+    data, offsets = common.buffer_of_array(texts)
     words, index, first = common.words_of(data, offsets, enc.specials)
-    packed = enc.ids(words.to_pylist())
-    size = np.fromiter(map(len, packed), np.int64, len(packed)) // enc.dtype.itemsize
-    flat = np.frombuffer(b"".join(packed), enc.dtype)
-    at = np.r_[0, np.cumsum(size)]
+    size, at, flat = enc.ids(words)
     n = size[index]
     ends = np.r_[0, np.cumsum(n)]
-    take = np.arange(ends[-1]) + np.repeat(at[:-1][index] - ends[:-1], n)
-    ids, ends = flat[take], ends[first[1:]]
+    ids = flat[np.arange(ends[-1]) + np.repeat(at[index] - ends[:-1], n)]
+    ends = ends[first[1:]]
     if end_id is not None:
         ids = np.insert(ids, ends, end_id)
         ends = ends + np.arange(1, len(ends) + 1)
@@ -104,7 +167,7 @@ def write_token_shards(
         enc, chunk, part = encoder(tokenizer), 0, TaskContext.get().partitionId()
         for batch in batches:
             for piece in common.chunks(batch, "text", CHUNK_BYTES):
-                ids, ends = encode_chunk(enc, piece.column("text").to_pylist(), end_id)
+                ids, ends = encode_chunk(enc, piece.column("text"), end_id)
                 ef = EliasFano.encode(ends, len(ids))
                 yield pa.RecordBatch.from_pydict(
                     {

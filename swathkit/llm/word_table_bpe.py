@@ -115,9 +115,7 @@ def dealt_ids(many: list[int], index: np.ndarray, n: np.ndarray, at: np.ndarray,
 def encode_words(lists: list[bytes], enc: WordEncoder) -> list[bytes]:
     """The ids of lists of words; each word is encoded once however many lists hold it."""
     many, words = listed_words(lists)
-    packed = enc.ids(words.dictionary.to_pylist())
-    n = np.fromiter(map(len, packed), np.int64, len(packed)) // enc.dtype.itemsize
-    return dealt_ids(many, words.indices.to_numpy(), n, np.cumsum(n) - n, np.frombuffer(b"".join(packed), enc.dtype))
+    return dealt_ids(many, words.indices.to_numpy(), *enc.ids(words.dictionary, keep=False))  # no other list has these words
 
 
 def merge_words(lists: list[bytes]) -> bytes:

@@ -527,3 +527,60 @@ def test_a_worker_drops_what_its_tasks_no_longer_use():
     for _ in range(common.IDLE + 1):
         common.give_back()
     assert table("a") == ["a"] and made == ["a", "a"]
+
+
+def test_words_are_encoded_together(monkeypatch):
+    """Round 3: each new word was a text of its own for the library, and a worker's cache held few words."""
+    encoder = token_shards.WordEncoder(PATH)
+    calls = []
+
+    class Counting:
+        def __init__(self, of):
+            self.of = of
+
+        def encode_batch_fast(self, texts, **how):
+            calls.append(len(texts))
+            return self.of.encode_batch_fast(texts, **how)
+
+    library, encoder.tokenizer = encoder.tokenizer, Counting(encoder.tokenizer)
+    texts = [f"wort{i} \u00e4{i}x  b\n{i}'s caf\u00e9\u3000 \u00a0x\x1c\u0085y<|endoftext|>z{'q' * (i % 7)} \u65e5\u672c" for i in range(3000)] + ["", " ", "w" * 5000]
+    for least in (1 << 10, 1, 1 << 20):
+        monkeypatch.setattr(token_shards, "LINES_BYTES", least)
+        encoder.known, encoder.known_n, encoder.known_ids = encoder.known[:0], encoder.known_n[:0], encoder.known_ids[:0]
+        calls.clear()
+        for _ in range(2):  # anew and from the cache
+            ids, ends = token_shards.encode_chunk(encoder, pa.array([*texts, None]), 0)
+            want = [e.ids for e in library.encode_batch_fast([*texts, ""], add_special_tokens=False)]
+            assert ids.tolist() == [i for w in want for i in [*w, 0]]
+            assert ends.tolist() == np.cumsum([len(w) + 1 for w in want]).tolist()
+        if least > 1:
+            assert sum(calls) < 500, sum(calls)
+    monkeypatch.setattr(encoder, "n_bytes", encoder.n_bytes * 2)  # a file whose pieces aren't bytes of their text
+    n, at, ids = encoder.ids(pa.array([b" never", b"seen", b" "], pa.binary()))
+    assert [ids[a : a + k].tolist() for a, k in zip(at, n, strict=True)] == [library.encode(w, add_special_tokens=False).ids for w in (" never", "seen", " ")]
+
+
+def test_classes_of_all_code_points():
+    kinds = {"L": common.LETTER, "N": common.NUMBER}
+    table = common.class_table()
+    want = np.array([kinds.get(unicodedata.category(chr(c))[0], common.OTHER) for c in range(0x110000)], np.uint8)
+    assert ((table == want) | (table == common.SPACE)).all()
+
+
+def test_pretokens_of_many_documents_take_few_bytes():
+    """Round 3: the pretokens of a block were cut all together, which took 17 bytes for each byte of this text."""
+    rng = np.random.default_rng(4)
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) + "\u00e9" for _ in range(3000)]
+    texts = [" ".join(words[k] for k in rng.integers(0, 3000, 250)) for _ in range(2000)]
+    data, offsets = common.buffer_of(["", *texts, "", ""])
+    common.class_table()
+    tracemalloc.start()
+    try:
+        found, index, first = common.words_of(data, offsets)
+        peak = tracemalloc.get_traced_memory()[1] / len(data)
+    finally:
+        tracemalloc.stop()
+    found = found.to_pylist()
+    for k in (0, 1, 2, 1000, 2000, 2001, 2002):
+        assert b"".join(found[i] for i in index[first[k] : first[k + 1]]) == data[offsets[k] : offsets[k + 1]]
+    assert first[-1] == len(index) and peak < 12, peak
