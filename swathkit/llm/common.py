@@ -107,6 +107,12 @@ def kept(make: Callable) -> Callable:
     return get
 
 
+def drop(get: Callable) -> None:
+    """Forget what this worker keeps of a kept() function: a later stage needs the room."""
+    for key in [k for k in _kept if k[0] == get.__qualname__]:
+        del _kept[key]
+
+
 def give_back() -> None:
     for key, entry in list(_kept.items()):
         entry[1] += 1
@@ -296,6 +302,22 @@ def buffer_of_array(texts: pa.Array | pa.ChunkedArray) -> tuple[bytes, np.ndarra
     return data, offsets - offsets[0]
 
 
+GATHERED = 1 << 15  #: stretches that gathered() takes at once
+
+
+def gathered(index: np.ndarray, n: np.ndarray, at: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The stretches that index names, end to end: stretch w is n[w] of flat from at[w] on."""
+    out = np.empty(sum(int(n[index[a : a + GATHERED]].sum()) for a in range(0, len(index), GATHERED)), flat.dtype)
+    done = 0
+    for a in range(0, len(index), GATHERED):
+        own = index[a : a + GATHERED]
+        size = n[own]
+        ends = np.cumsum(size)
+        out[done : done + ends[-1]] = flat[np.repeat(at[own] - (ends - size), size) + np.arange(ends[-1])]
+        done += ends[-1]
+    return out
+
+
 # Odd 64-bit multipliers of the hashes.
 STEP, MIX = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 
@@ -333,6 +355,20 @@ def stretch_hashes(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarra
     return mixed((total[end] - total[begin]) * powers(pow(STEP, -1, 1 << 64), len(data))[begin])
 
 
+HASHED_BYTES = 256 << 10  #: bytes that piece_hashes() takes at once
+
+
+def piece_hashes(data: bytes, edges: np.ndarray) -> np.ndarray:
+    """stretch_hashes() of the pieces between edges, of a few at a time; a longer piece is taken as a whole."""
+    out, a = [np.zeros(0, np.uint64)], 0
+    while a < len(edges) - 1:
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + HASHED_BYTES, "right")) - 1)
+        own = edges[a : b + 1] - edges[a]
+        out.append(stretch_hashes(data[edges[a] : edges[b]], own[:-1], own[1:]))
+        a = b
+    return np.concatenate(out)
+
+
 def squeeze(*arrays: np.ndarray | bytes) -> bytes:
     """Arrays end to end in a fixed layout: their sizes, then zstd of their bytes."""
     parts = [x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in arrays]

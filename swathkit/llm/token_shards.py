@@ -39,6 +39,11 @@ CHUNK = (
 )
 
 
+def id_type(n: int) -> np.dtype:
+    """The integers that hold ids below n."""
+    return np.dtype("<u2" if n <= 1 << 16 else "<u4")
+
+
 class WordEncoder:
     """Ids of pretokens by the tokenizers library, each distinct one once per worker while the cache lasts."""
 
@@ -53,13 +58,12 @@ class WordEncoder:
         self.tokenizer.no_padding()
         added = self.tokenizer.get_added_tokens_decoder()
         self.specials = tuple(t.content.encode() for t in added.values())
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.n_bytes = np.zeros(1 + max(*vocabulary.values(), *added), np.int64)  #: of each id's piece: a symbol is a byte
         self.n_bytes[list(vocabulary.values())] = list(map(len, vocabulary))
         for i, t in added.items():
             self.n_bytes[i] = len(t.content.encode())
+        self.dtype = id_type(len(self.n_bytes))
         self.known = pa.array([], pa.binary())
         self.known_n, self.known_ids = np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
@@ -145,10 +149,8 @@ def encode_chunk(enc: WordEncoder, texts: pa.Array, end_id: int | None) -> tuple
     data, offsets = common.buffer_of_array(texts)
     words, index, first = common.words_of(data, offsets, enc.specials)
     size, at, flat = enc.ids(words)
-    n = size[index]
-    ends = np.r_[0, np.cumsum(n)]
-    ids = flat[np.arange(ends[-1]) + np.repeat(at[index] - ends[:-1], n)]
-    ends = ends[first[1:]]
+    ids = common.gathered(index, size, at, flat)
+    ends = np.r_[0, np.cumsum(size[index])][first[1:]]
     if end_id is not None:
         ids = np.insert(ids, ends, end_id)
         ends = ends + np.arange(1, len(ends) + 1)

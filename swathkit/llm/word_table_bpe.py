@@ -26,26 +26,27 @@ from pyspark.sql import functions as F
 
 from swathkit.llm import common
 from swathkit.llm.token_counts import byte_symbols
-from swathkit.llm.token_shards import WordEncoder, encoder
+from swathkit.llm.token_shards import WordEncoder, encoder, id_type
 
 BLOCK_BYTES = 4 << 20  #: text bytes per block
 PART_BYTES, LEAST_PARTS = 32 << 20, 64  #: text bytes per part of the word table, and parts at least
 
 
 @common.kept
-def piece_table(path: str) -> pa.Array:
-    """The bytes of each id of a byte-level BPE file (bounded by its vocabulary)."""
+def vocabulary(path: str) -> tuple[pa.Array, tuple[bytes, ...]]:
+    """The bytes of each id of a byte-level BPE file, and its special strings (both bounded by its vocabulary)."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     byte_of = {c: b for b, c in enumerate(byte_symbols())}
     pieces: dict[int, bytes] = {i: bytes(byte_of[c] for c in token) for token, i in spec["model"]["vocab"].items()}
-    pieces |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", ())}
-    return pa.array([pieces.get(i, b"") for i in range(max(pieces) + 1)], pa.binary())
+    specials = {t["id"]: t["content"].encode() for t in spec.get("added_tokens", ())}
+    pieces |= specials
+    return pa.array([pieces.get(i, b"") for i in range(max(pieces) + 1)], pa.binary()), tuple(specials.values())
 
 
 def decoded(flat: pa.Array, ends: np.ndarray, tokenizer: str) -> pa.Array:
     """Texts of id lists end to end: each id is joined to its piece by its place in the table; invalid UTF-8 becomes U+FFFD."""
-    table = piece_table(tokenizer)
+    table, _ = vocabulary(tokenizer)
     size = np.diff(np.frombuffer(table.buffers()[1], np.int32)[: len(table) + 1])
     out = []
     at = 0
@@ -54,9 +55,10 @@ def decoded(flat: pa.Array, ends: np.ndarray, tokenizer: str) -> pa.Array:
         ids = flat.slice(ends[at], ends[stop] - ends[at])
         cut = np.r_[0, np.cumsum(size[ids.to_numpy()])][ends[at : stop + 1] - ends[at]]
         text = table.take(ids).buffers()[2].to_pybytes() if cut[-1] else b""
-        out += [text[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        texts = [text[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        out.append(pa.array(texts, pa.string()))
         at = stop
-    return pa.array(out, pa.string())
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -79,7 +81,7 @@ def words_by_part(data: bytes, offsets: np.ndarray, specials: tuple[bytes, ...],
     first position of each document."""
     words, index, first = common.words_of(data, offsets, specials)
     text, edges = common.buffer_of_array(words)
-    part = (common.stretch_hashes(text, edges[:-1], edges[1:]) % np.uint64(n)).astype(np.int64)
+    part = (common.piece_hashes(text, edges) % np.uint64(n)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -107,8 +109,7 @@ def dealt_ids(many: list[int], index: np.ndarray, n: np.ndarray, at: np.ndarray,
     for m in many:
         own = index[done : done + m]
         done += m
-        k = n[own]
-        out.append(common.squeeze(k.astype(np.uint32), flat[np.repeat(at[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())]))
+        out.append(common.squeeze(n[own].astype(np.uint32), common.gathered(own, n, at, flat)))
     return out
 
 
@@ -143,8 +144,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     blocks = common.packed_blocks(docs, BLOCK_BYTES, id_col, text_col)
 
     def list_words(key: tuple, table: pa.Table) -> pa.Table:
+        _, specials = vocabulary(tokenizer)
         docs_of = common.from_streams(table.column("payload").to_pylist())
-        text, sizes, part, _, _ = words_by_part(*common.buffer_of_array(docs_of.column("text")), encoder(tokenizer).specials, n)
+        text, sizes, part, _, _ = words_by_part(*common.buffer_of_array(docs_of.column("text")), specials, n)
         edges, spans = np.r_[0, np.cumsum(sizes)], stretches(part)
         return pa.table(
             {
@@ -155,18 +157,24 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         )
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        enc = encoder(tokenizer)
+        common.drop(encoder)  # nothing is encoded from here on
+        pieces, specials = vocabulary(tokenizer)
+        kind_of_id = id_type(len(pieces))
         docs_of = common.from_streams(left.column("payload").to_pylist())
-        _, _, _, index, first = words_by_part(*common.buffer_of_array(docs_of.column("text")), enc.specials, n)
-        got = [common.expand(x, np.uint32, enc.dtype) for _, x in sorted(zip(right.column("key").to_pylist(), right.column("answer").to_pylist(), strict=True))]
+        doc_ids = docs_of.column("doc_id")
+        buffer = common.buffer_of_array(docs_of.column("text"))
+        del docs_of
+        _, _, _, index, first = words_by_part(*buffer, specials, n)
+        del buffer
+        got = [common.expand(x, np.uint32, kind_of_id) for _, x in sorted(zip(right.column("key").to_pylist(), right.column("answer").to_pylist(), strict=True))]
         size = np.concatenate([np.zeros(0, np.int64), *(g[0] for g in got)]).astype(np.int64)
-        ids, at = np.concatenate([np.zeros(0, enc.dtype), *(g[1] for g in got)]), np.cumsum(size) - size
+        ids = np.concatenate([np.zeros(0, np.int32), *(g[1].astype(np.int32) for g in got)])
         # ids of all words in the order of their positions, and where each document's end
-        each = size[index]
-        flat = pa.array(ids[np.repeat(at[index] - (np.cumsum(each) - each), each) + np.arange(each.sum())].astype(np.int32))
-        ends = np.r_[0, np.cumsum(each)][first]
+        flat = pa.array(common.gathered(index, size, np.cumsum(size) - size, ids))
+        ends = np.r_[0, np.cumsum(size[index])][first]
+        del got, index
         return pa.table(
-            {"doc_id": docs_of.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat), "decoded": decoded(flat, ends, tokenizer)}
+            {"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat), "decoded": decoded(flat, ends, tokenizer)}
         )
 
     listed = blocks.groupBy("block").applyInArrow(common.tidied(list_words), "key int, block bigint, body binary")

@@ -584,3 +584,37 @@ def test_pretokens_of_many_documents_take_few_bytes():
     for k in (0, 1, 2, 1000, 2000, 2001, 2002):
         assert b"".join(found[i] for i in index[first[k] : first[k + 1]]) == data[offsets[k] : offsets[k + 1]]
     assert first[-1] == len(index) and peak < 12, peak
+
+
+def test_a_block_of_words_takes_few_bytes_of_a_worker():
+    """Round 3, the pipeline's encoding: words were hashed and ids gathered for a whole block at once: 38 and 17 bytes for each of these."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(map(chr, rng.integers(97, 123, 7))) for _ in range(60)) for _ in range(4000)]
+    data, offsets = common.buffer_of(texts)
+    common.class_table(), common.powers(common.STEP, common.POWERS_KEPT), common.powers(pow(common.STEP, -1, 1 << 64), common.POWERS_KEPT)
+    peaks = []
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            out = run()
+            peaks.append(tracemalloc.get_traced_memory()[1] / len(data))
+            return out
+        finally:
+            tracemalloc.stop()
+
+    text, sizes, part, index, first = peak(lambda: word_table_bpe.words_by_part(data, offsets, (), 64))
+    edges = np.r_[0, np.cumsum(sizes)]
+    assert (part == common.stretch_hashes(text, edges[:-1], edges[1:]) % np.uint64(64)).all()
+    flat = np.frombuffer(text, np.uint8)
+    assert peak(lambda: common.gathered(index, sizes, edges[:-1], flat)).tobytes() == data
+    assert first[-1] == len(index) and peaks[0] < 15 and peaks[1] < 8, peaks
+    assert len(common.gathered(index[:0], sizes, edges[:-1], flat)) == 0
+
+
+def test_encoders_are_dropped_where_nothing_is_encoded():
+    table = common.kept(lambda of: [of])
+    first = table("a")
+    assert table("a") is first
+    common.drop(table)
+    assert table("a") is not first
